@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from seamwatch import constants as K
+from seamwatch.functions.core import let
 from seamwatch.functions.text import lookup
 
 
@@ -24,13 +25,17 @@ CRC_STEPS = _crc_table()
 
 def frame_bytes(frame: Column) -> Column:
     """Binary value -> array of unsigned byte values."""
-    text = F.hex(frame)
-    return F.transform(
-        F.when(F.octet_length(frame) > 0, F.sequence(F.lit(0), F.octet_length(frame) - 1)).otherwise(
-            F.array().cast("array<int>")
-        ),
-        lambda i: F.conv(F.substr(text, i * 2 + 1, F.lit(2)), 16, 10).cast("int"),
-    )
+    digits = "0123456789ABCDEF"
+
+    def unpack(text: Column) -> Column:
+        def nibble(at: Column) -> Column:
+            return F.position(F.substr(text, at, F.lit(1)), F.lit(digits)) - 1
+        return F.transform(
+            F.sequence(F.lit(1), F.length(text), F.lit(2)), lambda i: nibble(i) * 16 + nibble(i + 1)
+        )
+
+    size = F.octet_length(frame)
+    return F.when(size > 0, let(F.hex(frame), unpack)).otherwise(F.array().cast("array<int>"))
 
 
 def crc16(values: Column) -> Column:

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from seamwatch import constants as K
 
-# year, month, day, hour, minute, second, fraction, offset of an ISO-8601 text
+# groups: year, month, day, hour, minute, second, fraction, offset of an ISO-8601 text
 _ISO = (
     r"^(\d{4})-?(\d{2})-?(\d{2})"
-    r"(?:[^0-9](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?"
+    r"(?:[^0-9](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,6})\d*)?)?)?"
     r"(Z|[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?)?)?$"
 )
 
@@ -26,29 +26,22 @@ def finite_double(text: Column) -> Column:
     return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
 
 
-def _iso_part(text: Column, group: int, default: str) -> Column:
-    part = F.regexp_extract(text, _ISO, group)
-    return F.when(part == "", F.lit(default)).otherwise(part)
-
-
 def iso_wall_clock(text: Column) -> Column:
-    """Local date and time of an ISO-8601 text with the offset dropped (timestamp_ntz)."""
+    """Local date and time of an ISO-8601 text with the offset dropped (timestamp_ntz).
+
+    A text that does not match stays as it is behind a marker and fails the cast.
+    """
     clean = F.trim(text)
-    wall = F.concat(
-        _iso_part(clean, 1, "x"), F.lit("-"), _iso_part(clean, 2, "x"), F.lit("-"),
-        _iso_part(clean, 3, "x"), F.lit(" "), _iso_part(clean, 4, "00"), F.lit(":"),
-        _iso_part(clean, 5, "00"), F.lit(":"), _iso_part(clean, 6, "00"), F.lit("."),
-        F.substring(_iso_part(clean, 7, "0"), 1, 6),
-    )
-    return wall.try_cast("timestamp_ntz")
+    spelled = F.regexp_replace(clean, _ISO, "=$1-$2-$3 $4:$5:$6.$7")
+    tidy = F.regexp_replace(F.regexp_replace(spelled, r"[ :.]+$", ""), r" (\d{2})$", " $1:00")
+    return F.when(tidy.startswith("="), F.substring(tidy, 2, 40)).try_cast("timestamp_ntz")
 
 
 def iso_instant(text: Column) -> Column:
     """Instant of an ISO-8601 text; texts without an offset are read in the session zone."""
-    offset = _iso_part(F.trim(text), 8, "")
-    colon = F.regexp_replace(offset, r"^([+-]\d{2}):?(\d{2})?.*$", "$1:$2")
-    zone = F.when(offset.isin("", "Z"), F.when(offset == "Z", "+00:00").otherwise("")).otherwise(
-        F.when(F.length(colon) == 4, F.concat(colon, F.lit("00"))).otherwise(colon)
+    offset = F.regexp_extract(F.trim(text), _ISO, 8)
+    zone = F.when(offset == "Z", "+00:00").otherwise(
+        F.regexp_replace(F.regexp_replace(offset, r"^([+-]\d{2}):?(\d{2}).*$", "$1:$2"), r"^([+-]\d{2})$", "$1:00")
     )
     wall = F.date_format(iso_wall_clock(text), "yyyy-MM-dd HH:mm:ss.SSSSSS")
     return F.concat(wall, zone).try_cast("timestamp")

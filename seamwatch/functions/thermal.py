@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from seamwatch import constants as K
+from seamwatch.functions.core import let
 
 
 def frame_error(values: Column, pixels: int) -> Column:
@@ -26,8 +27,7 @@ def array_mean(values: Column) -> Column:
 
 def array_percentile(values: Column, fraction: float) -> Column:
     """Percentile with linear interpolation between the two nearest ranks."""
-    ordered = F.array_sort(values)
-    return sorted_percentile(ordered, fraction)
+    return let(F.sort_array(values), lambda ordered: sorted_percentile(ordered, fraction))
 
 
 def sorted_percentile(ordered: Column, fraction: float) -> Column:
@@ -40,8 +40,7 @@ def sorted_percentile(ordered: Column, fraction: float) -> Column:
     )
 
 
-def array_median(values: Column) -> Column:
-    ordered = F.array_sort(values)
+def _middle(ordered: Column) -> Column:
     size = F.size(ordered)
     middle = F.floor((size - 1) / 2).cast("int")
     return F.when(size % 2 == 1, F.get(ordered, middle)).otherwise(
@@ -49,6 +48,10 @@ def array_median(values: Column) -> Column:
     )
 
 
+def array_median(values: Column) -> Column:
+    return let(F.sort_array(values), _middle)
+
+
 def median3x3(values: Column, width: int = K.THERMAL_WIDTH, height: int = K.THERMAL_HEIGHT) -> Column:
     """3x3 median of a row-major frame; windows shrink to 6 or 4 values at edges and corners."""
 
@@ -71,15 +74,17 @@ def median3x3(values: Column, width: int = K.THERMAL_WIDTH, height: int = K.THER
 
 def display_target(values: Column) -> Column:
     """Percentile bounds of one frame, widened to the minimum span around their middle."""
-    ordered = F.array_sort(values)
-    low = sorted_percentile(ordered, K.DISPLAY_LOW)
-    high = sorted_percentile(ordered, K.DISPLAY_HIGH)
-    middle, half = (low + high) / 2.0, K.DISPLAY_MIN_SPAN / 2.0
-    narrow = high - low < K.DISPLAY_MIN_SPAN
-    return F.struct(
-        F.when(narrow, middle - half).otherwise(low).alias("low"),
-        F.when(narrow, middle + half).otherwise(high).alias("high"),
-    )
+    def widen(bounds: Column) -> Column:
+        low, high = bounds["low"], bounds["high"]
+        middle, half = (low + high) / 2.0, K.DISPLAY_MIN_SPAN / 2.0
+        narrow = high - low < K.DISPLAY_MIN_SPAN
+        return F.struct(
+            F.when(narrow, middle - half).otherwise(low).alias("low"),
+            F.when(narrow, middle + half).otherwise(high).alias("high"),
+        )
+    raw = let(F.sort_array(values), lambda o: F.struct(
+        sorted_percentile(o, K.DISPLAY_LOW).alias("low"), sorted_percentile(o, K.DISPLAY_HIGH).alias("high")))
+    return let(raw, widen)
 
 
 def normalized_field(values: Column, low: Column, high: Column) -> Column:

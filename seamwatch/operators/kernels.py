@@ -1,0 +1,136 @@
+"""Small NumPy helpers used inside image tasks (one image at a time)."""
+
+from __future__ import annotations
+
+import numpy as np
+
+
+def bgr(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
+    """Bytes of Spark's image source -> height x width x 3 (grey is repeated, alpha dropped)."""
+    pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+    return np.repeat(pixels, 3, axis=2) if channels == 1 else pixels[:, :, :3]
+
+
+def grey(image: np.ndarray) -> np.ndarray:
+    """Luma with the usual 16-bit fixed-point weights (299/587/114)."""
+    b, g, r = (image[:, :, i].astype(np.int64) for i in range(3))
+    return ((r * 19595 + g * 38470 + b * 7471 + 0x8000) >> 16).astype(np.float64)
+
+
+def area_weights(source: int, target: int) -> np.ndarray:
+    """Row-stochastic target x source matrix of overlap lengths."""
+    edges = np.arange(target + 1) * (source / target)
+    low, high = edges[:-1, None], edges[1:, None]
+    cells = np.arange(source)[None, :]
+    cover = np.clip(np.minimum(high, cells + 1) - np.maximum(low, cells), 0, None)
+    return cover / cover.sum(axis=1, keepdims=True)
+
+
+def area_resize(values: np.ndarray, height: int, width: int) -> np.ndarray:
+    return np.floor(area_weights(values.shape[0], height) @ values @ area_weights(values.shape[1], width).T + 0.5)
+
+
+def fit(values: np.ndarray, side: int = 640) -> np.ndarray:
+    """Shrink to fit a square of the given side; smaller images stay as they are."""
+    height, width = values.shape
+    scale = min(side / height, side / width)
+    if scale >= 1:
+        return values
+    return area_resize(values, max(1, round(height * scale)), max(1, round(width * scale)))
+
+
+def edges(values: np.ndarray) -> np.ndarray:
+    """8-neighbour edge response cut to 0..255; the outermost pixels are copied."""
+    out = values.copy()
+    if min(values.shape) >= 3:
+        total = sum(
+            values[1 + dy: values.shape[0] - 1 + dy, 1 + dx: values.shape[1] - 1 + dx]
+            for dy in (-1, 0, 1) for dx in (-1, 0, 1)
+        )
+        out[1:-1, 1:-1] = np.clip(9 * values[1:-1, 1:-1] - total, 0, 255)
+    return out
+
+
+def difference_hash(values: np.ndarray, falling: bool = True) -> str:
+    """9x8 difference hash; ``falling`` sets a bit where left > right, otherwise where right > left."""
+    small = area_resize(values, 8, 9)
+    bits = small[:, :-1] > small[:, 1:] if falling else small[:, 1:] > small[:, :-1]
+    return np.packbits(bits.ravel()).tobytes().hex()
+
+
+def hsv(image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hue 0..179, saturation and value 0..255."""
+    b, g, r = (image[:, :, i].astype(np.float64) for i in range(3))
+    value = np.maximum(np.maximum(r, g), b)
+    span = value - np.minimum(np.minimum(r, g), b)
+    safe = np.where(span == 0, 1, span)
+    hue = np.select(
+        [span == 0, value == r, value == g],
+        [np.zeros_like(value), 60 * (g - b) / safe, 120 + 60 * (b - r) / safe], 240 + 60 * (r - g) / safe,
+    )
+    saturation = np.where(value == 0, 0, 255 * span / np.where(value == 0, 1, value))
+    return np.round((hue % 360) / 2) % 180, np.round(saturation), value
+
+
+def in_range(planes, low: tuple[int, int, int], high: tuple[int, int, int]) -> np.ndarray:
+    return np.logical_and.reduce([(p >= a) & (p <= b) for p, a, b in zip(planes, low, high)])
+
+
+def components(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """8-connected labels (0 = background) and per label x, y, width, height, area, centre x, centre y."""
+    rows, starts, stops = _runs(mask)
+    parent = np.arange(len(rows))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    begin = np.searchsorted(rows, np.arange(mask.shape[0] + 1))
+    for y in range(1, mask.shape[0]):
+        above, upto = begin[y - 1], begin[y]
+        for i in range(begin[y], begin[y + 1]):
+            while above < upto and stops[above] < starts[i]:
+                above += 1
+            j = above
+            while j < upto and starts[j] <= stops[i]:
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+                j += 1
+    names = np.array([root(i) for i in range(len(rows))], int)
+    _, numbers = np.unique(names, return_inverse=True)
+    labels = np.zeros(mask.shape, int)
+    for y, a, b, n in zip(rows, starts, stops, numbers):
+        labels[y, a:b] = n + 1
+    count = int(numbers.max()) + 1 if len(rows) else 0
+    stats = np.zeros((count, 7))
+    for n in range(count):
+        own = numbers == n
+        x, y = starts[own].min(), rows[own].min()
+        sizes = stops[own] - starts[own]
+        area = sizes.sum()
+        middle = ((starts[own] + stops[own] - 1) / 2 * sizes).sum() / area
+        stats[n] = (x, y, stops[own].max() - x, rows[own].max() + 1 - y, area, middle, (rows[own] * sizes).sum() / area)
+    return labels, stats
+
+
+def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first column and end column of every horizontal run."""
+    padded = np.pad(mask.astype(np.int8), ((0, 0), (1, 1)))
+    step = np.diff(padded, axis=1)
+    rows, starts = np.nonzero(step == 1)
+    return rows, starts, np.nonzero(step == -1)[1]
+
+
+def nearest_resize(mask: np.ndarray, height: int, width: int) -> np.ndarray:
+    y = np.minimum((np.arange(height) * (mask.shape[0] / height)).astype(int), mask.shape[0] - 1)
+    x = np.minimum((np.arange(width) * (mask.shape[1] / width)).astype(int), mask.shape[1] - 1)
+    return mask[np.ix_(y, x)]
+
+
+def words(mask: np.ndarray) -> list[int]:
+    """Row-major mask -> 32-bit words, first pixel in the top bit."""
+    packed = np.packbits(mask.astype(bool).ravel())
+    packed = np.pad(packed, (0, -len(packed) % 4))
+    return packed.view(">u4").astype(np.int64).tolist()

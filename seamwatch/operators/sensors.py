@@ -11,17 +11,16 @@ from pyspark.sql import functions as F
 from seamwatch import constants as K
 from seamwatch.functions import registers as R
 from seamwatch.functions import thermal as T
+from seamwatch.functions.core import compute_once
 from seamwatch.skew import first_per_key, previous_value, spread_join
 
 
 def parse_frames(frames: DataFrame, frame: str = "frame", slave_id: str = "slave_id", registers: int = 6) -> DataFrame:
     """Validate raw response frames and decode them; ``error`` holds the first broken rule."""
-    values = frames.withColumn("_bytes", R.frame_bytes(F.col(frame)))
-    checked = values.withColumn("_error", R.frame_error(F.col("_bytes"), F.col(slave_id), registers))
-    decoded = checked.withColumn(
-        "_reading",
-        F.when(F.col("_error").isNull(), R.decode_registers(R.frame_registers(F.col("_bytes"), registers))),
-    )
+    values = compute_once(frames, _bytes=R.frame_bytes(F.col(frame)))
+    checked = compute_once(values, _error=R.frame_error(F.col("_bytes"), F.col(slave_id), registers))
+    decoded = compute_once(checked, _reading=F.when(
+        F.col("_error").isNull(), R.decode_registers(R.frame_registers(F.col("_bytes"), registers))))
     return decoded.select(
         *frames.columns,
         *[F.col(f"_reading.{c}").alias(c) for c in ("value", "decimals", "value_text", "unit", "status")],
@@ -31,7 +30,7 @@ def parse_frames(frames: DataFrame, frame: str = "frame", slave_id: str = "slave
 
 def decode_register_rows(rows: DataFrame, registers: str = "registers") -> DataFrame:
     """Decode already extracted register arrays."""
-    reading = rows.withColumn("_reading", R.decode_registers(F.col(registers)))
+    reading = compute_once(rows, _reading=R.decode_registers(F.col(registers)))
     fields = ("value", "decimals", "value_text", "unit", "status", "error")
     return reading.select(*rows.columns, *[F.col(f"_reading.{c}").alias(c) for c in fields])
 
@@ -165,7 +164,7 @@ def frame_statistics(frames: DataFrame, values: str = "temperatures", pixels: in
     """Minimum, maximum, mean and display percentiles of every frame, or its error."""
     t = F.col(values)
     checked = frames.withColumn("frame_error", T.frame_error(t, pixels)).withColumn(
-        "_sorted", F.when(F.col("frame_error").isNull(), F.array_sort(t))
+        "_sorted", F.when(F.col("frame_error").isNull(), F.sort_array(t))
     )
     ok = F.col("frame_error").isNull()
     return checked.select(

@@ -10,6 +10,7 @@ from seamwatch import schemas as S
 from seamwatch.functions import geometry as G
 from seamwatch.functions import quality as Q
 from seamwatch.functions import text as X
+from seamwatch.functions.core import compute_once
 from seamwatch.skew import first_per_key
 
 
@@ -87,15 +88,16 @@ def metadata_error(m: Column) -> Column:
 
 def parse_metadata(packages: DataFrame, json: str = "metadata_json") -> DataFrame:
     """Metadata JSON -> normalised capture columns plus ``error`` (null for good rows)."""
-    raw = packages.withColumn("_m", F.from_json(F.col(json), S.RAW_METADATA))
+    raw = compute_once(packages, _m=F.from_json(F.col(json), S.RAW_METADATA))
     m = F.col("_m")
+    raw = compute_once(raw, error=metadata_error(m))
     return raw.select(
         *packages.columns,
         F.trim(m["capture_id"]).alias("capture_id"), F.trim(m["capture_time"]).alias("capture_time"),
         F.trim(m["station_id"]).alias("station_id"), pose(m["robot_pose"]).alias("robot_pose"),
         F.trim(F.coalesce(m["camera_id"], F.lit(K.DEFAULT_CAMERA))).alias("camera_id"),
         image_names(m["images"]).alias("images"), X.blank_to_null(m["batch_id"]).alias("batch_id"),
-        metadata_error(m).alias("error"),
+        "error",
     )
 
 
@@ -112,8 +114,8 @@ def detection_error(kind: Column, class_id: Column, confidence: Column, bbox: Co
 
 
 def validate_detections(detections: DataFrame) -> tuple[DataFrame, DataFrame]:
-    checked = detections.withColumn(
-        "error", detection_error(F.col("type"), F.col("class_id"), F.col("confidence"), F.col("bbox"))
+    checked = compute_once(
+        detections, error=detection_error(F.col("type"), F.col("class_id"), F.col("confidence"), F.col("bbox"))
     )
     return split_errors(checked)
 
