@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seamwatch import constants as K
 from seamwatch.functions import geometry as G
+from seamwatch.functions.core import compute_once, let
 from seamwatch.functions.hashing import sha256
 from seamwatch.functions.text import split_group_key, unique_sample_name
 from seamwatch.skew import global_rank, number_rows, spread_join
@@ -69,16 +70,21 @@ def allocate_counts(total: Column, ratios: Mapping[str, float] | None = None) ->
     counts = F.array(*[base[n] + (rank[n] < left).cast("int") for n in K.SPLITS])
     positive = [i for i, n in enumerate(K.SPLITS) if share[n] > 0]
 
-    def repair(state: Column, missing: int) -> Column:
-        richest = F.greatest(*[F.get(state, F.lit(i)) for i in positive]) if len(positive) > 1 else F.get(state, F.lit(positive[0]))
-        donor = F.array_position(state, richest) - 1
+    def repaired(state: Column, missing: int) -> Column:
+        richest = F.array_max(F.array(*[F.get(state, F.lit(i)) for i in positive]))
         needed = (F.get(state, F.lit(missing)) == 0) & (total >= len(positive)) & (richest > 1)
-        moved = F.transform(state, lambda c, i: c - (i == donor).cast("int") + (i == missing).cast("int"))
-        return F.when(needed, moved).otherwise(state)
+
+        def move(donor: Column) -> Column:
+            return F.transform(state, lambda c, i: c - (i == donor).cast("int") + (i == missing).cast("int"))
+
+        return F.when(needed, let(F.array_position(state, richest) - 1, move)).otherwise(state)
+
+    def repair_step(missing: int):
+        return lambda state: repaired(state, missing)
 
     for index in positive:
-        counts = repair(counts, index)
-    return F.struct(*[F.get(counts, F.lit(i)).alias(n) for i, n in enumerate(K.SPLITS)])
+        counts = let(counts, repair_step(index))
+    return let(counts, lambda c: F.struct(*[F.get(c, F.lit(i)).alias(n) for i, n in enumerate(K.SPLITS)]))
 
 
 def assign_splits(
@@ -94,7 +100,8 @@ def assign_splits(
     groups = keyed.groupBy("_group").agg(F.count(F.lit(1)).alias("_rows"))
     hashed = groups.withColumn("_digest", sha256(F.concat(F.lit(f"{seed}|"), F.col("_group"))))
     ranked = global_rank(hashed, "_digest", "_position", "_total")
-    share = allocate_counts(F.col("_total"), ratios)
+    ranked = compute_once(ranked, _share=allocate_counts(F.col("_total"), ratios))
+    share = F.col("_share")
     split = F.when(F.col("_position") <= share["train"], "train").when(
         F.col("_position") <= share["train"] + share["val"], "val"
     ).otherwise("test")
