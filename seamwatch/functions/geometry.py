@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from seamwatch.functions.core import let
+
 SIDES = ("x1", "y1", "x2", "y2")
 
 
@@ -106,7 +108,7 @@ def clipped(b: Column, width: Column, height: Column) -> Column:
         F.least(F.greatest(b["x1"], zero), w), F.least(F.greatest(b["y1"], zero), h),
         F.least(F.greatest(b["x2"], zero), w), F.least(F.greatest(b["y2"], zero), h),
     )
-    return F.when((cut["x2"] > cut["x1"]) & (cut["y2"] > cut["y1"]), cut)
+    return let(cut, lambda c: F.when((c["x2"] > c["x1"]) & (c["y2"] > c["y1"]), c))
 
 
 def normalized(b: Column, width: Column, height: Column) -> Column:
@@ -127,12 +129,13 @@ def label_line(index: Column, b: Column, width: Column, height: Column, clip: bo
     places are printed (null otherwise).
     """
     places = 8 if clip else 6
+    layout = "%d " + " ".join([f"%.{places}f"] * 4)
+
+    def text(n: Column) -> Column:
+        inside = F.lit(True)
+        for part in ("cx", "cy", "w", "h"):
+            inside = inside & n[part].between(0.0, 1.0)
+        return F.when(inside, F.format_string(layout, index, n["cx"], n["cy"], n["w"], n["h"]))
+
     source = clipped(b, width, height) if clip else b
-    n = normalized(source, width, height)
-    text = F.format_string(
-        "%d " + " ".join([f"%.{places}f"] * 4), index, n["cx"], n["cy"], n["w"], n["h"]
-    )
-    inside = F.lit(True)
-    for part in ("cx", "cy", "w", "h"):
-        inside = inside & n[part].between(0.0, 1.0)
-    return F.when(source.isNotNull() & inside, text)
+    return let(let(source, lambda c: normalized(c, width, height)), text)

@@ -189,15 +189,17 @@ def annotation_rows(
     ``classes``: class, class_index (null when the class is known but not trained).
     """
     table = classes.select(F.col("class").alias(label), "class_index", F.lit(True).alias("_known"))
-    joined = boxes.join(table, label, "left")
-    line = G.label_line(F.col("class_index"), F.col("bbox"), F.col(width), F.col(height))
+    joined = compute_once(
+        boxes.join(table, label, "left"),
+        _line=G.label_line(F.col("class_index"), F.col("bbox"), F.col(width), F.col(height)),
+    )
     outcome = (
         F.when(F.col("_known").isNull(), "unknown").when(F.col("class_index").isNull(), "ignored")
-        .when(~G.is_valid_box(F.col("bbox")) | line.isNull(), "invalid").otherwise("kept")
+        .when(~G.is_valid_box(F.col("bbox")) | F.col("_line").isNull(), "invalid").otherwise("kept")
     )
-    return joined.withColumn("outcome", outcome).withColumn(
-        "line", F.when(F.col("outcome") == "kept", line)
-    ).drop("_known")
+    return compute_once(joined, outcome=outcome).withColumn(
+        "line", F.when(F.col("outcome") == "kept", F.col("_line"))
+    ).drop("_known", "_line")
 
 
 def class_counts(rows: DataFrame, classes: DataFrame, label: str = "class") -> DataFrame:

@@ -11,7 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,43 +47,51 @@ def assign_clusters(
     shuffled = detections.repartition(*keys)
     cut = _islands(shuffled, keys, "x1", "x2", "_ix")
     cut = _islands(cut, [*keys, "_ix"], "y1", "y2", "_iy")
-    size = F.count(F.lit(1)).over(W.partitionBy(*keys, "_ix", "_iy"))
-    cut = cut.withColumn("_size", size).withColumn("cluster", F.struct(*order))
+    island = W.partitionBy(*keys, "_ix", "_iy")
+    cut = cut.withColumn("_rank", F.row_number().over(island.orderBy(*order))).withColumn(
+        "_size", F.count(F.lit(1)).over(island)
+    ).withColumn("cluster", F.struct(*order))
     ordered = cut.sortWithinPartitions(*keys, "_ix", "_iy", *order)
-    return ordered.mapInArrow(_fold(keys, list(order), threshold), _closed(ordered.schema)).drop("_ix", "_iy", "_size")
+    return ordered.mapInArrow(_fold(threshold), _closed(ordered.schema)).drop("_ix", "_iy", "_size", "_rank")
 
 
 def _closed(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 
 
-def _fold(keys: list[str], order: list[str], threshold: float):
-    group_columns = [*keys, "_ix", "_iy"]
+def _fold(threshold: float):
+    """Fold the sorted islands of a partition; an island may run over several batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, clusters = None, []  # clusters: [x1, y1, x2, y2, confidence, first member]
+        clusters, carried = [], None  # clusters: [x1, y1, x2, y2, confidence, row of the first member]
         for batch in batches:
-            schema = batch.schema
-            sizes = batch.column("_size").to_pylist()
-            labels = batch.column("cluster").to_pylist()
-            wanted = [i for i, n in enumerate(sizes) if n > 1]
-            if wanted:
-                rows = batch.select([*group_columns, "bbox", "confidence"]).take(pa.array(wanted)).to_pylist()
-                for index, row in zip(wanted, rows):
-                    now = tuple(row[c] for c in group_columns)
-                    if now != group:
-                        group, clusters = now, []
-                    labels[index] = _join_cluster(clusters, row["bbox"], row["confidence"], labels[index], threshold)
-            position = schema.get_field_index("cluster")
-            field = schema.field(position)
-            yield batch.set_column(position, field, pa.array(labels, field.type))
+            firsts = batch.column("cluster")
+            rows = batch.num_rows
+            if carried is not None:
+                firsts = pa.concat_arrays([firsts, carried])
+                for place, cluster in enumerate(clusters):
+                    cluster[5] = rows + place
+            member = np.arange(rows)
+            rank = batch.column("_rank").to_numpy(zero_copy_only=False)
+            shared = np.flatnonzero(batch.column("_size").to_numpy(zero_copy_only=False) > 1)
+            sides = [pc.struct_field(batch.column("bbox"), s).to_numpy(zero_copy_only=False) for s in ("x1", "y1", "x2", "y2")]
+            scores = batch.column("confidence").to_numpy(zero_copy_only=False)
+            values = zip(shared.tolist(), rank[shared].tolist(), *(v[shared].tolist() for v in (*sides, scores)))
+            for row, place, *box, confidence in values:
+                if place == 1:
+                    clusters = []
+                member[row] = _join_cluster(clusters, box, confidence, row, threshold)
+            position = batch.schema.get_field_index("cluster")
+            yield batch.set_column(position, batch.schema.field(position), firsts.take(pa.array(member)))
+            carried = firsts.take(pa.array([c[5] for c in clusters], pa.int64())) if clusters else None
 
     return run
 
 
-def _join_cluster(clusters: list[list], b: dict, confidence: float, member, threshold: float):
+def _join_cluster(clusters: list[list], box: list[float], confidence: float, row: int, threshold: float) -> int:
+    """Row of the first member of the cluster the box joins or opens."""
+    x1, y1, x2, y2 = box
     best, best_iou = None, 0.0
-    x1, y1, x2, y2 = b["x1"], b["y1"], b["x2"], b["y2"]
     for cluster in clusters:
         width = min(cluster[2], x2) - max(cluster[0], x1)
         height = min(cluster[3], y2) - max(cluster[1], y1)
@@ -93,8 +103,8 @@ def _join_cluster(clusters: list[list], b: dict, confidence: float, member, thre
         if overlap >= threshold and overlap > best_iou:
             best, best_iou = cluster, overlap
     if best is None:
-        clusters.append([x1, y1, x2, y2, confidence, member])
-        return member
+        clusters.append([x1, y1, x2, y2, confidence, row])
+        return row
     if confidence > best[4]:
         best[:5] = [x1, y1, x2, y2, confidence]
     return best[5]
