@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seamwatch import constants as K
-from seamwatch.functions.core import let
+from seamwatch.functions.core import compute_once, let
 from seamwatch.functions.text import lookup
 
 
@@ -75,39 +75,44 @@ def frame_registers(values: Column, registers: int = 6) -> Column:
     )
 
 
-def decode_registers(registers: Column) -> Column:
-    """Registers -> struct(value, decimals, value_text, unit, status, error).
+def decode_registers(rows: DataFrame, registers: str) -> DataFrame:
+    """Adds value, decimals, value_text, unit, status and error from a register array.
 
     Register 0 carries unit, decimal places and the two top value bits,
     register 1 the low 16 value bits, the low byte of register 5 the status.
-    ``value_text`` keeps the declared number of decimal places.
+    ``value_text`` keeps the declared number of decimal places.  The codes are
+    cut out first and the texts built in a second step: one big expression
+    would exceed what the JVM compiles to machine code.
     """
-    head, low, tail = (F.get(registers, F.lit(i)) for i in (0, 1, 5))
-    decimal_code = F.shiftright(head, 8).bitwiseAND(F.lit(15))
-    unit_code = F.shiftright(head, 12).bitwiseAND(F.lit(15))
-    high = F.shiftright(head, 6).bitwiseAND(F.lit(3))
-    status_code = tail.bitwiseAND(F.lit(255))
-    decimals = lookup(K.DECIMAL_CODES, decimal_code)
-    raw = F.shiftleft(high, 16).bitwiseOR(low)
-    value = (raw.cast("decimal(9,0)") / lookup({0: 1, 1: 10, 2: 100, 3: 1000}, decimals)).cast("decimal(18,3)")
-    digits = F.lpad(raw.cast("string"), F.greatest(decimals + 1, F.length(raw.cast("string"))), F.lit("0"))
-    text = F.when(decimals == 0, digits).otherwise(
-        F.concat(
-            F.substr(digits, F.lit(1), F.length(digits) - decimals),
-            F.lit("."),
-            F.substr(digits, F.length(digits) - decimals + 1, decimals),
-        )
+    head, low, tail = (F.get(F.col(registers), F.lit(i)) for i in (0, 1, 5))
+
+    def bits(value: Column, shift: int, mask: int) -> Column:
+        return F.shiftright(value, shift).bitwiseAND(F.lit(mask))
+
+    coded = compute_once(
+        rows, _decimal_code=bits(head, 8, 15), _unit=bits(head, 12, 15), _status=bits(tail, 0, 255),
+        _raw=F.shiftleft(bits(head, 6, 3), 16).bitwiseOR(low), _size=F.size(registers),
+    )
+    scaled = compute_once(
+        coded,
+        decimals=F.when(F.col("_size") >= 6, lookup(K.DECIMAL_CODES, F.col("_decimal_code"))),
+        _digits=F.col("_raw").cast("string"),
     )
-    error = (
-        F.when(F.size(registers) < 6, F.lit("解析气体数据至少需要6个寄存器"))
-        .when(decimals.isNull(), F.format_string("未知的小数位编码：0x%X", decimal_code))
+    places, digits = F.col("decimals"), F.col("_digits")
+    padded = compute_once(scaled, _padded=F.lpad(digits, F.greatest(places + 1, F.length(digits)), F.lit("0")))
+    ok, text = places.isNotNull(), F.col("_padded")
+    point = F.length(text) - places
+    valued = compute_once(
+        padded,
+        value=(F.col("_raw").cast("decimal(9,0)") / lookup({0: 1, 1: 10, 2: 100, 3: 1000}, places)).cast("decimal(18,3)"),
+        value_text=F.when(places == 0, text).otherwise(
+            F.concat(F.substr(text, F.lit(1), point), F.lit("."), F.substr(text, point + 1, places))),
     )
-    ok = error.isNull()
-    return F.struct(
-        F.when(ok, value).alias("value"),
-        F.when(ok, decimals).alias("decimals"),
-        F.when(ok, text).alias("value_text"),
-        F.when(ok, F.coalesce(lookup(K.UNIT_CODES, unit_code), F.format_string("unknown(0x%X)", unit_code))).alias("unit"),
-        F.when(ok, F.coalesce(lookup(K.STATUS_CODES, status_code), F.format_string("unknown(0x%02X)", status_code))).alias("status"),
-        error.alias("error"),
+    unit = F.coalesce(lookup(K.UNIT_CODES, F.col("_unit")), F.format_string("unknown(0x%X)", F.col("_unit")))
+    status = F.coalesce(lookup(K.STATUS_CODES, F.col("_status")), F.format_string("unknown(0x%02X)", F.col("_status")))
+    error = F.when(F.col("_size") < 6, F.lit("解析气体数据至少需要6个寄存器")).when(
+        ~ok, F.format_string("未知的小数位编码：0x%X", F.col("_decimal_code")))
+    return valued.select(
+        *rows.columns, "value", "decimals", "value_text",
+        F.when(ok, unit).alias("unit"), F.when(ok, status).alias("status"), error.alias("error"),
     )

@@ -23,20 +23,14 @@ def parse_frames(frames: DataFrame, frame: str = "frame", slave_id: str = "slave
     checked = compute_once(values, _error=R.frame_error(F.col("_bytes"), F.col(slave_id), registers))
     split = compute_once(checked, _registers=F.when(
         F.col("_error").isNull(), R.frame_registers(F.col("_bytes"), registers)))
-    decoded = compute_once(split, _reading=F.when(
-        F.col("_error").isNull(), R.decode_registers(F.col("_registers"))))
-    return decoded.select(
-        *frames.columns,
-        *[F.col(f"_reading.{c}").alias(c) for c in ("value", "decimals", "value_text", "unit", "status")],
-        F.coalesce(F.col("_error"), F.col("_reading.error")).alias("error"),
-    )
+    out = R.decode_registers(split, "_registers")
+    fields = ("value", "decimals", "value_text", "unit", "status")
+    return out.select(*frames.columns, *fields, F.coalesce("_error", "error").alias("error"))
 
 
 def decode_register_rows(rows: DataFrame, registers: str = "registers") -> DataFrame:
     """Decode already extracted register arrays."""
-    reading = compute_once(rows, _reading=R.decode_registers(F.col(registers)))
-    fields = ("value", "decimals", "value_text", "unit", "status", "error")
-    return reading.select(*rows.columns, *[F.col(f"_reading.{c}").alias(c) for c in fields])
+    return R.decode_registers(rows, registers)
 
 
 def first_valid_attempt(

@@ -23,8 +23,8 @@ from seamwatch.operators.validate import diagnostics, metadata_error, parse_meta
 
 def read_texts(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
     """Whole files as (path, content); one file is one sensor day or one document."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    return reader.text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    reader = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    return reader.load(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
 def read_files(spark: SparkSession, root: str, pattern: str = "*", content: bool = True) -> DataFrame:
