@@ -210,15 +210,19 @@ def class_counts(rows: DataFrame, classes: DataFrame, label: str = "class") -> D
     return classes.select(F.col("class").alias(label)).join(counts, label, "left").fillna(0, ["kept", "ignored"])
 
 
-def label_texts(rows: DataFrame, images: DataFrame, key: str, order: Sequence[str], chunk: int = 4096) -> DataFrame:
+def label_texts(
+    rows: DataFrame, images: DataFrame, key: str, order: Sequence[str], chunk: int = 4096, slice_by: Column | None = None,
+) -> DataFrame:
     """Label text per image: lines in box order, empty for an image without kept boxes.
 
     Text comes in chunks of ``chunk`` lines (chunk 0 for all but absurdly full
     images), so no image's boxes are gathered without bound; chunks in order
-    make up the whole text.
+    make up the whole text.  ``slice_by`` cuts the numbering of a crowded image
+    (by default runs of ``chunk`` values of the first order column).
     """
     kept = rows.where(F.col("outcome") == "kept")
-    placed = number_rows(kept, [key], order, "_pos", slice_by=F.floor(F.col(order[0]) / chunk))
+    cut = slice_by if slice_by is not None else F.floor(F.col(order[0]) / chunk)
+    placed = number_rows(kept, [key], order, "_pos", slice_by=cut)
     parts = placed.groupBy(key, F.floor(F.col("_pos") / chunk).cast("int").alias("chunk")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "line"))), lambda s: s["line"]), "\n").alias("text")
     )

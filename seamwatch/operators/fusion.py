@@ -3,8 +3,8 @@
 The association is greedy and order-dependent: a detection joins the cluster of
 its type and class whose most confident box overlaps best, otherwise it opens a
 cluster.  Boxes that cannot touch, directly or through others, never influence
-each other, so every (capture, type, class) is first cut into islands; each
-island is then folded in frame order, holding one box per open cluster.
+each other, so every (capture, type, class) is first cut into islands (hot ones
+into stripes before that); each island is then folded in frame order, holding one box per open cluster.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from seamwatch import constants as K
 from seamwatch.operators.voting import angle_medoid, majority_vote, pointer_verdicts
+from seamwatch.skew import HOT_ROWS
 
 _GROUP = ("type", "class_id")
 
@@ -35,16 +36,18 @@ def _islands(df: DataFrame, keys: list[str], low: str, high: str, name: str) ->
 
 def assign_clusters(
     detections: DataFrame, key: str = "capture_id", order: Sequence[str] = ("frame_index", "pos"),
-    threshold: float = K.FUSION_IOU,
+    threshold: float = K.FUSION_IOU, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Detections with ``cluster``: the position (inside the capture's order) of the cluster's first member.
 
     Input columns: key, order columns (unique per key), type, class_id, bbox,
-    confidence and anything else.  One shuffle on (key, type, class); the
-    island windows and the fold reuse it.
+    confidence and anything else.  Hot (key, type, class) groups are cut in
+    stripes first; one shuffle on the group and its stripe then serves the
+    island windows and the fold.
     """
-    keys = [key, *_GROUP]
-    shuffled = detections.repartition(*keys)
+    group = [key, *_GROUP]
+    keys = [*group, "_stripe"]
+    shuffled = _stripes(detections, group, hot_rows).repartition(*keys)
     cut = _islands(shuffled, keys, "x1", "x2", "_ix")
     cut = _islands(cut, [*keys, "_ix"], "y1", "y2", "_iy")
     island = W.partitionBy(*keys, "_ix", "_iy")
@@ -52,7 +55,29 @@ def assign_clusters(
         "_size", F.count(F.lit(1)).over(island)
     ).withColumn("cluster", F.struct(*order))
     ordered = cut.sortWithinPartitions(*keys, "_ix", "_iy", *order)
-    return ordered.mapInArrow(_fold(threshold), _closed(ordered.schema)).drop("_ix", "_iy", "_size", "_rank")
+    return ordered.mapInArrow(_fold(threshold), _closed(ordered.schema)).drop(
+        "_stripe", "_ix", "_iy", "_size", "_rank")
+
+
+def _stripes(df: DataFrame, group: list[str], hot_rows: int, cell: float = 64.0) -> DataFrame:
+    """Number independent vertical stripes of hot groups; other groups are one stripe.
+
+    A box covers cells of ``cell`` pixels and ties each to the next; cells of a
+    group that are not tied start a new stripe.  The cells are aggregated on
+    the map side, so a hot group contributes a few rows per image width.
+    """
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= hot_rows)
+    hot = sizes.select(*group, F.lit(True).alias("_hot"))
+    first, last = (F.floor(F.col(f"bbox.{s}") / cell) for s in ("x1", "x2"))
+    covered = df.join(hot, group, "left_semi").select(*group, F.explode(F.sequence(first, last)).alias("_cell"), last.alias("_last"))
+    tied = covered.groupBy(*group, "_cell").agg(F.max(F.col("_cell") < F.col("_last")).alias("_tie"))
+    row = W.partitionBy(*group).orderBy("_cell")
+    new = F.when(F.coalesce(F.lag("_tie").over(row), F.lit(False)), 0).otherwise(1)
+    numbered = tied.withColumn("_new", new).withColumn(
+        "_number", F.sum("_new").over(row.rowsBetween(W.unboundedPreceding, 0))
+    ).select(*group, "_cell", "_number")
+    tagged = df.withColumn("_cell", first).join(numbered, [*group, "_cell"], "left")
+    return tagged.withColumn("_stripe", F.coalesce("_number", F.lit(0))).drop("_cell", "_number")
 
 
 def _closed(schema: T.StructType) -> T.StructType:

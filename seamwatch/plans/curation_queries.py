@@ -222,7 +222,8 @@ FROM orders LEFT JOIN lined ON l_orderkey = o_orderkey GROUP BY 1""")
 def label_texts(spark: SparkSession, d: str) -> DataFrame:
     rows, _ = _labels(spark, d)
     images = A.table(spark, d, "orders").select("o_orderkey")
-    out = D.label_texts(rows.withColumnRenamed("l_orderkey", "o_orderkey"), images, "o_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
+    out = D.label_texts(rows.withColumnRenamed("l_orderkey", "o_orderkey"), images, "o_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"],
+                        slice_by=F.col("l_linenumber"))
     return out.select("o_orderkey", "text")
 
 

@@ -111,13 +111,12 @@ def normalize_gas(records: DataFrame) -> tuple[DataFrame, DataFrame]:
         "timestamp": F.coalesce(F.col("_en.timestamp"), F.col("_zh")["时间"]),
         "sample_id": F.coalesce(F.col("_en.sample_id"), F.col("_zh")["编号"]),
         "gas_error": F.when(en, F.col("_en.error")).when(~zh_text.isin("", K.STATUS_OK_ZH), zh_text),
-        "raw_row_json": F.coalesce(F.to_json("_en"), F.to_json("_zh")),
     }
     for channel, name in zip(K.CHANNELS, K.GAS_HEADER_ZH[2:6]):
         fields[f"{channel}_value"] = F.coalesce(F.col(f"_en.{channel}_value"), F.col("_zh")[name])
         fields[f"{channel}_unit"] = F.when(en, F.col(f"_en.{channel}_unit")).otherwise(F.lit(K.GAS_UNITS_ZH[channel]))
         fields[f"{channel}_status"] = F.col(f"_en.{channel}_status")
-    flat = compute_once(parsed, **fields).select("batch_id", "path", "row", *fields)
+    flat = compute_once(parsed, **fields).select("batch_id", "path", "row", "_en", "_zh", *fields)
     checked = normalize_gas_fields(flat)
     good = checked.where(F.col("error").isNull()).drop("error")
     failed = diagnostics(checked.where(F.col("error").isNotNull()), "gas", "error", F.col("error"), path="path", row="row")
@@ -129,7 +128,7 @@ def normalize_gas(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def normalize_gas_fields(flat: DataFrame) -> DataFrame:
-    """Typed sample columns and ``error`` from text fields.
+    """Typed sample columns and ``error`` from text fields (``_en`` / ``_zh`` are the raw records).
 
     Shared parts get columns of their own so that every text is parsed once.
     """
@@ -157,7 +156,8 @@ def normalize_gas_fields(flat: DataFrame) -> DataFrame:
     return compute_once(parsed, error=error).select(
         *others, X.sample_key(F.col("_wall"), F.col("_sample")).alias("sample_key"), "captured_at",
         X.zero_pad(F.col("_sample")).alias("sample_id"), *values,
-        X.blank_to_null(F.col("gas_error")).alias("gas_error"), "raw_row_json", "error",
+        X.blank_to_null(F.col("gas_error")).alias("gas_error"),
+        F.coalesce(F.to_json("_en"), F.to_json("_zh")).alias("raw_row_json"), "error",
     )
 
 

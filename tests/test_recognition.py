@@ -42,19 +42,19 @@ def test_three_frames_become_one_object(spark):
     assert len(fused) == 1 and fused[0].observations == 3 and fused[0].confidence == pytest.approx(0.92)
 
 
-@pytest.mark.parametrize("batch", ["10000", "7"])
-def test_fusion_equals_a_plain_loop(spark, batch):
-    """Crowded captures, islands that span Arrow batches included."""
+@pytest.mark.parametrize("batch,hot_rows", [("10000", 1000), ("7", 1000), ("10000", 25)])
+def test_fusion_equals_a_plain_loop(spark, batch, hot_rows):
+    """Crowded captures; islands that span Arrow batches and groups cut in stripes included."""
     rnd = random.Random(5)
     rows = []
     for c in range(12):
         for p in range(60):
-            x, y = rnd.uniform(0, 120), rnd.uniform(0, 60)
+            x, y = rnd.uniform(0, 400), rnd.uniform(0, 30)
             rows.append(detection(f"c{c}", p % 3, p, rnd.choice(["tool", "sign"]), (x, y, x + rnd.uniform(10, 30), y + rnd.uniform(10, 30)), round(rnd.random(), 3)))
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     try:
-        fused = U.fused_objects(U.assign_clusters(spark.createDataFrame(rows, DETECTION))).collect()
+        fused = U.fused_objects(U.assign_clusters(spark.createDataFrame(rows, DETECTION), hot_rows=hot_rows)).collect()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     for c in range(12):
