@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seamwatch import constants as K
 from seamwatch.functions.core import compute_once, let
@@ -21,6 +24,9 @@ def _crc_table() -> list[int]:
 
 
 CRC_STEPS = _crc_table()
+_UNPACKED = T.StructType([
+    T.StructField("bytes", T.ArrayType(T.IntegerType())), T.StructField("crc", T.IntegerType()),
+])
 
 
 def frame_bytes(frame: Column) -> Column:
@@ -50,7 +56,25 @@ def crc16(values: Column) -> Column:
     )
 
 
-def frame_error(values: Column, slave_id: Column, registers: int = 6) -> Column:
+@F.pandas_udf(_UNPACKED)
+def unpack_frames(frames: pd.Series) -> pd.DataFrame:
+    """Byte values of every frame and the checksum of all but its last two bytes.
+
+    The checksum runs over a whole Arrow batch, one byte position at a time.
+    """
+    raw = [frame or b"" for frame in frames]
+    sizes = np.array([len(frame) for frame in raw])
+    table = np.zeros((len(raw), max(1, sizes.max())), np.int64)
+    table[np.arange(table.shape[1]) < sizes[:, None]] = np.frombuffer(b"".join(raw), np.uint8)
+    steps, crc = np.array(CRC_STEPS), np.full(len(raw), 0xFFFF)
+    for place in range(table.shape[1] - 2):
+        moved = (crc >> 8) ^ steps[(crc ^ table[:, place]) & 255]
+        crc = np.where(place < sizes - 2, moved, crc)
+    values = [row[:size] for row, size in zip(table.astype(np.int32), sizes)]
+    return pd.DataFrame({"bytes": values, "crc": crc.astype(np.int32)})
+
+
+def frame_error(values: Column, crc: Column, slave_id: Column, registers: int = 6) -> Column:
     """First rule a response frame breaks, or null for a valid one."""
     size = F.size(values)
     want = 5 + 2 * registers
@@ -58,7 +82,7 @@ def frame_error(values: Column, slave_id: Column, registers: int = 6) -> Column:
     slave, function, count = (F.get(values, F.lit(i)) for i in range(3))
     return (
         F.when(size < 5, F.concat(F.lit("响应长度过短："), size))
-        .when(tail != crc16(F.slice(values, F.lit(1), size - 2)), "CRC 校验失败")
+        .when(tail != crc, "CRC 校验失败")
         .when(slave != slave_id, F.format_string("从机地址不匹配：期望 %d，收到 %d", slave_id, slave))
         .when(function.bitwiseAND(F.lit(128)) != 0, F.concat(F.lit("Modbus 异常响应，异常码 "), count))
         .when(size != want, F.format_string(f"响应长度不匹配：期望 {want}，收到 %d", size))

@@ -19,10 +19,10 @@ from seamwatch.skew import first_per_key, previous_value, spread_join
 
 def parse_frames(frames: DataFrame, frame: str = "frame", slave_id: str = "slave_id", registers: int = 6) -> DataFrame:
     """Validate raw response frames and decode them; ``error`` holds the first broken rule."""
-    values = compute_once(frames, _bytes=R.frame_bytes(F.col(frame)))
-    checked = compute_once(values, _error=R.frame_error(F.col("_bytes"), F.col(slave_id), registers))
+    values = frames.withColumn("_u", R.unpack_frames(F.col(frame)))
+    checked = compute_once(values, _error=R.frame_error(F.col("_u.bytes"), F.col("_u.crc"), F.col(slave_id), registers))
     split = compute_once(checked, _registers=F.when(
-        F.col("_error").isNull(), R.frame_registers(F.col("_bytes"), registers)))
+        F.col("_error").isNull(), R.frame_registers(F.col("_u.bytes"), registers)))
     out = R.decode_registers(split, "_registers")
     fields = ("value", "decimals", "value_text", "unit", "status")
     return out.select(*frames.columns, *fields, F.coalesce("_error", "error").alias("error"))
