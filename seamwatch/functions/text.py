@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from seamwatch import constants as K
-
 # groups: year, month, day, hour, minute, second, fraction, offset of an ISO-8601 text
 _ISO = (
     r"^(\d{4})-?(\d{2})-?(\d{2})"
@@ -173,22 +171,7 @@ def split_group_key(batch_id: Column, capture_id: Column) -> Column:
     )
 
 
-def station_location(name: Column, station_id: Column) -> Column:
-    return F.coalesce(name, F.concat(station_id, F.lit("号区段")))
-
-
-def location_names(stations: dict[str, str]) -> Column | None:
-    """Configured station names as a map literal, or None for an empty configuration."""
-    if not stations:
-        return None
-    return F.create_map(*[F.lit(x) for pair in stations.items() for x in pair])
-
-
 def lookup(table: dict, key: Column) -> Column:
     """Value of a small fixed table, null for unknown keys."""
     pairs = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     return F.try_element_at(pairs, key)
-
-
-def in_accepted_status(status: Column) -> Column:
-    return status.isin(*K.CAPTURE_STATUSES)

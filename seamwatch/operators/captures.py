@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seamwatch import constants as K
-from seamwatch.skew import first_per_key, spread_join
+from seamwatch.skew import spread_join
 
 
 # --- ingest ---------------------------------------------------------------------------------------
@@ -292,7 +292,3 @@ def with_pointer_reference(meters: DataFrame, references: DataFrame, keys: list[
         *keys, *[c for c in meters.columns if c not in keys],
         *[F.col(f"_ref.{c}").alias(c) for c in payload], F.col("_ref").isNotNull().alias("has_reference"),
     )
-
-
-def first_capture_rows(df: DataFrame, order: list[str], key: str = "capture_id") -> DataFrame:
-    return first_per_key(df, [key], order)

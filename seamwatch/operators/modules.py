@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from seamwatch import constants as K
 from seamwatch.functions.meters import normal_confidence
 from seamwatch.functions.text import lookup
-from seamwatch.operators.voting import STATION_REASONS  # noqa: F401  (re-exported for callers)
 
 TOOL_TYPES = ("tool", "safety_sign")
 

@@ -11,7 +11,6 @@ from seamwatch.functions import geometry as G
 from seamwatch.functions import quality as Q
 from seamwatch.functions import text as X
 from seamwatch.functions.core import compute_once
-from seamwatch.skew import first_per_key
 
 
 def split_errors(df: DataFrame, error: str = "error") -> tuple[DataFrame, DataFrame]:
@@ -244,10 +243,6 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
 
 
-def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return first_per_key(df, keys, order)
-
-
 # --- dimensions ------------------------------------------------------------------------------------
 
 def reference_gaps(references: DataFrame) -> DataFrame:

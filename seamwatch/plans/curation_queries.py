@@ -14,7 +14,7 @@ from seamwatch.functions import text as X
 from seamwatch.operators import curation as D
 from seamwatch.operators import neardup as N
 from seamwatch.plans.registry import BITS_SQL, RECORDS_SQL, query
-from seamwatch.skew import global_rank
+from seamwatch.skew import global_rank, number_rows
 from seamwatch.sources import files as SRC
 
 # --- duplicates and quality -----------------------------------------------------------------------------
@@ -440,7 +440,6 @@ def meter_sample_violations(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT page_id, row_number() OVER (ORDER BY page_id % 7, page_id) AS position FROM pages""")
 def natural_order(spark: SparkSession, d: str) -> DataFrame:
     """Natural order of ``run<r>/IMG<n>``: ranked per run and shifted, never by a global window."""
-    from seamwatch.skew import number_rows
     n = F.col("page_id")
     rows = A.table(spark, d, "pages").select("page_id", (n % 7).alias("run"), F.concat(F.lit("run"), (n % 7).cast("string"), F.lit("/IMG"), n.cast("string")).alias("name"))
     keyed = rows.withColumn("key", X.natural_key(F.col("name"))).withColumn("_k", F.lit(1))

@@ -16,7 +16,7 @@ from seamwatch.functions import text as X
 from seamwatch.functions.core import compute_once
 from seamwatch.functions.quality import image_payload_error
 from seamwatch.operators.sensors import keep_first_sample
-from seamwatch.operators.validate import diagnostics, metadata_error, parse_metadata, path_error
+from seamwatch.operators.validate import diagnostics, parse_metadata, path_error
 
 # --- listings --------------------------------------------------------------------------------------
 
@@ -422,8 +422,3 @@ def classes(texts: DataFrame) -> DataFrame:
     trained = rows.agg(F.array_sort(F.collect_list(F.when(F.col("train"), F.col("ord")))).alias("_t")).withColumn("_k", F.lit(1))
     out = rows.withColumn("_k", F.lit(1)).join(trained, "_k").drop("_k")
     return out.withColumn("class_index", F.when(F.col("train"), (F.array_position("_t", F.col("ord")) - 1).cast("int"))).drop("_t")
-
-
-def check_metadata(packages: DataFrame) -> DataFrame:
-    """Error column alone, for callers that only validate."""
-    return packages.withColumn("error", metadata_error(F.from_json("metadata_json", S.RAW_METADATA)))

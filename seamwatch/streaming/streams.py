@@ -8,7 +8,6 @@ where it stopped.  Streams that need event time take timestamp columns.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -212,7 +211,3 @@ def import_sensors_step(samples_path: str) -> Callable[[DataFrame, int], None]:
         thermal = rows.where(F.col("side") == "thermal").select("batch_id", "sample_key", "sample_id", "captured_at")
         align_sensors(gas, thermal).write.mode("overwrite").parquet(f"{samples_path}/batch={batch}")
     return step
-
-
-def options(**values: Any) -> dict[str, str]:
-    return {k: str(v) for k, v in values.items()}
