@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamwatch.llm import langid, sharding
+from seamwatch.llm import decontaminate, langid, mixing, sharding, topk
 from seamwatch.llm.common import durable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,43 @@ def op9_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     dictionaries = langid.fit(docs.where(~langid.held_out()))
     return langid.identify(docs.select("doc_id", "text"), dictionaries).select(
         "doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "lang_rejected")
+
+
+@register
+def op2_bit_sliced_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best of all vectors for each vector whose id is divisible by 50."""
+    vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
+ORACLES["op2_bit_sliced_top5"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+ranked AS (
+  SELECT query_id, vec_id, score,
+         CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@register
+def op5_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated sampling of all documents to evened source, language and topic shares."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return mixing.mix(docs).select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "taken")
+
+
+@register
+def op6_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least 0.8 of a benchmark item's five-word shingles."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_shared", "n_item", "containment")
