@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -32,21 +33,26 @@ def with_results(df: DataFrame, original: list[str], results: list[str]) -> Data
     return df.select(*kept, *results)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one only in a local session that names none."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+        folder = tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage into the folder of ``spark.checkpoint.dir``, which outlives executors.
+    """Cut lineage by a Parquet table in the shared folder, which outlives executors.
 
-    The session's setting is read first; a temporary folder is made only in a local session that
-    names none.
+    Unlike a checkpoint it is compressed, is read by column, and carries no inferred constraints
+    into the next step, which an iteration would pile up.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    folder = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:

@@ -17,15 +17,16 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seamwatch.llm.common import SPACE, durable, packed, with_results
 
-SWEEPS = 12
-TOLERANCE = 0.002
+SWEEPS = 8
+TOLERANCE = 0.005
 #: Share of all tokens to take, and the power that evens the marginals out (1 leaves them, 0 levels).
 KEEP = 0.6
-EVEN = 0.7
+EVEN = 0.8
 #: Rows of a factor or cell table that may be broadcast; beyond it Spark shuffles.
 BROADCAST_ROWS = 100_000
 #: Marks of the topics, as patterns counted over the whole text; most marks win, then the first.
@@ -54,11 +55,20 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def targets(cells: DataFrame, by: str, even: float = EVEN) -> DataFrame:
-    """(value, target share) of a dimension: the corpus shares to the power ``even``."""
-    shares = cells.groupBy(by).agg(F.sum("tokens").cast("double").alias("t")).where("t > 0").withColumn("t", F.pow("t", F.lit(even)))
-    total = shares.agg(F.sum("t").alias("total"))
-    return shares.join(F.broadcast(total)).select(by, (F.col("t") / F.col("total")).alias("target"))
+def targets(cells: DataFrame, by: str, even: float = EVEN, keep: float = KEEP) -> DataFrame:
+    """(value, target share) of a dimension: the corpus shares to the power ``even``.
+
+    No value is asked for more tokens than it has; what it lacks is spread over the others.
+    """
+    whole = W.partitionBy(F.lit(0))
+    rows = cells.groupBy(by).agg(F.sum("tokens").cast("double").alias("t")).where("t > 0")
+    rows = rows.withColumn("have", F.col("t") / F.sum("t").over(whole)).withColumn("p", F.pow("t", F.lit(even)))
+    rows = rows.withColumn("target", F.least(F.col("p") / F.sum("p").over(whole), F.col("have") / keep))
+    for _ in range(3):
+        open_ = F.col("target") < F.col("have") / keep
+        rows = rows.withColumn("_lack", (1 - F.sum("target").over(whole)) / F.sum(F.when(open_, F.col("target"))).over(whole))
+        rows = rows.withColumn("target", F.when(open_ & F.col("_lack").isNotNull(), F.least(F.col("target") * (1 + F.col("_lack")), F.col("have") / keep)).otherwise(F.col("target")))
+    return rows.select(by, "target")
 
 
 def fit(cells: DataFrame, wanted: Mapping[str, DataFrame], keep: float = KEEP, dimensions: Sequence[str] = DIMENSIONS,
@@ -88,17 +98,15 @@ def fit(cells: DataFrame, wanted: Mapping[str, DataFrame], keep: float = KEEP, d
         return rows.withColumn("probability", F.least(product, F.lit(1.0)))
 
     for _ in range(sweeps):
-        by = {d: factors.where(F.col("dimension") == d) for d in dimensions}
+        worst = 0.0
         for d in dimensions:
-            sums = joined(by).groupBy(F.col(d).alias("value")).agg(F.sum(F.col("tokens") * F.col("probability")).alias("expected"))
+            by = {x: factors.where(F.col("dimension") == x) for x in dimensions}
+            sums = joined(by).groupBy(F.lit(d).alias("dimension"), F.col(d).alias("value")).agg(F.sum(F.col("tokens") * F.col("probability")).alias("expected"))
             ratio = F.when(F.col("expected") > 0, F.col("goal") / F.col("expected")).otherwise(1.0)
-            by[d] = by[d].join(hint(sums), "value", "left").select(
-                "dimension", "value", "goal", (F.col("factor") * ratio).alias("factor"), F.abs(F.log(ratio)).alias("off"))
-        swept = by[dimensions[0]]
-        for d in dimensions[1:]:
-            swept = swept.unionByName(by[d])
-        factors = durable(swept)
-        if (factors.agg(F.max("off")).first()[0] or 0.0) < tolerance:
+            factors = durable(factors.join(hint(sums), ["dimension", "value"], "left").select(
+                "dimension", "value", "goal", (F.col("factor") * ratio).alias("factor"), F.abs(F.log(ratio)).alias("off")))
+            worst = max(worst, factors.where(F.col("dimension") == d).agg(F.max("off")).first()[0] or 0.0)
+        if worst < tolerance:
             break
     return joined({d: factors.where(F.col("dimension") == d) for d in dimensions}).select(*cells.columns, "probability")
 
@@ -109,7 +117,7 @@ def mix(docs: DataFrame, keep: float = KEEP, even: float = EVEN, doc_id: str = "
     named = {"source": F.coalesce(F.col(source).cast("string"), F.lit("(none)")), "lang": F.coalesce(F.col(lang).cast("string"), F.lit("(none)")), "topic": topic(text)}
     rows = packed(docs, **{f"_{k}": v for k, v in named.items()}, tokens=token_count(text), _u=F.xxhash64(F.lit(seed), doc_id, text))
     cells = durable(rows.groupBy(*[F.col(f"_{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("tokens").alias("tokens")))
-    fitted = durable(fit(cells, {d: targets(cells, d, even) for d in DIMENSIONS}, keep).drop("tokens"))
+    fitted = durable(fit(cells, {d: targets(cells, d, even, keep) for d in DIMENSIONS}, keep).drop("tokens"))
     fitted = fitted.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], "probability")
     unit = F.shiftrightunsigned("_u", 11).cast("double") * F.lit(2.0**-53)
     out = rows.join(_small(fitted), [f"_{d}" for d in DIMENSIONS])
