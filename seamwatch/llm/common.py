@@ -163,3 +163,39 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[n
         live = left > i
         out[live] = mix(out[live] * _MUL + words[at[live] + i] + np.uint64(i + 1))
     return out, sizes
+
+
+def slices(texts: pa.Array, limit: int = 1 << 20):
+    """(first row, texts) of consecutive rows of about ``limit`` bytes, so that work arrays stay small."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    _, offsets = byte_views(texts)
+    at, n = 0, len(texts)
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        yield at, texts.slice(at, to - at)
+        at = to
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the least node that each node of the edges (a, b) reaches.
+
+    Alternating large-star and small-star rounds; each is a few joins of narrow rows, written out.
+    """
+    oriented = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    state = durable(oriented)
+    mark = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
+    seen = state.agg(mark.alias("m")).first()["m"]
+    while True:
+        both = state.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(state.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        nearest = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(nearest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        state = durable(small.unionByName(nearest.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        now = state.agg(mark.alias("m")).first()["m"]
+        if now == seen:
+            break
+        seen = now
+    return state.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+        state.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

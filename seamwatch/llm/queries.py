@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamwatch.llm import decontaminate, langid, mixing, sharding, topk
+from seamwatch.llm import decontaminate, langid, mixing, neardup, sharding, topk
 from seamwatch.llm.common import durable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,9 @@ def op6_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_shared", "n_item", "containment")
+
+
+@register
+def op4_bayesian_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents linked by a similarity of 0.8 of their two-word shingles."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), 2).drop("tag")
