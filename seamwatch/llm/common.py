@@ -199,3 +199,13 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
     return state.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         state.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def parceled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
+    """(parcel, doc_id, text) dealt into parcels of about ``PARCEL_BYTES``, and their number.
+
+    Passes that all start from this one frame share its shuffle, so texts move once.
+    """
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    count = parts(docs.sparkSession, text_bytes(own))
+    return own.withColumn("parcel", F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).cast("int")).repartition(count, "parcel"), count

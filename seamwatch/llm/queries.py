@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamwatch.llm import decontaminate, langid, mixing, neardup, sharding, topk
+from seamwatch.llm import decontaminate, langid, lines, mixing, neardup, sharding, topk
 from seamwatch.llm.common import durable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,30 @@ def op6_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bayesian_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents linked by a similarity of 0.8 of their two-word shingles."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), 2).drop("tag")
+
+
+@register
+def op3_perfect_hash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of at least 40 code points in at least 5 documents stay in the largest doc_id alone."""
+    return lines.drop_repeated_lines(table(spark, sf_dir, "documents"), texts=False)
+
+
+ORACLES["op3_perfect_hash_lines"] = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+  FROM documents),
+k AS (
+  SELECT doc_id, i, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM l),
+f AS (
+  SELECT key, max(doc_id) AS owner FROM k WHERE length(key) >= 40
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+j AS (
+  SELECT k.doc_id, k.i, k.line, f.key IS NOT NULL AND k.doc_id <> f.owner AS dropped
+  FROM k LEFT JOIN f ON k.key = f.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM j GROUP BY doc_id
+"""
