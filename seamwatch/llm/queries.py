@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamwatch.llm import decontaminate, langid, lines, mixing, neardup, sharding, topk
+from seamwatch.llm import decontaminate, langid, lines, mixing, neardup, sharding, suffix, topk
 from seamwatch.llm.common import durable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,9 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM j GROUP BY doc_id
 """
+
+
+@register
+def op8_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of 50-byte strings that also start in a document of smaller id, removed from all documents."""
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
