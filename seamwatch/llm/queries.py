@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamwatch.llm import decontaminate, langid, lines, mixing, neardup, sharding, suffix, topk
+from seamwatch.llm import decontaminate, langid, licenses, lines, mixing, neardup, sharding, suffix, topk
 from seamwatch.llm.common import durable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,9 @@ FROM j GROUP BY doc_id
 def op8_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of 50-byte strings that also start in a document of smaller id, removed from all documents."""
     return suffix.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
+
+
+@register
+def op10_patience_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents with their coverage and place."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
