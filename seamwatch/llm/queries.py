@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamwatch.llm import decontaminate, langid, licenses, lines, mixing, neardup, sharding, suffix, topk
+from seamwatch.llm import decontaminate, langid, licenses, lines, mixing, neardup, pii, sharding, suffix, topk
 from seamwatch.llm.common import durable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,10 @@ def op8_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_patience_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices in all documents with their coverage and place."""
     return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register
+def op7_character_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: spans by the rules and those that the tagger adds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find_personal_data(docs, pii.train(docs))
