@@ -26,8 +26,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window, and the step from one to the next.
 WINDOW, STEP = 96, 48
 #: Rows whose windows are learned from, and windows at most.
-SAMPLE_ROWS, SAMPLE_WINDOWS = 6000, 1600
-EPOCHS, BATCH, HIDDEN, EMBED = 6, 32, 16, 10
+SAMPLE_ROWS, SAMPLE_WINDOWS = 20_000, 1600
+EPOCHS, BATCH, HIDDEN, EMBED = 8, 32, 16, 10
 
 _TRIGGER = re.compile(r"[0-9@]")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
