@@ -14,6 +14,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Mapping
@@ -140,29 +141,41 @@ class Scanner:
 
     def _best(self, name, tokens, found, votes):
         template = self.templates[name]
-        least = self.coverage * len(template) - 1e-9
-        out, at = [], 0
+        missing = (1 - self.coverage) * len(template) + 1e-9
+        enough = max(1, math.ceil(sum(t not in COMMON for t in template) - missing))
         reach = min(SLACK, len(template))
-        while at < len(votes):
-            to = at + 1
-            while to < len(votes) and votes[to] - votes[at] <= reach:
+        hits, to = set(), 0
+        for at, vote in enumerate(votes):
+            if at and vote == votes[at - 1]:
+                continue
+            while to < len(votes) and votes[to] - vote <= reach:
                 to += 1
-            low, high = max(0, votes[at] - reach), min(len(tokens), votes[to - 1] + len(template) + reach)
+            if to - at < enough:  # a hit has nearly all its rare words within reach of one start
+                continue
+            low, high = max(0, vote), vote + len(template)
             matched = align(tokens[low:high], template)
-            if len(matched) >= least:
-                first, last = low + matched[0][0], low + matched[-1][0]
-                out.append((len(matched), first, last))
-                while to < len(votes) and votes[to] + len(template) // 2 <= last:  # votes inside the copy
-                    to += 1
-                at = to
-            else:
-                at += 1
-        kept, end = [], -1
-        for size, first, last in sorted(out, key=lambda h: (h[1], -h[0])):
-            if first > end:
-                kept.append((name, size / len(template), found[first][1], found[last][2]))
-                end = last
-        return kept
+            if len(matched) < len(template):  # no plain copy: allow for words more or less on either side
+                low, high = max(0, vote - reach), min(len(tokens), votes[to - 1] + len(template) + reach)
+                matched = align(tokens[low:high], template)
+            if len(matched) >= len(template) - missing:
+                hits.add((low + matched[0][0], -len(matched), low + matched[-1][0]))
+        kept, group, end = [], [], -1
+        for hit in [*sorted(hits), (len(tokens), 0, len(tokens))]:
+            if hit[0] > end:
+                kept.extend(_apart(group))
+                group = []
+            group.append(hit)
+            end = max(end, hit[2])
+        return [(name, -size / len(template), found[first][1], found[last][2]) for first, size, last in kept]
+
+
+def _apart(group: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of hits that overlap in a chain, the best that do not overlap each other."""
+    kept: list[tuple[int, int, int]] = []
+    for hit in sorted(group, key=lambda h: (h[1], h[2] - h[0], h[0])):
+        if all(hit[2] < k[0] or hit[0] > k[2] for k in kept):
+            kept.append(hit)
+    return sorted(kept)
 
 
 def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, doc_id: str = "doc_id", text: str = "text", coverage: float = COVERAGE) -> DataFrame:

@@ -80,8 +80,8 @@ def rebalance(old: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
     """
     mean = F.sum("bytes").over(W.partitionBy(F.lit(0))) / F.lit(shards)
     both = old.join(F.broadcast(sizes), "virtual_slot").withColumn("mean", mean)
-    running = F.sum(F.col("bytes") + 1).over(W.partitionBy("shard").orderBy("bytes", "virtual_slot"))
-    judged = both.withColumn("stays", (running <= F.col("mean") + 1) & (F.col("shard") < shards))
+    running = F.sum("bytes").over(W.partitionBy("shard").orderBy("bytes", "virtual_slot"))
+    judged = both.withColumn("stays", (running <= F.col("mean")) & (F.col("shard") < shards))
     slot = F.struct("virtual_slot", "bytes")
     one = judged.agg(
         F.collect_list(F.when(~F.col("stays"), slot)).alias("free"),
