@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamwatch.functions.geometry import box
+from seamwatch.functions.text import zero_pad
 from seamwatch.skew import number_rows
 
 #: Order of the objects of one capture.
@@ -101,7 +102,7 @@ def batch_items(spark: SparkSession, folder: str) -> DataFrame:
     status = F.when(kind == "error", "failed").when(kind == "signup", "pending").otherwise("succeeded")
     return table(spark, folder, "events").select(
         F.col("user_id").alias("batch_id"),
-        F.lpad(F.col("event_id").cast("string"), 12, "0").alias("relative_path"),
+        zero_pad(F.col("event_id").cast("string"), 12).alias("relative_path"),
         (F.col("event_id") % 1000 + 1).alias("capture_id"),
         F.col("ts"),
         status.alias("status"),
@@ -129,7 +130,7 @@ def angles(spark: SparkSession, folder: str) -> DataFrame:
 def image_records(spark: SparkSession, folder: str) -> DataFrame:
     letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
     return table(spark, folder, "documents").select(
-        F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("relative_path"),
+        zero_pad(F.col("doc_id").cast("string"), 12).alias("relative_path"),
         F.col("doc_id").alias("capture_id"),
         F.col("source").alias("batch_id"),
         F.sha2(F.col("text"), 256).alias("sha256"),

@@ -89,7 +89,7 @@ QC = {
     "edge_variance": 80.0,
 }
 SPLIT_RATIOS = {"train": 0.70, "val": 0.15, "test": 0.15}
-SPLIT_SEED = "go2-inspection-v1"
+SPLIT_SEED = "seamwatch-split"
 NEAR_DUPLICATE_BITS = 4
 MARKER_PADDING, CROP_PADDING = 0.04, 0.08
 

@@ -12,7 +12,7 @@ from seamwatch.functions import geometry as G
 from seamwatch.functions.core import compute_once, let
 from seamwatch.functions.hashing import sha256
 from seamwatch.functions.text import split_group_key, unique_sample_name
-from seamwatch.skew import global_rank, number_rows, spread_join
+from seamwatch.skew import global_rank, spread_join
 
 
 # --- duplicates -----------------------------------------------------------------------------------
@@ -210,25 +210,15 @@ def class_counts(rows: DataFrame, classes: DataFrame, label: str = "class") -> D
     return classes.select(F.col("class").alias(label)).join(counts, label, "left").fillna(0, ["kept", "ignored"])
 
 
-def label_texts(
-    rows: DataFrame, images: DataFrame, key: str, order: Sequence[str], chunk: int = 4096, slice_by: Column | None = None,
-) -> DataFrame:
-    """Label text per image: lines in box order, empty for an image without kept boxes.
+def label_texts(rows: DataFrame, images: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """Label text per image: kept lines in box order, each with its newline; empty without kept boxes.
 
-    Text comes in chunks of ``chunk`` lines (chunk 0 for all but absurdly full
-    images), so no image's boxes are gathered without bound; chunks in order
-    make up the whole text.  ``slice_by`` cuts the numbering of a crowded image
-    (by default runs of ``chunk`` values of the first order column).
+    The text is one value, so an image's lines meet in one row, however many they are.
     """
     kept = rows.where(F.col("outcome") == "kept")
-    cut = slice_by if slice_by is not None else F.floor(F.col(order[0]) / chunk)
-    placed = number_rows(kept, [key], order, "_pos", slice_by=cut)
-    parts = placed.groupBy(key, F.floor(F.col("_pos") / chunk).cast("int").alias("chunk")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "line"))), lambda s: s["line"]), "\n").alias("text")
-    )
-    return images.join(parts, key, "left").select(
-        *images.columns, F.coalesce("chunk", F.lit(0)).alias("chunk"), F.coalesce("text", F.lit("")).alias("text")
-    )
+    lines = F.array_sort(F.collect_list(F.struct(*order, "line")))
+    texts = kept.groupBy(key).agg(F.array_join(F.transform(lines, lambda s: F.concat(s["line"], F.lit("\n"))), "").alias("text"))
+    return images.join(texts, key, "left").select(*images.columns, F.coalesce("text", F.lit("")).alias("text"))
 
 
 def sample_names(records: DataFrame) -> Column:

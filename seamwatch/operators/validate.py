@@ -193,11 +193,9 @@ def compare_uploads(declared: DataFrame, uploaded: DataFrame, key: str = "captur
 
 
 def stored_names(images: DataFrame, key: str = "capture_id") -> DataFrame:
-    """Safe file name of every image; a name already used by an earlier position gets ``NN_``.
-
-    A capture declares at most five images, so the per-name rank stays tiny.
-    """
-    nn = F.lpad(F.col("position").cast("string"), 2, "0")
+    """Safe file name of every image; a name already used by an earlier position gets ``NN_``,
+    its position with two digits or more."""
+    nn = X.zero_pad(F.col("position").cast("string"), 2)
     named = images.withColumn("_safe", X.safe_name(F.col("name"), F.concat(F.lit("frame_"), nn, F.lit(".jpg"))))
     owner = named.groupBy(key, "_safe").agg(F.min("position").alias("_owner"))
     out = named.join(owner, [key, "_safe"])

@@ -183,13 +183,13 @@ def current_results(spark: SparkSession, d: str) -> DataFrame:
     return C.current_results(rows).withColumn("error", F.coalesce("error", F.lit("")))
 
 
-@query("""SELECT user_id AS batch_id, lpad(CAST(event_id // 10 AS VARCHAR), 12, '0') AS relative_path,
+@query("""SELECT user_id AS batch_id, lpad(CAST(event_id // 10 AS VARCHAR), CAST(greatest(12, length(CAST(event_id // 10 AS VARCHAR))) AS INTEGER), '0') AS relative_path,
   arg_max(CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'pending' ELSE 'succeeded' END, event_id) AS status,
   arg_max(CASE WHEN event_type = 'purchase' THEN event_id END, CASE WHEN event_type = 'purchase' THEN event_id END) AS capture_id
 FROM events GROUP BY 1, 2""")
 def item_status(spark: SparkSession, d: str) -> DataFrame:
     log = A.batch_items(spark, d).select(
-        "batch_id", F.lpad(F.floor(F.col("relative_path").cast("bigint") / 10).cast("string"), 12, "0").alias("relative_path"),
+        "batch_id", X.zero_pad(F.floor(F.col("relative_path").cast("bigint") / 10).cast("string"), 12).alias("relative_path"),
         F.col("relative_path").cast("bigint").alias("version"), "status", "error")
     kinds = A.table(spark, d, "events").select(F.col("event_id").alias("version"), F.when(F.col("event_type") == "purchase", F.col("event_id")).alias("capture_id"))
     valid, _ = sinks.item_status_rows(log.join(kinds, "version"))

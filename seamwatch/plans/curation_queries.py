@@ -217,13 +217,12 @@ def label_lines(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "outcome", "line")
 
 
-@query(f"""WITH {_BOX_SQL} SELECT o_orderkey, coalesce(string_agg(line, chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) FILTER (outcome = 'kept'), '') AS text
+@query(f"""WITH {_BOX_SQL} SELECT o_orderkey, coalesce(string_agg(line || chr(10), '' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) FILTER (outcome = 'kept'), '') AS text
 FROM orders LEFT JOIN lined ON l_orderkey = o_orderkey GROUP BY 1""")
 def label_texts(spark: SparkSession, d: str) -> DataFrame:
     rows, _ = _labels(spark, d)
     images = A.table(spark, d, "orders").select("o_orderkey")
-    out = D.label_texts(rows.withColumnRenamed("l_orderkey", "o_orderkey"), images, "o_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"],
-                        slice_by=F.col("l_linenumber"))
+    out = D.label_texts(rows.withColumnRenamed("l_orderkey", "o_orderkey"), images, "o_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
     return out.select("o_orderkey", "text")
 
 

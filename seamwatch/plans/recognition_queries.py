@@ -417,15 +417,7 @@ b AS (SELECT vec_id, list_transform(range(64), lambda i: CASE WHEN p[i // 8 * 9
 SELECT vec_id, array_to_string(list_transform(range(16), lambda n: substr('0123456789abcdef', CAST(f[n*4+1] * 8 + f[n*4+2] * 4 + f[n*4+3] * 2 + f[n*4+4] + 1 AS INTEGER), 1)), '') AS perceptual_hash,
   array_to_string(list_transform(range(16), lambda n: substr('0123456789abcdef', CAST(r[n*4+1] * 8 + r[n*4+2] * 4 + r[n*4+3] * 2 + r[n*4+4] + 1 AS INTEGER), 1)), '') AS dhash FROM b""")
 def image_hashes(spark: SparkSession, d: str) -> DataFrame:
-    images = vector_images(spark, d)
-    a = VIS.quality_metrics(images, ["vec_id"]).select("vec_id", "perceptual_hash")
-    return a.join(VIS.marker_hash(images, ["vec_id"]), "vec_id")
-
-
-@query()
-def image_segments(spark: SparkSession, d: str) -> DataFrame:
-    """Seven-segment activation of the vector images (the kernel is checked against drawn digits in the tests)."""
-    return VIS.active_segments(vector_images(spark, d), ["vec_id"]).select("vec_id", F.array_join("segments", "").alias("segments"), "digit")
+    return VIS.quality_metrics(vector_images(spark, d), ["vec_id"]).select("vec_id", "perceptual_hash", "dhash")
 
 
 # --- evaluation --------------------------------------------------------------------------------------------------------
@@ -467,8 +459,8 @@ SELECT count(*) AS samples, CAST(sum(ok) AS BIGINT) AS digits_correct, CAST(sum(
 def digit_accuracy(spark: SparkSession, d: str) -> DataFrame:
     text = F.format_string("%04d", F.col("p_partkey"))
     def meter(t):
-        return F.concat(F.lit("-"), F.substring(t, 1, 3), F.lit("."), F.substring(t, 4, 20))
-    wrong = F.concat(F.lit("9"), F.substring(text, 2, 20))
+        return F.concat(F.lit("-"), F.substring(t, 1, 3), F.lit("."), t.substr(F.lit(4), F.length(t)))
+    wrong = F.concat(F.lit("9"), text.substr(F.lit(2), F.length(text)))
     rows = A.table(spark, d, "part").select(meter(text).alias("expected"), meter(F.when(F.col("p_size") % 3 == 0, wrong).otherwise(text)).alias("predicted"))
     return E.digit_accuracy(rows)
 

@@ -42,7 +42,7 @@ CORRECTIONS_SQL = """corrections AS (
          CAST(trunc(value % 4) AS BIGINT) AS corrected_objects
   FROM events)"""
 ITEMS_SQL = """items AS (
-  SELECT user_id AS batch_id, lpad(CAST(event_id AS VARCHAR), 12, '0') AS relative_path,
+  SELECT user_id AS batch_id, lpad(CAST(event_id AS VARCHAR), CAST(greatest(12, length(CAST(event_id AS VARCHAR))) AS INTEGER), '0') AS relative_path,
          event_id % 1000 + 1 AS capture_id, ts,
          CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'pending' ELSE 'succeeded' END AS status,
          CASE WHEN event_type = 'error' THEN props END AS error
@@ -59,7 +59,7 @@ GAS_SQL = """gas AS (
          CASE WHEN value > 80 THEN 'high_alarm' WHEN value < 5 THEN 'low_alarm' ELSE 'normal' END AS status
   FROM events WHERE event_type IN ('view','click','purchase','signup'))"""
 RECORDS_SQL = """records AS (
-  SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS relative_path, doc_id AS capture_id, source AS batch_id,
+  SELECT lpad(CAST(doc_id AS VARCHAR), CAST(greatest(12, length(CAST(doc_id AS VARCHAR))) AS INTEGER), '0') AS relative_path, doc_id AS capture_id, source AS batch_id,
          sha256(text) AS sha256, sha256(regexp_replace(lower(text), '[^a-z]', '', 'g')) AS perceptual_hash,
          n_chars, lang
   FROM documents)"""

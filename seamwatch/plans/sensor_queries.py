@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seamwatch import adapters as A
 from seamwatch import constants as K
 from seamwatch.functions import registers as R
+from seamwatch.functions import text as X
 from seamwatch.functions import thermal as T
 from seamwatch.operators import sensors as S
 from seamwatch.plans.registry import FRAMES_SQL, GAS_SQL, query
@@ -166,7 +167,7 @@ _THERMAL_SQL = """f AS (SELECT user_id AS batch_id, event_id,
        WHEN event_type = 'error' AND value < 60 THEN 'uploaded file is not a supported JPEG, PNG or BMP image'
        WHEN event_type = 'error' THEN 'thermal file must be PNG' END AS broken,
   sha256(unhex('89504E470D0A1A0A' || hex(props || event_id))) AS sha FROM events),
-g AS (SELECT *, row_number() OVER (PARTITION BY batch_id, sample_key ORDER BY lpad(CAST(event_id AS VARCHAR), 12, '0')) AS rn FROM f WHERE broken IS NULL)"""
+g AS (SELECT *, row_number() OVER (PARTITION BY batch_id, sample_key ORDER BY lpad(CAST(event_id AS VARCHAR), CAST(greatest(12, length(CAST(event_id AS VARCHAR))) AS INTEGER), '0')) AS rn FROM f WHERE broken IS NULL)"""
 
 
 def _thermal_files(spark: SparkSession, d: str) -> DataFrame:
@@ -175,7 +176,7 @@ def _thermal_files(spark: SparkSession, d: str) -> DataFrame:
     payload = F.hex(F.concat("props", F.col("event_id").cast("string")))
     magic = F.when(kind != "error", "89504E470D0A1A0A").when(v < 60, "0000").otherwise("FFD8FF")
     content = F.when((kind == "error") & (v < 30), F.unhex(F.lit(""))).otherwise(F.unhex(F.concat(magic, payload)))
-    folder = F.lpad(F.col("event_id").cast("string"), 12, "0")
+    folder = X.zero_pad(F.col("event_id").cast("string"), 12)
     return A.table(spark, d, "events").select(
         F.col("user_id").alias("batch_id"),
         F.concat(folder, F.when(kind == "signup", "/heat_").otherwise("/Thermal_"), name).alias("path"), content.alias("content"))
@@ -190,7 +191,7 @@ def thermal_samples(spark: SparkSession, d: str) -> DataFrame:
 UNION ALL SELECT CAST(batch_id AS VARCHAR), event_id, 'duplicate thermal sample: ' || sample_key FROM g WHERE rn > 1""")
 def thermal_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     notes = SRC.normalize_thermal(_thermal_files(spark, d))[1]
-    return notes.select("batch_id", F.substring("path", 1, 12).cast("bigint").alias("event_id"), "message")
+    return notes.select("batch_id", F.regexp_extract("path", "^[0-9]+", 0).cast("bigint").alias("event_id"), "message")
 
 
 # --- alignment ----------------------------------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seamwatch import constants as K
-from seamwatch.functions.text import truncate_error
+from seamwatch.functions.text import truncate_error, zero_pad
 from seamwatch.operators import batches as B
 from seamwatch.operators import captures as C
 from seamwatch.operators import curation as D
@@ -18,7 +18,7 @@ def write_gas_days(wide: DataFrame, path: str, ts: str = "ts", fmt: str = "csv")
     rows = wide.select(
         F.date_format(ts, "yyyy-MM-dd").alias("day"),
         F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss").alias(zh[0]),
-        F.lpad(F.col("sample_id").cast("string"), 6, "0").alias(zh[1]),
+        zero_pad(F.col("sample_id").cast("string")).alias(zh[1]),
         *[F.col(f"{c}_value").cast("string").alias(n) for c, n in zip(K.CHANNELS, zh[2:6])],
         F.col("status").alias(zh[6]),
     )

@@ -37,7 +37,7 @@ def read_files(spark: SparkSession, root: str, pattern: str = "*", content: bool
 def below(path: Column, root: str) -> Column:
     """Path relative to a root folder (scheme prefixes are dropped)."""
     clean = F.regexp_replace(path, r"^[a-z]+:/+", "/")
-    return F.substring(clean, len(root.rstrip("/")) + 2, 4096)
+    return clean.substr(F.lit(len(root.rstrip("/")) + 2), F.length(clean))
 
 
 def with_batch(files: DataFrame, inbox: str) -> DataFrame:

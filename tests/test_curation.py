@@ -70,9 +70,13 @@ def test_labels(spark):
     rows = D.annotation_rows(boxes.withColumn("width", F.lit(100)).withColumn("height", F.lit(100)), classes)
     annotated = images.where("image IN ('i1', 'i2')").select("image")
     texts = {r.image: r.text for r in D.label_texts(rows, annotated, "image", ["pos"]).collect()}
-    assert texts == {"i1": "1 0.25000000 0.25000000 0.50000000 0.50000000\n0 0.15000000 0.15000000 0.10000000 0.10000000", "i2": ""}
-    chunks = D.label_texts(rows, annotated, "image", ["pos"], chunk=1).where("image = 'i1'").orderBy("chunk").collect()
-    assert "\n".join(r.text for r in chunks) == texts["i1"]
+    assert texts == {"i1": "1 0.25000000 0.25000000 0.50000000 0.50000000\n0 0.15000000 0.15000000 0.10000000 0.10000000\n", "i2": ""}
+
+
+def test_label_text_of_a_crowded_image_is_whole(spark):
+    rows = spark.range(5000).select(F.lit("i").alias("image"), F.col("id").alias("pos"), F.lit("kept").alias("outcome"), F.col("id").cast("string").alias("line"))
+    got = D.label_texts(rows.repartition(7), spark.createDataFrame([("i",)], "image string"), "image", ["pos"]).collect()
+    assert [r.text for r in got] == ["".join(f"{i}\n" for i in range(5000))]
 
 
 def test_crops_by_content(spark):

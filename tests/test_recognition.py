@@ -151,10 +151,13 @@ def dice(query, template, shifts, recount):
     return best
 
 
+def words(mask):
+    return np.packbits(mask.astype(np.uint8).ravel()).view(">u4").astype(np.int64).tolist()
+
+
 @pytest.mark.parametrize("recount,block", [(True, 512), (False, 2)])
 def test_template_distances_equal_pairwise_dice(spark, recount, block):
     from seamwatch import constants as K
-    from seamwatch.operators.kernels import words
     rng = np.random.default_rng(1)
     masks = rng.integers(0, 2, size=(7, 96, 64)).astype(np.uint8)
     shifts = K.DIGIT_SHIFTS if recount else K.STATION_SHIFTS
@@ -167,56 +170,12 @@ def test_template_distances_equal_pairwise_dice(spark, recount, block):
         assert got[label] == pytest.approx(sum(near) / len(near))
 
 
-SEGMENTS = {"8": "abcdefg", "1": "bc", "6": "acdefg", "0": "abcdef"}
-
-
-def draw_digit(canvas, x, y, w, h, digit, t, colour):
-    boxes = {"a": (0, 0, w, t), "d": (0, h - t, w, h), "g": (0, h // 2 - t // 2, w, h // 2 + t // 2), "f": (0, 0, t, h // 2), "e": (0, h // 2, t, h),
-             "b": (w - t, 0, w, h // 2), "c": (w - t, h // 2, w, h)}
-    for s in SEGMENTS[digit]:
-        x1, y1, x2, y2 = boxes[s]
-        canvas[y + y1:y + y2, x + x1:x + x2] = colour
-
-
-def meter_image(text):
-    canvas = np.zeros((140, 420, 3), np.uint8)
-    for i, d in enumerate(text.replace(".", "")):
-        draw_digit(canvas, 20 + 90 * i, 20, 60, 100, d, 14, (0, 0, 230))
-    canvas[108:120, 275:287] = (0, 0, 230)
-    return canvas
-
-
-def test_meter_reading_end_to_end(spark):
-    images = spark.createDataFrame([image_row("801.6", meter_image("801.6")), image_row("blank", np.zeros((40, 40, 3)))], IMAGE_ROW)
-    cut = {r.name: r for r in V.segment_displays(images, ["name"]).collect()}
-    assert cut["blank"].error == "red_display_not_found"
-    assert (len(cut["801.6"].masks), cut["801.6"].decimal_places, cut["801.6"].negative) == (4, 1, False)
-    library = spark.createDataFrame([(i, d, "x", list(m)) for i, (d, m) in enumerate(zip("8016", cut["801.6"].masks))], "template_id int, label string, source string, bits array<long>")
-    out = {r.name: r for r in V.read_meters(images, library, ["name"], minimum=0.55).collect()}
-    assert (out["801.6"].status, out["801.6"].raw_text, out["801.6"].value) == ("confirmed", "801.6", 801.6)
-    assert out["blank"].reason == "red_display_not_found"
-
-
-def test_sign_reading_end_to_end(spark):
-    sign = np.full((200, 300, 3), 30, np.uint8)
-    yy, xx = np.mgrid[:200, :300]
-    sign[((xx - 154.5) / 55) ** 2 + ((yy - 99.5) / 60) ** 2 <= 1] = (200, 60, 20)
-    sign[70:130, 150:162] = 255
-    images = spark.createDataFrame([image_row("one", sign), image_row("plain", np.full((50, 50, 3), 200))], IMAGE_ROW)
-    cut = {r.name: r for r in V.segment_signs(images, ["name"]).collect()}
-    assert cut["one"].sign_bbox == [100, 40, 210, 160] and cut["plain"].error == "blue_station_sign_not_found"
-    library = spark.createDataFrame([(0, "1", "x", list(cut["one"].bits)), (1, "2", "y", [0] * 288)], "template_id int, label string, source string, bits array<long>")
-    out = {r.name: r for r in V.read_stations(images, library, ["name"]).collect()}
-    assert (out["one"].status, out["one"].number) == ("confirmed", 1) and out["plain"].status == "unreadable"
-
-
-def test_quality_and_segments(spark):
-    digit = np.zeros((100, 60, 3), np.uint8)
-    draw_digit(digit, 0, 0, 60, 100, "6", 16, (255, 255, 255))
-    images = spark.createDataFrame([image_row("six", digit), image_row("dark", np.zeros((300, 400, 3)))], IMAGE_ROW).union(
-        spark.createDataFrame([("broken", -1, -1, -1, bytearray())], IMAGE_ROW))
-    segments = {r.name: r.digit for r in V.active_segments(images, ["name"]).collect()}
-    assert segments["six"] == "6" and segments["dark"] is None
+def test_quality(spark):
+    rng = np.random.default_rng(3)
+    images = spark.createDataFrame([image_row("noise", rng.integers(0, 256, (700, 900, 3))), image_row("dark", np.zeros((300, 400, 3))), image_row("light", np.full((300, 400, 3), 255))], IMAGE_ROW).union(
+        spark.createDataFrame([("broken", -1, -1, -1, bytearray()), ("none", None, None, None, None)], IMAGE_ROW))
     metrics = {r.name: r for r in V.quality_metrics(images, ["name"]).collect()}
     assert (metrics["dark"].brightness_mean, metrics["dark"].dark_fraction, metrics["dark"].edge_variance) == (0.0, 1.0, 0.0)
-    assert metrics["dark"].perceptual_hash == "0" * 16 and metrics["broken"].brightness_mean is None
+    assert metrics["light"].bright_fraction == 1.0 and 120 < metrics["noise"].brightness_mean < 135
+    assert metrics["dark"].perceptual_hash == metrics["dark"].dhash == "0" * 16
+    assert metrics["broken"].brightness_mean is None and metrics["none"].dhash is None
