@@ -8,10 +8,10 @@ import sys
 
 from pyspark import cloudpickle
 
-from seamwatch.session import build_session, durable
+from seamwatch.session import build_session
 
 # Python tasks get the helpers of this package with their code, so executors
 # need no installed copy.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-__all__ = ["build_session", "durable"]
+__all__ = ["build_session"]

@@ -183,10 +183,6 @@ def capture_total(listing: DataFrame) -> DataFrame:
     return listing.agg(F.count(F.lit(1)).alias("total"))
 
 
-def chronological(listing: DataFrame, instant: Column) -> DataFrame:
-    """Listing order by real time instead of text."""
-    return listing.orderBy(instant.desc(), F.asc("capture_id"))
-
 
 # --- export and documents ---------------------------------------------------------------------------
 

@@ -1,10 +1,8 @@
-"""Session settings and durable lineage cuts."""
+"""Session settings."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 #: Settings every job of this package relies on.  AQE sizes the reducers and
 #: splits skewed joins; UTC keeps naive and aware timestamps comparable.
@@ -28,21 +26,3 @@ def build_session(app: str = "seamwatch", master: str | None = None, **extra: st
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage into the cluster's checkpoint folder, which outlives executors.
-
-    The folder is the one named by ``spark.checkpoint.dir``.  Only where the
-    session names none (a test on one machine) a temporary folder is set.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-            folder = tempfile.mkdtemp(prefix="seamwatch-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()

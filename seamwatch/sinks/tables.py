@@ -66,10 +66,6 @@ def summary_tables(records: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def write_labels(texts: DataFrame, path: str) -> None:
-    """Label texts partitioned by split; a non-empty target is refused."""
-    texts.write.mode("errorifexists").partitionBy("split").parquet(path)
-
 
 def write_manifest(rows: DataFrame, path: str) -> None:
     rows.write.mode("errorifexists").json(path)
@@ -87,10 +83,6 @@ def failure_log_rows(failures: DataFrame) -> DataFrame:
     return failures.withColumn("status", F.lit("failed")).withColumn("error", truncate_error(F.col("error")))
 
 
-def unknown_results(results: DataFrame, captures: DataFrame) -> DataFrame:
-    """Result rows naming a capture that is not stored; they must not be written."""
-    return results.join(captures.select("capture_id"), "capture_id", "left_anti")
-
 
 def result_objects(current: DataFrame) -> DataFrame:
     """Object rows rebuilt from the latest result documents."""
@@ -110,8 +102,3 @@ def register_batches(discovered: DataFrame, items: DataFrame, registered: DataFr
     headers = B.register_batches(discovered, registered).withColumn("status", F.lit("queued"))
     fresh = B.initial_items(items).join(headers.select("batch_id"), "batch_id", "left_semi")
     return headers, fresh
-
-
-def compact_deleted(rows: DataFrame, tombstones: DataFrame, path: str) -> None:
-    """Rewrite a table without deleted captures into a new location."""
-    C.delete_captures(rows, tombstones).write.mode("errorifexists").parquet(path)

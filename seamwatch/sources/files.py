@@ -190,10 +190,6 @@ def normalize_thermal(files: DataFrame, max_bytes: int = K.MAX_IMAGE_BYTES) -> t
     return kept.drop("path"), failed.unionByName(repeated)
 
 
-def empty_scan_warnings(batches: DataFrame, files: DataFrame, scope: str, message: str) -> DataFrame:
-    """Warning for batches without any file of a kind."""
-    return diagnostics(batches.join(files.select("batch_id"), "batch_id", "left_anti"), scope, "warning", F.lit(message))
-
 
 def mark_decodable(files: DataFrame, images: DataFrame) -> DataFrame:
     """Attach Spark's own decoding verdict (image source: width -1 marks a broken file)."""

@@ -10,14 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from seamwatch import constants as K
 from seamwatch.operators.captures import new_captures, replay_conflicts
-from seamwatch.operators.sensors import align_sensors
+from seamwatch.skew import first_per_key
 
 
 def inbox_stream(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet", files_per_trigger: int = 1000, **options: str) -> DataFrame:
@@ -58,7 +58,7 @@ def append_once(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
     """
     def step(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
-        unique = rows.dropDuplicates(keys)
+        unique = first_per_key(rows, keys, sorted(rows.columns))
         stored = _stored(spark, path)
         if stored is not None:
             unique = unique.join(stored.where(F.col("batch") != batch).select(*keys), keys, "left_anti")
@@ -97,30 +97,34 @@ def resume_items(items_path: str) -> Callable[[DataFrame, int], None]:
     return append_once(items_path, ["batch_id", "relative_path"])
 
 
-def ingest_captures(captures_path: str, conflicts_path: str, metadata: list[str]) -> Callable[[DataFrame, int], None]:
+def ingest_captures(captures_path: str, conflicts_path: str, metadata: list[str], arrival: list[str] | None = None) -> Callable[[DataFrame, int], None]:
     """Captures once; repeats with other metadata or images go to the conflict table.
 
-    Rows carry images as array<struct<position,sha256>>, five entries at most.
+    Rows carry images as array<struct<position,sha256>>.  Of rows of one id the first by
+    ``arrival`` stays, and by their content where that is equal or not given, so a replayed
+    micro-batch keeps the same row.
     """
-    keep = append_once(captures_path, ["capture_id"])
-
     def step(rows: DataFrame, batch: int) -> None:
-        stored = _stored(rows.sparkSession, captures_path)
-        unique = rows.dropDuplicates(["capture_id"])
-        repeats = rows.join(
-            unique.select("capture_id", F.struct(*metadata, "images").alias("_first")), "capture_id"
-        ).where(F.struct(*metadata, "images") != F.col("_first")).select(
+        spark = rows.sparkSession
+        first = first_per_key(rows, ["capture_id"], [*(arrival or []), *metadata, "images", *sorted(set(rows.columns) - {"capture_id", "images", *metadata})])
+        before = _earlier(spark, captures_path, batch)
+        fresh = first if before is None else new_captures(first, before)
+        fresh.write.mode("overwrite").parquet(f"{captures_path}/batch={batch}")
+        kept = spark.read.schema(rows.schema).parquet(f"{captures_path}/batch={batch}")
+        content = F.struct(*metadata, "images")
+        found = rows.join(kept.select("capture_id", content.alias("_first")), "capture_id").where(content != F.col("_first")).select(
             "capture_id", F.lit("different content inside one micro-batch").alias("conflict"), F.lit(None).cast("int").alias("position"))
-        found = repeats
-        if stored is not None:
-            before = stored.where(F.col("batch") != batch)
-            found = found.unionByName(replay_conflicts(
-                unique, before, _image_rows(unique), _image_rows(before), metadata))
+        if before is not None:
+            found = found.unionByName(replay_conflicts(first, before, _image_rows(first), _image_rows(before), metadata))
         found.write.mode("overwrite").parquet(f"{conflicts_path}/batch={batch}")
-        keep(unique if stored is None else new_captures(unique, stored.where(F.col("batch") != batch)), batch)
     return step
 
 
+def _earlier(spark: SparkSession, path: str, batch: int) -> DataFrame | None:
+    stored = _stored(spark, path)
+    return stored.where(F.col("batch") != batch) if stored is not None else None
+
+
 def _image_rows(captures: DataFrame) -> DataFrame:
     return captures.select("capture_id", F.inline("images"))
 
@@ -132,10 +136,11 @@ def unique_captures(stream: DataFrame, ts: str = "received", delay: str = "1 hou
 
 # --- stateful sensors -------------------------------------------------------------------------------------
 
-def display_bounds_stream(frames: DataFrame, device: str, ts: str, low: str, high: str, alpha: float = K.DISPLAY_ALPHA, delay: str = "10 minutes") -> DataFrame:
+def display_bounds_stream(frames: DataFrame, device: str, ts: str, low: str, high: str, alpha: float = K.DISPLAY_ALPHA) -> DataFrame:
     """Running display bounds per device; the state is the last pair of bounds.
 
-    A micro-batch's frames of a device are applied in time order.
+    Input is ordered: a device's frames do not come in a later micro-batch than frames after them.
+    Inside a micro-batch they are put in time order.
     """
     schema = f"{device} {_kind(frames, device)}, {ts} {_kind(frames, ts)}, display_low double, display_high double"
 
@@ -154,7 +159,10 @@ def display_bounds_stream(frames: DataFrame, device: str, ts: str, low: str, hig
 
 
 def gap_monitor(samples: DataFrame, device: str, ts: str, interval: float) -> DataFrame:
-    """Missed sampling slots per device and sample; the state is the last time seen."""
+    """Missed sampling slots per device and sample; the state is the last time seen.
+
+    Input is ordered as for :func:`display_bounds_stream`.
+    """
     schema = f"{device} {_kind(samples, device)}, {ts} timestamp, missed_slots bigint"
 
     def step(key: tuple, pages: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -177,13 +185,24 @@ def _kind(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 
 
-def align_streams(gas: DataFrame, thermal: DataFrame, keys: list[str], ts: str = "ts", delay: str = "10 minutes", within: str = "1 minute") -> DataFrame:
-    """Gas/thermal alignment on streams; an unmatched side appears once the watermark has passed it."""
-    left = gas.withWatermark(ts, delay).select(*[F.col(k).alias(f"g_{k}") for k in keys], *[F.col(c).alias(f"gas_{c}") for c in gas.columns if c not in keys])
-    right = thermal.withWatermark(ts, delay).select(*[F.col(k).alias(f"t_{k}") for k in keys], *[F.col(c).alias(f"thermal_{c}") for c in thermal.columns if c not in keys])
-    condition = F.expr(" AND ".join(f"g_{k} = t_{k}" for k in keys)) & F.expr(
-        f"gas_{ts} BETWEEN thermal_{ts} - INTERVAL {within} AND thermal_{ts} + INTERVAL {within}")
-    joined = left.join(right, condition, "full_outer")
+def sample_time(key: Column) -> Column:
+    """The time that a sample key starts with (``yyyyMMdd_HHmmss``)."""
+    return F.try_to_timestamp(F.regexp_extract(key, r"^([0-9]{8}_[0-9]{6})", 1), F.lit("yyyyMMdd_HHmmss"))
+
+
+def align_streams(gas: DataFrame, thermal: DataFrame, keys: list[str], delay: str = "10 minutes") -> DataFrame:
+    """Gas/thermal alignment on streams by key alone; an unmatched side appears once the watermark has passed it.
+
+    The last key is the sample key.  The time in it is the event time of both sides, so rows of one
+    key meet however far apart they were written, and state goes with the watermark.  It also runs
+    on static tables.
+    """
+    def side(rows: DataFrame, short: str, name: str) -> DataFrame:
+        timed = rows.withColumn(f"{short}_time", sample_time(F.col(keys[-1]))).withWatermark(f"{short}_time", delay)
+        return timed.select(f"{short}_time", *[F.col(k).alias(f"{short}_{k}") for k in keys], *[F.col(c).alias(f"{name}_{c}") for c in rows.columns if c not in keys])
+
+    condition = F.expr(" AND ".join(["g_time = t_time", *[f"g_{k} = t_{k}" for k in keys]]))
+    joined = side(gas, "g", "gas").join(side(thermal, "t", "thermal"), condition, "full_outer")
     warning = F.when(F.col(f"g_{keys[0]}").isNull(), "missing_gas_row").when(F.col(f"t_{keys[0]}").isNull(), "missing_thermal_frame")
     return joined.select(
         *[F.coalesce(f"g_{k}", f"t_{k}").alias(k) for k in keys],
@@ -202,12 +221,3 @@ def alarm_sessions(readings: DataFrame, ts: str = "ts", gap: str = "2 minutes",
     alarms = readings.where(F.col("status").isin("low_alarm", "high_alarm", "stel_alarm", "twa_alarm", "over_range"))
     return alarms.withWatermark(ts, delay).groupBy(F.session_window(ts, gap), "channel").agg(
         F.count(F.lit(1)).alias("alarms"), F.max("value").alias("peak"))
-
-
-def import_sensors_step(samples_path: str) -> Callable[[DataFrame, int], None]:
-    """Micro-batch step aligning complete batches with the batch operator (both sides tagged by ``side``)."""
-    def step(rows: DataFrame, batch: int) -> None:
-        gas = rows.where(F.col("side") == "gas").drop("side")
-        thermal = rows.where(F.col("side") == "thermal").select("batch_id", "sample_key", "sample_id", "captured_at")
-        align_sensors(gas, thermal).write.mode("overwrite").parquet(f"{samples_path}/batch={batch}")
-    return step

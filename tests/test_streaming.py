@@ -44,6 +44,16 @@ def test_capture_conflicts_are_reported(spark, tmp_path):
     assert [(r.capture_id, r.conflict) for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == [("b", "different image content")]
 
 
+def test_conflicting_duplicates_keep_one_winner_on_replay(spark, tmp_path):
+    schema = "capture_id string, station_id string, images array<struct<position:int,sha256:string>>, seen int"
+    rows = spark.createDataFrame([("a", "9", [(1, "z")], 2), ("a", "8", [(1, "y")], 1), ("a", "8", [(1, "y")], 3)], schema).repartition(3)
+    step = ST.ingest_captures(str(tmp_path / "cap"), str(tmp_path / "bad"), ["station_id"], ["seen"])
+    for _ in range(2):
+        step(rows, 0)
+        assert [(r.station_id, r.seen) for r in spark.read.parquet(str(tmp_path / "cap")).collect()] == [("8", 1)]
+        assert spark.read.parquet(str(tmp_path / "bad")).count() == 1
+
+
 def test_pending_packages(spark, tmp_path):
     (tmp_path / "receipts").mkdir()
     (tmp_path / "receipts/r.json").write_text('{"path": "p1"}\n')
@@ -69,15 +79,16 @@ def test_stateful_bounds_and_gaps(spark, tmp_path):
 def test_stream_alignment_matches_the_batch_join(spark, tmp_path):
     schema = "k string, ts timestamp, v int"
     far = T0 + dt.timedelta(days=9)
-    put(spark, tmp_path / "g", [("1", T0, 1), ("2", T0, 2)], schema)
-    put(spark, tmp_path / "t", [("2", T0, 5), ("3", T0, 6)], schema)
-    put(spark, tmp_path / "g", [("far_g", far, 0)], schema)
-    put(spark, tmp_path / "t", [("far_t", far, 0)], schema)
+    one, two, three, last = ("20260101_000000_1", "20260101_000000_2", "20260101_000000_3", "20260110_000000_9")
+    put(spark, tmp_path / "g", [(one, T0, 1), (two, T0, 2)], schema)
+    put(spark, tmp_path / "t", [(two, T0 + dt.timedelta(hours=5), 5), (three, T0, 6)], schema)
+    put(spark, tmp_path / "g", [(last + "g", far, 0)], schema)
+    put(spark, tmp_path / "t", [(last + "t", far, 0)], schema)
     def side(n):
         return ST.inbox_stream(spark, str(tmp_path / n), schema, files_per_trigger=1)
     rows = drain(ST.align_streams(side("g"), side("t"), ["k"]), tmp_path, "aligned")
-    out = {r.k: r.warning for r in rows if not r.k.startswith("far")}
-    assert out == {"1": "missing_thermal_frame", "2": None, "3": "missing_gas_row"}
+    out = {r.k: r.warning for r in rows if not r.k.startswith(last)}
+    assert out == {one: "missing_thermal_frame", two: None, three: "missing_gas_row"}
 
 
 def test_windows_sessions_and_duplicates(spark, tmp_path):
