@@ -179,6 +179,21 @@ def capture_page(listing: DataFrame, limit: int = 50, offset: int = 0, key: str
     return ordered.offset(offset).limit(limit) if offset else ordered.limit(limit)
 
 
+def listing_page(
+    captures: DataFrame, images: DataFrame, objects: DataFrame, corrections: DataFrame, items: DataFrame,
+    limit: int = 50, offset: int = 0, corrected_objects: str | None = None, key: str = "capture_id",
+) -> DataFrame:
+    """One page of the listing: the page is taken first, then only its captures are summarised.
+
+    The sort columns belong to the captures alone, and a page has 500 rows at most, so its keys
+    are broadcast to the other sides, whose rows of other captures are dropped before any shuffle.
+    """
+    page = capture_page(captures, limit, offset, key)
+    keys = F.broadcast(page.select(key))
+    sides = [side.join(keys, key, "left_semi") for side in (images, objects, corrections, items)]
+    return capture_page(capture_summary(page, *sides, corrected_objects=corrected_objects, key=key), limit, 0, key)
+
+
 def capture_total(listing: DataFrame) -> DataFrame:
     return listing.agg(F.count(F.lit(1)).alias("total"))
 

@@ -12,7 +12,7 @@ from seamwatch.functions import geometry as G
 from seamwatch.functions.core import compute_once, let
 from seamwatch.functions.hashing import sha256
 from seamwatch.functions.text import split_group_key, unique_sample_name
-from seamwatch.skew import global_rank, spread_join
+from seamwatch.skew import global_rank, small_side, spread_join
 
 
 # --- duplicates -----------------------------------------------------------------------------------
@@ -190,7 +190,7 @@ def annotation_rows(
     """
     table = classes.select(F.col("class").alias(label), "class_index", F.lit(True).alias("_known"))
     joined = compute_once(
-        boxes.join(table, label, "left"),
+        boxes.join(small_side(table), label, "left"),
         _line=G.label_line(F.col("class_index"), F.col("bbox"), F.col(width), F.col(height)),
     )
     outcome = (

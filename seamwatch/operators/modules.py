@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from seamwatch import constants as K
 from seamwatch.functions.meters import normal_confidence
 from seamwatch.functions.text import lookup
+from seamwatch.skew import small_side
 
 TOOL_TYPES = ("tool", "safety_sign")
 
@@ -173,13 +174,13 @@ def map_classes(detections: DataFrame, classes: DataFrame, label: str = "model_l
     """Model label -> type, class id, display name; unsure tools become ``unknown_tool``.
 
     ``classes``: label, id, type, name_cn, min_confidence - a configuration
-    table, joined by broadcast as long as Spark finds it small.
+    table, broadcast after a check of its size.
     """
     table = classes.select(
         F.col("label").alias(label), F.col("id").alias("_id"), F.col("type").alias("_type"),
         F.col("name_cn").alias("_name"), F.col("min_confidence").alias("_min"),
     )
-    joined = detections.join(table, label, "left")
+    joined = detections.join(small_side(table), label, "left")
     prefix = F.substring_index(F.col(label), "_", 1)
     kind = F.coalesce("_type", prefix)
     class_id = F.coalesce("_id", F.col(label))

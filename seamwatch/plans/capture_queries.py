@@ -29,15 +29,17 @@ _LISTED = ("capture_id", "capture_time", "received_at", "station_id", "status",
            "image_count", "object_count", "manually_corrected")
 
 
+def _sides(spark: SparkSession, d: str) -> list[DataFrame]:
+    return [side(spark, d) for side in (A.images, A.raw_objects, A.corrections, A.batch_items)]
+
+
 def _listing(spark: SparkSession, d: str) -> DataFrame:
-    return C.capture_summary(
-        A.captures(spark, d), A.images(spark, d), A.raw_objects(spark, d), A.corrections(spark, d),
-        A.batch_items(spark, d), corrected_objects="corrected_objects").select(*_LISTED)
+    return C.capture_summary(A.captures(spark, d), *_sides(spark, d), corrected_objects="corrected_objects").select(*_LISTED)
 
 
 @query(_LISTING_SQL + "SELECT * FROM listing ORDER BY capture_time DESC, received_at DESC, capture_id LIMIT 50")
 def capture_list(spark: SparkSession, d: str) -> DataFrame:
-    return C.capture_page(_listing(spark, d))
+    return C.listing_page(A.captures(spark, d), *_sides(spark, d), corrected_objects="corrected_objects").select(*_LISTED)
 
 
 @query(_LISTING_SQL + "SELECT * FROM listing")
@@ -48,7 +50,8 @@ def capture_rollup(spark: SparkSession, d: str) -> DataFrame:
 @query(_LISTING_SQL + """SELECT * FROM listing WHERE status = 'processed' AND station_id = '3'
 ORDER BY capture_time DESC, received_at DESC, capture_id LIMIT 25 OFFSET 10""")
 def capture_list_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return C.capture_page(C.filter_captures(_listing(spark, d), status="processed", station_id="3"), limit=25, offset=10)
+    captures = C.filter_captures(A.captures(spark, d), status="processed", station_id="3")
+    return C.listing_page(captures, *_sides(spark, d), limit=25, offset=10, corrected_objects="corrected_objects").select(*_LISTED)
 
 
 @query(f"WITH {CAPTURES_SQL} SELECT count(*) AS total FROM captures WHERE contains(lower(CAST(capture_id AS VARCHAR)), '77')")

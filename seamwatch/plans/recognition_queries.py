@@ -164,7 +164,7 @@ def public_attributes(spark: SparkSession, d: str) -> DataFrame:
   l_quantity AS x1, l_discount AS confidence, 'red' AS surface FROM lineitem WHERE l_linestatus = 'F'
 UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 1, 'sign', 'stop', '停', l_quantity + 1, l_discount, NULL FROM lineitem WHERE l_linestatus = 'F'""")
 def replay_detections(spark: SparkSession, d: str) -> DataFrame:
-    rows = A.table(spark, d, "lineitem").where("l_linestatus = 'F'")
+    rows = A.table(spark, d, "lineitem")
     q, c = F.col("l_quantity"), F.col("l_discount")
     def found(kind, cls, cn, x, attributes):
         return F.struct(kind.alias("type"), cls.alias("class"), cn.alias("class_cn"), F.array(x, F.lit(0.0), x + 5, F.lit(9.0)).alias("bbox_xyxy"), c.alias("confidence"), attributes.alias("attributes"))
@@ -173,8 +173,9 @@ def replay_detections(spark: SparkSession, d: str) -> DataFrame:
         found(F.lit("tool"), F.col("l_returnflag"), F.lit(None).cast("string"), q, F.create_map(F.lit("surface"), F.lit("red"))),
         found(F.lit("sign"), F.lit("stop"), F.lit("停"), q + 1, none)))
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    images = rows.select(*keys, F.concat_ws("/", *keys, F.lit("a.jpg")).alias("path"))
-    sidecars = rows.select(F.concat_ws("/", *keys, F.lit("a.jpg.detections.json")).alias("path"), text.alias("content")).dropDuplicates(["path"])
+    folder = [*keys, "l_linestatus"]
+    images = rows.select(*keys, F.concat_ws("/", *folder, F.lit("a.jpg")).alias("path"))
+    sidecars = rows.where("l_linestatus = 'F'").select(F.concat_ws("/", *folder, F.lit("a.jpg.detections.json")).alias("path"), text.alias("content")).dropDuplicates(["path"])
     out = P.replay_detector(images, sidecars, keys)
     return out.select(*keys, "pos", "type", "class_id", "class_cn", F.col("bbox.x1").alias("x1"), "confidence", F.try_element_at("attributes", F.lit("surface")).alias("surface"))
 

@@ -341,8 +341,7 @@ def visible_items(spark: SparkSession, d: str) -> DataFrame:
   substr(rel, 12, 4) || '-' || substr(rel, 16, 2) || '-' || substr(rel, 18, 2) || 'T' || substr(rel, 21, 2) || ':' || substr(rel, 23, 2) || ':' || substr(rel, 25, 2) || '+08:00' AS capture_time,
   '' AS station_id FROM p WHERE rel LIKE 'flat/%'""")
 def flat_photos(spark: SparkSession, d: str) -> DataFrame:
-    photos = _visible(spark, d).where("event_type = 'click'")
-    out = SRC.load_photos(photos)
+    out = SRC.load_photos(_visible(spark, d))
     return out.where("error IS NULL").select("batch_id", "relative_path", "capture_id", "capture_time", "station_id")
 
 

@@ -38,6 +38,15 @@ def first_per_key(
     return out.select(*keys, *picked, *([count] if count else []))
 
 
+def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """The side with a broadcast hint if it has no more rows than that, else as it is.
+
+    Meant for configuration tables that are joined on few distinct values: the check reads one row
+    more than the bound at most, and beyond it Spark joins by shuffle.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
