@@ -214,8 +214,8 @@ def export_rows(captures: DataFrame, objects: DataFrame, key: str = "capture_id"
     return with_objects.drop("_objects").unionByName(empty, allowMissingColumns=True)
 
 
-def export_documents(results: DataFrame) -> DataFrame:
-    """Flattened export from result documents: effective objects exploded, pose flattened."""
+def export_documents(results: DataFrame, *extra: str) -> DataFrame:
+    """Flattened export from result documents: effective objects exploded, pose flattened, ``extra`` columns last."""
     exploded = results.select("*", F.posexplode_outer("objects").alias("object_index", "object"))
     return exploded.select(
         "capture_id", "capture_time", "received_at", "station_id", "camera_id", "source_batch_id", "status",
@@ -224,7 +224,7 @@ def export_documents(results: DataFrame) -> DataFrame:
         "manually_corrected", "object_index",
         F.col("object.type").alias("object_type"), F.col("object.class").alias("class"),
         F.col("object.class_cn").alias("class_cn"), F.col("object.confidence").alias("confidence"),
-        F.col("object.bbox_xyxy").alias("bbox_xyxy"), F.to_json("object").alias("object_json"), "error",
+        F.col("object.bbox_xyxy").alias("bbox_xyxy"), F.to_json("object").alias("object_json"), "error", *extra,
     )
 
 

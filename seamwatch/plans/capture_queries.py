@@ -89,6 +89,41 @@ def export_flat(spark: SparkSession, d: str) -> DataFrame:
     return C.export_rows(captures, objects)
 
 
+@query(f"""WITH {CAPTURES_SQL}, {OBJECTS_SQL}, {CORRECTIONS_SQL}, {ITEMS_SQL},
+fix AS (SELECT capture_id, arg_max(corrected_objects, id) AS n FROM corrections WHERE active GROUP BY 1),
+source AS (SELECT capture_id, min(batch_id) AS source_batch_id FROM items WHERE status = 'succeeded' GROUP BY 1),
+effective AS (
+  SELECT capture_id, CAST(object_index AS INTEGER) AS object_index, object_type, class_id AS class, confidence, x1
+  FROM objects WHERE capture_id NOT IN (SELECT capture_id FROM fix)
+  UNION ALL
+  SELECT capture_id, CAST(i AS INTEGER), 'manual', 'c' || i, 1.0, i * 10.0 FROM (SELECT capture_id, unnest(range(n)) AS i FROM fix))
+SELECT capture_id, source_batch_id, status, 'map' AS pose_frame, x_m AS pose_x_m, fix.capture_id IS NOT NULL AS manually_corrected,
+  object_index, object_type, class, confidence, x1,
+  CASE WHEN fix.capture_id IS NOT NULL THEN 'low_light,manually_corrected' ELSE 'low_light' END AS warnings
+FROM captures LEFT JOIN fix USING (capture_id) LEFT JOIN source USING (capture_id) LEFT JOIN effective USING (capture_id)""")
+def export_effective(spark: SparkSession, d: str) -> DataFrame:
+    """The flat export of effective results: corrected objects in place of detected ones, pose flattened."""
+    key = "capture_id"
+    found = F.struct(
+        F.col("object_type").alias("type"), F.col("class_id").alias("class"), F.lit(None).cast("string").alias("class_cn"), "confidence",
+        F.array("bbox.x1", "bbox.y1", "bbox.x2", "bbox.y2").alias("bbox_xyxy"))
+    detected = A.objects(spark, d).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("object_index", found.alias("o")))).alias("found"))
+    manual = F.transform(F.sequence(F.lit(1), F.col("corrected_objects")), lambda i: F.struct(
+        F.lit("manual").alias("type"), F.concat(F.lit("c"), (i - 1).cast("string")).alias("class"), F.lit(None).cast("string").alias("class_cn"),
+        F.lit(1.0).alias("confidence"), F.array((i - 1) * 10.0, F.lit(0.0), i * 10.0, F.lit(9.0)).alias("bbox_xyxy")))
+    fixes = C.latest_correction(A.corrections(spark, d), ["corrected_objects"]).select(key, "corrected_objects", F.lit(True).alias("fixed"))
+    rows = (A.captures(spark, d).join(detected, key, "left").join(fixes, key, "left")
+            .join(C.source_batch(A.batch_items(spark, d)), key, "left"))
+    plain = F.struct(F.transform("found", lambda x: x["o"]).alias("objects"), F.array(F.lit("low_light")).alias("warnings"))
+    corrected = V.merge_correction(F.when(F.col("corrected_objects") > 0, manual).otherwise(F.slice(manual, 1, 0)), F.array(F.lit("low_light")))
+    results = rows.withColumn("result", F.when(F.col("fixed"), corrected).otherwise(plain)).select(
+        *rows.columns, F.struct(F.lit("map").alias("frame"), "x_m", F.lit(None).cast("double").alias("y_m"), F.lit(None).cast("double").alias("yaw_deg")).alias("robot_pose"),
+        F.coalesce("fixed", F.lit(False)).alias("manually_corrected"), "result.objects", "result.warnings")
+    return C.export_documents(results, "warnings").select(
+        key, "source_batch_id", "status", "pose_frame", "pose_x_m", "manually_corrected", "object_index", "object_type", "class", "confidence",
+        F.get("bbox_xyxy", F.lit(0)).alias("x1"), F.array_join("warnings", ",").alias("warnings"))
+
+
 @query(f"""WITH {OBJECTS_SQL} SELECT capture_id, l_linenumber AS line, l_partkey AS part, CAST(object_index AS BIGINT) AS object_index FROM objects""")
 def object_ordinals(spark: SparkSession, d: str) -> DataFrame:
     return A.objects(spark, d).select("capture_id", F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), "object_index")
@@ -153,11 +188,14 @@ def surviving_captures(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {CAPTURES_SQL}, {CORRECTIONS_SQL},
 img AS (SELECT o_orderkey AS capture_id, unnest(range(1, o_custkey % 5 + 2)) AS position FROM orders)
-SELECT capture_id, 'capture' AS part, CAST(0 AS BIGINT) AS ordinal FROM captures
-UNION ALL SELECT capture_id, 'image', position FROM img
-UNION ALL SELECT capture_id, 'correction', id FROM corrections""")
+SELECT capture_id, 'capture' AS part, CAST(0 AS BIGINT) AS ordinal,
+  '{{"capture_time":"' || capture_time || '","received_at":"' || received_at || '","station_id":"' || station_id || '","camera_id":"go2_front","status":"' || status || '"'
+  || CASE WHEN status = 'failed' THEN ',"error":"error ' || received_at || '"' ELSE '' END || '}}' AS payload FROM captures
+UNION ALL SELECT capture_id, 'image', position, '{{"position":' || position || ',"sha256":"' || sha256(capture_id || ':' || position) || '"}}' FROM img
+UNION ALL SELECT capture_id, 'correction', id, '{{"id":' || id || ',"active":' || active || ',"operator":"' || operator || '","corrected_json":"'
+  || replace(replace(corrected_json, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '","corrected_objects":' || corrected_objects || '}}' FROM corrections""")
 def capture_documents(spark: SparkSession, d: str) -> DataFrame:
-    return C.document_rows(A.captures(spark, d), A.images(spark, d), A.corrections(spark, d)).drop("payload")
+    return C.document_rows(A.captures(spark, d).drop("x_m"), A.images(spark, d), A.corrections(spark, d).drop("created_at"))
 
 
 @query("""SELECT o_orderkey AS capture_id, CAST(position AS INTEGER) AS position, sha256(o_orderkey || ':' || position) AS sha256
