@@ -15,6 +15,10 @@ anchors need to be compared.  A run of neighbouring strings with one anchor is a
    known.
 4. The verdicts go back to the parcels that hold the contexts, where bytes are marked and cut.
 
+An anchor with very many contexts, such as the first words of a line that a third of all documents
+hold, would put them all in one task.  Its strings are sent one by one instead, each distinct one
+once for a parcel, to the string's own bucket; there they are expanded like any other.
+
 Contexts are told apart by 88 bits of hash, all else is exact.  A context that a third of all
 documents hold is one entry for each parcel.  Null and empty texts, and texts below ``LENGTH``,
 lose nothing.  Rows without an id rank after all others.  Rows of one id, and rows without an id,
@@ -27,6 +31,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +42,8 @@ LENGTH = 50
 GRAM = 20
 #: Bytes of a document that are worked on at a time, and of contexts whose suffixes are sorted together.
 PIECE, BLOCK = 1 << 20, 2 << 20
+#: Contexts of an anchor from which its strings go to buckets of their own.
+HOT_CONTEXTS = 4096
 _NO_ID = np.iinfo(np.int64).max
 _CODES = np.random.default_rng(31337).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _POSITION = np.uint64((1 << 24) - 1)
@@ -153,7 +160,8 @@ _SETTLED = ("uint64", "int64")
 _ASKED = ("uint64", "uint64", "int64", "int64")
 _HELD = ("uint64", "uint64", "int32", "int64")
 _VERDICT = ("uint64", "int16", "int16", "int64")
-SETTLED, ASKED, HELD = 0, 1, 2
+_STRING = ("uint64", "int64")
+SETTLED, ASKED, HELD, HOT, STRING = range(5)
 
 
 def _bucket(anchor: np.ndarray, buckets: int) -> np.ndarray:
@@ -184,7 +192,7 @@ def _send(buckets: int):
     return run
 
 
-def _gather(group: pa.Table) -> pa.Table:
+def _gather(group: pa.Table, hot_contexts: int) -> pa.Table:
     """Settle contexts that are alone under their anchor; ask for the bytes of the others."""
     bucket = group["target"][0].as_py()
     each = [unpack(b, *_SENT) for b in group["blob"].to_pylist()]
@@ -213,7 +221,8 @@ def _gather(group: pa.Table) -> pa.Table:
     spread = np.maximum.reduceat(c_most, heads) > np.minimum.reduceat(c_least, heads)
     live = spread[group_of]  # some document is larger than another
     alone = live & (sizes[group_of] == 1)
-    asked = live & (sizes[group_of] > 1)
+    hot = live & (sizes[group_of] > hot_contexts)
+    asked = live & (sizes[group_of] > 1) & ~hot
     target, kind, blob = [], [], []
     rows = np.flatnonzero(alone[of] & (most > c_least[of]))
     for p, i in _cut(parcel[rows]):
@@ -221,6 +230,11 @@ def _gather(group: pa.Table) -> pa.Table:
         target.append(p)
         kind.append(SETTLED)
         blob.append(pack(class_keys(anchor[r], context[r]), c_least[of[r]]))
+    rows = np.flatnonzero(hot[of])
+    for p, i in _cut(parcel[rows]):
+        target.append(p)
+        kind.append(HOT)
+        blob.append(pack(class_keys(anchor[rows[i]], context[rows[i]])))
     rows = np.flatnonzero(asked[of] & (least == c_least[of]))
     rows = rows[np.unique(of[rows], return_index=True)[1]]
     for p, i in _cut(parcel[rows]):
@@ -241,13 +255,35 @@ def _blobs(group: pa.Table, kind: int, kinds: tuple[str, ...]) -> list[np.ndarra
     return [np.concatenate([f[i] for f in found]) if found else np.zeros(0, k) for i, k in enumerate(kinds)]
 
 
+def _strings(c: Contexts, data: np.ndarray, keys: np.ndarray):
+    """(hash, context row, start) of every string of the contexts with these keys."""
+    raw = data.tobytes()
+    for row in np.flatnonzero(np.isin(c.keys(), keys)):
+        for s in range(int(c.first[row]), int(c.last[row]) + 1):
+            yield xxhash.xxh3_64_intdigest(raw[s : s + LENGTH]), row, s
+
+
+def _hot_contexts(c: Contexts, ids: np.ndarray, data: np.ndarray, keys: np.ndarray):
+    """The parcel's distinct strings of hot anchors: hash, least and largest id, one start."""
+    held: dict[int, list[int]] = {}
+    for h, row, s in _strings(c, data, keys):
+        doc = int(ids[c.doc[row]])
+        had = held.setdefault(h, [doc, doc, s])
+        had[0], had[1] = min(had[0], doc), max(had[1], doc)
+    hashes = np.fromiter(held, np.uint64, len(held))
+    return (hashes, *np.array(list(held.values()), np.int64).reshape(-1, 3).T)
+
+
 def _fetch(buckets: int):
     def run(group: pa.Table, told: pa.Table) -> pa.Table:
         anchor, context, doc, most = _blobs(told, ASKED, _ASKED)
-        if not len(anchor) or not group.num_rows:
+        hot = _blobs(told, HOT, ("uint64",))[0]
+        if not (len(anchor) or len(hot)) or not group.num_rows:
             return _rows([], [], [])
-        ids = group["doc_id"].fill_null(int(_NO_ID)).combine_chunks().to_numpy(zero_copy_only=False)
-        group = group.filter(pa.array(np.isin(ids, doc)))
+        parcel = group["parcel"][0].as_py()
+        if not len(hot):
+            ids = group["doc_id"].fill_null(int(_NO_ID)).combine_chunks().to_numpy(zero_copy_only=False)
+            group = group.filter(pa.array(np.isin(ids, doc)))
         ids, data, offsets = _load(group)
         c = Contexts(data, offsets)
         wanted = class_keys(anchor, context) ^ mix(doc.view(np.uint64))
@@ -258,12 +294,17 @@ def _fetch(buckets: int):
         fits[fits] = have[order][at[fits]] == wanted[fits]
         row = order[at[fits]]
         anchor, context, doc, most = anchor[fits], context[fits], doc[fits], most[fits]
-        sizes = c.last[row] - c.first[row] + LENGTH
+        first, sizes, lead = c.first[row], c.last[row] - c.first[row] + LENGTH, c.place[row] - c.first[row]
+        holder = np.full(len(row), -1, np.int32)
+        if len(hot):
+            h, h_least, h_most, h_first = _hot_contexts(c, ids, data, hot)
+            anchor, context, doc, most = (np.concatenate(x) for x in ((anchor, h), (context, h), (doc, h_least), (most, h_most)))
+            first, sizes, lead, holder = (np.concatenate([x, y]) for x, y in (
+                (first, h_first), (sizes, np.full(len(h), LENGTH)), (lead, np.zeros(len(h), np.int64)), (holder, np.full(len(h), parcel, np.int32))))
         target, kind, blob = [], [], []
         for b, i in _cut(_bucket(anchor, buckets)):
-            r = row[i]
-            raw = b"".join(data[s:e].tobytes() for s, e in zip(c.first[r], c.last[r] + LENGTH, strict=True))
-            head = pack(anchor[i], context[i], doc[i], most[i], sizes[i].astype(np.int16), (c.place[r] - c.first[r]).astype(np.int16))
+            raw = b"".join(data[s : s + n].tobytes() for s, n in zip(first[i], sizes[i], strict=True))
+            head = pack(anchor[i], context[i], doc[i], most[i], sizes[i].astype(np.int16), lead[i].astype(np.int16), holder[i])
             target.append(b)
             kind.append(len(head))
             blob.append(head + zstandard.compress(raw, 1))
@@ -328,9 +369,9 @@ def _expand(group: pa.Table, told: pa.Table) -> pa.Table:
         return _rows([], [], [])
     heads, raws = [], []
     for size, blob in zip(group["kind"].to_pylist(), group["blob"].to_pylist(), strict=True):
-        heads.append(unpack(blob[:size], "uint64", "uint64", "int64", "int64", "int16", "int16"))
+        heads.append(unpack(blob[:size], "uint64", "uint64", "int64", "int64", "int16", "int16", "int32"))
         raws.append(np.frombuffer(zstandard.decompress(blob[size:]), np.uint8))
-    anchor, context, doc, most, sizes, lead = (np.concatenate([h[i] for h in heads]) for i in range(6))
+    anchor, context, doc, most, sizes, lead, sender = (np.concatenate([h[i] for h in heads]) for i in range(7))
     sizes = sizes.astype(np.int64)
     data = np.concatenate(raws)
     ends = np.cumsum(sizes)
@@ -352,6 +393,12 @@ def _expand(group: pa.Table, told: pa.Table) -> pa.Table:
     useful = h_most[holder] > least[verdict]
     verdict, holder = verdict[useful], holder[useful]
     target, kind, blob = [], [], []
+    own = np.flatnonzero(sender[row] >= 0)
+    for p, i in _cut(sender[row[own]]):
+        v = own[i]
+        target.append(p)
+        kind.append(STRING)
+        blob.append(pack(anchor[row[v]], least[v]))
     for p, i in _cut(h_parcel[holder]):
         v = verdict[i]
         target.append(p)
@@ -391,8 +438,8 @@ def _remove(texts: bool):
         s_key, s_least = _blobs(told, SETTLED, _SETTLED)
         v_key, v_low, v_high, v_least = _blobs(told, HELD, _VERDICT)
         mark = np.zeros(len(data) + 1, np.int64)
+        c = Contexts(data, offsets) if told.num_rows else None
         if len(s_key) or len(v_key):
-            c = Contexts(data, offsets)
             key = np.concatenate([s_key, v_key])
             whole = np.concatenate([np.ones(len(s_key), bool), np.zeros(len(v_key), bool)])
             low, high = (np.concatenate([np.zeros(len(s_key), np.int64), x.astype(np.int64)]) for x in (v_low, v_high))
@@ -408,6 +455,13 @@ def _remove(texts: bool):
             end = np.where(whole[v], c.last[row], c.place[row] + high[v]) + LENGTH
             np.add.at(mark, begin, 1)
             np.subtract.at(mark, end, 1)
+        hot, (t_hash, t_least) = _blobs(told, HOT, ("uint64",))[0], _blobs(told, STRING, _STRING)
+        if len(t_hash):
+            least_of = dict(zip(t_hash.tolist(), t_least.tolist(), strict=True))
+            for h, row, s in _strings(c, data, hot):
+                if least_of.get(h, _NO_ID) < ids[c.doc[row]]:
+                    mark[s] += 1
+                    mark[s + LENGTH] -= 1
         gone = np.cumsum(mark[:-1]) > 0
         n_removed, n_spans, digests, kept_texts = [], [], [], []
         for s, e in zip(offsets[:-1], offsets[1:], strict=True):
@@ -432,9 +486,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     parcels, count = parceled(docs, doc_id, text)
     by_parcel = parcels.groupBy("parcel")
     sent = by_parcel.applyInArrow(_send(count), _TOLD)
-    told = sent.groupBy("target").applyInArrow(_gather, _TOLD).repartition(count, "target")
+    hot = HOT_CONTEXTS
+    told = sent.groupBy("target").applyInArrow(lambda group: _gather(group, hot), _TOLD).repartition(count, "target")
     fetched = by_parcel.cogroup(told.groupBy("target")).applyInArrow(_fetch(count), _TOLD)
     verdicts = fetched.groupBy("target").cogroup(told.groupBy("target")).applyInArrow(_expand, _TOLD)
-    settled = told.where(F.col("kind") == SETTLED)
+    settled = told.where(F.col("kind").isin(SETTLED, HOT))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else "")
     return by_parcel.cogroup(settled.unionByName(verdicts).groupBy("target")).applyInArrow(_remove(texts), schema)

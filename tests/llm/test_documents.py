@@ -274,6 +274,14 @@ def test_repeats_of_periodic_and_cut_texts(spark, monkeypatch):
     assert plain(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(data)
 
 
+def test_repeats_of_a_hot_line(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT_CONTEXTS", 3)
+    line = prose(77, 14)
+    data = [(i, f"{prose(500 + i, 12)}\n{line}\n{prose(700 + i % 5, 12)}") for i in range(60)]
+    got = suffix.remove_repeats(spark.createDataFrame(data, "doc_id long, text string"), texts=False)
+    assert plain(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(data)
+
+
 def test_interval_expansion_groups():
     rng = np.random.default_rng(2)
     data = np.concatenate([rng.integers(0, 2, 3000), [255]]).astype(np.uint8)
