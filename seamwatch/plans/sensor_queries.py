@@ -12,6 +12,7 @@ from seamwatch.functions import text as X
 from seamwatch.functions import thermal as T
 from seamwatch.operators import sensors as S
 from seamwatch.plans.registry import FRAMES_SQL, GAS_SQL, query
+from seamwatch.sinks import tables as sinks
 from seamwatch.sources import files as SRC
 
 _DAY = "CAST(date_trunc('day', ts) AS DATE)"
@@ -151,6 +152,21 @@ def diagnostics_count(spark: SparkSession, d: str) -> DataFrame:
     return notes.groupBy("batch_id").agg(F.count(F.lit(1)).alias("warning_count"))
 
 
+@query("""WITH stored AS (SELECT user_id AS batch_id, CASE event_id % 2 WHEN 0 THEN 'gas' ELSE 'thermal' END AS scope FROM events WHERE event_type = 'error'),
+b AS (SELECT DISTINCT user_id AS batch_id FROM events WHERE user_id % 3 = 0),
+m AS (SELECT * FROM stored WHERE NOT (scope = 'gas' AND batch_id IN (SELECT batch_id FROM b))
+  UNION ALL SELECT user_id, 'gas' FROM events WHERE event_type = 'click' AND user_id % 3 = 0)
+SELECT b.batch_id, count(m.batch_id) AS warning_count FROM b LEFT JOIN m USING (batch_id) GROUP BY 1""")
+def diagnostics_recount(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of re-imported batches: their gas diagnostics are replaced, those of other scopes stay."""
+    events = A.table(spark, d, "events").withColumnRenamed("user_id", "batch_id")
+    message = F.col("event_id").cast("string").alias("message")
+    stored = events.where("event_type = 'error'").select("batch_id", F.when(F.col("event_id") % 2 == 0, "gas").otherwise("thermal").alias("scope"), message)
+    again = events.where("batch_id % 3 = 0")
+    new = again.where("event_type = 'click'").select("batch_id", F.lit("gas").alias("scope"), message)
+    return sinks.merge_diagnostics(stored, new, "gas", again.select("batch_id").distinct())[1]
+
+
 @query("""SELECT source, CAST(sum(len(list_filter(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: x <> '')) - 1) AS BIGINT) AS gas_rows
 FROM documents GROUP BY 1""")
 def gas_row_count(spark: SparkSession, d: str) -> DataFrame:

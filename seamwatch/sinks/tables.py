@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamwatch import constants as K
@@ -12,8 +14,12 @@ from seamwatch.operators import captures as C
 from seamwatch.operators import curation as D
 
 
-def write_gas_days(wide: DataFrame, path: str, ts: str = "ts", fmt: str = "csv") -> None:
-    """Wide gas rows in the seven-column layout, one folder per day."""
+def write_gas_days(wide: DataFrame, path: str, ts: str = "ts") -> None:
+    """Wide gas rows as CSV in the seven-column layout, one folder per day.
+
+    Rows whose day, time and sample are there already are left out, so a rerun adds nothing.  A
+    target with other columns (an older layout) is refused.
+    """
     zh = K.GAS_HEADER_ZH
     rows = wide.select(
         F.date_format(ts, "yyyy-MM-dd").alias("day"),
@@ -22,14 +28,52 @@ def write_gas_days(wide: DataFrame, path: str, ts: str = "ts", fmt: str = "csv")
         *[F.col(f"{c}_value").cast("string").alias(n) for c, n in zip(K.CHANNELS, zh[2:6])],
         F.col("status").alias(zh[6]),
     )
+    spark = wide.sparkSession
+    if _folders(spark, path):
+        there = spark.read.option("header", True).csv(path)
+        if [c for c in there.columns if c != "day"] != list(zh):
+            raise ValueError("gas table has a legacy header")
+        known = there.select(F.col("day").cast("string").alias("day"), F.col(f"`{zh[0]}`").cast("string").alias(zh[0]), F.col(f"`{zh[1]}`").cast("string").alias(zh[1]))
+        rows = rows.join(known, ["day", zh[0], zh[1]], "left_anti").select("day", *[F.col(f"`{n}`") for n in zh])
     writer = rows.repartitionByRange(F.col("day"), F.col(f"`{zh[1]}`")).sortWithinPartitions("day", f"`{zh[0]}`", f"`{zh[1]}`")
-    writer.write.mode("append").partitionBy("day").option("header", True).format(fmt).save(path)
+    writer.write.mode("append").partitionBy("day").option("header", True).csv(path)
 
 
-def replace_batch_samples(samples: DataFrame, path: str) -> None:
-    """Overwrite the sample partitions of the batches in ``samples`` and no others."""
+def replace_batch_samples(samples: DataFrame, path: str, batches: Sequence[str]) -> None:
+    """Replace the samples of the given batches and of no others.
+
+    A batch of the list that has no samples now loses those it had; rows of batches that are not
+    on the list are refused.
+    """
+    spark = samples.sparkSession
+    wanted = {str(b) for b in batches}
+    counts = {str(r["batch_id"]) for r in samples.where(F.col("batch_id").cast("string").isin(*wanted)).select("batch_id").distinct().collect()}
+    if not samples.where(~F.coalesce(F.col("batch_id").cast("string").isin(*wanted), F.lit(False))).isEmpty():
+        raise ValueError("samples of a batch that is not replaced")
     (samples.repartition("batch_id", F.pmod(F.xxhash64("sample_key"), F.lit(64))).write
         .mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
+    for folder in _folders(spark, path):
+        if folder.getName() in {f"batch_id={b}" for b in wanted - counts}:
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _folders(spark: SparkSession, path: str) -> list:
+    """Partition folders below a path."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in system.listStatus(target)] if system.exists(target) else []
+    return [p for p in found if "=" in p.getName()]
+
+
+def merge_diagnostics(stored: DataFrame, new: DataFrame, scope: str, batches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(diagnostics, counts): of the given batches, the diagnostics of ``scope`` are replaced by the new ones.
+
+    ``batches`` lists batch_id; every one has a count, 0 included.
+    """
+    stale = batches.select("batch_id", F.lit(scope).alias("scope"))
+    merged = stored.join(stale, ["batch_id", "scope"], "left_anti").select(*stored.columns).unionByName(new.select(*stored.columns))
+    counts = batches.select("batch_id").join(merged.groupBy("batch_id").agg(F.count(F.lit(1)).alias("warning_count")), "batch_id", "left")
+    return merged, counts.fillna(0, ["warning_count"])
 
 
 def append(rows: DataFrame, path: str, partition: list[str] | None = None) -> None:

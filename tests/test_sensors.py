@@ -91,15 +91,35 @@ def test_wide_rows_and_day_files(spark, tmp_path):
     sinks.write_gas_days(wide, str(tmp_path / "gas"))
     back = spark.read.option("header", True).csv(str(tmp_path / "gas"))
     assert back.columns == [*K.GAS_HEADER_ZH, "day"] and {str(r.day) for r in back.collect()} == {"2026-08-04", "2026-08-05"}
+    n = back.count()
+    sinks.write_gas_days(wide.withColumn("sample_id", F.when(F.col("sample_id") == 1, 1234567).otherwise(F.col("sample_id"))), str(tmp_path / "gas"))
+    ids = sorted(r[0] for r in spark.read.option("header", True).csv(str(tmp_path / "gas")).select(F.col(f"`{K.GAS_HEADER_ZH[1]}`").cast("int")).collect())
+    assert len(ids) == n + 1 and ids[-1] == 1234567
+    spark.createDataFrame([("2026-08-04", "x")], "day string, old string").write.partitionBy("day").option("header", True).csv(str(tmp_path / "legacy"))
+    with pytest.raises(ValueError, match="legacy header"):
+        sinks.write_gas_days(wide, str(tmp_path / "legacy"))
 
 
 def test_replace_one_batch(spark, tmp_path):
     path = str(tmp_path / "samples")
     def rows(values):
         return spark.createDataFrame(values, "batch_id string, sample_key string, v int")
-    sinks.replace_batch_samples(rows([("a", "1", 1), ("b", "1", 1)]), path)
-    sinks.replace_batch_samples(rows([("a", "9", 2)]), path)
-    assert sorted((r.batch_id, r.v) for r in spark.read.parquet(path).collect()) == [("a", 2), ("b", 1)]
+    sinks.replace_batch_samples(rows([("a", "1", 1), ("b", "1", 1), ("c", "1", 1)]), path, ["a", "b", "c"])
+    sinks.replace_batch_samples(rows([("a", "9", 2)]), path, ["a"])
+    assert sorted((r.batch_id, r.v) for r in spark.read.parquet(path).collect()) == [("a", 2), ("b", 1), ("c", 1)]
+    sinks.replace_batch_samples(rows([]), path, ["b"])
+    assert sorted((r.batch_id, r.v) for r in spark.read.parquet(path).collect()) == [("a", 2), ("c", 1)]
+    with pytest.raises(ValueError):
+        sinks.replace_batch_samples(rows([("c", "1", 3)]), path, ["a"])
+
+
+def test_oversized_values_are_whole(spark):
+    from seamwatch.operators.validate import stored_names
+    from seamwatch.sources import files
+    names = spark.createDataFrame([(1, 7, "a.jpg"), (1, 107, "a.jpg"), (1, 1007, "a.jpg")], "capture_id int, position int, name string")
+    assert sorted(r.file_name for r in stored_names(names).collect()) == ["1007_a.jpg", "107_a.jpg", "a.jpg"]
+    deep = "/root/" + "d/" * 4000 + "f.txt"
+    assert spark.createDataFrame([(deep,)], "p string").select(files.below(F.col("p"), "/root")).first()[0] == deep[6:]
 
 
 @pytest.mark.parametrize("block,levels", [(4, 3), (16, 2), (256, 1)])
