@@ -66,10 +66,6 @@ def objects(spark: SparkSession, folder: str) -> DataFrame:
     ).withColumn("object_index", F.col("object_index").cast("bigint"))
 
 
-def detections(spark: SparkSession, folder: str) -> DataFrame:
-    return raw_objects(spark, folder).withColumn("frame_index", F.col("l_linenumber") % 3)
-
-
 def corrections(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select(
         F.col("event_id").alias("id"),

@@ -157,7 +157,11 @@ def strip_private(attributes: Column) -> Column:
 
 def ordered_objects(fused: DataFrame, key: str = "capture_id") -> DataFrame:
     """Objects of a capture by falling confidence; equal ones in cluster order."""
-    return fused.orderBy(key, F.desc("confidence"), "cluster")
+    return fused.orderBy(key, *object_order())
+
+
+def object_order() -> list[Column]:
+    return [F.desc("confidence"), F.asc("cluster"), *[F.asc(g) for g in _GROUP]]
 
 
 def cluster_meter_votes(clustered: DataFrame, key: str = "capture_id", order: Sequence[str] = ("frame_index", "pos"), text: str = "digital_text") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seamwatch import adapters as A
@@ -111,30 +112,80 @@ def iou_to_best(spark: SparkSession, d: str) -> DataFrame:
     return out.select("capture_id", "l_linenumber", "l_partkey", "l_extendedprice", F.round(G.iou(F.col("bbox"), F.col("best")), 8).alias("iou"))
 
 
-def _detections(spark: SparkSession, d: str) -> DataFrame:
-    return A.detections(spark, d).withColumnsRenamed({"object_type": "type"}).withColumn(
-        "confidence", F.col("confidence") + 0.0)
+_FUSE_ORDER = ["frame_index", "l_linenumber", "l_suppkey", "l_orderkey", "l_extendedprice"]
+_BOX = "struct_pack(x1 := x1, y1 := y1, x2 := x1 + 40, y2 := y1 + 30, c := confidence)"
+_FUSE_SQL = f"""d AS (
+  SELECT l_partkey AS capture_id, l_returnflag AS type, l_linestatus AS class_id, l_linenumber % 3 AS frame_index,
+    round(l_discount * 10, 4) AS confidence, floor(l_quantity / 25) * 60 + l_suppkey * 7 % 13 AS x1, CAST(l_orderkey * 3 % 7 AS DOUBLE) AS y1,
+    l_linenumber, l_suppkey, l_orderkey, l_extendedprice FROM lineitem),
+o AS (SELECT *, row_number() OVER (PARTITION BY capture_id, type, class_id ORDER BY {', '.join(_FUSE_ORDER)}) AS n FROM d),
+f AS (
+  SELECT capture_id, type, class_id, n, [{_BOX}] AS open, CAST(1 AS BIGINT) AS hit, frame_index, x1, y1, confidence FROM o WHERE n = 1
+  UNION ALL
+  SELECT capture_id, type, class_id, n, CASE WHEN best IS NULL THEN list_append(open, own)
+      ELSE list_transform(open, lambda k, i: CASE WHEN i = list_position(ious, best) AND own.c > k.c THEN own ELSE k END) END,
+    CASE WHEN best IS NULL THEN len(open) + 1 ELSE list_position(ious, best) END, frame_index, x1, y1, confidence
+  FROM (SELECT *, list_max(list_filter(ious, lambda v: v >= 0.45)) AS best
+    FROM (SELECT *, list_transform(open, lambda k: CASE WHEN least(k.x2, own.x2) > greatest(k.x1, own.x1) AND least(k.y2, own.y2) > greatest(k.y1, own.y1) THEN
+        (least(k.x2, own.x2) - greatest(k.x1, own.x1)) * (least(k.y2, own.y2) - greatest(k.y1, own.y1))
+        / ((k.x2 - k.x1) * (k.y2 - k.y1) + (own.x2 - own.x1) * (own.y2 - own.y1)
+           - (least(k.x2, own.x2) - greatest(k.x1, own.x1)) * (least(k.y2, own.y2) - greatest(k.y1, own.y1))) ELSE 0.0 END) AS ious
+      FROM (SELECT o.*, f.open, struct_pack(x1 := o.x1, y1 := o.y1, x2 := o.x1 + 40, y2 := o.y1 + 30, c := o.confidence) AS own
+        FROM f JOIN o ON o.capture_id = f.capture_id AND o.type = f.type AND o.class_id = f.class_id AND o.n = f.n + 1)))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY capture_id, type, class_id, hit ORDER BY confidence DESC, n) AS place FROM f),
+seen AS (SELECT capture_id, type, class_id, hit, count(DISTINCT frame_index) AS observations, min(n) AS first FROM f GROUP BY 1, 2, 3, 4)"""
 
 
-_FUSE_ORDER = ["frame_index", *A.OBJECT_ORDER]
+def _detections(spark: SparkSession, d: str) -> DataFrame:
+    """A part's line items as boxes on a few shelves, so that boxes of several frames overlap."""
+    rows = A.table(spark, d, "lineitem")
+    x1 = (F.floor(F.col("l_quantity") / 25) * 60 + F.col("l_suppkey") * 7 % 13).cast("double")
+    y1 = (F.col("l_orderkey") * 3 % 7).cast("double")
+    return rows.select(
+        F.col("l_partkey").alias("capture_id"), F.col("l_returnflag").alias("type"), F.col("l_linestatus").alias("class_id"),
+        (F.col("l_linenumber") % 3).alias("frame_index"), F.round(F.col("l_discount") * 10, 4).alias("confidence"),
+        G.box(x1, y1, x1 + 40, y1 + 30).alias("bbox"), "l_linenumber", "l_suppkey", "l_orderkey", "l_extendedprice")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_FUSE_SQL}
+SELECT capture_id, type, class_id, x1, y1, x1 + 40 AS x2, y1 + 30 AS y2, confidence, observations
+FROM ranked JOIN seen USING (capture_id, type, class_id, hit) WHERE place = 1""")
 def fuse_frames(spark: SparkSession, d: str) -> DataFrame:
-    """Order-dependent association; checked against a plain loop in the tests."""
+    """Order-dependent association of boxes over frames; SQL folds each group's list."""
     clustered = U.assign_clusters(_detections(spark, d), order=_FUSE_ORDER)
     fused = U.fused_objects(clustered, order=_FUSE_ORDER)
     return fused.select(
         "capture_id", "type", "class_id", *[F.col(f"bbox.{s}").alias(s) for s in G.SIDES], "confidence", "observations")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_FUSE_SQL},
+best AS (SELECT capture_id, type, class_id, confidence, observations, first, hit FROM ranked JOIN seen USING (capture_id, type, class_id, hit) WHERE place = 1),
+opened AS (SELECT b.*, o.frame_index, o.l_linenumber, o.l_suppkey, o.l_orderkey, o.l_extendedprice FROM best b
+  JOIN o ON o.capture_id = b.capture_id AND o.type = b.type AND o.class_id = b.class_id AND o.n = b.first)
+SELECT capture_id, row_number() OVER (PARTITION BY capture_id ORDER BY confidence DESC, {', '.join(_FUSE_ORDER)}, type, class_id) AS position, type, class_id, confidence, observations
+FROM opened""")
+def fused_order(spark: SparkSession, d: str) -> DataFrame:
+    """Objects of a capture in the order they are listed: by falling confidence, equal ones in cluster order."""
+    clustered = U.assign_clusters(_detections(spark, d), order=_FUSE_ORDER)
+    fused = U.fused_objects(clustered, order=_FUSE_ORDER)
+    place = W.partitionBy("capture_id").orderBy(*U.object_order())
+    return fused.select("capture_id", F.row_number().over(place).cast("bigint").alias("position"), "type", "class_id", "confidence", "observations")
+
+
+@query(f"""WITH RECURSIVE {_FUSE_SQL},
+v AS (SELECT capture_id, type, class_id, hit, CAST(CAST(floor(x1 / 10) AS BIGINT) AS VARCHAR) AS txt, count(*) AS votes, min(n) AS since FROM f GROUP BY 1, 2, 3, 4, 5),
+b AS (SELECT *, row_number() OVER (PARTITION BY capture_id, type, class_id, hit ORDER BY votes DESC, since) AS k,
+  sum(votes) OVER (PARTITION BY capture_id, type, class_id, hit) AS total FROM v),
+w AS (SELECT b.*, votes >= CASE WHEN total >= 2 THEN 2 ELSE 1 END AS good, first FROM b JOIN seen USING (capture_id, type, class_id, hit) WHERE k = 1)
+SELECT w.capture_id, w.class_id, o.frame_index AS frame, o.l_orderkey AS first_order, CASE WHEN good THEN 'confirmed' ELSE 'unreadable' END AS status,
+  CASE WHEN good THEN txt END AS raw_text, CAST(votes AS DOUBLE) / CAST(total AS DOUBLE) AS confidence, votes
+FROM w JOIN o ON o.capture_id = w.capture_id AND o.type = w.type AND o.class_id = w.class_id AND o.n = w.first""")
 def cluster_readings(spark: SparkSession, d: str) -> DataFrame:
     """Voted reading per cluster: every object reads its rounded quantity."""
     clustered = U.assign_clusters(_detections(spark, d), order=_FUSE_ORDER)
     meters = clustered.withColumn("type", F.lit("digital_meter")).withColumn("digital_text", F.floor(F.col("bbox.x1") / 10).cast("string"))
     out = U.cluster_meter_votes(meters, order=_FUSE_ORDER)
-    return out.select("capture_id", "class_id", F.col("cluster.frame_index").alias("frame"), F.col("cluster.l_partkey").alias("part"), "status", "raw_text", "confidence", "votes")
+    return out.select("capture_id", "class_id", F.col("cluster.frame_index").alias("frame"), F.col("cluster.l_orderkey").alias("first_order"), "status", "raw_text", "confidence", "votes")
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'A' THEN 'tool' WHEN l_returnflag = 'N' THEN 'coal_pile' ELSE 'mystery' END AS type,
