@@ -67,40 +67,43 @@ def _fits(side: DataFrame) -> DataFrame:
     return F.broadcast(side) if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else side
 
 
-def _document_shingles(docs: DataFrame, doc_id: str, text: str, widths: list[int]) -> DataFrame:
+def _text_shingles(texts: DataFrame, text: str, widths: list[int]) -> DataFrame:
+    """(tag, size, h, width) of all shingles of all texts."""
     rows = None
     for k in widths:
-        found = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("tag"), shingles(F.col(text), k).alias("hs"))
-        found = found.select("doc", "tag", F.size("hs").alias("size"), F.explode("hs").alias("h"), F.lit(k).alias("width"))
+        found = texts.select(F.xxhash64(text).alias("tag"), shingles(F.col(text), k).alias("hs"))
+        found = found.select("tag", F.size("hs").alias("size"), F.explode("hs").alias("h"), F.lit(k).alias("width"))
         rows = found if rows is None else rows.unionByName(found)
     return rows
 
 
-def search(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-           item_text: str = "text", containment: float = CONTAINMENT) -> DataFrame:
-    """(doc, tag, item, n_shared, n_item, containment): whole documents that hold enough of an item.
+def leaking_texts(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+                  containment: float = CONTAINMENT) -> DataFrame:
+    """(tag, item, n_shared, n_item, containment): whole texts, by hash, that hold enough of an item.
 
-    ``tag`` is the hash of the document's text, which tells rows of one id apart.
+    Copies of a text are one candidate.
     """
     parts = durable(item_shingles(items, item_id, item_text))
     widths = [r["width"] for r in parts.select("width").distinct().collect()] or [WIDTH]
-    probes = _fits(item_slots(parts))
     enough = F.ceil(F.col("n") * containment)
-    rows = _document_shingles(docs, doc_id, text, widths)
-    hits = rows.join(probes, ["width", "h"]).where(F.col("size") >= enough)
-    candidates = durable(hits.select("doc", "tag", "item").distinct())
-    chosen = candidates.select(F.col("doc").alias(doc_id), "tag").distinct()
-    held = docs.select(doc_id, text).withColumn("tag", F.xxhash64(text))
-    wanted = _fits(chosen)
-    full = _document_shingles(held.join(wanted, [doc_id, "tag"], "left_semi").dropDuplicates([doc_id, "tag"]), doc_id, text, widths)
-    shared = full.select("doc", "tag", "width", "h").distinct().join(_fits(parts), ["width", "h"])
-    counted = shared.groupBy("doc", "tag", "item", "n").agg(F.count(F.lit(1)).alias("n_shared"))
-    verified = counted.where(F.col("n_shared") >= enough).join(candidates, ["doc", "tag", "item"], "left_semi")
-    return verified.select("doc", "tag", "item", "n_shared", F.col("n").alias("n_item"), (F.col("n_shared") / F.col("n")).alias("containment"))
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    hits = _text_shingles(docs, text, widths).join(_fits(item_slots(parts)), ["width", "h"]).where(F.col("size") >= enough)
+    candidates = durable(hits.select("tag", "item").distinct())
+    tagged = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("tag"))
+    held = tagged.join(_fits(candidates.select("tag").distinct()), "tag", "left_semi").dropDuplicates(["tag"])
+    shared = _text_shingles(held, "text", widths).select("tag", "width", "h").distinct().join(_fits(parts), ["width", "h"])
+    counted = shared.groupBy("tag", "item", "n").agg(F.count(F.lit(1)).alias("n_shared"))
+    verified = counted.where(F.col("n_shared") >= enough).join(candidates, ["tag", "item"], "left_semi")
+    return verified.select("tag", "item", "n_shared", F.col("n").alias("n_item"), (F.col("n_shared") / F.col("n")).alias("containment"))
+
+
+def search(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """(doc, item, n_shared, n_item, containment): documents that hold enough of an item, those without an id included."""
+    found = durable(leaking_texts(docs, items, text, **options))
+    rows = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("tag"))
+    return rows.join(_fits(found), "tag").drop("tag")
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents that hold no item, with all their columns."""
-    found = durable(search(docs, items, doc_id, text, **options).select(F.col("doc").alias("_found"), "tag").distinct())
-    tag = F.xxhash64(docs[text])
-    return docs.join(_fits(found), docs[doc_id].eqNullSafe(F.col("_found")) & (tag == F.col("tag")), "left_anti")
+    found = durable(leaking_texts(docs, items, text, **options).select(F.col("tag").alias("_tag")).distinct())
+    return docs.join(_fits(found), F.xxhash64(docs[text]) == F.col("_tag"), "left_anti")

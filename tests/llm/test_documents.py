@@ -161,8 +161,9 @@ def test_near_duplicates_empty_and_one_of_each(spark, docs):
 def test_decontamination(spark, docs):
     item = prose(5, 60)
     items = spark.createDataFrame([(1, " ".join(item.split()[10:40])), (2, prose(999, 30)), (3, None), (4, ""), (5, prose(999, 30)), (6, "under green")], "item_id long, text string")
+    docs = docs.unionByName(docs.where("doc_id = 5").withColumn("doc_id", F.lit(None).cast("long")))
     got = decontaminate.search(docs, items)
-    want = set()
+    want = {(None, 1, 26, 26)}
     for i, t, *_ in rows():
         for j, s in ((1, " ".join(item.split()[10:40])), (2, prose(999, 30)), (6, "under green")):
             width = min(5, len(s.split()))
@@ -171,8 +172,8 @@ def test_decontamination(spark, docs):
                 want.add((i, j, len(q & x), len(q)))
     assert {(r["doc"], r["item"], r["n_shared"], r["n_item"]) for r in got.collect()} == want and any(w[1] == 1 for w in want)
     clean = decontaminate.decontaminate(docs, items)
-    assert Counter(r["doc_id"] for r in clean.collect()) == Counter(r[0] for r in rows() if r[0] not in {w[0] for w in want})
-    assert decontaminate.decontaminate(docs, items.limit(0)).count() == docs.count()
+    assert Counter(r["doc_id"] for r in clean.collect()) == Counter(r[0] for r in rows() if r[0] is None or r[0] not in {w[0] for w in want})
+    assert decontaminate.decontaminate(docs, items.limit(0)).count() == len(rows()) + 1
     assert decontaminate.search(empty(spark), items).count() == 0
 
 
