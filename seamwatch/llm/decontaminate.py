@@ -93,7 +93,7 @@ def leaking_texts(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     shared = _text_shingles(held, "text", widths).select("tag", "width", "h").distinct().join(_fits(parts), ["width", "h"])
     counted = shared.groupBy("tag", "item", "n").agg(F.count(F.lit(1)).alias("n_shared"))
     verified = counted.where(F.col("n_shared") >= enough).join(candidates, ["tag", "item"], "left_semi")
-    return verified.select("tag", "item", "n_shared", F.col("n").alias("n_item"), (F.col("n_shared") / F.col("n")).alias("containment"))
+    return verified.select("tag", "item", "n_shared", F.col("n").cast("long").alias("n_item"), (F.col("n_shared") / F.col("n")).alias("containment"))
 
 
 def search(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -131,3 +131,27 @@ def op7_character_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents: spans by the rules and those that the tagger adds."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.find_personal_data(docs, pii.train(docs))
+
+
+ORACLES["op6_benchmark_containment"] = r"""
+WITH it AS (
+  SELECT min(item_id) AS item_id, w FROM (
+    SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM benchmark WHERE text IS NOT NULL)
+  WHERE len(w) > 0 GROUP BY w),
+si AS (SELECT item_id, w, least(len(w), 5) AS width FROM it),
+s AS (
+  SELECT DISTINCT item_id, width, array_to_string(w[i:i + width - 1], ' ') AS g
+  FROM (SELECT *, unnest(range(1, len(w) - width + 2)) AS i FROM si)),
+n AS (SELECT item_id, count(*) AS n_item FROM s GROUP BY 1),
+dw AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+d AS (
+  SELECT DISTINCT doc_id, width, array_to_string(w[i:i + width - 1], ' ') AS g
+  FROM (SELECT doc_id, w, width, unnest(range(1, len(w) - width + 2)) AS i
+        FROM dw, (SELECT DISTINCT width FROM s) k WHERE len(w) >= width))
+SELECT doc_id, item_id, count(*) AS n_shared, n_item, count(*) / n_item AS containment
+FROM d JOIN s USING (width, g) JOIN n USING (item_id)
+GROUP BY doc_id, item_id, n_item HAVING count(*) >= ceil(n_item * 0.8)
+"""
