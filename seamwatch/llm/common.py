@@ -165,7 +165,7 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[n
     return out, sizes
 
 
-def slices(texts: pa.Array, limit: int = 1 << 20):
+def slices(texts: pa.Array, limit: int = 1 << 18):
     """(first row, texts) of consecutive rows of about ``limit`` bytes, so that work arrays stay small."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()

@@ -88,7 +88,7 @@ def predictor(dictionaries: dict[str, bytes]):
     @F.arrow_udf("struct<lang:string,score:double>")
     def predict(texts: pa.Array) -> pa.Array:
         coder = _coder(dictionaries)
-        found = [coder.predict(t) for t in texts.to_pylist()]
+        found = [coder.predict(t.as_py()) for t in texts]  # one text at a time, not the batch
         return pa.StructArray.from_arrays(
             [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang", "score"])
 
