@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from seamwatch.llm.common import SPACE, durable, packed, with_results
 
-SWEEPS = 6
-TOLERANCE = 0.01
+SWEEPS = 8
+TOLERANCE = 0.005
 #: Share of all tokens to take, and the power that evens the marginals out (1 leaves them, 0 levels).
 KEEP = 0.6
 EVEN = 0.8
