@@ -11,7 +11,7 @@ from seamwatch.skew import number_rows
 
 #: Order of the objects of one capture.
 OBJECT_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-EVENT_CHANNELS = {"view": "ch4", "click": "o2", "purchase": "co", "signup": "h2s"}
+EVENT_CHANNELS = {"view": "ch4", "click": "o2", "purchase": "co", "signup": "h2s", "error": "co"}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -85,8 +85,8 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
 
 def gas_long(spark: SparkSession, folder: str) -> DataFrame:
     channel = F.create_map(*[F.lit(x) for pair in EVENT_CHANNELS.items() for x in pair])
-    status = F.when(F.col("value") > 80, "high_alarm").when(F.col("value") < 5, "low_alarm").otherwise("normal")
-    return events(spark, folder).where(F.col("event_type").isin(*EVENT_CHANNELS)).select(
+    status = F.when(F.col("event_type") == "error", "read_error").when(F.col("value") > 80, "high_alarm").when(F.col("value") < 5, "low_alarm").otherwise("normal")
+    return events(spark, folder).select(
         F.col("user_id").alias("device"), "day", "event_id", "ts",
         F.try_element_at(channel, F.col("event_type")).alias("channel"),
         F.col("value"), status.alias("status"),

@@ -54,10 +54,10 @@ READINGS_SQL = """readings AS (
   FROM events)"""
 GAS_SQL = """gas AS (
   SELECT user_id AS device, CAST(date_trunc('day', ts) AS DATE) AS day, event_id, ts,
-         CASE event_type WHEN 'view' THEN 'ch4' WHEN 'click' THEN 'o2' WHEN 'purchase' THEN 'co' WHEN 'signup' THEN 'h2s' END AS channel,
+         CASE event_type WHEN 'view' THEN 'ch4' WHEN 'click' THEN 'o2' WHEN 'purchase' THEN 'co' WHEN 'signup' THEN 'h2s' WHEN 'error' THEN 'co' END AS channel,
          value,
-         CASE WHEN value > 80 THEN 'high_alarm' WHEN value < 5 THEN 'low_alarm' ELSE 'normal' END AS status
-  FROM events WHERE event_type IN ('view','click','purchase','signup'))"""
+         CASE WHEN event_type = 'error' THEN 'read_error' WHEN value > 80 THEN 'high_alarm' WHEN value < 5 THEN 'low_alarm' ELSE 'normal' END AS status
+  FROM events)"""
 RECORDS_SQL = """records AS (
   SELECT lpad(CAST(doc_id AS VARCHAR), CAST(greatest(12, length(CAST(doc_id AS VARCHAR))) AS INTEGER), '0') AS relative_path, doc_id AS capture_id, source AS batch_id,
          sha256(text) AS sha256, sha256(regexp_replace(lower(text), '[^a-z]', '', 'g')) AS perceptual_hash,

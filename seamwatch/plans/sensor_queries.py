@@ -212,36 +212,37 @@ def thermal_diagnostics(spark: SparkSession, d: str) -> DataFrame:
 
 # --- alignment ----------------------------------------------------------------------------------------------------------
 
-_SIDES_SQL = f"""g AS (SELECT user_id AS batch_id, {_DAY} AS day, min(event_id) AS gas_event, arg_min(value, event_id) AS gas_value FROM events WHERE event_type = 'view' GROUP BY 1, 2),
-t AS (SELECT user_id AS batch_id, {_DAY} AS day, min(event_id) AS thermal_event, arg_min(value, event_id) AS thermal_value FROM events WHERE event_type = 'click' GROUP BY 1, 2),
+_SIDES_SQL = f"""g AS (SELECT user_id AS batch_id, {_DAY} AS day, min(event_id) AS gas_event, arg_min(value, event_id) AS gas_value FROM events WHERE event_type IN ('view', 'purchase') GROUP BY 1, 2),
+t AS (SELECT user_id AS batch_id, {_DAY} AS day, min(event_id) AS thermal_event, arg_min(value, event_id) AS thermal_value FROM events WHERE event_type NOT IN ('view', 'purchase') GROUP BY 1, 2),
 aligned AS (SELECT coalesce(g.batch_id, t.batch_id) AS batch_id, coalesce(g.day, t.day) AS day, gas_event, gas_value, thermal_event, thermal_value,
   CASE WHEN g.batch_id IS NULL THEN 'missing_gas_row' WHEN t.batch_id IS NULL THEN 'missing_thermal_frame' END AS warning
 FROM g FULL JOIN t ON g.batch_id = t.batch_id AND g.day = t.day)"""
 
 
-def _side(spark: SparkSession, d: str, kind: str, name: str) -> DataFrame:
-    rows = A.events(spark, d).where(F.col("event_type") == kind)
+def _side(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """Every event is of one side: views and purchases are gas rows, the others thermal frames."""
+    gas = F.col("event_type").isin("view", "purchase")
+    rows = A.events(spark, d).where(gas if name == "gas" else ~gas)
     return rows.groupBy(F.col("user_id").alias("batch_id"), "day").agg(
         F.min("event_id").alias(f"{name}_event"), F.min_by("value", "event_id").alias(f"{name}_value"))
 
 
 @query(f"WITH {_SIDES_SQL} SELECT * FROM aligned")
 def sensor_align(spark: SparkSession, d: str) -> DataFrame:
-    return S.align_sensors(_side(spark, d, "view", "gas"), _side(spark, d, "click", "thermal"), ["batch_id", "day"])
+    return S.align_sensors(_side(spark, d, "gas"), _side(spark, d, "thermal"), ["batch_id", "day"])
 
 
 @query(f"""WITH {_SIDES_SQL} SELECT CAST(batch_id AS VARCHAR) AS batch_id, 'sensors' AS scope, CAST(day AS VARCHAR) AS sample_key, warning AS message
 FROM aligned WHERE warning IS NOT NULL""")
 def sensor_align_diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    aligned = S.align_sensors(_side(spark, d, "view", "gas"), _side(spark, d, "click", "thermal"), ["batch_id", "day"])
+    aligned = S.align_sensors(_side(spark, d, "gas"), _side(spark, d, "thermal"), ["batch_id", "day"])
     return S.alignment_diagnostics(aligned, key="day").select("batch_id", "scope", "sample_key", "message")
 
 
-@query(f"SELECT DISTINCT user_id, {_DAY} AS day FROM events WHERE event_type IN ('view', 'click')")
+@query(f"SELECT DISTINCT user_id, {_DAY} AS day FROM events")
 def sample_keys(spark: SparkSession, d: str) -> DataFrame:
-    e = A.events(spark, d)
-    keys = [e.where(F.col("event_type") == k).select("user_id", "day") for k in ("view", "click")]
-    return keys[0].union(keys[1]).distinct()
+    gas, thermal = (_side(spark, d, name).select(F.col("batch_id").alias("user_id"), "day") for name in ("gas", "thermal"))
+    return gas.union(thermal).distinct()
 
 
 @query(f"""WITH {GAS_SQL}, p AS (SELECT device, day,
