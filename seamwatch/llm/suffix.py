@@ -322,7 +322,7 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
         key = key << np.uint64(8) | padded[i : i + n]
     known = 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # any order of equal prefixes will do: no boundary depends on it
         if known >= depth:
             return order
         ranked = key[order]
@@ -352,7 +352,7 @@ def repeated_groups(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
     edge[1:] |= fresh
     waiting = np.flatnonzero(~fresh)
     for _ in range(1, length):
-        interval = np.cumsum(edge)
+        interval = np.cumsum(edge, dtype=np.int32)
         split = interval[first[waiting]] != interval[second[waiting]]
         if not split.any():
             break
