@@ -5,7 +5,9 @@ cluster of votes gives a region that is aligned with the template: words unique
 anchors, their longest increasing subsequence is kept, and the gaps between anchors are aligned
 the same way (equal words at a gap's two ends are matched first).  Coverage is the matched share
 of the template's words; regions from ``COVERAGE`` on are hits, and of overlapping hits of one
-template the best, then the first, stays.
+template the best, then the first, stays.  Licenses of one family differ by few words (CC BY and
+CC BY-NC, GPL 2 and 3): of overlapping hits of templates that are themselves alike the one of the
+greatest coverage, then of the most words, stays; a header inside a whole text is a hit of its own.
 
 Words are runs of letters and digits, lower-cased.  Null and empty texts have no hit; whole texts
 are scanned, and a notice that repeats is a hit each time.  Repeated rows are scanned each.  An
@@ -17,18 +19,58 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Mapping
+from functools import lru_cache
+from importlib import resources
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 COVERAGE = 0.8
 #: Words by which a copy may be longer or shorter than the template before its rare words.
 SLACK = 12
+#: Words from which on a template is long, and the share of its words that vote then: more than a hit may lack.
+LONG, VOTERS = 400, 0.4
 #: Words of templates too common to vote.
 COMMON = frozenset("a all and any are as at be by for in is it may not of on or that the this to under with you your work use without".split())
 
-# License notices as their owners publish them.
+_GNU = ("{0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2} General Public License as published by "
+        "the Free Software Foundation{3} {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+        "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {2} General Public License for more details.")
+_CC = {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nc": "Attribution-NonCommercial", "by-nd": "Attribution-NoDerivatives",
+       "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
+
+
+def _published() -> dict[str, str]:
+    """The whole texts in ``license_texts``, each as its owner publishes it but for lines of copyright holders."""
+    folder = resources.files("seamwatch.llm").joinpath("license_texts")
+    return {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in sorted(folder.iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
+
+
+def _gnu_headers() -> dict[str, str]:
+    out = {}
+    for name, title, kind, version in (("gpl", "This program", "", "2"), ("gpl", "This program", "", "3"), ("lgpl", "This library", "Lesser", "2.1"),
+                                       ("lgpl", "This library", "Lesser", "3"), ("agpl", "This program", "Affero", "3")):
+        own = version if "." in version else version + ".0"
+        mark, first = (";", ";") if version in ("2", "2.1") else (":", ",")
+        out[f"{name}-{own}-or-later-header"] = _GNU.format(title, mark, kind, f"{first} either version {version} of the License, or (at your option) any later version.")
+        out[f"{name}-{own}-only-header"] = _GNU.format(title, mark, kind, f", version {version}." if first == "," else f"; version {version} of the License.")
+    return out
+
+
+def _cc_notices() -> dict[str, str]:
+    out = {}
+    for version, scope in (("4.0", "International"), ("3.0", "Unported")):
+        for code, title in _CC.items():
+            title = title.replace("Derivatives", "Derivs") if version == "3.0" else title
+            out[f"cc-{code}-{version}"] = f"Licensed under CC {code.upper()} {version}."
+            out[f"cc-{code}-{version}-notice"] = f"This work is licensed under a Creative Commons {title} {version} {scope} License."
+    return out
+
+
+# Short notices and standard headers, beside the whole published texts.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-header": (
@@ -41,9 +83,28 @@ TEMPLATES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, "
         "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
         "distribute, sublicense, and/or sell copies of the Software"),
+    "mit-conditions": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "mit-disclaimer": (
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE "
+        "FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+        "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
+    "gpl-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "lgpl-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "lgpl-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "agpl-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
     "rights-reserved": "All rights reserved.",
+    "bsd": "Released under the BSD License.",
+    "isc": "Released under the ISC License.",
+    "mpl-2.0": "Licensed under the Mozilla Public License, Version 2.0.",
+    "mpl-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with "
+        "this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    "cc0-1.0": "Licensed under CC0 1.0 Universal.",
+    **_cc_notices(),
+    **_gnu_headers(),
+    **_published(),
 }
 
 _WORD = re.compile(r"[^\W_]+")
@@ -104,31 +165,82 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def _voters(tokens: list[str]) -> set[str]:
+    """The words that vote: all rare ones, of long templates the rarest that make up ``VOTERS`` of its words."""
+    counts = Counter(t for t in tokens if t not in COMMON)
+    if len(tokens) <= LONG:
+        return set(counts)
+    out, held = set(), 0
+    for t, n in sorted(counts.items(), key=lambda c: (c[1], c[0])):
+        if held >= VOTERS * len(tokens):
+            break
+        out.add(t)
+        held += n
+    return out
+
+
 class Scanner:
     """Templates ready for scanning."""
 
     def __init__(self, templates: Mapping[str, str], coverage: float = COVERAGE):
         self.coverage = coverage
         self.templates = {name: [w for w, _, _ in words(t)] for name, t in templates.items()}
+        self.counts = {name: Counter(tokens) for name, tokens in self.templates.items()}
+        self.rare = {name: _voters(tokens) for name, tokens in self.templates.items()}
         self.votes: dict[str, list[tuple[str, int]]] = {}
         for name, tokens in self.templates.items():
             for i, t in enumerate(tokens):
-                if t not in COMMON:
+                if t in self.rare[name]:
                     self.votes.setdefault(t, []).append((name, i))
-        self.rare = {name: {t for t in tokens if t not in COMMON} for name, tokens in self.templates.items()}
+        self.names = list(self.templates)
+        self.place = {w: i for i, w in enumerate(dict.fromkeys(w for t in self.templates.values() for w in t))}
+        self.uses = np.zeros((len(self.place), len(self.names)), np.int32)
+        for k, counts in enumerate(self.counts.values()):
+            for w, n in counts.items():
+                self.uses[self.place[w], k] = n
+        self.least = np.array([coverage * len(t) - 1e-9 for t in self.templates.values()])
+        self.alike: dict[tuple[str, str], bool] = {}
+
+    def _possible(self, text: str) -> set[str]:
+        """Templates of which the text has enough words at all, in whatever order."""
+        there = {w.lower() for w in set(_WORD.findall(text))}
+        known = [self.place[w] for w in there & self.place.keys()]
+        return {self.names[k] for k in np.flatnonzero(self.uses[known].sum(axis=0) >= self.least)} if known else set()
+
+    def _related(self, a: str, b: str) -> bool:
+        """Whether two templates are much the same words: one is at most twice the other and holds nearly all of it."""
+        key = (min(a, b), max(a, b))
+        if key not in self.alike:
+            m, n = len(self.templates[a]), len(self.templates[b])
+            self.alike[key] = max(m, n) <= 2 * min(m, n) and sum((self.counts[a] & self.counts[b]).values()) >= self.coverage * min(m, n) - 1e-9
+        return self.alike[key]
+
+    def _best_of_family(self, hits: list[tuple[str, float, int, int]]) -> list[tuple[str, float, int, int]]:
+        kept, group, end = [], [], -1
+        for hit in [*sorted(hits, key=lambda h: (h[2], h[3], h[0])), None]:
+            if hit is None or hit[2] >= end:
+                stay: list[tuple[str, float, int, int]] = []
+                for h in sorted(group, key=lambda h: (-h[1], -len(self.templates[h[0]]), h[2], h[0])):
+                    if all(h[3] <= k[2] or h[2] >= k[3] or h[0] == k[0] or not self._related(h[0], k[0]) for k in stay):
+                        stay.append(h)
+                kept.extend(stay)
+                group = []
+            if hit is not None:
+                group.append(hit)
+                end = max(end, hit[3])
+        return kept
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(license, coverage, start, end) of all hits, places in code points."""
         if not text:
             return []
-        lowered = text.lower()
-        there = {w for w in self.votes if w in lowered}
-        # a hit lacks at most 1 - coverage of the words, rare ones included
-        names = {n for n, t in self.templates.items() if sum(w not in there for w in self.rare[n]) <= (1 - self.coverage) * len(t) + 1e-9}
+        names = self._possible(text)
         if not names:
             return []
         found = words(text)
         tokens = [w for w, _, _ in found]
+        there = Counter(tokens)
+        names = {n for n in names if sum(min(k, there[w]) for w, k in self.counts[n].items()) >= self.coverage * len(self.templates[n]) - 1e-9}
         starts: dict[str, list[int]] = {}
         for at, token in enumerate(tokens):
             for name, i in self.votes.get(token, ()):
@@ -137,12 +249,12 @@ class Scanner:
         hits = []
         for name, votes in starts.items():
             hits.extend(self._best(name, tokens, found, sorted(votes)))
-        return sorted(hits, key=lambda h: (h[2], h[0]))
+        return sorted(self._best_of_family(hits), key=lambda h: (h[2], h[0]))
 
     def _best(self, name, tokens, found, votes):
         template = self.templates[name]
         missing = (1 - self.coverage) * len(template) + 1e-9
-        enough = max(1, math.ceil(sum(t not in COMMON for t in template) - missing))
+        enough = max(1, math.ceil(sum(t in self.rare[name] for t in template) - missing))
         reach = min(SLACK, len(template))
         hits, to = set(), 0
         for at, vote in enumerate(votes):
@@ -178,12 +290,17 @@ def _apart(group: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return sorted(kept)
 
 
+@lru_cache(maxsize=2)
+def _scanner(templates: tuple[tuple[str, str], ...], coverage: float) -> Scanner:
+    return Scanner(dict(templates), coverage)
+
+
 def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, doc_id: str = "doc_id", text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, license, coverage, start, end), one row for each hit."""
-    texts = dict(templates)
+    texts = tuple(templates.items())
 
     def run(batches):
-        scanner = Scanner(texts, coverage)
+        scanner = _scanner(texts, coverage)
         for batch in batches:
             hits = [(i, *h) for i, t in enumerate(batch.column("text")) for h in scanner.scan(t.as_py())]
             yield pa.record_batch({

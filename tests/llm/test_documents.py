@@ -379,6 +379,18 @@ def test_licenses(spark, docs):
     assert licenses.scan_licenses(docs.withColumn("coverage", F.lit(1))).count() == 0
 
 
+def test_licenses_whole_texts_and_families():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES.items():
+        got = scanner.scan(f"{prose(3, 40)}\n{text}\n{prose(4, 40)}")
+        assert (name, 1.0) in [(h[0], h[1]) for h in got], name
+    names = lambda text: {h[0] for h in scanner.scan(text)}
+    parts = licenses.TEMPLATES["mit-text"].split("\n\n")
+    assert names(parts[1]) == {"mit-conditions"} and names(parts[2]) == {"mit-disclaimer"}
+    assert names("Licensed under CC BY-NC 4.0.") == {"cc-by-nc-4.0"} and names("Licensed under CC BY-NC-SA 3.0.") == {"cc-by-nc-sa-3.0"}
+    assert names("This work is licensed under the GNU Lesser General Public License, version 3.") == {"lgpl-3.0"}
+
+
 # --- pipeline
 
 def test_pipeline_stages_keep_columns_and_empty_tables(spark, tmp_path):
