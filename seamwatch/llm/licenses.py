@@ -1,7 +1,11 @@
 """License scans by patience alignment.
 
 A template's rare words vote, by their place in it, for where a copy may start in a text.  Each
-cluster of votes gives a region that is aligned with the template: words unique to both are
+cluster of votes gives a region that is aligned with the template.  Smaller clusters outside of
+hits are chained as long as their template places rise, however far apart they are; such a region
+is the pieces and the words next to them, so that a page break, an inserted clause or a missing
+one hides no copy, and words of a wide gap do not count as matched.  A piece has four votes at
+least: a notice of a few words is one piece.  In an alignment words unique to both sides are
 anchors, their longest increasing subsequence is kept, and the gaps between anchors are aligned
 the same way (equal words at a gap's two ends are matched first).  Coverage is the matched share
 of the template's words; regions from ``COVERAGE`` on are hits, and of overlapping hits of one
@@ -31,6 +35,8 @@ from pyspark.sql import DataFrame
 COVERAGE = 0.8
 #: Words by which a copy may be longer or shorter than the template before its rare words.
 SLACK = 12
+#: Votes of a piece that may be joined to others over a gap of any length, and what a gap costs a chain.
+PIECE, JUMP = 4, 2
 #: Words from which on a template is long, and the share of its words that vote then: more than a hit may lack.
 LONG, VOTERS = 400, 0.4
 #: Words of templates too common to vote.
@@ -241,11 +247,11 @@ class Scanner:
         tokens = [w for w, _, _ in found]
         there = Counter(tokens)
         names = {n for n in names if sum(min(k, there[w]) for w, k in self.counts[n].items()) >= self.coverage * len(self.templates[n]) - 1e-9}
-        starts: dict[str, list[int]] = {}
+        starts: dict[str, list[tuple[int, int]]] = {}
         for at, token in enumerate(tokens):
             for name, i in self.votes.get(token, ()):
                 if name in names:
-                    starts.setdefault(name, []).append(at - i)
+                    starts.setdefault(name, []).append((at - i, at))
         hits = []
         for name, votes in starts.items():
             hits.extend(self._best(name, tokens, found, sorted(votes)))
@@ -255,6 +261,12 @@ class Scanner:
         template = self.templates[name]
         missing = (1 - self.coverage) * len(template) + 1e-9
         enough = max(1, math.ceil(sum(t in self.rare[name] for t in template) - missing))
+        kept = self._close(tokens, template, [d for d, _ in votes], missing, enough)
+        kept = self._joined(tokens, template, votes, kept, missing, enough)
+        return [(name, -size / len(template), found[first][1], found[last][2]) for first, size, last in kept]
+
+    def _close(self, tokens, template, votes, missing, enough):
+        """Hits with nearly all their votes within ``SLACK`` words of one start: (first, -matched, last)."""
         reach = min(SLACK, len(template))
         hits, to = set(), 0
         for at, vote in enumerate(votes):
@@ -262,7 +274,7 @@ class Scanner:
                 continue
             while to < len(votes) and votes[to] - vote <= reach:
                 to += 1
-            if to - at < enough:  # a hit has nearly all its rare words within reach of one start
+            if to - at < enough:
                 continue
             low, high = max(0, vote), vote + len(template)
             matched = align(tokens[low:high], template)
@@ -278,12 +290,117 @@ class Scanner:
                 group = []
             group.append(hit)
             end = max(end, hit[2])
-        return [(name, -size / len(template), found[first][1], found[last][2]) for first, size, last in kept]
+        return kept
+
+    def _joined(self, tokens, template, votes, kept, missing, enough):
+        """The hits, and those whose pieces are further apart: pieces outside of hits, or those that complete one, are chained over gaps of any length."""
+        taken = bytearray(len(tokens))
+        for hit in kept:
+            taken[hit[0] : hit[2] + 1] = b"\1" * (hit[2] + 1 - hit[0])
+        pieces = _pieces([v for v in votes if not taken[v[1]]])
+        if not pieces:
+            return kept
+        kept = set(kept)
+        owner = {}
+        for hit in kept:
+            if -hit[1] < len(template):
+                inside = [v for v in votes if hit[0] <= v[1] <= hit[2]]
+                owner.update((p, hit) for p in _pieces(inside))
+        while any(p not in owner for p in pieces):
+            done = set()
+            for chain in _chains([*pieces, *(p for p, h in owner.items() if h in kept)]):
+                weight = Counter()
+                for p in chain:
+                    if p in owner:
+                        weight[owner[p]] += p[4]
+                own = max(weight, key=weight.get) if weight else None
+                chain = [p for p in chain if p not in owner or owner[p] == own]
+                free = [p for p in chain if p not in owner]
+                if len(chain) < 2 or not free or 2 * sum(p[4] for p in chain) < enough:
+                    continue
+                if own is not None:
+                    taken[own[0] : own[2] + 1] = bytes(own[2] + 1 - own[0])
+                at = _around(chain, len(template), taken)
+                matched = align([tokens[i] for i in at], template)
+                if len(matched) >= len(template) - missing and (own is None or len(matched) > -own[1]):
+                    kept.discard(own)
+                    kept.add((at[matched[0][0]], -len(matched), at[matched[-1][0]]))
+                    for i, _ in matched:
+                        taken[at[i]] = 1
+                    done.update(free)
+                elif own is not None:
+                    taken[own[0] : own[2] + 1] = b"\1" * (own[2] + 1 - own[0])
+            if not done:
+                break
+            pieces = [p for p in pieces if p not in done]
+        return sorted(kept)
+
+
+def _pieces(votes: list[tuple[int, int]]) -> list[tuple]:
+    """Runs of ``PIECE`` votes at least for one start, at most ``SLACK`` words apart: (first, last, template first, template last, votes)."""
+    out, run = [], []
+    for vote in [*sorted(votes), None]:
+        if run and (vote is None or vote[0] != run[-1][0] or vote[1] - run[-1][1] > SLACK):
+            if len(run) >= PIECE:
+                (d, first), (_, last) = run[0], run[-1]
+                out.append((first, last, first - d, last - d, len(run)))
+            run = []
+        run.append(vote)
+    return out
+
 
+def _chains(pieces: list[tuple]) -> list[list[tuple]]:
+    """Disjoint chains of pieces that rise in the text and the template, those of most votes first; of equal ones the nearest are joined."""
+    size = max(p[3] for p in pieces) + 2
+    tree: list[tuple[int, int]] = [(0, -1)] * (size + 1)  # best (score, piece) that ends up to a template place
+    order = sorted(range(len(pieces)), key=lambda i: pieces[i][:2])
+    ends = sorted(order, key=lambda i: pieces[i][1])
+    score, back, at = [0] * len(pieces), [-1] * len(pieces), 0
+    ranks = {i: r for r, i in enumerate(ends)}
+    for j in order:
+        while at < len(ends) and pieces[ends[at]][1] < pieces[j][0]:
+            i, k = ends[at], pieces[ends[at]][3] + 1
+            while k <= size:
+                tree[k] = max(tree[k], (score[i], ranks[i]))
+                k += k & -k
+            at += 1
+        best, k = (0, -1), pieces[j][2]  # template places before the first
+        while k > 0:
+            best = max(best, tree[k])
+            k -= k & -k
+        score[j], back[j] = pieces[j][4], -1
+        if best[0] > JUMP:
+            score[j], back[j] = pieces[j][4] + best[0] - JUMP, ends[best[1]]
+    out, used = [], [False] * len(pieces)
+    for j in sorted(order, key=lambda i: -score[i]):
+        chain = []
+        while j >= 0 and not used[j]:
+            used[j] = True
+            chain.append(pieces[j])
+            j = back[j]
+        if chain:
+            out.append(chain[::-1])
+    return out
 
-def _apart(group: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+
+def _around(chain: list[tuple], length: int, taken: bytearray) -> list[int]:
+    """Free text places in the pieces and, on either side, of as many words as the template has there and ``SLACK`` more."""
+    at: list[int] = []
+    before, low = -1, 0
+    for n, (first, last, c, d, _) in enumerate(chain):
+        after = chain[n + 1][2] if n + 1 < len(chain) else length
+        start = max(low, first - (c - before - 1) - SLACK)
+        low = min(len(taken), last + (after - d - 1) + SLACK + 1)
+        if n + 1 < len(chain):
+            low = min(low, chain[n + 1][0])
+        at.extend(i for i in range(start, low) if not taken[i])
+        before = d
+    return at
+
+
+def _apart(group: list[tuple]) -> list[tuple]:
     """Of hits that overlap in a chain, the best that do not overlap each other."""
-    kept: list[tuple[int, int, int]] = []
+    kept: list[tuple] = []
     for hit in sorted(group, key=lambda h: (h[1], h[2] - h[0], h[0])):
         if all(hit[2] < k[0] or hit[0] > k[2] for k in kept):
             kept.append(hit)

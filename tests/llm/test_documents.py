@@ -391,6 +391,38 @@ def test_licenses_whole_texts_and_families():
     assert names("This work is licensed under the GNU Lesser General Public License, version 3.") == {"lgpl-3.0"}
 
 
+@pytest.mark.parametrize("foreign", [13, 40, 200, 5000])
+def test_licenses_over_gaps(foreign):
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name in ("mit-grant", "apache-2.0-header", "gpl-2.0-or-later-header", "mit-text", "gpl-3.0-text"):
+        own = licenses.TEMPLATES[name].split()
+        for cut in sorted({19, 22, 25, 29, len(own) // 2}):
+            text = " ".join([prose(1, 30), *own[:cut], prose(2, foreign), *own[cut:], prose(3, 30)])
+            assert any(h[0] == name and h[1] > 0.97 and h[3] - h[2] > len(" ".join(own)) for h in scanner.scan(text)), (name, cut)
+    own = licenses.TEMPLATES["mit-text"].split()
+    columns = " ".join(" ".join([*own[i : i + 12], prose(i, 8 + foreign % 30)]) for i in range(0, len(own), 12))
+    assert any(h[0] == "mit-text" and h[1] > 0.9 for h in scanner.scan(columns))
+
+
+def test_licenses_over_missing_words_and_copies():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    own = licenses.TEMPLATES["apache-2.0-header"].split()
+    n = len([w for w, _, _ in licenses.words(" ".join(own))])
+    for gone in (13, 14):
+        for cut in range(25, 37):
+            text = " ".join([prose(1, 60), *own[:cut], *own[cut + gone :], prose(2, 60)])
+            left = len(licenses.words(" ".join(own[:cut] + own[cut + gone :]))) / n
+            if left >= licenses.COVERAGE:
+                assert any(h[0] == "apache-2.0-header" and h[1] >= left - 1e-9 for h in scanner.scan(text)), (gone, cut)
+    own = licenses.TEMPLATES["mit-grant"].split()
+    split = " ".join([*own[:22], prose(2, 50), *own[22:]])
+    got = [h for h in scanner.scan(f"{' '.join(own)} {split} {split} {' '.join(own)} {' '.join(own[:22])}") if h[0] == "mit-grant"]
+    assert [h[1] for h in got] == [1.0] * 4 and all(a[3] <= b[2] for a, b in zip(got, got[1:], strict=False))
+    late = " ".join([*own[:38], prose(2, 50), *own[38:]])
+    assert [h[1] for h in scanner.scan(late) if h[0] == "mit-grant"] == [1.0]
+    assert scanner.scan(" ".join([*own[:22], prose(2, 50), *own[:22]])) == []
+
+
 # --- pipeline
 
 def test_pipeline_stages_keep_columns_and_empty_tables(spark, tmp_path):
