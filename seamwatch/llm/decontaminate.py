@@ -11,8 +11,8 @@ item's distinct shingles that the whole document holds.
 
 Words are runs of other than white space, lower-cased.  An item of fewer than ``WIDTH`` words is
 one shingle of all of them, looked for at that width.  Items and documents that are null or
-without words match nothing; repeated items are one item; ties do not arise.  An empty benchmark
-keeps all documents.
+without words match nothing; items of equal words are searched for once and found under each of
+their ids (equal rows are one); ties do not arise.  An empty benchmark keeps all documents.
 """
 
 from __future__ import annotations
@@ -44,8 +44,15 @@ def shingles(text: Column, width: int = WIDTH) -> Column:
     return let(words(text), runs)
 
 
+def memberships(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """(item, item_id): each distinct item id by the id that stands for all items of equal words."""
+    own = items.select(F.col(item_id).alias("item_id"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
+    least = own.groupBy("w").agg(F.min("item_id").alias("item"))
+    return own.join(least, "w").select("item", "item_id").distinct()
+
+
 def item_shingles(items: DataFrame, item_id: str = "item_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """(item, width, n, h): the distinct shingles of each distinct item."""
+    """(item, width, n, h): the distinct shingles of each distinct item, by its least id."""
     short = items.select(F.col(item_id).alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
     sized = short.groupBy("w").agg(F.min("item").alias("item")).select("*", F.least(F.size("w"), F.lit(width)).alias("width"))
     hashes = F.coalesce(*[F.when(F.col("width") == k, shingles(F.array_join("w", " "), k)) for k in range(1, width + 1)])
@@ -97,8 +104,14 @@ def leaking_texts(docs: DataFrame, items: DataFrame, text: str = "text", item_id
 
 
 def search(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """(doc, item, n_shared, n_item, containment): documents that hold enough of an item, those without an id included."""
+    """(doc, item, n_shared, n_item, containment): documents that hold enough of an item, those without an id included.
+
+    Items of equal words are searched for once and each of their ids has its row.
+    """
     found = durable(leaking_texts(docs, items, text, **options))
+    ids = memberships(items, options.get("item_id", "item_id"), options.get("item_text", "text"))
+    found = found.join(_fits(ids), found["item"].eqNullSafe(ids["item"])).select("tag", F.col("item_id").alias("item"), "n_shared", "n_item", "containment")
+    found = durable(found)
     rows = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("tag"))
     return rows.join(_fits(found), "tag").drop("tag")
 

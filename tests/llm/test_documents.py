@@ -177,6 +177,15 @@ def test_decontamination(spark, docs):
     assert decontaminate.search(empty(spark), items).count() == 0
 
 
+def test_decontamination_names_every_id_of_a_repeated_item(spark):
+    base = prose(5, 40)
+    items = spark.createDataFrame([(7, base), (42, base), (43, base.upper().replace(" ", "\n")), (42, base), (9, prose(6, 40))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"{prose(1, 30)} {base}"), (2, prose(2, 60))], "doc_id long, text string")
+    got = decontaminate.search(docs, items).collect()
+    assert sorted((r["doc"], r["item"], r["n_shared"], r["n_item"]) for r in got) == [(1, i, 36, 36) for i in (7, 42, 43)]
+    assert [r["doc_id"] for r in decontaminate.decontaminate(docs, items).collect()] == [2]
+
+
 # --- mixing
 
 def test_mixing(spark, docs):
