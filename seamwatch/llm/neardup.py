@@ -217,7 +217,8 @@ def _verify(width: int, bands: int, rows: int):
             hashes, sizes = sets_of(part, width)
             own[at + np.flatnonzero(sizes)] = set_keys(hashes, sizes)
         keep = (own == want).all(axis=1)  # of an id with several texts, the class's
-        keep[1:] &= nodes[1:] != nodes[:-1]
+        held = np.flatnonzero(keep)
+        keep[held[1:]] = nodes[held[1:]] != nodes[held[:-1]]  # the first of a node's right rows
         texts, nodes = texts.filter(pa.array(keep)), nodes[keep]
         sides = np.asarray(group["side"].combine_chunks())[keep]
         links = linked(texts, width, bands, rows, sides if len(set(sides)) > 1 else None) if len(nodes) > 1 else []

@@ -156,6 +156,28 @@ def test_near_duplicates_empty_and_one_of_each(spark, docs):
     assert kept.columns == [*docs.columns, "tag"]
 
 
+@pytest.mark.parametrize("wrong_first", [True, False])
+def test_near_duplicates_of_an_id_with_two_texts(wrong_first):
+    base = prose(100, 80)
+    near, wrong = f"{base} changed", prose(101, 80)
+    keys = lambda text: neardup.set_keys(*neardup.sets_of(pa.array([text]), 2))[0]
+    (a1, a2), (b1, b2) = keys(base), keys(near)
+    one = [(a1, a2, wrong), (a1, a2, base)] if wrong_first else [(a1, a2, base), (a1, a2, wrong)]
+    group = [*one, (a1, a2, base), (b1, b2, near)]
+    table = pa.table({"node": pa.array([g[0] for g in group], pa.int64()), "k1": pa.array([g[0] for g in group], pa.int64()), "k2": pa.array([g[1] for g in group], pa.int64()),
+                      "side": pa.array([0] * len(group), pa.int32()), "text": [g[2] for g in group]})
+    got = neardup._verify(2, *neardup.bands_for(10))(table).to_pylist()
+    assert [{r["a"], r["b"]} for r in got] == [{int(a1), int(b1)}]
+
+
+def test_near_duplicates_of_ids_with_two_texts(spark):
+    base = prose(100, 80)
+    for order in (1, -1):
+        data = [(1, base), (1, prose(101, 80)), (2, f"{base} changed"), (2, prose(102, 80))][::order]
+        got = neardup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string").coalesce(1), 2)
+        assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == [(1, 1), (1, 1), (2, 1), (2, 2)]
+
+
 # --- benchmark
 
 def test_decontamination(spark, docs):
