@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: The white space that separates words, as a class body for Java and Python patterns.
 SPACE = r"\x20\x09-\x0D"
+#: Rows of a table of names and a few numbers that may be broadcast.
+BROADCAST_ROWS = 20_000
 #: Text bytes that one parcel of documents should hold.
 PARCEL_BYTES = 8 << 20
 
@@ -55,6 +57,21 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def whole(value: Column | int) -> Column:
+    """A 38-digit decimal without places, so that products pass 64 bits."""
+    return (value if isinstance(value, Column) else F.lit(value)).cast("decimal(38,0)")
+
+
+def exact_quotient(above: Column, below: Column) -> Column:
+    """floor(above / below) of positive decimals without places, as a long."""
+    return F.call_function("div", above, below)
+
+
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A table that is broadcast if its rows are within the bound, else joined by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of all texts."""
     return docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamwatch.llm import decontaminate, langid, licenses, lines, mixing, neardup, pii, sharding, suffix, topk
+from seamwatch.llm import bpe, collocations, decontaminate, divergence, langid, licenses, lines, mixing, neardup, pii, sharding, suffix, topk
 from seamwatch.llm.common import durable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,98 @@ SELECT doc_id, item_id, count(*) AS n_shared, n_item, count(*) / n_item AS conta
 FROM d JOIN s USING (width, g) JOIN n USING (item_id)
 GROUP BY doc_id, item_id, n_item HAVING count(*) >= ceil(n_item * 0.8)
 """
+
+
+@register
+def op11_count_level_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language and the 50 terms that each source has most above the language."""
+    return divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+ORACLES["op11_count_level_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text
+  FROM documents),
+tok AS (
+  SELECT row_id, lang, source,
+         unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM d),
+kept AS (
+  SELECT lang, term, count(*) AS total FROM tok GROUP BY lang, term HAVING count(DISTINCT row_id) >= 30),
+grp AS (SELECT DISTINCT lang, source FROM d),
+vocabulary AS (SELECT lang, count(*) AS v, sum(total) AS all_n FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM tok JOIN kept USING (lang, term) GROUP BY lang, source, term),
+size AS (SELECT lang, source, sum(n) AS n_all FROM c GROUP BY lang, source),
+cells AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 5)) // (coalesce(s.n_all, 0) + 5 * v.v) AS p,
+         1 + (CAST(1000000000 AS HUGEINT) * (k.total + 5)) // (v.all_n + 5 * v.v) AS q
+  FROM grp g JOIN kept k ON k.lang = g.lang JOIN vocabulary v ON v.lang = g.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+  LEFT JOIN size s ON s.lang = g.lang AND s.source = g.source),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM cells a JOIN cells b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, CAST(p - q AS BIGINT) AS value FROM cells WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
+@register
+def op12_prefix_free_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best collocations of each language, counted in the distinct chunks of a prefix-free parse."""
+    return collocations.mine(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+ORACLES["op12_prefix_free_collocations"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+spots AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+      FROM spots, (SELECT unnest(range(1, 6)) AS m) WHERE i + m - 1 <= len(w)),
+f AS (SELECT lang, phrase, max(m) AS m, count(*) AS f FROM g GROUP BY lang, phrase),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m >= 2 AND f >= 100),
+cuts AS (SELECT c.*, unnest(range(1, m)) AS k FROM c),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, m, a, k, x.f AS l, y.f AS r, n,
+         (CAST(1000 AS HUGEINT) * a * CAST(n AS HUGEINT)) // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM cuts
+  JOIN (SELECT lang, phrase, f FROM f) x ON x.lang = cuts.lang AND x.phrase = array_to_string(ws[1:k], ' ')
+  JOIN (SELECT lang, phrase, f FROM f) y ON y.lang = cuts.lang AND y.phrase = array_to_string(ws[k + 1:], ' ')
+  JOIN n ON n.lang = cuts.lang),
+best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (
+  SELECT lang, array_to_string(ws[i:i + j - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, ws, a, m, j, unnest(range(1, m - j + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS j FROM c WHERE m > 2))
+  GROUP BY ALL),
+kept AS (
+  SELECT b.* FROM best b LEFT JOIN inner_ i ON i.lang = b.lang AND i.phrase = b.phrase
+  WHERE i.longer IS NULL OR 100 * i.longer < 100 * b.a),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS BIGINT) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
+
+
+@register
+def op13_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document and the text decoded from them, as counts and digests."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.tokenize(docs, public_tokenizers.path("byte_bpe_50k.json"), outputs=False)
