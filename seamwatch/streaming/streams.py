@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from seamwatch import constants as K
-from seamwatch.operators.captures import new_captures, replay_conflicts
+from seamwatch.operators.captures import replay_conflicts
 from seamwatch.skew import first_per_key
+from seamwatch.streaming.keyindex import FAN, KeyIndex, without
 
 
 def inbox_stream(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet", files_per_trigger: int = 1000, **options: str) -> DataFrame:
@@ -49,38 +50,25 @@ def run_available(stream: DataFrame, step: Callable[[DataFrame, int], None], che
 
 # --- exactly-once writes ----------------------------------------------------------------------------------
 
-def append_once(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+def append_once(path: str, keys: list[str], fan: int = FAN) -> Callable[[DataFrame, int], None]:
     """Batch step appending only rows whose key is not stored yet.
 
-    Each micro-batch writes its own partition (``batch=<id>``) in overwrite
-    mode: a replayed micro-batch replaces its own output, and keys stored by
-    earlier batches are left out.
+    Each micro-batch writes its own partition (``batch=<id>``) in overwrite mode: a replayed
+    micro-batch replaces its own output, and keys stored by other batches are left out.  Which keys
+    are stored is asked of the table's key index, so a step reads a few small files however many
+    batches there are.  Nulls in keys equal each other.
     """
     def step(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
-        unique = first_per_key(rows, keys, sorted(rows.columns))
-        stored = _stored(spark, path)
-        if stored is not None:
-            unique = unique.join(stored.where(F.col("batch") != batch).select(*keys), keys, "left_anti")
-        unique.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        index = KeyIndex(spark, path, keys, fan)
+        unique = first_per_key(rows, keys, sorted(rows.columns)).persist()
+        fresh = without(unique, index.stored(unique, batch), keys)
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        unique.unpersist()
+        index.add(batch, spark.read.schema(fresh.schema).parquet(f"{path}/batch={batch}"))
     return step
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    if not _exists(spark, path):
-        return None
-    return spark.read.option("basePath", path).parquet(path)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    return system.exists(target) and any(
-        s.getPath().getName().startswith("batch=") for s in system.listStatus(target)
-    )
-
-
 def pending_once(receipts: str, done: str, path: str = "path") -> Callable[[DataFrame, int], None]:
     """Pending-package watch: packages that have neither a receipt nor an earlier entry are recorded."""
     keep = append_once(done, [path])
@@ -104,27 +92,29 @@ def ingest_captures(captures_path: str, conflicts_path: str, metadata: list[str]
     ``arrival`` stays, and by their content where that is equal or not given, so a replayed
     micro-batch keeps the same row.
     """
+    key = ["capture_id"]
+
     def step(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
-        first = first_per_key(rows, ["capture_id"], [*(arrival or []), *metadata, "images", *sorted(set(rows.columns) - {"capture_id", "images", *metadata})])
-        before = _earlier(spark, captures_path, batch)
-        fresh = first if before is None else new_captures(first, before)
-        fresh.write.mode("overwrite").parquet(f"{captures_path}/batch={batch}")
+        index = KeyIndex(spark, captures_path, key)
+        first = first_per_key(rows, key, [*(arrival or []), *metadata, "images", *sorted(set(rows.columns) - {"capture_id", "images", *metadata})]).persist()
+        known = index.stored(first, batch).persist()
+        without(first, known, key).write.mode("overwrite").parquet(f"{captures_path}/batch={batch}")
         kept = spark.read.schema(rows.schema).parquet(f"{captures_path}/batch={batch}")
         content = F.struct(*metadata, "images")
         found = rows.join(kept.select("capture_id", content.alias("_first")), "capture_id").where(content != F.col("_first")).select(
             "capture_id", F.lit("different content inside one micro-batch").alias("conflict"), F.lit(None).cast("int").alias("position"))
-        if before is not None:
+        holders = sorted(r["batch"] for r in known.select("batch").distinct().collect())
+        if holders:
+            before = spark.read.schema(rows.schema).parquet(*[f"{captures_path}/batch={b}" for b in holders]).join(known.select(*key).distinct(), key, "left_semi")
             found = found.unionByName(replay_conflicts(first, before, _image_rows(first), _image_rows(before), metadata))
         found.write.mode("overwrite").parquet(f"{conflicts_path}/batch={batch}")
+        first.unpersist()
+        known.unpersist()
+        index.add(batch, kept)
     return step
 
 
-def _earlier(spark: SparkSession, path: str, batch: int) -> DataFrame | None:
-    stored = _stored(spark, path)
-    return stored.where(F.col("batch") != batch) if stored is not None else None
-
-
 def _image_rows(captures: DataFrame) -> DataFrame:
     return captures.select("capture_id", F.inline("images"))
 
