@@ -7,18 +7,17 @@ where it stopped.  Streams that need event time take timestamp columns.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from seamwatch import constants as K
 from seamwatch.operators.captures import replay_conflicts
 from seamwatch.skew import first_per_key
 from seamwatch.streaming.keyindex import FAN, KeyIndex, without
+from seamwatch.streaming.ordered import PAGE_SECONDS, bounds_fold, fold_in_time_order, gap_fold
 
 
 def inbox_stream(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet", files_per_trigger: int = 1000, **options: str) -> DataFrame:
@@ -126,74 +125,46 @@ def unique_captures(stream: DataFrame, ts: str = "received", delay: str = "1 hou
 
 # --- stateful sensors -------------------------------------------------------------------------------------
 
-def display_bounds_stream(frames: DataFrame, device: str, ts: str, low: str, high: str, alpha: float = K.DISPLAY_ALPHA) -> DataFrame:
-    """Running display bounds per device; the state is the last pair of bounds.
+def display_bounds_stream(frames: DataFrame, device: str, ts: str, low: str, high: str, alpha: float = K.DISPLAY_ALPHA, delay: str = "10 minutes",
+                          page_seconds: float = PAGE_SECONDS) -> DataFrame:
+    """Running display bounds per device in event-time order, as the batch operator gives them.
 
-    Input is ordered: a device's frames do not come in a later micro-batch than frames after them.
-    Inside a micro-batch they are put in time order.
+    A row appears once the watermark has passed its page of time, so rows that arrive up to ``delay``
+    late, in a later micro-batch too, take their place.
     """
-    schema = f"{device} {_kind(frames, device)}, {ts} {_kind(frames, ts)}, display_low double, display_high double"
+    return fold_in_time_order(frames, device, ts, [low, high], {"display_low": "double", "display_high": "double"}, bounds_fold(alpha), delay, page_seconds)
 
-    def step(key: tuple, pages: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        lower, upper = state.get if state.exists else (None, None)
-        rows = pd.concat(list(pages)).sort_values(ts, kind="stable")
-        out = []
-        for x, y in zip(rows[low], rows[high]):
-            lower = x if lower is None or x < lower else lower * (1 - alpha) + x * alpha
-            upper = y if upper is None or y > upper else upper * (1 - alpha) + y * alpha
-            out.append((lower, upper))
-        state.update((float(lower), float(upper)))
-        yield pd.DataFrame({device: rows[device], ts: rows[ts], "display_low": [o[0] for o in out], "display_high": [o[1] for o in out]})
 
-    return frames.groupBy(device).applyInPandasWithState(step, schema, "lower double, upper double", "append", GroupStateTimeout.NoTimeout)
+def gap_monitor(samples: DataFrame, device: str, ts: str, interval: float, delay: str = "10 minutes", page_seconds: float = PAGE_SECONDS) -> DataFrame:
+    """Missed sampling slots per device and sample, in event-time order as above."""
+    return fold_in_time_order(samples, device, ts, [], {"missed_slots": "bigint"}, gap_fold(interval), delay, page_seconds)
 
 
-def gap_monitor(samples: DataFrame, device: str, ts: str, interval: float) -> DataFrame:
-    """Missed sampling slots per device and sample; the state is the last time seen.
+def align_streams(gas: DataFrame, thermal: DataFrame, keys: list[str], arrival: str | None = None, keep: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+    """Gas/thermal alignment on streams, by key alone.
 
-    Input is ordered as for :func:`display_bounds_stream`.
+    ``arrival`` names a timestamp column of both sides (when the row came, such as its file's time);
+    a null arrival counts as now.  A row waits for its partner for ``keep``: both sides are state that
+    the watermark of arrival (``delay`` behind the newest) releases, and an unmatched side then
+    appears with its warning.  Keys may be of any form.  On static tables all rows are there, so keys
+    meet whatever their arrival, which need not be given.  Null keys meet nothing.
     """
-    schema = f"{device} {_kind(samples, device)}, {ts} timestamp, missed_slots bigint"
+    streaming = gas.isStreaming or thermal.isStreaming
+    if streaming and arrival is None:
+        raise ValueError("streams are aligned by the time of arrival")
 
-    def step(key: tuple, pages: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(pages)).sort_values(ts, kind="stable")
-        times = rows[ts]
-        seconds = (times - pd.Timestamp(0, tz=times.dt.tz)).dt.total_seconds()
-        previous = seconds.shift(1)
-        if last is not None:
-            previous.iloc[0] = last
-        late = seconds - previous - interval
-        missed = (-(-late.clip(lower=0) // interval)).fillna(0).astype("int64")
-        state.update((float(seconds.iloc[-1]),))
-        yield pd.DataFrame({device: rows[device], ts: rows[ts], "missed_slots": missed})
-
-    return samples.groupBy(device).applyInPandasWithState(step, schema, "last double", "append", GroupStateTimeout.NoTimeout)
-
-
-def _kind(df: DataFrame, name: str) -> str:
-    return df.schema[name].dataType.simpleString()
-
-
-def sample_time(key: Column) -> Column:
-    """The time that a sample key starts with (``yyyyMMdd_HHmmss``)."""
-    return F.try_to_timestamp(F.regexp_extract(key, r"^([0-9]{8}_[0-9]{6})", 1), F.lit("yyyyMMdd_HHmmss"))
-
-
-def align_streams(gas: DataFrame, thermal: DataFrame, keys: list[str], delay: str = "10 minutes") -> DataFrame:
-    """Gas/thermal alignment on streams by key alone; an unmatched side appears once the watermark has passed it.
-
-    The last key is the sample key.  The time in it is the event time of both sides, so rows of one
-    key meet however far apart they were written, and state goes with the watermark.  It also runs
-    on static tables.
-    """
     def side(rows: DataFrame, short: str, name: str) -> DataFrame:
-        timed = rows.withColumn(f"{short}_time", sample_time(F.col(keys[-1]))).withWatermark(f"{short}_time", delay)
-        return timed.select(f"{short}_time", *[F.col(k).alias(f"{short}_{k}") for k in keys], *[F.col(c).alias(f"{name}_{c}") for c in rows.columns if c not in keys])
-
-    condition = F.expr(" AND ".join(["g_time = t_time", *[f"g_{k} = t_{k}" for k in keys]]))
-    joined = side(gas, "g", "gas").join(side(thermal, "t", "thermal"), condition, "full_outer")
-    warning = F.when(F.col(f"g_{keys[0]}").isNull(), "missing_gas_row").when(F.col(f"t_{keys[0]}").isNull(), "missing_thermal_frame")
+        columns = [F.lit(True).alias(f"{short}_here"), *[F.col(k).alias(f"{short}_{k}") for k in keys], *[F.col(c).alias(f"{name}_{c}") for c in rows.columns if c not in keys]]
+        if not streaming:
+            return rows.select(*columns)
+        timed = rows.withColumn("_arrived", F.coalesce(F.col(arrival), F.current_timestamp()))
+        return timed.select(F.col("_arrived").alias(f"{short}_arrived"), *columns).withWatermark(f"{short}_arrived", delay)
+
+    same = [f"g_{k} = t_{k}" for k in keys]
+    if streaming:
+        same += [f"t_arrived >= g_arrived - interval {keep}", f"t_arrived <= g_arrived + interval {keep}"]
+    joined = side(gas, "g", "gas").join(side(thermal, "t", "thermal"), F.expr(" AND ".join(same)), "full_outer")
+    warning = F.when(F.col("g_here").isNull(), "missing_gas_row").when(F.col("t_here").isNull(), "missing_thermal_frame")
     return joined.select(
         *[F.coalesce(f"g_{k}", f"t_{k}").alias(k) for k in keys],
         *[c for c in joined.columns if c.startswith(("gas_", "thermal_"))], warning.alias("warning"))

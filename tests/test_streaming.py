@@ -63,32 +63,60 @@ def test_pending_packages(spark, tmp_path):
     assert [r.path for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["p2"]
 
 
-def test_stateful_bounds_and_gaps(spark, tmp_path):
+def test_bounds_and_gaps_come_in_time_order_across_batches(spark, tmp_path):
     schema = "device int, ts timestamp, i long, lo double, hi double"
-    rows = [(1, T0 + dt.timedelta(seconds=s), s, 10.0 + s % 4, 30.0 - s % 3) for s in (0, 5, 10, 26, 31)]
-    for part in (rows[:2], rows[2:]):
+    rows = [(d, T0 + dt.timedelta(seconds=s), s, 10.0 + (s * 7 + d) % 5, 30.0 - s * 3 % 4) for d in (1, 2) for s in range(0, 300, 5) if s % 35]
+    late = [r for r in rows if r[2] % 3 == 1]  # a later micro-batch brings these
+    for part in ([r for r in rows if r not in late], late, [(d, T0 + dt.timedelta(days=1), 86_400, 0.0, 0.0) for d in (1, 2)]):
         put(spark, tmp_path / "in", part, schema)
     stream = ST.inbox_stream(spark, str(tmp_path / "in"), schema, files_per_trigger=1)
-    got = sorted((r.ts, r.display_low, r.display_high) for r in drain(ST.display_bounds_stream(stream, "device", "ts", "lo", "hi"), tmp_path, "bounds"))
-    batch = S.display_bounds(spark.createDataFrame(rows, schema), "device", "i", "lo", "hi").orderBy("i").collect()
-    assert [g[1:] for g in got] == [pytest.approx((r.display_low, r.display_high)) for r in batch]
-    gaps = sorted((r.ts, r.missed_slots) for r in drain(ST.gap_monitor(stream.select("device", "ts"), "device", "ts", 5.0), tmp_path, "gaps"))
-    assert [g[1] for g in gaps] == [0, 0, 0, 3, 0]
-
-
-def test_stream_alignment_matches_the_batch_join(spark, tmp_path):
-    schema = "k string, ts timestamp, v int"
-    far = T0 + dt.timedelta(days=9)
-    one, two, three, last = ("20260101_000000_1", "20260101_000000_2", "20260101_000000_3", "20260110_000000_9")
-    put(spark, tmp_path / "g", [(one, T0, 1), (two, T0, 2)], schema)
-    put(spark, tmp_path / "t", [(two, T0 + dt.timedelta(hours=5), 5), (three, T0, 6)], schema)
-    put(spark, tmp_path / "g", [(last + "g", far, 0)], schema)
-    put(spark, tmp_path / "t", [(last + "t", far, 0)], schema)
+    bounds = ST.display_bounds_stream(stream, "device", "ts", "lo", "hi", page_seconds=20)
+    got = [(r.device, r.ts, r.display_low, r.display_high) for r in drain(bounds, tmp_path, "bounds")]
+    batch = S.display_bounds(spark.createDataFrame(rows, schema), "device", "i", "lo", "hi").orderBy("device", "i").collect()
+    assert sorted(got) == [(r.device, r.ts, pytest.approx(r.display_low), pytest.approx(r.display_high)) for r in batch]
+    for device in (1, 2):
+        times = [g[1] for g in got if g[0] == device]
+        assert times == sorted(times), "pages come out in time order"
+    gaps = drain(ST.gap_monitor(stream.select("device", "ts"), "device", "ts", 5.0, page_seconds=20), tmp_path, "gaps")
+    want = S.missed_slots(spark.createDataFrame(rows, schema), ["device"], "ts", [], 5.0)
+    assert sorted((r.device, r.ts, r.missed_slots) for r in gaps) == sorted((r.device, r.ts, r.missed_slots) for r in want.collect())
+
+
+def test_bounds_of_missing_values_keep_the_last(spark, tmp_path):
+    schema = "device string, ts timestamp, lo double, hi double"
+    rows = [("a", T0, None, 5.0), ("a", T0 + dt.timedelta(seconds=1), 2.0, None), ("a", None, 1.0, 1.0), ("a", T0 + dt.timedelta(days=1), 0.0, 0.0)]
+    put(spark, tmp_path / "in", rows, schema)
+    put(spark, tmp_path / "in", [("b", T0 + dt.timedelta(days=2), 0.0, 0.0)], schema)
+    stream = ST.inbox_stream(spark, str(tmp_path / "in"), schema, files_per_trigger=1)
+    got = [(r.device, r.display_low, r.display_high) for r in drain(ST.display_bounds_stream(stream, "device", "ts", "lo", "hi"), tmp_path, "missing")]
+    assert got[:2] == [("a", None, 5.0), ("a", 2.0, 5.0)]
+
+
+def test_stream_alignment_by_key_alone(spark, tmp_path):
+    schema = "b string, k string, arrived timestamp, v int"
+    hour = dt.timedelta(hours=1)
+    put(spark, tmp_path / "g", [("b", "k1", T0, 1), ("b", "20260101_000000_2", T0, 2), ("b", None, T0, 4)], schema)
+    put(spark, tmp_path / "t", [("b", "20260101_000000_3", T0, 6)], schema)
+    put(spark, tmp_path / "t", [("b", "k1", T0 + 5 * hour, 5), ("b", "20260101_000000_2", T0 + 7 * hour, 8)], schema)
+    for n in "gt":
+        put(spark, tmp_path / n, [("b", f"last {n}", T0 + 40 * hour, 0)], schema)
+        put(spark, tmp_path / n, [("b", f"end {n}", T0 + 90 * hour, 0)], schema)
+
     def side(n):
         return ST.inbox_stream(spark, str(tmp_path / n), schema, files_per_trigger=1)
-    rows = drain(ST.align_streams(side("g"), side("t"), ["k"]), tmp_path, "aligned")
-    out = {r.k: r.warning for r in rows if not r.k.startswith(last)}
-    assert out == {one: "missing_thermal_frame", two: None, three: "missing_gas_row"}
+
+    keys = ["b", "k"]
+    rows = drain(ST.align_streams(side("g"), side("t"), keys, "arrived", "6 hours"), tmp_path, "aligned")
+    out = sorted((str(r.k), r.gas_v, r.thermal_v, r.warning) for r in rows if not str(r.k).startswith(("last", "end")))
+    two = "20260101_000000_2"
+    assert out == [("20260101_000000_2", 2, None, "missing_thermal_frame"), (two, None, 8, "missing_gas_row"), ("20260101_000000_3", None, 6, "missing_gas_row"),
+                   ("None", 4, None, "missing_thermal_frame"), ("k1", 1, 5, None)], "k1 waits five hours of six, the other seven"
+    gas, thermal = (spark.read.schema(schema).parquet(str(tmp_path / n)) for n in "gt")
+    static = {r.k: r.warning for r in ST.align_streams(gas, thermal, keys).collect() if r.k}
+    batch = {r.k: r.warning for r in S.align_sensors(gas, thermal, keys).collect() if r.k}
+    assert static == batch and static["k1"] is None and static[two] is None
+    with pytest.raises(ValueError, match="arrival"):
+        ST.align_streams(side("g"), side("t"), keys)
 
 
 def test_windows_sessions_and_duplicates(spark, tmp_path):
