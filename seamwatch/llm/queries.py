@@ -70,7 +70,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 def op5_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibrated sampling of all documents to evened source, language and topic shares."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return mixing.mix(docs).select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "taken")
+    return mixing.mix(docs, columns=["doc_id", "source", "lang"]).select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "taken")
 
 
 @register

@@ -221,6 +221,55 @@ def test_mixing(spark, docs):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def raked_by_hand(tokens, goals, keep, sweeps=4000):
+    """Probabilities of a dense table by plain raking in numpy, with the cut at 1."""
+    total = tokens.sum() * keep
+    factors = [np.ones(n) for n in tokens.shape]
+    factors[0] *= keep
+    for _ in range(sweeps):
+        for d in range(3):
+            p = np.minimum(np.einsum("i,j,k->ijk", *factors), 1)
+            expected = (tokens * p).sum(axis=tuple(x for x in range(3) if x != d))
+            factors[d] *= np.where(expected > 0, np.asarray(goals[d]) * total / np.where(expected > 0, expected, 1), 1)
+    return np.minimum(np.einsum("i,j,k->ijk", *factors), 1)
+
+
+@pytest.mark.parametrize("arrays", [True, False])
+def test_raking_equals_brute_force(spark, monkeypatch, arrays):
+    monkeypatch.setattr(mixing, "ARRAY_CELLS", 5000 if arrays else 3)
+    rng = np.random.default_rng(8)
+    tokens = rng.integers(0, 900, (4, 3, 3)) * (rng.random((4, 3, 3)) < 0.8)
+    cells = spark.createDataFrame([(f"s{i}", f"l{j}", f"t{k}", int(tokens[i, j, k])) for i, j, k in np.ndindex(tokens.shape)], "source string, lang string, topic string, tokens long")
+    wanted = {d: mixing.targets(cells, d, 0.6, 0.5) for d in mixing.DIMENSIONS}
+    shares = {d: {r[0]: r["target"] for r in w.collect()} for d, w in wanted.items()}
+    assert all(abs(sum(s.values()) - 1) < 1e-9 for s in shares.values())
+    for d, axis in zip(mixing.DIMENSIONS, range(3), strict=True):
+        have = tokens.sum(axis=tuple(x for x in range(3) if x != axis)) / tokens.sum()
+        assert all(t <= have[int(v[1:])] / 0.5 + 1e-12 for v, t in shares[d].items())
+    goals = [[shares[d].get(f"{d[0]}{i}", 0.0) for i in range(n)] for d, n in zip(mixing.DIMENSIONS, tokens.shape, strict=True)]
+    fitted = mixing.fit(cells, wanted, 0.5, tolerance=1e-7 if arrays else 1e-3)
+    want = raked_by_hand(tokens, goals, 0.5)
+    for r in fitted.collect():
+        at = int(r["source"][1:]), int(r["lang"][1:]), int(r["topic"][1:])
+        assert abs(r["probability"] - want[at]) < (1e-3 if arrays else 0.02), (at, r["probability"], want[at])
+    errors = mixing.marginals(fitted, wanted, 0.5).collect()
+    assert len(errors) == sum(map(len, shares.values())) and max(abs(r["error"]) for r in errors) < (1e-5 if arrays else 1e-2)
+
+
+def test_raking_that_cannot_meet_its_marginals_ends_and_says_so(spark):
+    cells = spark.createDataFrame([("a", "x", "p", 100), ("b", "y", "p", 900)], "source string, lang string, topic string, tokens long")
+    wanted = {"source": spark.createDataFrame([("a", 0.9), ("b", 0.1)], "source string, target double"),
+              "lang": spark.createDataFrame([("x", 0.1), ("y", 0.9)], "lang string, target double"), "topic": spark.createDataFrame([("p", 1.0)], "topic string, target double")}
+    fitted = mixing.fit(cells, wanted, keep=0.5)
+    assert fitted.count() == 2 and max(abs(r["error"]) for r in mixing.marginals(fitted, wanted, 0.5).collect()) > 0.1
+
+
+def test_tokens_are_counted_as_words(spark):
+    texts = ["", " ", "a", " a b ", "a\tb\nc\x0bd\x0ce\rf", "  é  語語 x", "a\u00a0b", None, "\n\n", "x" * 70_000 + " y"]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select(mixing.token_count().alias("n")).collect()
+    assert [r["n"] for r in got] == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+
+
 def test_raking_meets_marginals(spark):
     cells = spark.createDataFrame([(s, la, t, 100 + 37 * i) for i, (s, la, t) in enumerate((s, la, t) for s in "abc" for la in "xy" for t in "pq")], "source string, lang string, topic string, tokens long")
     wanted = {"source": spark.createDataFrame([("a", 0.4), ("b", 0.3), ("c", 0.3)], "source string, target double"),
