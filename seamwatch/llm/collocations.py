@@ -18,12 +18,12 @@ phrase's UTF-8 bytes.  Other columns are not read.  An empty table gives an empt
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -38,10 +38,9 @@ TOP = 2000
 SHARED = WORDS - 1
 PERIOD = 16
 LONGEST = 512
-#: Text bytes that a task parses or counts at once, and distinct chunks that it holds.
-PARSE_BYTES = 1 << 22
+#: Text bytes that a task parses or counts at once.
+PARSE_BYTES = 1 << 23
 COUNT_BYTES = 1 << 24
-HELD_CHUNKS = 400_000
 FILTER_BITS = 1 << 27
 #: Bits of the filter for each entry.
 BITS_EACH = 32
@@ -52,85 +51,82 @@ _MUL = np.uint64(0x9E3779B97F4A7C15)
 _TEXT_BYTES = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 9 else 46 if c in b".,;:!?" or 10 <= c <= 13 else c for c in range(256))
 
 
-def _numbered(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """Distinct words and the number of each word among them."""
-    distinct = dict.fromkeys(words)
-    number = dict(zip(distinct, range(len(distinct)), strict=True))
-    return list(distinct), np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+def _hashes(words: pa.Array) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+class Words:
+    """The words of rows end to end: distinct ones, the number of each word among them, and the row and end of row of each."""
 
+    def __init__(self, rows: pa.Array):
+        each = pc.split_pattern(rows, " ")
+        coded = each.flatten().dictionary_encode()
+        self.distinct, self.ids = coded.dictionary, coded.indices.to_numpy()
+        stops = each.offsets.to_numpy().astype(np.int64)
+        self.row = np.repeat(np.arange(len(rows)), np.diff(stops))
+        self.end = np.repeat(stops[1:], np.diff(stops))
+        self.first = stops[:-1]
 
-def _pieces(words: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Words without the marks between pieces, their hashes, and the piece and end of piece of each."""
-    distinct, ids = _numbered(words)
-    mark = np.fromiter((w == b"." for w in distinct), bool, len(distinct))[ids]
-    keep = np.flatnonzero(~mark)
-    piece = np.cumsum(mark)[keep]
-    last = np.flatnonzero(np.diff(piece, append=-1)) + 1
-    end = last[np.searchsorted(last, np.arange(len(keep)), "right")] if len(keep) else keep
-    return [w for w in words if w != b"."], _hashes(distinct)[ids[keep]], piece, end
+    def __len__(self) -> int:
+        return len(self.ids)
 
+    def hashes(self) -> np.ndarray:
+        return _hashes(self.distinct)[self.ids]
 
-def parse(text: bytes, period: int = PERIOD, longest: int = LONGEST) -> Iterator[tuple[bytes, int]]:
-    """(chunk, extra) of texts whose pieces are separated by full stops."""
-    words, hashes, piece, end = _pieces(text.replace(b".", b" . ").split())
+    def joined(self, starts: np.ndarray, stops: np.ndarray) -> pa.Array:
+        """The words from each start to its stop, with single spaces."""
+        sizes = stops - starts
+        to = np.cumsum(sizes)
+        at = np.arange(int(to[-1]) if len(to) else 0) + np.repeat(starts - to + sizes, sizes)
+        values = self.distinct.take(pa.array(self.ids[at]))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], to]), pa.int32()), values), " ")
+
+
+def parse(pieces: list[bytes], period: int = PERIOD, longest: int = LONGEST) -> tuple[pa.Array, np.ndarray]:
+    """Chunks of pieces, and the ``extra`` of each."""
+    rows = pa.array(pieces, pa.string())
+    rows = pc.ascii_trim(pc.replace_substring_regex(rows, " {2,}", " "), " ")
+    words = Words(rows.filter(pc.greater(pc.binary_length(rows), 0)))
     n = len(words)
     if not n:
-        return
+        return pa.array([], pa.string()), np.zeros(0, np.int64)
+    hashes = words.hashes()
     window = np.zeros(n, np.uint64)
     for i in range(SHARED):
         window = mix(window * _MUL + np.concatenate([hashes[i:], np.zeros(min(i, n), np.uint64)])[:n])
-    first = np.diff(piece, prepend=-1) != 0
-    start = first | ((window % np.uint64(period) == 0) & (np.arange(n) + SHARED <= end))
+    start = (window % np.uint64(period) == 0) & (np.arange(n) + SHARED <= words.end)
+    start[words.first] = True
     starts = np.flatnonzero(start)
     stops = np.append(starts[1:], n)
     if (stops - starts).max() > longest:
         starts = np.concatenate([np.arange(a, b, longest) for a, b in zip(starts, stops, strict=True)])
         stops = np.append(starts[1:], n)
-    shown = np.minimum(stops + SHARED, end[starts])
-    for a, b, extra in zip(starts.tolist(), shown.tolist(), (shown - stops).tolist(), strict=True):
-        yield b" ".join(words[a:b]), extra
+    shown = np.minimum(stops + SHARED, words.end[starts])
+    return words.joined(starts, shown), shown - stops
 
 
 def dictionary(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
     """(lang, chunk, extra, uses): the distinct chunks of the parse of all texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uses: dict[tuple[str, int], Counter] = {}
         waiting: dict[str, list[bytes]] = {}
 
-        def parsed() -> None:
-            for name, texts in waiting.items():
-                each: dict[int, list[bytes]] = {}
-                for chunk, extra in parse(b".".join(texts)):
-                    each.setdefault(extra, []).append(chunk)
-                for extra, chunks in each.items():
-                    uses.setdefault((name, extra), Counter()).update(chunks)
+        def parsed() -> Iterator[pa.RecordBatch]:
+            for name, pieces in waiting.items():
+                chunks, extra = parse(pieces)
+                found = pa.table({"chunk": chunks, "extra": pa.array(extra, pa.int32())}).group_by(["chunk", "extra"]).aggregate([([], "count_all")])
+                yield from pa.table({"lang": pa.array([name] * found.num_rows, pa.string()), "chunk": found["chunk"], "extra": found["extra"], "uses": found["count_all"]}).to_batches()
             waiting.clear()
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            for (name, extra), counts in uses.items():
-                n = len(counts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * n), pa.array([c.decode() for c in counts], pa.string()), pa.array([extra] * n, pa.int32()), pa.array(list(counts.values()), pa.int64())],
-                    ["lang", "chunk", "extra", "uses"])
-            uses.clear()
-
         size = 0
         for batch in batches:
             for name, value in zip(batch.column(0), batch.column(1), strict=True):
                 raw = (value.as_py() or "").encode().translate(_TEXT_BYTES)
-                waiting.setdefault(name.as_py(), []).append(raw)
+                waiting.setdefault(name.as_py(), []).extend(raw.split(b"."))
                 size += len(raw)
                 if size >= PARSE_BYTES:
-                    parsed()
+                    yield from parsed()
                     size = 0
-                    if sum(map(len, uses.values())) >= HELD_CHUNKS:
-                        yield from rows()
-        parsed()
-        yield from rows()
+        yield from parsed()
 
     own = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
     parts = own.mapInArrow(run, "lang string, chunk string, extra int, uses long")
@@ -170,7 +166,7 @@ class BitFilter:
 
 
 def frequent_filter(frequent: DataFrame, most_bits: int = FILTER_BITS) -> BitFilter:
-    """The filter of all (lang, phrase); tasks send the set words of their part, which are joined by OR."""
+    """The filter of all (lang, phrase), phrases of one length; tasks send the set words of their part, which are joined by OR."""
     bits = 1 << 16
     while bits < min(most_bits, BITS_EACH * frequent.count()):
         bits *= 2
@@ -178,12 +174,14 @@ def frequent_filter(frequent: DataFrame, most_bits: int = FILTER_BITS) -> BitFil
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = BitFilter(bits)
         for batch in batches:
-            langs = _lang_hash(batch.column(0).to_pylist())
-            hashes = np.zeros(batch.num_rows, np.uint64)
-            for i, phrase in enumerate(batch.column(1).to_pylist()):
-                each = mix(_hashes(phrase.encode().split(b" ")) ^ langs[i])
-                hashes[i] = reduce(_grown, each[1:, None], each[:1])[0]
-            own.add(hashes)
+            if not batch.num_rows:
+                continue
+            words = Words(batch.column(1))
+            one = mix(words.hashes() ^ _lang_hash(batch.column(0).to_pylist())[words.row])
+            grams, length = one[words.first], len(words) // batch.num_rows
+            for k in range(1, length):
+                grams = _grown(grams, one[words.first + k])
+            own.add(grams)
         at = np.flatnonzero(own.words)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(own.words[at].view(np.int64))], ["word", "bits"])
 
@@ -201,12 +199,11 @@ def count_phrases(chunks: DataFrame, length: int, parts: BitFilter | None) -> Da
         langs = table["lang"].combine_chunks().dictionary_encode()
         names, of_chunk = langs.dictionary.to_pylist(), langs.indices.to_numpy()
         uses, extra = table["uses"].to_numpy(), table["extra"].to_numpy()
-        words, hashes, chunk, end = _pieces(b" . ".join(c.encode() for c in table["chunk"].to_pylist()).split(b" "))
-        n = len(words)
-        ids = _numbered(words)[1]
-        at = np.flatnonzero(np.arange(n) + np.maximum(length, extra[chunk] + 1) <= end)
+        words = Words(table["chunk"].combine_chunks())
+        n, ids, chunk = len(words), words.ids, words.row
+        at = np.flatnonzero(np.arange(n) + np.maximum(length, extra[chunk] + 1) <= words.end)
         if filter_ is not None:
-            one = mix(hashes ^ _lang_hash(names)[of_chunk[chunk]])
+            one = mix(words.hashes() ^ _lang_hash(names)[of_chunk[chunk]])
             grams = one
             for k in range(1, length - 1):
                 grams = _grown(grams[: n - k], one[k:])
@@ -214,13 +211,15 @@ def count_phrases(chunks: DataFrame, length: int, parts: BitFilter | None) -> Da
             at = at[known[at] & known[at + 1]]
         code = of_chunk[chunk[at]].astype(np.int64)
         for k in range(length):
-            code = np.unique(code * np.int64(n + 1) + ids[at + k], return_inverse=True)[1]
-        _, first, of = np.unique(code, return_index=True, return_inverse=True)
-        weights = np.zeros(len(first), np.int64)
-        np.add.at(weights, of, uses[chunk[at]])
+            code = code * np.int64(len(words.distinct) + 1) + ids[at + k]
+            if 0 < k < length - 1:  # keep the numbers small
+                code = np.unique(code, return_inverse=True)[1]
+        order = np.argsort(code, kind="stable")
+        first = np.flatnonzero(np.diff(code[order], prepend=-1))
+        weights = np.add.reduceat(uses[chunk[at]][order], first) if len(first) else np.zeros(0, np.int64)
+        at = at[order[first]]
         return pa.RecordBatch.from_arrays(
-            [langs.dictionary.take(pa.array(of_chunk[chunk[at[first]]])), pa.array([b" ".join(words[i : i + length]).decode() for i in at[first].tolist()], pa.string()), pa.array(weights)],
-            ["lang", "phrase", "f"])
+            [langs.dictionary.take(pa.array(of_chunk[chunk[at]])), words.joined(at, at + length), pa.array(weights)], ["lang", "phrase", "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = BitFilter(*shared.value) if shared else None

@@ -111,10 +111,9 @@ def awkward():
 
 @pytest.mark.parametrize(("least", "top", "period"), [(3, 2000, 16), (8, 7, 2), (100, 2000, 16)])
 def test_collocations_equal_brute_force(spark, monkeypatch, least, top, period):
-    monkeypatch.setattr(collocations, "PERIOD", period)
+    monkeypatch.setattr(collocations.parse, "__defaults__", (period, 40))
     monkeypatch.setattr(collocations, "COUNT_BYTES", 3000)
     monkeypatch.setattr(collocations, "PARSE_BYTES", 2000)
-    monkeypatch.setattr(collocations, "HELD_CHUNKS", 50)
     data = awkward()
     table = spark.createDataFrame(data, SCHEMA).withColumn("phrase", F.lit("x")).withColumn("n", F.lit(1)).repartition(3)
     got = collocations.mine(table, least, top)
@@ -125,10 +124,10 @@ def test_collocations_equal_brute_force(spark, monkeypatch, least, top, period):
 @pytest.mark.parametrize(("period", "longest"), [(1, 512), (2, 3), (16, 512), (10**9, 7)])
 def test_parse_owns_every_phrase_once(period, longest):
     for data in awkward():
-        text = (data[1] or "").encode().translate(collocations._TEXT_BYTES)
+        text = (data[1] or "").encode().translate(collocations._TEXT_BYTES).split(b".")
         found = Counter()
-        for chunk, extra in collocations.parse(text, period, longest):
-            words = chunk.decode().split(" ")
+        for chunk, extra in zip(*collocations.parse(text, period, longest), strict=True):
+            words = chunk.as_py().split(" ")
             found.update(tuple(words[i : i + m]) for m in range(1, 6) for i in range(len(words) - extra) if i + m <= len(words))
         assert found == Counter(tuple(w[i : i + m]) for w in pieces(data[1]) for m in range(1, 6) for i in range(len(w) - m + 1))
 
