@@ -24,11 +24,11 @@ import codecs
 import hashlib
 import json
 import re as std_re
-from array import array
+import struct
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -40,9 +40,12 @@ GUARD = 2
 #: Characters fed at once, and the length from which an unfinished piece is passed on in parts.
 CHUNK = 1 << 16
 LONG_PIECE = 1 << 12
-#: Pieces whose tokens a worker remembers, and their greatest length.
-REMEMBERED = 1 << 17
+#: Windows up to which merges are searched in a plain list.
+SHORT = 64
+#: Pieces whose tokens a worker remembers (twice, the older ones until they are used again), and their greatest length.
+REMEMBERED = 1 << 19
 REMEMBERED_LENGTH = 64
+_NEVER = 1 << 62
 
 
 def byte_letters() -> dict[str, int]:
@@ -87,47 +90,63 @@ class Vocabulary:
         self.ids = {raw_bytes(t): i for t, i in model["vocab"].items()}
         pairs = [tuple(map(raw_bytes, m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
         self.lookahead = sufficient_lookahead(pairs)
-        #: (left id, right id) to (place in the list, id of the whole).
-        self.merges = {(self.ids[a], self.ids[b]): (place, self.ids[a + b]) for place, (a, b) in enumerate(pairs)}
+        #: (left id, right id) to the place in the list, and the id of the whole by place.
+        self.merges = {(self.ids[a], self.ids[b]): place for place, (a, b) in enumerate(pairs)}
+        self.wholes = [self.ids[a + b] for a, b in pairs]
         self.single = [self.ids[bytes([b])] for b in range(256)]
         self.bytes = {i: t for t, i in self.ids.items()}
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):
             raise ValueError("added tokens must match as they are")
         self.bytes |= {i: content.encode() for content, i in self.added.items()}
+        sizes = np.zeros(max(self.bytes) + 1, np.int64)
+        for i, t in self.bytes.items():
+            sizes[i] = len(t)
+        #: All token bytes end to end by id, with the start and size of each.
+        self.table = np.frombuffer(b"".join(self.bytes.get(i, b"") for i in range(len(sizes))), np.uint8), np.cumsum(sizes) - sizes, sizes
         self.added_pattern = std_re.compile("|".join(std_re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.added_length = max(map(len, self.added), default=0)
 
     def merge(self, data: bytes) -> list[int]:
         """Tokens of a window: the merge that comes first in the list, leftmost first, until none fits."""
-        ids = [self.single[b] for b in data]
-        if len(ids) < 2:
-            return ids
-        n, merges = len(ids), self.merges
+        return self._merge_short(data) if len(data) <= SHORT else self._merge_long(data)
+
+    def _merge_short(self, data: bytes) -> list[int]:
+        ids, get, wholes = [self.single[b] for b in data], self.merges.get, self.wholes
+        places = [get(pair, _NEVER) for pair in zip(ids, ids[1:])]
+        while places:
+            first = min(places)
+            if first == _NEVER:
+                break
+            i = places.index(first)
+            ids[i : i + 2] = [wholes[first]]
+            del places[i]
+            if i:
+                places[i - 1] = get((ids[i - 1], ids[i]), _NEVER)
+            if i < len(places):
+                places[i] = get((ids[i], ids[i + 1]), _NEVER)
+        return ids
+
+    def _merge_long(self, data: bytes) -> list[int]:
+        ids, get, wholes = [self.single[b] for b in data], self.merges.get, self.wholes
+        n = len(ids)
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-        for i in range(n - 1):
-            found = merges.get((ids[i], ids[i + 1]))
-            if found:
-                heap.append((found[0], i, ids[i], ids[i + 1], found[1]))
+        heap = [(place, i, pair[0], pair[1]) for i, pair in enumerate(zip(ids, ids[1:])) if (place := get(pair)) is not None]
         heapify(heap)
         while heap:
-            _, i, a, b, whole = heappop(heap)
+            place, i, a, b = heappop(heap)
             j = right[i]
             if ids[i] != a or j >= n or ids[j] != b:
                 continue
-            ids[i], ids[j] = whole, -1
+            ids[i], ids[j] = wholes[place], -1
             right[i] = k = right[j]
             if k < n:
                 left[k] = i
-                found = merges.get((whole, ids[k]))
-                if found:
-                    heappush(heap, (found[0], i, whole, ids[k], found[1]))
+                if (found := get((ids[i], ids[k]))) is not None:
+                    heappush(heap, (found, i, ids[i], ids[k]))
             k = left[i]
-            if k >= 0:
-                found = merges.get((ids[k], whole))
-                if found:
-                    heappush(heap, (found[0], k, ids[k], whole, found[1]))
+            if k >= 0 and (found := get((ids[k], ids[i]))) is not None:
+                heappush(heap, (found, k, ids[k], ids[i]))
         return [i for i in ids if i >= 0]
 
 
@@ -160,32 +179,42 @@ class PieceTransducer:
         return out
 
 
+def pack(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Memory(dict):
-    """Tokens of pieces seen before; long pieces are not kept, and a full memory starts anew."""
+    """Packed tokens of pieces seen before; long pieces are not kept, and of a full memory the pieces stay that are used again."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode()
-        if len(data) > REMEMBERED_LENGTH:
-            machine = PieceTransducer(self.vocabulary)
-            return (*machine.feed(data), *machine.finish())
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        out = self.older.get(piece)
+        if out is None:
+            data = piece.encode()
+            if len(data) > REMEMBERED_LENGTH:
+                machine = PieceTransducer(self.vocabulary)
+                return pack(machine.feed(data) + machine.finish())
+            out = pack(self.vocabulary.merge(data))
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        self[piece] = out = tuple(self.vocabulary.merge(data))
+        self[piece] = out
         return out
 
 
 class StreamEncoder:
-    """Token ids of a text that comes in chunks; ``feed`` and ``finish`` return what has become stable."""
+    """Packed token ids of a text that comes in chunks; ``feed`` and ``finish`` return what has become stable."""
 
     _pieces = regex.compile(PIECES)
     #: How a long piece goes on, by its last character.
     _more = tuple((regex.compile(at), regex.compile(more)) for at, more in (
         (r"\p{L}", r"\p{L}+"), (r"\p{N}", r"\p{N}+"), (r"\s", r"\s+"), (r"[^\s\p{L}\p{N}]", r"[^\s\p{L}\p{N}]+")))
 
-    def __init__(self, vocabulary: Vocabulary, memory: dict[str, tuple[int, ...]] | None = None):
+    def __init__(self, vocabulary: Vocabulary, memory: dict[str, bytes] | None = None):
         self.vocabulary = vocabulary
         self.memory = _Memory(vocabulary) if memory is None else memory
         self.held = ""  # characters that may belong to an added token
@@ -193,21 +222,21 @@ class StreamEncoder:
         self.piece: PieceTransducer | None = None  # of a long piece under way
         self.more = None
 
-    def feed(self, chunk: str) -> list[int]:
-        out: list[int] = []
+    def feed(self, chunk: str) -> bytes:
+        out = b""
         text = self.held + chunk
         at = 0
         if self.vocabulary.added_pattern is not None:
             for m in self.vocabulary.added_pattern.finditer(text):
                 out += self._segment(text[at : m.start()], True)
-                out.append(self.vocabulary.added[m.group()])
+                out += pack([self.vocabulary.added[m.group()]])
                 at = m.end()
         keep = self._possible(text, at)
         out += self._segment(text[at:keep], False)
         self.held = text[keep:]
         return out
 
-    def finish(self) -> list[int]:
+    def finish(self) -> bytes:
         out = self._segment(self.held, True)
         self.held = ""
         return out
@@ -219,9 +248,9 @@ class StreamEncoder:
                 return i
         return len(text)
 
-    def _segment(self, text: str, last: bool) -> list[int]:
+    def _segment(self, text: str, last: bool) -> bytes:
         text = self.tail + text
-        out: list[int] = []
+        out = b""
         if self.piece is not None:
             end = m.end() if (m := self.more.match(text)) else 0
             white = end and text[end - 1].isspace()
@@ -231,22 +260,21 @@ class StreamEncoder:
                 stop = end - 1  # the last of the white space goes with what follows
             elif white and not last:
                 stop = max(end - 1, 0)
-            out += self.piece.feed(text[:stop].encode())
+            out += pack(self.piece.feed(text[:stop].encode()))
             text = text[stop:]
             if not whole:
                 self.tail = text
                 return out
-            out += self.piece.finish()
+            out += pack(self.piece.finish())
             self.piece = None
         if last:
             self.tail = ""
-            out.extend(chain.from_iterable(map(self.memory.__getitem__, self._pieces.findall(text))))
-            return out
+            return out + b"".join(map(self.memory.__getitem__, self._pieces.findall(text)))
         found = self._pieces.findall(text)
         ends = len(text)
         while found and ends + GUARD > len(text):
             ends -= len(found.pop())
-        out.extend(chain.from_iterable(map(self.memory.__getitem__, found)))
+        out += b"".join(map(self.memory.__getitem__, found))
         self.tail = text[ends:]
         if len(self.tail) >= LONG_PIECE:
             # Only one run of a kind can be left over at this length, perhaps with a final piece behind it.
@@ -255,20 +283,24 @@ class StreamEncoder:
                 hold = 1 if first[-1].isspace() else 0
                 self.piece = PieceTransducer(self.vocabulary)
                 self.more = next(more for at, more in self._more if at.match(first[-1]))
-                out += self.piece.feed(first[: len(first) - hold].encode())
+                out += pack(self.piece.feed(first[: len(first) - hold].encode()))
                 self.tail = first[len(first) - hold :]
         return out
 
 
 class StreamDecoder:
-    """Text of token ids that come in chunks; an unfinished character waits for its bytes."""
+    """Text of packed token ids that come in chunks; an unfinished character waits for its bytes."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.bytes = vocabulary.bytes
+        self.joined, self.starts, self.sizes = vocabulary.table
         self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, ids) -> str:
-        return self.machine.decode(b"".join(map(self.bytes.__getitem__, ids)))
+    def feed(self, packed: bytes) -> str:
+        ids = np.frombuffer(packed, "<u4")
+        sizes = self.sizes[ids]
+        to = np.cumsum(sizes)
+        at = np.arange(int(to[-1]) if len(to) else 0) + np.repeat(self.starts[ids] - to + sizes, sizes)
+        return self.machine.decode(self.joined[at].tobytes())
 
     def finish(self) -> str:
         return self.machine.decode(b"", True)
@@ -279,8 +311,8 @@ def chunks(text: str, size: int = CHUNK) -> Iterator[str]:
         yield text[at : at + size]
 
 
-def encode(vocabulary: Vocabulary, text: str | None, memory: dict | None = None, size: int = CHUNK) -> Iterator[list[int]]:
-    """Stable ids of a text, chunk by chunk."""
+def encode(vocabulary: Vocabulary, text: str | None, memory: dict | None = None, size: int = CHUNK) -> Iterator[bytes]:
+    """Stable packed ids of a text, chunk by chunk."""
     machine = StreamEncoder(vocabulary, memory)
     for chunk in chunks(text or "", size):
         yield machine.feed(chunk)
@@ -299,15 +331,6 @@ def _loaded(raw: bytes) -> tuple[Vocabulary, dict]:
     return _LOADED[key]
 
 
-def _little_endian(ids: list[int]) -> bytes:
-    values = array("I", ids)
-    if values.itemsize != 4:
-        raise TypeError("array('I') must hold 32-bit integers")
-    if memoryview(array("H", [1])).tobytes()[0] != 1:
-        values.byteswap()
-    return values.tobytes()
-
-
 def tokenize(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", outputs: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256 and, with ``outputs``, ids, decoded), one row for each document.
 
@@ -325,17 +348,17 @@ def tokenize(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "te
             for value in batch.column(1):
                 n, ids_hash, text_hash, decoder = 0, hashlib.sha256(), hashlib.sha256(), StreamDecoder(vocabulary)
                 all_ids, all_text = [], []
-                for ids in encode(vocabulary, value.as_py(), memory):
-                    n += len(ids)
-                    ids_hash.update(_little_endian(ids))
-                    part = decoder.feed(ids)
+                for packed in encode(vocabulary, value.as_py(), memory):
+                    n += len(packed) // 4
+                    ids_hash.update(packed)
+                    part = decoder.feed(packed)
                     text_hash.update(part.encode())
                     if outputs:
-                        all_ids += ids
+                        all_ids.append(packed)
                         all_text.append(part)
                 part = decoder.finish()
                 text_hash.update(part.encode())
-                rows.append((n, ids_hash.hexdigest(), text_hash.hexdigest(), all_ids, "".join([*all_text, part])))
+                rows.append((n, ids_hash.hexdigest(), text_hash.hexdigest(), np.frombuffer(b"".join(all_ids), "<u4"), "".join([*all_text, part])))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 5
             arrays = [batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())]
             if outputs:
