@@ -249,3 +249,26 @@ def reference_gaps(references: DataFrame) -> DataFrame:
         F.when(F.col(c).isNull(), F.lit(c)) for c in ("station_id", "normal_angle_deg", "tolerance_deg")
     ]))
     return references.select("name", F.explode(gaps).alias("missing_field"))
+
+
+def dimension_readiness(classes: DataFrame, stations: DataFrame, references: DataFrame, train: str = "train", image_there: Column | None = None) -> DataFrame:
+    """(name, status, count) of the three dimension tables before any data comes.
+
+    Classes count unless their ``train`` is false and block if none is left; stations block if there
+    are none; references block if one lacks a field, warn if one's image is missing or there are none.
+    """
+    def status(value: Column) -> Column:
+        return value.alias("status")
+
+    counted = classes.agg(F.count_if(F.coalesce(F.col(train), F.lit(True))).alias("count"))
+    placed = stations.agg(F.count(F.lit(1)).alias("count"))
+    lacking = F.lit(False)
+    for c in ("station_id", "normal_angle_deg", "tolerance_deg"):
+        lacking = lacking | F.col(c).isNull()
+    absent = ~image_there if image_there is not None else F.lit(False)
+    measured = references.agg(F.count(F.lit(1)).alias("n"), F.count_if(lacking).alias("lacking"), F.count_if(absent).alias("absent"))
+    return counted.select(F.lit("classes").alias("name"), status(F.when(F.col("count") > 0, "ok").otherwise("blocker")), "count").unionByName(
+        placed.select(F.lit("stations").alias("name"), status(F.when(F.col("count") > 0, "ok").otherwise("blocker")), "count")).unionByName(
+        measured.select(F.lit("analog_references").alias("name"),
+                        status(F.when(F.col("lacking") > 0, "blocker").when((F.col("absent") > 0) | (F.col("n") == 0), "warning").otherwise("ok")),
+                        F.when(F.col("lacking") > 0, F.col("lacking")).when(F.col("absent") > 0, F.col("absent")).otherwise(F.col("n")).alias("count")))

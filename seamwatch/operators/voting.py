@@ -132,6 +132,40 @@ def station_vote(
     return out
 
 
+def station_verdicts(
+    captures: DataFrame, frames: DataFrame, markers: DataFrame, keys: Sequence[str], order: Sequence[str],
+    trained: Column | bool = True, use_roi: bool = True, full_frame: bool = True, station_id: str | None = None, number: str = "number",
+    allowed: Sequence[int] = K.ALLOWED_STATIONS,
+) -> DataFrame:
+    """Station module verdict of every capture, whether or not a frame could be read.
+
+    Without a trained classifier the module is unavailable.  With ``use_roi`` the digits are read
+    inside the best marker of ``markers`` (keys, bbox); a capture without one is unreadable, or is
+    read over the full frame if ``full_frame`` allows it.  The rest is the vote of its frames.
+    """
+    keys = list(keys)
+    ready = trained if isinstance(trained, Column) else F.lit(trained)
+    vote = station_vote(frames, keys, order, number, allowed, station_id)
+    extra = ["metadata_number", "metadata_matches"] if station_id else []
+    rows = captures.select(*keys, ready.alias("_ready")).join(vote, keys, "left")
+    if use_roi:
+        rows = rows.join(markers.select(*keys, F.col("bbox").alias("_bbox")), keys, "left")
+    else:
+        rows = rows.withColumn("_bbox", F.lit(None).cast("struct<x1:double,y1:double,x2:double,y2:double>"))
+    blind = F.lit(use_roi and not full_frame) & F.col("_bbox").isNull()
+    read = F.col("_ready") & ~blind
+    status = F.when(~F.col("_ready"), "unavailable").when(blind, "unreadable").otherwise(F.coalesce("status", F.lit("unreadable")))
+    reason = F.when(~F.col("_ready"), "station_image_classifier_not_trained").when(blind, "station_marker_not_detected").otherwise(
+        F.coalesce("reason", F.lit(STATION_REASONS["no_confirmed"])))
+    return rows.select(
+        *keys, status.alias("status"), F.when(read, F.col("number")).alias("number"),
+        F.when(F.col("_ready"), F.when(blind, 0.0).otherwise(F.coalesce("confidence", F.lit(0.0)))).alias("confidence"),
+        F.when(F.col("_ready"), F.when(blind, 0).otherwise(F.coalesce("votes", F.lit(0)))).cast("bigint").alias("votes"), reason.alias("reason"),
+        F.when(F.col("_ready"), F.when(blind | F.col("_bbox").isNotNull(), "yolo_station_marker").otherwise("full_frame")).alias("roi_source"),
+        F.when(F.col("_ready"), F.col("_bbox")).alias("station_marker_bbox"), F.when(read & (status == "confirmed"), "image_classifier").alias("source"),
+        *[F.when(read, F.col(c)).alias(c) for c in extra])
+
+
 _MICRO = 1_000_000
 _TURN = 360 * _MICRO
 

@@ -495,6 +495,17 @@ def reference_gaps(spark: SparkSession, d: str) -> DataFrame:
     return V.reference_gaps(refs)
 
 
+@query("""SELECT 'classes' AS name, CASE WHEN count(*) FILTER (p_size % 3 <> 0) > 0 THEN 'ok' ELSE 'blocker' END AS status, count(*) FILTER (p_size % 3 <> 0) AS count FROM part
+UNION ALL SELECT 'stations', CASE WHEN count(*) > 0 THEN 'ok' ELSE 'blocker' END, count(*) FROM nation
+UNION ALL SELECT 'analog_references', CASE WHEN count(*) FILTER (s_suppkey % 4 = 0) > 0 THEN 'warning' WHEN count(*) = 0 THEN 'warning' ELSE 'ok' END,
+  CASE WHEN count(*) FILTER (s_suppkey % 4 = 0) > 0 THEN count(*) FILTER (s_suppkey % 4 = 0) ELSE count(*) END FROM supplier""")
+def dimension_readiness(spark: SparkSession, d: str) -> DataFrame:
+    size = F.col("p_size")
+    classes = A.table(spark, d, "part").select(F.when(size % 3 == 0, False).when(size % 3 == 1, True).alias("train"))
+    refs = A.table(spark, d, "supplier").select("s_suppkey", F.lit("1").alias("station_id"), F.col("s_acctbal").alias("normal_angle_deg"), F.lit(5.0).alias("tolerance_deg"))
+    return V.dimension_readiness(classes, A.table(spark, d, "nation"), refs, image_there=F.col("s_suppkey") % 4 != 0)
+
+
 @query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id, date_trunc('minute', ts) ORDER BY ts, event_id) - 1 AS k FROM events)
 SELECT event_id, strftime(ts, '%Y%m%d_%H%M') || CASE WHEN k = 0 THEN '' ELSE '_' || lpad(CAST(k AS VARCHAR), CAST(greatest(2, length(CAST(k AS VARCHAR))) AS INTEGER), '0') END AS name FROM n""")
 def collision_names(spark: SparkSession, d: str) -> DataFrame:

@@ -13,6 +13,7 @@ from seamwatch.functions import meters as M
 from seamwatch.operators import captures as C
 from seamwatch.operators import evaluation as E
 from seamwatch.operators import fusion as U
+from seamwatch.operators import isolation as ISO
 from seamwatch.operators import modules as MOD
 from seamwatch.operators import plugins as P
 from seamwatch.operators import templates as T
@@ -353,6 +354,72 @@ def module_readiness(spark: SparkSession, d: str) -> DataFrame:
     return MOD.readiness(rows, F.col("row_id") % 3 != 0).select("row_id", "module_id", "status")
 
 
+_ISOLATED_SQL = """SELECT o_orderkey AS capture_id, 0 AS module_order, 'station_number' AS module_id,
+  CASE WHEN o_custkey % 13 = 11 THEN 'failed' ELSE 'confirmed' END AS status, CAST(CASE WHEN o_custkey % 13 <> 11 THEN o_custkey % 13 END AS INTEGER) AS number, CAST(NULL AS DOUBLE) AS value,
+  CASE WHEN o_custkey % 13 = 11 THEN 'no station in gate ' || o_orderkey END AS reason FROM orders
+UNION ALL SELECT o_orderkey, 1, 'coal_presence', 'failed', NULL, NULL, 'no model is there' FROM orders
+UNION ALL SELECT o_orderkey, 2, 'digital_meter', CASE WHEN o_custkey % 100 = 0 THEN 'failed' ELSE 'confirmed' END, NULL,
+  CASE WHEN o_custkey % 100 <> 0 THEN CAST(floor(o_totalprice) AS BIGINT) // (o_custkey % 100) END, CASE WHEN o_custkey % 100 = 0 THEN 'no scale' END FROM orders
+UNION ALL SELECT o_orderkey, 3, 'analog_meter', 'disabled', NULL, NULL, NULL FROM orders"""
+
+
+def _stations():
+    def run(rows):
+        bad = rows["o_custkey"] % 13 == 11
+        if bad.any():
+            raise ValueError(f"no station in gate {rows['o_orderkey'][bad].iloc[0]}")
+        return rows.assign(status="confirmed", number=rows["o_custkey"] % 13)[["status", "number"]]
+    return run
+
+
+def _no_model():
+    raise FileNotFoundError("no model is there")
+
+
+def _scales():
+    def run(rows):
+        scale = rows["o_custkey"] % 100
+        if (scale == 0).any():
+            raise ZeroDivisionError("no scale")
+        return rows.assign(status="confirmed", value=rows["whole"] // scale)[["status", "value"]]
+    return run
+
+
+def _isolated(spark: SparkSession, d: str) -> DataFrame:
+    rows = A.table(spark, d, "orders").select("o_orderkey", "o_custkey", F.floor("o_totalprice").cast("bigint").alias("whole"))
+    modules = [ISO.Module("station_number", _stations), ISO.Module("coal_presence", _no_model), ISO.Module("digital_meter", _scales), ISO.Module("analog_meter", _scales, False)]
+    return ISO.run_isolated(rows, ["o_orderkey"], modules).withColumnRenamed("o_orderkey", "capture_id")
+
+
+@query(_ISOLATED_SQL)
+def isolated_modules(spark: SparkSession, d: str) -> DataFrame:
+    """One module cannot start, two fail on single rows; every other row has its result."""
+    return _isolated(spark, d).select("capture_id", "module_order", "module_id", "status", "number", "value", "reason")
+
+
+@query(f"""SELECT module_id, count(*) AS rows, count(*) FILTER (status = 'failed') AS failed, min(reason) FILTER (status = 'failed') AS first_reason FROM ({_ISOLATED_SQL}) GROUP BY 1""")
+def module_failures(spark: SparkSession, d: str) -> DataFrame:
+    return ISO.module_health(_isolated(spark, d))
+
+
+@query(f"""WITH {READINGS_SQL}, {_CONFIRMED_SQL.format(value="event_id % 13", extra="AND event_id % 13 BETWEEN 1 AND 10")},
+a AS (SELECT *, user_id % 7 <> 0 AS ready, user_id % 3 <> 0 AS marked FROM j)
+SELECT user_id, day, CASE WHEN NOT ready THEN 'unavailable' WHEN marked AND won THEN 'confirmed' ELSE 'unreadable' END AS status,
+  CAST(CASE WHEN ready AND marked AND won THEN txt END AS INTEGER) AS number, CASE WHEN ready THEN CASE WHEN marked THEN coalesce(conf, 0.0) ELSE 0.0 END END AS confidence,
+  CASE WHEN ready THEN CASE WHEN marked THEN coalesce(votes, 0) ELSE 0 END END AS votes,
+  CASE WHEN NOT ready THEN 'station_image_classifier_not_trained' WHEN NOT marked THEN 'station_marker_not_detected' WHEN votes IS NULL THEN 'no_confirmed_station_number_readings'
+    WHEN won THEN 'multi_frame_majority_confirmed' ELSE 'multi_frame_station_numbers_do_not_agree' END AS reason,
+  CASE WHEN ready THEN 'yolo_station_marker' END AS roi_source, CAST(CASE WHEN ready AND marked THEN user_id % 50 END AS DOUBLE) AS x1,
+  CASE WHEN ready AND marked AND won THEN user_id = txt END AS metadata_matches FROM a""")
+def station_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    rows = A.frame_readings(spark, d).withColumn("number", (F.col("event_id") % 13).cast("int"))
+    captures = rows.select(*_KEYS).distinct()
+    x = (F.col("user_id") % 50).cast("double")
+    markers = captures.where("user_id % 3 <> 0").select(*_KEYS, F.struct(x.alias("x1"), x.alias("y1"), (x + 9).alias("x2"), (x + 9).alias("y2")).alias("bbox"))
+    out = VOTE.station_verdicts(captures, rows, markers, _KEYS, _ORDER, F.col("user_id") % 7 != 0, True, False, "user_id")
+    return out.select(*_KEYS, "status", "number", "confidence", "votes", "reason", "roi_source", F.col("station_marker_bbox.x1").alias("x1"), "metadata_matches")
+
+
 # --- templates ------------------------------------------------------------------------------------------------------
 #
 # Queries are the sign bits of all vectors (masks of 2 x 32 cells); the library

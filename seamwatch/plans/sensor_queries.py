@@ -14,6 +14,7 @@ from seamwatch.operators import sensors as S
 from seamwatch.plans.registry import FRAMES_SQL, GAS_SQL, query
 from seamwatch.sinks import tables as sinks
 from seamwatch.sources import files as SRC
+from seamwatch.streaming import streams as ST
 
 _DAY = "CAST(date_trunc('day', ts) AS DATE)"
 
@@ -239,6 +240,34 @@ def sensor_align_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     return S.alignment_diagnostics(aligned, key="day").select("batch_id", "scope", "sample_key", "message")
 
 
+@query(f"""WITH {_SIDES_SQL} SELECT 'device ' || batch_id AS k, day, gas_event, gas_value, thermal_event, thermal_value, warning FROM aligned""")
+def keyed_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """The stream operator over static tables, by keys that carry no time."""
+    gas, thermal = (_side(spark, d, name).select(F.concat(F.lit("device "), F.col("batch_id")).alias("k"), "day", F.col(f"{name}_event").alias("event"), F.col(f"{name}_value").alias("value"))
+                    for name in ("gas", "thermal"))
+    return ST.align_streams(gas, thermal, ["k", "day"])
+
+
+_ALARM_SQL = f"""{GAS_SQL}, r AS (SELECT ts, device, channel, status, value, status IN ('low_alarm', 'high_alarm') AS alarm FROM gas WHERE channel IS NOT NULL)"""
+
+
+def _gas_readings(spark: SparkSession, d: str) -> DataFrame:
+    return A.gas_long(spark, d).where(F.col("channel").isNotNull())
+
+
+@query(f"""WITH {_ALARM_SQL} SELECT time_bucket(INTERVAL '5 minutes', ts) AS start, channel, count(*) AS readings, count(*) FILTER (alarm) AS alarms, max(value) AS peak FROM r GROUP BY 1, 2""")
+def alarm_windows(spark: SparkSession, d: str) -> DataFrame:
+    return ST.alarm_windows(_gas_readings(spark, d)).select(F.col("window.start").alias("start"), "channel", "readings", "alarms", "peak")
+
+
+@query(f"""WITH {_ALARM_SQL}, a AS (SELECT ts, channel, value FROM r WHERE alarm),
+f AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL '2 minutes' THEN 1 ELSE 0 END AS new FROM a WINDOW w AS (PARTITION BY channel ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY channel ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM f)
+SELECT channel, min(ts) AS start, max(ts) + INTERVAL '2 minutes' AS until, count(*) AS alarms, max(value) AS peak FROM s GROUP BY channel, n""")
+def alarm_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return ST.alarm_sessions(_gas_readings(spark, d)).select("channel", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("until"), "alarms", "peak")
+
+
 @query(f"SELECT DISTINCT user_id, {_DAY} AS day FROM events")
 def sample_keys(spark: SparkSession, d: str) -> DataFrame:
     gas, thermal = (_side(spark, d, name).select(F.col("batch_id").alias("user_id"), "day") for name in ("gas", "thermal"))
