@@ -59,10 +59,10 @@ def raw_objects(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def objects(spark: SparkSession, folder: str) -> DataFrame:
-    """Objects with their ordinal inside the capture (line numbers slice a hot capture)."""
+def objects(spark: SparkSession, folder: str, slice_by: str | None = None) -> DataFrame:
+    """Objects with their ordinal inside the capture (line numbers slice a hot capture, or a sample of the rows does)."""
     return number_rows(
-        raw_objects(spark, folder), ["capture_id"], OBJECT_ORDER, "object_index", slice_by=F.col("l_linenumber")
+        raw_objects(spark, folder), ["capture_id"], OBJECT_ORDER, "object_index", slice_by=slice_by or F.col("l_linenumber")
     ).withColumn("object_index", F.col("object_index").cast("bigint"))
 
 

@@ -14,7 +14,7 @@ from seamwatch import constants as K
 from seamwatch.functions import registers as R
 from seamwatch.functions import thermal as T
 from seamwatch.functions.core import compute_once
-from seamwatch.skew import first_per_key, previous_value, spread_join
+from seamwatch.skew import first_per_key, number_rows, previous_value, spread_join
 
 
 def parse_frames(frames: DataFrame, frame: str = "frame", slave_id: str = "slave_id", registers: int = 6) -> DataFrame:
@@ -243,18 +243,36 @@ def missed_slots(
 # down.  The upper bound is the same recurrence on negated values.
 
 _BLOCK = 256
+#: Range of the order column for each row from which rows are ranked before they are cut into blocks.
+_SPARSE = 16
+
+
+def _block_levels(span: int, block: int) -> int:
+    """Levels of blocks so that even the last one holds at most ``block`` entries."""
+    levels = 0
+    while span // block**levels + 2 > block:
+        levels += 1
+    return levels
 
 
 def display_bounds(
     frames: DataFrame, device: str, order: str, low: str, high: str,
-    alpha: float = K.DISPLAY_ALPHA, block: int = _BLOCK, levels: int = 2,
+    alpha: float = K.DISPLAY_ALPHA, block: int = _BLOCK, levels: int | None = None,
 ) -> DataFrame:
-    """Running display bounds per device over an integer ``order`` column.
+    """Running display bounds per device over an integer ``order`` column that is unique per device.
 
-    ``order`` is unique per device (a sample counter or a time stamp in sampling
-    steps), so a block holds at most ``block`` rows and no device is ever
-    gathered in one place.
+    A block holds at most ``block`` rows, blocks of blocks likewise, and there are as many levels as
+    the longest device needs, so no device is ever gathered in one place.  If the order is sparse (a
+    time in microseconds, say), rows are first ranked by sampled slices; the rank is then the order.
     """
+    if levels is None:
+        of_device = frames.groupBy(device).agg(F.count(F.lit(1)).alias("n"), (F.max(order) - F.min(order)).cast("bigint").alias("span"))
+        longest, span = of_device.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.max("span"), F.lit(0))).first()
+        if span > _SPARSE * longest + block:
+            ranked = number_rows(frames, [device], [F.col(order)], "_place", slice_by="sampled")
+            out = display_bounds(ranked, device, "_place", low, high, alpha, block, _block_levels(longest, block))
+            return out.drop("_place")
+        levels = _block_levels(span, block)
     steps = frames.select(
         "*",
         F.struct(

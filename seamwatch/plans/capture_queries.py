@@ -126,7 +126,7 @@ def export_effective(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {OBJECTS_SQL} SELECT capture_id, l_linenumber AS line, l_partkey AS part, CAST(object_index AS BIGINT) AS object_index FROM objects""")
 def object_ordinals(spark: SparkSession, d: str) -> DataFrame:
-    return A.objects(spark, d).select("capture_id", F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), "object_index")
+    return A.objects(spark, d, "sampled").select("capture_id", F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), "object_index")
 
 
 @query(f"""WITH {CAPTURES_SQL}, {ITEMS_SQL}

@@ -438,11 +438,11 @@ def meter_sample_violations(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT page_id, row_number() OVER (ORDER BY page_id % 7, page_id) AS position FROM pages""")
 def natural_order(spark: SparkSession, d: str) -> DataFrame:
-    """Natural order of ``run<r>/IMG<n>``: ranked per run and stretch of numbers and shifted, never by a global window."""
+    """Natural order of ``run<r>/IMG<n>``: ranked in sampled slices and shifted, never by a global window."""
     n = F.col("page_id")
     rows = A.table(spark, d, "pages").select("page_id", (n % 7).alias("run"), F.concat(F.lit("run"), (n % 7).cast("string"), F.lit("/IMG"), n.cast("string")).alias("name"))
-    keyed = rows.withColumn("key", X.natural_key(F.col("name"))).withColumn("_k", F.lit(1))
-    ranked = number_rows(keyed, ["_k"], ["key"], "position", slice_by=F.struct("run", F.floor(F.col("page_id") / 4096)), start=1)
+    keyed = rows.withColumn("key", X.natural_key(F.col("name")))
+    ranked = number_rows(keyed, [], ["key"], "position", slice_by="sampled", start=1)
     return ranked.select("page_id", F.col("position").cast("bigint").alias("position"))
 
 

@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 
 #: Rows from which a key counts as hot.
 HOT_ROWS = 200_000
+#: Slices that a sampled order is cut into, and sampled rows for each.
+SLICES = 256
+SAMPLED = 64
 #: Reducer share a hot key is spread over.
 SPREAD = 512
 
@@ -89,16 +92,52 @@ def _hashable(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if "map" not in f.dataType.simpleString()]
 
 
+def sampled_slices(df: DataFrame, order: Sequence[Column | str], slices: int = SLICES) -> Column:
+    """Number of the slice of a row in ``order``: slices hold about equal numbers of rows.
+
+    Their bounds are taken from a sample of ``SAMPLED`` rows for each slice on average and stand in
+    the plan as literals, so every use of the expression cuts alike.  Ties in the first columns are
+    told apart by the later ones.
+    """
+    order = [_col(o) for o in order]
+    key = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
+    keyed = df.select(key.alias("_o"))
+    kinds = keyed.schema["_o"].dataType.fields
+    rows = keyed.count()
+    wanted = slices * SAMPLED
+    sample = keyed if rows <= wanted else keyed.sample(False, wanted / rows, 7)
+    found = [r["_o"] for r in sample.sort("_o").collect()]
+    count = min(slices, len(found) // SAMPLED + 1)
+    bounds = []
+    for i in range(1, count):
+        bound = found[i * len(found) // count]
+        if not bounds or bound != bounds[-1]:
+            bounds.append(bound)
+
+    def cut(low: int, high: int) -> Column:
+        """How many of the bounds are not above the row, among those from ``low`` to ``high``."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        literal = F.struct(*[F.lit(v).cast(k.dataType).alias(k.name) for v, k in zip(bounds[middle], kinds, strict=True)])
+        return F.when(key < literal, cut(low, middle)).otherwise(cut(middle + 1, high))
+
+    return cut(0, len(bounds))
+
+
 def number_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str,
-    slice_by: Column | None = None, start: int = 0,
+    slice_by: Column | str | None = None, start: int = 0,
 ) -> DataFrame:
-    """Ordinal of a row inside its key.
+    """Ordinal of a row inside its key; without keys, its rank among all rows.
 
     With ``slice_by`` (an expression that never decreases along ``order``) each
     slice is numbered apart and shifted by the row count of the slices before.
+    ``"sampled"`` cuts the slices by a sample of the rows, whatever the columns of the order.
     """
     order = [_col(o) for o in order]
+    if isinstance(slice_by, str):
+        slice_by = sampled_slices(df, order)
     if slice_by is None:
         window = W.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, F.row_number().over(window) - 1 + start)

@@ -122,6 +122,39 @@ def test_oversized_values_are_whole(spark):
     assert spark.createDataFrame([(deep,)], "p string").select(files.below(F.col("p"), "/root")).first()[0] == deep[6:]
 
 
+def plain_bounds(data):
+    low = high = device = None
+    for d, t, lo, hi in data:
+        if d != device:
+            device, low, high = d, lo, hi
+        else:
+            low = lo if lo < low else low * 0.75 + lo * 0.25
+            high = hi if hi > high else high * 0.75 + hi * 0.25
+        yield d, t, low, high
+
+
+@pytest.mark.parametrize(("step", "block"), [(1, 8), (1_000_003, 8), (1_000_003, 256), (40, 3)])
+def test_display_bounds_choose_their_levels(spark, step, block):
+    rnd = random.Random(step)
+    data = [(d, i * step + (i * i) % step, rnd.uniform(10, 20), rnd.uniform(25, 40)) for d, n in ((1, 700), (2, 30), (3, 1)) for i in range(n)]
+    frames = spark.createDataFrame(data, "device int, t bigint, lo double, hi double")
+    got = {(r.device, r.t): (r.display_low, r.display_high) for r in S.display_bounds(frames.repartition(5), "device", "t", "lo", "hi", block=block).collect()}
+    assert len(got) == len(data)
+    for d, t, low, high in plain_bounds(data):
+        assert got[d, t] == pytest.approx((low, high), abs=1e-9)
+
+
+def test_block_levels_bound_every_group():
+    for span in (0, 1, 200, 254, 255, 256, 70_000, 3 * 10**13):
+        for block in (3, 8, 256):
+            levels = S._block_levels(span, block)
+            assert span // block**levels + 2 <= block and (levels == 0 or span // block ** (levels - 1) + 2 > block)
+
+
+def test_display_bounds_of_nothing(spark):
+    assert S.display_bounds(spark.createDataFrame([], "device int, t bigint, lo double, hi double"), "device", "t", "lo", "hi").collect() == []
+
+
 @pytest.mark.parametrize("block,levels", [(4, 3), (16, 2), (256, 1)])
 def test_display_bounds_equal_a_plain_loop(spark, block, levels):
     rnd = random.Random(block)
