@@ -24,12 +24,11 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seamwatch.llm.common import durable, exact_quotient, mix, sized, whole
+from seamwatch.llm.common import BYTE_CODES, _powers, byte_views, durable, exact_quotient, mix, sized, whole
 
 WORDS = 5
 LEAST = 100
@@ -39,8 +38,8 @@ SHARED = WORDS - 1
 PERIOD = 16
 LONGEST = 512
 #: Text bytes that a task parses or counts at once.
-PARSE_BYTES = 1 << 23
-COUNT_BYTES = 1 << 24
+PARSE_BYTES = 1 << 22
+COUNT_BYTES = 1 << 23
 FILTER_BITS = 1 << 27
 #: Bits of the filter for each entry.
 BITS_EACH = 32
@@ -52,7 +51,13 @@ _TEXT_BYTES = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 9 else 46 if c in b"
 
 
 def _hashes(words: pa.Array) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
+    """64-bit hashes of words: a sum of byte codes times powers of an odd number, moved to the word's start."""
+    data, offsets = byte_views(words)
+    up, down = _powers(len(data))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE_CODES[data] * up[: len(data)], out=total[1:])
+    start, stop = offsets[:-1], offsets[1:]
+    return mix((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64))
 
 
 class Words:
@@ -134,7 +139,7 @@ def dictionary(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataF
 
 
 def _lang_hash(names: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(x.encode(), 1) for x in names), np.uint64, len(names))
+    return mix(_hashes(pa.array(names, pa.string())) + np.uint64(1))
 
 
 def _grown(grams: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -191,30 +196,66 @@ def frequent_filter(frequent: DataFrame, most_bits: int = FILTER_BITS) -> BitFil
     return BitFilter(bits, words)
 
 
+def _known(words: Words, langs: pa.DictionaryArray, length: int, filter_: BitFilter) -> np.ndarray:
+    """Whether the filter holds the phrase of ``length`` words at each place (at the end of a row, of fewer rows)."""
+    of_row = _lang_hash(langs.dictionary.to_pylist())[langs.indices.to_numpy()]
+    one = mix(words.hashes() ^ of_row[words.row])
+    grams = one
+    for k in range(1, length):
+        grams = _grown(grams[: len(one) - k], one[k:])
+    return filter_.holds(grams)
+
+
+def _by_size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(1).nbytes
+        if size >= COUNT_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def chunks_with_neighbours(chunks: DataFrame, parts: BitFilter, length: int) -> DataFrame:
+    """The chunks that hold two neighbouring phrases of ``length`` words of the filter; no other can hold a longer one that counts."""
+    shared = chunks.sparkSession.sparkContext.broadcast((parts.bits, parts.words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filter_ = BitFilter(*shared.value)
+        for table in _by_size(batches):
+            words = Words(table["chunk"].chunk(0))
+            known = _known(words, table["lang"].chunk(0).dictionary_encode(), length, filter_)
+            at = np.flatnonzero(known[:-1] & known[1:])
+            at = at[at + length + 1 <= words.end[at]]
+            keep = np.zeros(table.num_rows, bool)
+            keep[words.row[at]] = True
+            yield from table.filter(pa.array(keep)).to_batches()
+
+    return chunks.mapInArrow(run, chunks.schema)
+
+
 def count_phrases(chunks: DataFrame, length: int, parts: BitFilter | None) -> DataFrame:
     """(lang, phrase, f) of all phrases of ``length`` words whose parts of one word less the filter holds."""
     shared = chunks.sparkSession.sparkContext.broadcast((parts.bits, parts.words)) if parts else None
 
     def counted(table: pa.Table, filter_: BitFilter | None) -> pa.RecordBatch:
-        langs = table["lang"].combine_chunks().dictionary_encode()
-        names, of_chunk = langs.dictionary.to_pylist(), langs.indices.to_numpy()
+        langs = table["lang"].chunk(0).dictionary_encode()
+        of_chunk = langs.indices.to_numpy()
         uses, extra = table["uses"].to_numpy(), table["extra"].to_numpy()
-        words = Words(table["chunk"].combine_chunks())
-        n, ids, chunk = len(words), words.ids, words.row
-        at = np.flatnonzero(np.arange(n) + np.maximum(length, extra[chunk] + 1) <= words.end)
+        words = Words(table["chunk"].chunk(0))
+        ids, chunk = words.ids, words.row
+        at = np.flatnonzero(np.arange(len(words)) + np.maximum(length, extra[chunk] + 1) <= words.end)
         if filter_ is not None:
-            one = mix(words.hashes() ^ _lang_hash(names)[of_chunk[chunk]])
-            grams = one
-            for k in range(1, length - 1):
-                grams = _grown(grams[: n - k], one[k:])
-            known = filter_.holds(grams)
+            known = _known(words, langs, length - 1, filter_)
             at = at[known[at] & known[at + 1]]
         code = of_chunk[chunk[at]].astype(np.int64)
         for k in range(length):
             code = code * np.int64(len(words.distinct) + 1) + ids[at + k]
             if 0 < k < length - 1:  # keep the numbers small
                 code = np.unique(code, return_inverse=True)[1]
-        order = np.argsort(code, kind="stable")
+        order = np.argsort(code)
         first = np.flatnonzero(np.diff(code[order], prepend=-1))
         weights = np.add.reduceat(uses[chunk[at]][order], first) if len(first) else np.zeros(0, np.int64)
         at = at[order[first]]
@@ -223,15 +264,8 @@ def count_phrases(chunks: DataFrame, length: int, parts: BitFilter | None) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = BitFilter(*shared.value) if shared else None
-        held, size = [], 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.column(1).nbytes
-            if size >= COUNT_BYTES:
-                yield counted(pa.Table.from_batches(held), filter_)
-                held, size = [], 0
-        if held:
-            yield counted(pa.Table.from_batches(held), filter_)
+        for table in _by_size(batches):
+            yield counted(table, filter_)
 
     return chunks.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
@@ -253,7 +287,10 @@ def mine(docs: DataFrame, least: int = LEAST, top: int = TOP, lang: str = "lang"
     totals = every.groupBy("lang").agg(F.sum("f").alias("n"))
     by_length = [durable(every.where(F.col("f") >= least))]
     for length in range(2, WORDS + 1):
-        by_length.append(durable(count_phrases(chunks, length, frequent_filter(by_length[-1])).where(F.col("f") >= least)))
+        parts = frequent_filter(by_length[-1])
+        if length == 3:  # few chunks hold longer phrases; those to come read these alone
+            chunks = durable(chunks_with_neighbours(chunks, parts, length - 1))
+        by_length.append(durable(count_phrases(chunks, length, parts).where(F.col("f") >= least)))
     counts = reduce(DataFrame.unionByName, by_length)
     phrases = reduce(DataFrame.unionByName, [df.withColumn("m", F.lit(i + 2)) for i, df in enumerate(by_length[1:])]).withColumnRenamed("f", "a")
 
