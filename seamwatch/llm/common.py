@@ -46,13 +46,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A new folder's name in the shared one."""
+    return f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage by a Parquet table in the shared folder, which outlives executors.
 
     Unlike a checkpoint it is compressed, is read by column, and carries no inferred constraints
     into the next step, which an iteration would pile up.
     """
-    folder = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    folder = new_folder(df.sparkSession)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 

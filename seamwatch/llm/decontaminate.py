@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seamwatch.functions.core import let
-from seamwatch.llm.common import SPACE, durable
+from seamwatch.llm.common import SPACE, durable, packed
 
 WIDTH = 5
 CONTAINMENT = 0.8
@@ -119,4 +119,5 @@ def search(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents that hold no item, with all their columns."""
     found = durable(leaking_texts(docs, items, text, **options).select(F.col("tag").alias("_tag")).distinct())
-    return docs.join(_fits(found), F.xxhash64(docs[text]) == F.col("_tag"), "left_anti")
+    rows = packed(docs, _text_tag=F.xxhash64(docs[text]))
+    return rows.join(_fits(found), rows["_text_tag"] == F.col("_tag"), "left_anti").select("_row.*")

@@ -24,10 +24,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seamwatch.llm.common import byte_views, components, durable, mix, shingle_hashes, slices, word_hashes
+from seamwatch.llm.common import byte_views, components, durable, mix, packed, shingle_hashes, slices, word_hashes
 
 THRESHOLD = (80, 100)
 #: The probability at which the bands, and again the Bayesian test, may miss a link.
@@ -275,11 +275,15 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     judged = durable(near_duplicates(docs, width))
     gone = judged.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("tag").alias("_tag"))
     near = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    tag = F.xxhash64(docs["text"])
-    staying = docs.join(near, (docs["doc_id"] == F.col("_gone")) & (tag == F.col("_tag")), "left_anti")
+    rows = packed(docs, _id=docs["doc_id"], _text_tag=F.xxhash64(docs["text"]))
+
+    def same(df: DataFrame) -> Column:
+        return (df["_id"] == F.col("_gone")) & (df["_text_tag"] == F.col("_tag"))
+
+    staying = rows.join(near, same(rows), "left_anti")
     again = judged.where("doc_id is not null").groupBy("doc_id", "tag").count().where("count > 1")
     if again.isEmpty():
-        return staying
+        return staying.select("_row.*")
     again = durable(again).select(F.col("doc_id").alias("_gone"), F.col("tag").alias("_tag"))
-    same = (staying["doc_id"] == F.col("_gone")) & (F.xxhash64(staying["text"]) == F.col("_tag"))
-    return staying.join(again, same, "left_anti").unionByName(staying.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    once = staying.join(again, same(staying), "left_semi").dropDuplicates(["_id", "_text_tag"])
+    return staying.join(again, same(staying), "left_anti").unionByName(once).select("_row.*")

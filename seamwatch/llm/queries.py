@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamwatch.llm import bpe, collocations, decontaminate, divergence, langid, licenses, lines, mixing, neardup, pii, sharding, suffix, topk
-from seamwatch.llm.common import durable, table
+from seamwatch.llm.common import new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,11 +22,12 @@ def register(fn):
 @register
 def op1_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into shards 0 to 39 of near equal bytes (law ``bytes``)."""
-    docs = table(spark, sf_dir, "documents")
-    slot_map = durable(sharding.plan_map(sharding.slot_bytes(docs), 40))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    keys = ["doc_id", "text"]
+    slot_map = sharding.next_map(sharding.slot_bytes(docs, keys), 40, f"{new_folder(spark)}/maps")
     raw = F.coalesce("text", F.lit("")).cast("binary")
-    sized = docs.select("doc_id", sharding.record_bytes().alias("size"), F.crc32(raw).alias("text_crc32"))
-    numbered = sharding.number(sharding.assign(sized, slot_map), ["doc_id", "size", "text_crc32"])
+    placed = sharding.assign(docs.withColumns({"size": sharding.record_bytes(), "text_crc32": F.crc32(raw)}), slot_map, keys).drop("text")
+    numbered = sharding.number(placed, ["doc_id", "size", "text_crc32"], ["doc_id", "text_crc32"])
     return numbered.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
@@ -50,17 +51,17 @@ def op2_bit_sliced_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op2_bit_sliced_top5"] = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS q
+  SELECT row_number() OVER () AS number, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS q
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+  SELECT a.number, a.vec_id AS query_id, b.vec_id AS vec_id,
          CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.number <> b.number),
 ranked AS (
   SELECT query_id, vec_id, score,
-         CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+         CAST(row_number() OVER (PARTITION BY number ORDER BY score DESC, vec_id) AS INTEGER) AS rank
   FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
@@ -135,7 +136,7 @@ def op7_character_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op6_benchmark_containment"] = r"""
 WITH it AS (
-  SELECT min(item_id) AS item_id, w FROM (
+  SELECT min(item_id) AS item_id, list(item_id) AS ids, w FROM (
     SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
     FROM benchmark WHERE text IS NOT NULL)
   WHERE len(w) > 0 GROUP BY w),
@@ -150,10 +151,13 @@ dw AS (
 d AS (
   SELECT DISTINCT doc_id, width, array_to_string(w[i:i + width - 1], ' ') AS g
   FROM (SELECT doc_id, w, width, unnest(range(1, len(w) - width + 2)) AS i
-        FROM dw, (SELECT DISTINCT width FROM s) k WHERE len(w) >= width))
-SELECT doc_id, item_id, count(*) AS n_shared, n_item, count(*) / n_item AS containment
-FROM d JOIN s USING (width, g) JOIN n USING (item_id)
-GROUP BY doc_id, item_id, n_item HAVING count(*) >= ceil(n_item * 0.8)
+        FROM dw, (SELECT DISTINCT width FROM s) k WHERE len(w) >= width)),
+found AS (
+  SELECT doc_id, item_id, count(*) AS n_shared, n_item, count(*) / n_item AS containment
+  FROM d JOIN s USING (width, g) JOIN n USING (item_id)
+  GROUP BY doc_id, item_id, n_item HAVING count(*) >= ceil(n_item * 0.8))
+SELECT doc_id, ids.item_id, n_shared, n_item, containment
+FROM found JOIN (SELECT item_id AS least, unnest(ids) AS item_id FROM it) ids ON ids.least = found.item_id
 """
 
 

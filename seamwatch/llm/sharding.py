@@ -4,8 +4,9 @@ Records are hashed into some thousands of slots that never change.  Only the slo
 data: it is planned from the bytes in each slot, stored under a version and edited on a rebalance,
 so that a change of the shard count moves whole slots and nothing else.
 
-Null keys hash like any value, null texts weigh only the overhead, repeated rows of one key go to
-one slot, an empty table gives an empty result and a map of empty slots.  A result column takes the
+Null keys hash like any value, null texts weigh only the overhead, rows of one key go to one slot;
+where ids may be null or repeat, the text is made part of the key, so that only equal rows stay
+together.  An empty table gives an empty result and a map of empty slots.  A result column takes the
 place of an input column of the same name.
 """
 
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seamwatch.llm.common import packed, with_results
+from seamwatch.llm.common import new_folder, packed, with_results
 
 #: Slots of a corpus; fixed for its life.
 SLOTS = 8192
@@ -109,6 +110,15 @@ def load_map(spark: SparkSession, folder: str, version: int | None = None) -> Da
     return maps.where(F.col("version") == wanted).select("virtual_slot", "shard", "version")
 
 
+def next_map(sizes: DataFrame, shards: int, folder: str) -> DataFrame:
+    """The stored map that a run uses: a first plan, or the newest version edited for these bytes and shards."""
+    spark = sizes.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    stored = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    save_map(rebalance(load_map(spark, folder), sizes, shards) if stored else plan_map(sizes, shards), folder)
+    return load_map(spark, folder)
+
+
 def assign(records: DataFrame, slot_map: DataFrame, keys: Sequence[str] = ("doc_id",), slots: int = SLOTS) -> DataFrame:
     """Every record with ``virtual_slot``, ``shard`` and ``map_version``.
 
@@ -126,16 +136,17 @@ def number(assigned: DataFrame, order: Sequence[str], keys: Sequence[str] = ("do
     before it in the shard, so no task holds a shard.
     """
     lane = F.pmod(F.shiftright(_hash(keys), 32), F.lit(lanes)).cast("int")
-    rows = assigned.withColumn("_lane", lane)
-    inside = W.partitionBy("virtual_slot", "_lane").orderBy(*order)
-    ranked = rows.withColumn("_rank", F.row_number().over(inside))
-    before = W.partitionBy("shard").orderBy("virtual_slot", "_lane").rowsBetween(W.unboundedPreceding, -1)
-    bins = rows.groupBy("shard", "virtual_slot", "_lane").agg(F.count(F.lit(1)).alias("_n"))
-    bases = bins.select("virtual_slot", "_lane", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    out = ranked.join(bases, ["virtual_slot", "_lane"])
-    return out.withColumn("slot", (F.col("_base") + F.col("_rank") - 1).cast("long")).drop("_lane", "_rank", "_base")
-
-
-def shard_documents(docs: DataFrame, shards: int, keys: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
-    """Documents with the shard of a fresh map over their own bytes."""
-    return assign(docs, plan_map(slot_bytes(docs, keys, text), shards), keys)
+    rows = packed(assigned, virtual_slot=F.col("virtual_slot"), shard=F.col("shard"), lane=lane, order=F.struct(*order))
+    inside = W.partitionBy("virtual_slot", "lane").orderBy("order")
+    ranked = rows.withColumn("rank", F.row_number().over(inside))
+    before = W.partitionBy("shard").orderBy("virtual_slot", "lane").rowsBetween(W.unboundedPreceding, -1)
+    bins = rows.groupBy("shard", "virtual_slot", "lane").agg(F.count(F.lit(1)).alias("n"))
+    bases = bins.select("virtual_slot", "lane", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    out = ranked.join(bases, ["virtual_slot", "lane"])
+    return with_results(out.withColumn("slot", (F.col("base") + F.col("rank") - 1).cast("long")), assigned.columns, ["slot"])
+
+
+def shard_documents(docs: DataFrame, shards: int, keys: Sequence[str] = ("doc_id", "text"), text: str = "text", maps: str | None = None) -> DataFrame:
+    """Documents with the shard of the next map in the folder ``maps``; of a first map in a new folder if none is given."""
+    folder = maps or f"{new_folder(docs.sparkSession)}/maps"
+    return assign(docs, next_map(slot_bytes(docs, keys, text), shards, folder), keys)

@@ -8,8 +8,9 @@ significant one downward to the k-th largest sum, every row that the bound lets
 boundary row, and boundary rows are scored exactly.
 
 Vectors that are null, hold null or non-finite components, have no id, or have another length than
-most vectors take no part.  A query's own id is no candidate for it.  Ties go to the smaller id,
-repeated rows are candidates of their own, an empty table gives an empty result.  Scores are exact
+most vectors take no part.  A query's own row is no candidate for it; other rows of its id are.  Rows
+of one id are queries and candidates of their own, so an id that repeats among the queries has as many
+lists of ranks from 1.  Ties go to the smaller id, an empty table gives an empty result.  Scores are exact
 as long as they fit 64 bits.
 """
 
@@ -31,7 +32,7 @@ QUERY_ROWS = 256
 #: Slices of a component that are added; the rest goes into the bound.
 TOP_SLICES = 5
 
-_INDEX = "block int, ids binary, kind string, cells binary, low long, bits int, slices binary"
+_INDEX = "block int, ids binary, numbers binary, kind string, cells binary, low long, bits int, slices binary"
 
 
 def quantised(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -54,8 +55,9 @@ def _build(group: pa.Table) -> pa.Table:
     rows = group.num_rows
     values = _matrix(group["q"], rows)
     ids = np.asarray(group["vec_id"].combine_chunks())
-    order = np.argsort(ids, kind="stable")
-    ids, values = ids[order], values[order]
+    numbers = np.asarray(group["number"].combine_chunks())
+    order = np.lexsort((numbers, ids))
+    ids, numbers, values = ids[order], numbers[order], values[order]
     low = int(values.min()) if values.size else 0
     bits = max(1, int(values.max() - low).bit_length()) if values.size else 1
     kind = next(k for k in ("int16", "int32", "int64") if not values.size or np.iinfo(k).min <= low and values.max() <= np.iinfo(k).max)
@@ -64,7 +66,7 @@ def _build(group: pa.Table) -> pa.Table:
     padded[:rows] = shifted
     planes = [np.packbits(((padded >> np.uint64(b)) & np.uint64(1)).astype(np.uint8).T, axis=1, bitorder="little") for b in range(bits)]
     return pa.table({
-        "block": pa.array([group["block"][0].as_py()], pa.int32()), "ids": [ids.tobytes()], "kind": [kind],
+        "block": pa.array([group["block"][0].as_py()], pa.int32()), "ids": [ids.tobytes()], "numbers": [numbers.tobytes()], "kind": [kind],
         "cells": [values.astype(kind).tobytes()], "low": pa.array([low], pa.int64()), "bits": pa.array([bits], pa.int32()),
         "slices": [np.stack(planes).tobytes()]})
 
@@ -109,6 +111,7 @@ class Block:
 
     def __init__(self, row: dict):
         self.ids = np.frombuffer(row["ids"], np.int64)
+        self.numbers = np.frombuffer(row["numbers"], np.int64)
         self.cells = np.frombuffer(row["cells"], row["kind"]).reshape(len(self.ids), -1)
         bits, dim = row["bits"], self.cells.shape[1]
         planes = np.frombuffer(row["slices"], np.uint64).reshape(bits, dim, -1)
@@ -119,13 +122,14 @@ class Block:
         live[: len(self.ids)] = 1
         self.live = np.packbits(live, bitorder="little").view(np.uint64)
 
-    def search(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the block's best k rows."""
+    def search(self, own: int, number: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the block's best k rows, but for the query's own."""
         live = self.live
         lo, hi = np.searchsorted(self.ids, own, "left"), np.searchsorted(self.ids, own, "right")
-        if hi > lo:
+        mine = lo + np.flatnonzero(self.numbers[lo:hi] == number)
+        if len(mine):
             mask = np.ones(len(live) * 64, np.uint8)
-            mask[lo:hi] = 0
+            mask[mine] = 0
             live = live & np.packbits(mask, bitorder="little").view(np.uint64)
         rows = self._boundary(live, query, k)
         scores = self.cells[rows].astype(np.int64) @ query
@@ -167,11 +171,12 @@ def _searcher(k: int):
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block(row)
-                queries = np.frombuffer(row["q_ids"], np.int64)
+                queries, numbers = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_numbers"], np.int64)
                 wanted = np.frombuffer(row["q_cells"], np.int64).reshape(len(queries), -1)
-                found = [block.search(int(i), q, k) for i, q in zip(queries, wanted, strict=True)]
+                found = [block.search(int(i), int(n), q, k) for i, n, q in zip(queries, numbers, wanted, strict=True)]
+                sizes = [len(f[0]) for f in found]
                 yield pa.record_batch({
-                    "query_id": np.repeat(queries, [len(f[0]) for f in found]),
+                    "query_id": np.repeat(queries, sizes), "number": np.repeat(numbers, sizes),
                     "vec_id": np.concatenate([f[0] for f in found]), "score": np.concatenate([f[1] for f in found])})
 
     return search
@@ -180,6 +185,7 @@ def _searcher(k: int):
 def _query_block(group: pa.Table) -> pa.Table:
     return pa.table({
         "part": pa.array([group["part"][0].as_py()], pa.int32()), "q_ids": [np.asarray(group["vec_id"].combine_chunks()).tobytes()],
+        "q_numbers": [np.asarray(group["number"].combine_chunks()).tobytes()],
         "q_cells": [_matrix(group["q"], group.num_rows).astype(np.int64).tobytes()]})
 
 
@@ -188,17 +194,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
 
     Blocks of rows meet blocks of queries on a grid, so neither side is ever whole in a task.
     """
-    rows = durable(vectors)
+    rows = durable(vectors.withColumn("number", F.monotonically_increasing_id()))
     queries = rows.where(is_query)
     blocks = math.ceil(rows.count() / BLOCK_ROWS) or 1
     q_parts = math.ceil(queries.count() / QUERY_ROWS) or 1
     index = build_index(rows, blocks)
     parted = queries.withColumn("part", F.pmod(F.xxhash64("vec_id", "q"), F.lit(q_parts)).cast("int"))
-    asked = parted.groupBy("part").applyInArrow(_query_block, "part int, q_ids binary, q_cells binary")
+    asked = parted.groupBy("part").applyInArrow(_query_block, "part int, q_ids binary, q_numbers binary, q_cells binary")
     left = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))))
     right = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     grid = left.join(right, ["block", "part"])
-    found = grid.drop("part", "block").mapInArrow(_searcher(k), "query_id long, vec_id long, score long")
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = grid.drop("part", "block").mapInArrow(_searcher(k), "query_id long, number long, vec_id long, score long")
+    best = W.partitionBy("query_id", "number").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

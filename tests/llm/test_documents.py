@@ -56,6 +56,32 @@ def test_sharding_is_even_and_rebalances_by_slots(spark):
     assert len(grown) == 9 and max(grown) < 1.05 * min(grown)
 
 
+def test_sharding_stays_even_with_null_and_repeated_keys(spark, tmp_path):
+    many = spark.range(6000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 2000).alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("base"), "id")
+    many = many.select("doc_id", F.concat("base", F.col("id").cast("string")).alias("text"), F.lit("mine").alias("_lane"), F.lit(7).alias("rank"))
+    out = sharding.shard_documents(many, 8, maps=str(tmp_path / "maps"))
+    loads = [r["n"] for r in out.groupBy("shard").agg(F.sum(sharding.record_bytes()).alias("n")).collect()]
+    assert len(loads) == 8 and max(loads) < 1.01 * min(loads)
+    numbered = sharding.number(out, ["doc_id", "text"], ["doc_id", "text"])
+    assert numbered.columns == [*out.columns, "slot"] and {r["_lane"] for r in numbered.select("_lane").distinct().collect()} == {"mine"}
+    by = defaultdict(list)
+    for r in numbered.collect():
+        by[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    later = sharding.shard_documents(many, 9, maps=str(tmp_path / "maps"))
+    assert {r[0] for r in later.select("map_version").distinct().collect()} == {2} and {r[0] for r in later.select("shard").distinct().collect()} == set(range(9))
+    moved = out.select("doc_id", "text", "shard").join(later.select("doc_id", "text", F.col("shard").alias("now")), (out["doc_id"].eqNullSafe(later["doc_id"])) & (out["text"] == later["text"]))
+    assert moved.where("shard <> now").count() < 0.2 * 6000
+
+
+def test_stages_keep_columns_of_clashing_names(spark, docs):
+    extra = {n: F.lit("mine") for n in ("_tag", "_gone", "_id", "_text_tag", "_row", "_u", "_topic", "rank", "lane", "node", "root", "item")}
+    table = docs.withColumns(extra)
+    items = spark.createDataFrame([(1, prose(0, 60))], "item_id long, text string")
+    for out in (neardup.drop_near_duplicates(table), decontaminate.decontaminate(table, items), mixing.sample(table), sharding.shard_documents(table, 3).drop("virtual_slot", "shard", "map_version")):
+        assert out.columns == table.columns and {r["_tag"] for r in out.select("_tag").collect()} == {"mine"}
+
+
 def test_sharding_versions_are_kept(spark, docs, tmp_path):
     sizes = sharding.slot_bytes(docs)
     first = sharding.plan_map(sizes, 3)

@@ -18,9 +18,9 @@ def brute(data, k, every):
     usual = max(set(sizes), key=lambda n: (sizes.count(n), n)) if sizes else 0
     live = [(i, v) for i, v in live if len(v) == usual]
     out = []
-    for i, q in live:
+    for n_query, (i, q) in enumerate(live):
         if i % every == 0:
-            best = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in live if j != i)[:k]
+            best = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for n_other, (j, v) in enumerate(live) if n_other != n_query)[:k]
             out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
     return sorted(out)
 
@@ -50,3 +50,12 @@ def test_wide_values_are_exact(spark):
     data = [(i, [rng.uniform(-4000, 4000) for _ in range(6)]) for i in range(60)]
     got = topk.top_k(topk.quantised(spark.createDataFrame(data, "vec_id long, embedding array<double>")), F.col("vec_id") % 10 == 0, 3)
     assert sorted(tuple(r) for r in got.collect()) == brute(data, 3, 10)
+
+
+def test_repeated_ids_are_queries_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 2)
+    rng = random.Random(2)
+    data = [(i % 30, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(80)] + [(0, [0.5] * 4), (0, [0.5] * 4)]
+    got = topk.top_k(topk.quantised(spark.createDataFrame(data, "vec_id long, embedding array<double>")), F.col("vec_id") % 10 == 0, 5)
+    assert sorted(tuple(r) for r in got.collect()) == brute(data, 5, 10)
