@@ -168,41 +168,65 @@ def station_verdicts(
 
 _MICRO = 1_000_000
 _TURN = 360 * _MICRO
+#: Buckets of a turn; an even number that divides it, so that the opposite of a bucket is a bucket.
+BUCKETS = 3600
 
 
 def angle_medoid(
-    angles: DataFrame, keys: Sequence[str], order: Sequence[str], angle: str = "angle", confidence: str = "confidence",
+    angles: DataFrame, keys: Sequence[str], order: Sequence[str], angle: str = "angle", confidence: str = "confidence", buckets: int = BUCKETS,
 ) -> DataFrame:
     """Measured angle with the smallest summed circular distance to the others of its group.
 
-    No pairs are formed: equal angles are merged first, every angle is laid out
-    on three turns, and running counts and sums up to -180, 0 and +180 degrees
-    give the distance sum of each angle (angles are compared in micro-degrees).
+    No pairs are formed and no group is gathered.  Equal angles are merged first (angles are compared
+    in micro-degrees) and counted by bucket.  For an angle x of a bucket, all other buckets but the
+    opposite one lie wholly ahead or behind, so their part of the sum is linear in x and comes from
+    circular prefix sums over the group's buckets, a bounded number.  The own and the opposite bucket
+    bound the rest; only buckets whose lower bound reaches the least upper bound of the group are
+    looked at by angle, each apart, with signed prefix sums over its own and its opposite's angles.
     """
+    if buckets % 2 or _TURN % buckets:
+        raise ValueError("buckets must be even and divide the turn")
     keys = list(keys)
+    width, half, count = _TURN // buckets, _TURN // 2, buckets // 2
     turn = F.pmod(F.round(F.col(angle) * _MICRO).cast("bigint"), F.lit(_TURN))
     merged = angles.where(F.col(angle).isNotNull()).withColumn("_a", turn).groupBy(*keys, "_a").agg(
         F.count(F.lit(1)).alias("_n"),
         F.min(F.struct(*order)).alias("_first"),
         F.min_by(F.struct(F.col(angle).alias("angle"), F.col(confidence).alias("confidence")), F.struct(*order)).alias("_v"),
-    )
-    laid = merged.select("*", F.explode(F.array(*[F.lit(t) for t in (-_TURN, 0, _TURN)])).alias("_shift")).withColumn(
-        "_x", F.col("_a") + F.col("_shift")
-    )
+    ).withColumn("_b", F.floor(F.col("_a") / width).cast("bigint"))
+    held = merged.groupBy(*keys, "_b").agg(F.sum("_n").alias("_n"), F.sum(F.col("_n") * F.col("_a")).alias("_s"), F.min("_a").alias("_least"))
+    laid = held.select("*", F.explode(F.array(*[F.lit(t) for t in (-1, 0, 1)])).alias("_t")).withColumns({
+        "_x": F.col("_b") + F.col("_t") * buckets, "_s": F.col("_s") + F.col("_n") * F.col("_t") * _TURN})
+
     def upto(offset: int) -> tuple[Column, Column]:
         window = W.partitionBy(*keys).orderBy("_x").rangeBetween(W.unboundedPreceding, offset)
-        return F.sum("_n").over(window), F.sum(F.col("_n") * F.col("_x")).over(window)
-    n_here, s_here = upto(0)
-    n_back, s_back = upto(-_TURN // 2)
-    n_ahead, s_ahead = upto(_TURN // 2)
-    x = F.col("_x")
-    back_n, back_s = F.coalesce(n_back, F.lit(0)), F.coalesce(s_back, F.lit(0))
-    total = (x * (n_here - back_n) - (s_here - back_s)) + ((s_ahead - s_here) - x * (n_ahead - n_here))
-    scored = laid.withColumn("_total", total).where(F.col("_shift") == 0)
+        return F.coalesce(F.sum("_n").over(window), F.lit(0)), F.coalesce(F.sum("_s").over(window), F.lit(0))
+
+    (n0, s0), (n_before, s_before), (n_far, s_far), (n_last, s_last) = upto(0), upto(-1), upto(-count), upto(count - 1)
+    n_opposite, _ = upto(count)
+    summed = laid.select(*keys, "_b", "_t", "_n", "_least", (n_last - n0).alias("_na"), (s_last - s0).alias("_sa"),
+                         (n_before - n_far).alias("_nb"), (s_before - s_far).alias("_sb"), (n_opposite - n_last).alias("_no")).where("_t = 0")
+
+    def linear(x: Column) -> Column:
+        return F.col("_sa") - x * F.col("_na") + x * F.col("_nb") - F.col("_sb")
+
+    start = F.col("_b") * width
+    low = F.least(linear(start), linear(start + width - 1)) + F.col("_no") * (half - width + 1)
+    high = linear(F.col("_least")) + F.col("_n") * (width - 1) + F.col("_no") * half
+    group = W.partitionBy(*keys)
+    near = summed.withColumns({"_low": low, "_best": F.min(high).over(group), "measurements": F.sum("_n").over(group)}).where("_low <= _best")
+    sides = near.select(*keys, F.col("_b").alias("_home"), "_na", "_sa", "_nb", "_sb", "_no", "measurements", F.explode(F.array(
+        F.struct(F.col("_b").alias("_b"), F.lit(1).alias("_sign")), F.struct(F.pmod(F.col("_b") + count, F.lit(buckets)).alias("_b"), F.lit(-1).alias("_sign")))).alias("_side"))
+    sides = sides.select(*keys, "_home", "_na", "_sa", "_nb", "_sb", "_no", "measurements", "_side.*")
+    met = merged.join(sides, [*keys, "_b"]).withColumns({
+        "_p": F.when(F.col("_sign") > 0, F.col("_a")).otherwise(F.pmod(F.col("_a") - half, F.lit(_TURN))), "_w": F.col("_n") * F.col("_sign")})
+    home = W.partitionBy(*keys, "_home")
+    here = home.orderBy("_p").rangeBetween(W.unboundedPreceding, 0)
+    p = F.col("_p")
+    inside = p * (2 * F.sum("_w").over(here) - F.sum("_w").over(home)) - (2 * F.sum(F.col("_w") * p).over(here) - F.sum(F.col("_w") * p).over(home))
+    scored = met.withColumn("_total", inside + linear(p) + F.col("_no") * half).where("_sign > 0")
     best = scored.groupBy(*keys).agg(
-        F.min_by(F.struct("_v", "_total"), F.struct("_total", "_first")).alias("_b"),
-        F.sum("_n").alias("measurements"),
-    )
+        F.min_by(F.struct("_v", "_total"), F.struct("_total", "_first")).alias("_b"), F.first("measurements").alias("measurements"))
     return best.select(
         *keys, F.col("_b._v.angle").alias("angle"), F.col("_b._v.confidence").alias("confidence"),
         (F.col("_b._total") / _MICRO).alias("total_distance"), "measurements",

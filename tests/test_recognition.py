@@ -179,3 +179,20 @@ def test_quality(spark):
     assert metrics["light"].bright_fraction == 1.0 and 120 < metrics["noise"].brightness_mean < 135
     assert metrics["dark"].perceptual_hash == metrics["dark"].dhash == "0" * 16
     assert metrics["broken"].brightness_mean is None and metrics["none"].dhash is None
+
+
+@pytest.mark.parametrize("buckets", [2, 4, 36, 3600])
+def test_medoid_by_buckets_equals_brute_force(spark, buckets):
+    rng = random.Random(buckets)
+    kinds = {
+        "spread": [rng.uniform(0, 360) for _ in range(150)], "near zero": [rng.gauss(0, 3) % 360 for _ in range(80)],
+        "two ends": [90.0] * 20 + [270.0] * 20, "one": [359.999999], "ties": [0.0, 120.0, 240.0] * 5, "edge": [0.0, 359.9999999, 180.0, 0.1, 180.1],
+        "hot": [round(rng.gauss(77, 0.02), 6) for _ in range(300)] + [257.0] * 40, "negative": [-10.0, 350.0, 710.0, 5.5]}
+    rows = [(k, i, a, i / 1000) for k, v in kinds.items() for i, a in enumerate(v)] + [("spread", 999, None, 1.0)]
+    got = VOTE.angle_medoid(spark.createDataFrame(rows, "k string, i int, angle double, confidence double").repartition(5), ["k"], ["i"], buckets=buckets)
+    got = {r.k: (r.angle, r.confidence, r.total_distance, r.measurements) for r in got.collect()}
+    for k, v in kinds.items():
+        micro = [round(a * 1_000_000) % 360_000_000 for a in v]
+        total = [sum(min(abs(x - y), 360_000_000 - abs(x - y)) for y in micro) for x in micro]
+        i = min(range(len(v)), key=lambda j: (total[j], j))
+        assert got[k] == (v[i], i / 1000, total[i] / 1_000_000, len(v)), k
