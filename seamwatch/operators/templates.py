@@ -19,6 +19,9 @@ from seamwatch import constants as K
 from seamwatch.functions.meters import clamp01
 
 BLOCK = 512
+#: Bytes of masks up to which a library is broadcast, and lanes that a larger one is repeated in.
+LIBRARY_BYTES = 16 << 20
+LANES = 64
 
 
 def pack_bits(flags: Column, size: int) -> Column:
@@ -121,13 +124,8 @@ def score_templates(
     """
     keys = list(keys)
     height, width = shape
-    blocks = template_blocks(templates, block)
-    count = blocks.agg(F.max("blocks").alias("blocks"))
-    spread = queries.withColumn("_one", F.lit(1)).join(count.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    spread = spread.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    met = spread.withColumn("_variants", shift_variants(F.col("bits"), shifts, height, width, recount)).join(
-        blocks.drop("blocks"), "block"
-    )
+    variants = queries.withColumn("_variants", shift_variants(F.col("bits"), shifts, height, width, recount))
+    met = _meet(variants, template_blocks(templates, block))
     usable = F.col("templates")
     if source:
         usable = F.filter(usable, lambda t: t["source"] != F.col(source))
@@ -144,35 +142,55 @@ def score_templates(
         F.slice(F.array_sort(F.transform(
             F.filter("_scored", lambda s: s["label"] == lab), lambda s: F.struct(s["distance"], s["template_id"]))), 1, nearest).alias("near"),
     ))
-    rows = labelled.select(*keys, F.explode(best).alias("_b")).select(
-        *keys, F.col("_b.label").alias("label"), F.col("_b.near").alias("near"))
-    merged = rows.groupBy(*keys, "label").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
-    top = F.slice("near", 1, nearest)
-    return merged.select(
-        *keys, "label",
-        (F.aggregate(top, F.lit(0.0), lambda t, n: t + n["distance"]) / F.size(top)).alias("distance"),
-        F.get(F.col("near"), F.lit(0))["template_id"].alias("template_id"),
-    )
+    rows = labelled.select(*keys, F.explode(best).alias("_b")).select(*keys, F.col("_b.label").alias("label"), F.explode("_b.near").alias("_n"))
+    kept = _k_best(rows, [*keys, "label"], [F.col("_n")], nearest)
+    return kept.groupBy(*keys, "label").agg(F.sum("_n.distance").alias("_sum"), F.count(F.lit(1)).alias("_k"), F.min("_n").alias("_first")).select(
+        *keys, "label", (F.col("_sum") / F.col("_k")).alias("distance"), F.col("_first.template_id").alias("template_id"))
+
+
+def _k_best(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
+    """The first k rows of each key: every map task sends k at most, and what they send is merged."""
+    return rows.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_k") <= k).drop("_k")
+
+
+def _meet(queries: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Every query with every block of templates.
+
+    A library within ``LIBRARY_BYTES`` is broadcast and queries stay where they are.  A larger one
+    stands once in each of ``LANES`` lanes; a query goes to its lane of each block, so no block is one
+    reducer's.
+    """
+    held = F.aggregate("templates", F.lit(0).cast("bigint"), lambda n, t: n + F.size(t["bits"]) * 8 + 64)
+    count, size = blocks.agg(F.coalesce(F.max("blocks"), F.lit(0)), F.coalesce(F.sum(held), F.lit(0))).first()
+    if not count:
+        return queries.where("false").join(blocks.drop("blocks"), F.lit(True))
+    numbers = F.sequence(F.lit(0), F.lit(count - 1))
+    if size <= LIBRARY_BYTES:
+        return queries.withColumn("block", F.explode(numbers)).join(F.broadcast(blocks.drop("blocks")), "block")
+    lane = F.pmod(F.xxhash64(*[F.col(c) for c in queries.columns if c != "_variants"]), F.lit(LANES)).cast("int")
+    library = blocks.drop("blocks").withColumn("_lane", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))))
+    return queries.withColumn("_lane", lane).withColumn("block", F.explode(numbers)).join(library, ["block", "_lane"]).drop("_lane")
 
 
 def best_labels(scores: DataFrame, keys: Sequence[str], kind: str) -> DataFrame:
     """Best label, runner-up of another label and the confidence (kind ``digit`` or ``station``).
 
-    Ties: digits go to the template listed first, stations to the smaller label.
-    One aggregate: the two best labels of a query are kept as an ordered pair.
+    Ties: digits go to the template listed first, stations to the smaller label (their means are
+    compared to twelve places).  Two rows of a query are merged at most.
     """
-    order = F.struct("distance", "template_id", "label") if kind == "digit" else F.struct("distance", "label")
-    entry = F.struct(order.alias("o"), F.col("label").alias("label"), F.col("distance").alias("distance"))
-    ranked = scores.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(entry)), 1, 2).alias("_two"))
-    d1 = F.get(F.col("_two"), F.lit(0))["distance"]
-    d2 = F.coalesce(F.get(F.col("_two"), F.lit(1))["distance"], F.lit(1.0))
+    order = [F.col("distance"), F.col("template_id"), F.col("label")] if kind == "digit" else [F.round("distance", 12), F.col("label")]
+    entry = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], "label", "distance")
+    two = _k_best(scores.select(*keys, entry.alias("_e")), keys, [F.col("_e")], 2)
+    ranked = two.groupBy(*keys).agg(F.min("_e").alias("_one"), F.max("_e").alias("_two"), F.count(F.lit(1)).alias("_n"))
+    d1 = F.col("_one.distance")
+    d2 = F.when(F.col("_n") > 1, F.col("_two.distance")).otherwise(F.lit(1.0))
     margin = F.greatest(F.lit(0.0), d2 - d1)
     if kind == "digit":
         confidence = clamp01(0.65 * (1.0 - d1) + 0.35 * margin)
     else:
         confidence = clamp01(0.70 * (1.0 - d1) + 0.30 * F.least(F.lit(1.0), 2.0 * margin))
     return ranked.select(
-        *keys, F.get(F.col("_two"), F.lit(0))["label"].alias("label"),
+        *keys, F.col("_one.label").alias("label"),
         d1.alias("best_distance"), d2.alias("second_distance"), confidence.alias("confidence"),
     )
 

@@ -147,13 +147,27 @@ def hash_rank(spark: SparkSession, d: str) -> DataFrame:
 
 # --- near duplicates across splits --------------------------------------------------------------------------------
 
-@query(f"""WITH {BITS_SQL}, c AS (SELECT split, hi, lo, count(*) AS n, min(vec_id) AS first_id FROM bits GROUP BY 1, 2, 3)
+_PLACES = [f"CAST((vec_id * 7 + {13 * j}) % 64 AS INTEGER)" for j in range(5)]
+_HI_FLIP = [f"CASE WHEN {j} < vec_id % 6 AND {p} < 32 THEN CAST(1 AS BIGINT) << greatest(0, 31 - {p}) ELSE 0 END" for j, p in enumerate(_PLACES)]
+_LO_FLIP = [f"CASE WHEN {j} < vec_id % 6 AND {p} >= 32 THEN CAST(1 AS BIGINT) << least(31, 63 - {p}) ELSE 0 END" for j, p in enumerate(_PLACES)]
+
+
+@query(f"""WITH {BITS_SQL}, both_ AS (SELECT vec_id, split, hi, lo FROM bits
+  UNION ALL SELECT vec_id, 'scan', xor(hi, {' + '.join(_HI_FLIP)}), xor(lo, {' + '.join(_LO_FLIP)}) FROM bits),
+c AS (SELECT split, hi, lo, count(*) AS n, min(vec_id) AS first_id FROM both_ GROUP BY 1, 2, 3)
 SELECT a.first_id AS left_id, a.split AS left_split, a.n AS left_rows, b.first_id AS right_id, b.split AS right_split, b.n AS right_rows,
   CAST(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS INTEGER) AS distance
 FROM c a JOIN c b ON a.split < b.split AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 4""")
 def near_dup_cross_split(spark: SparkSession, d: str) -> DataFrame:
-    rows = A.sign_bits(spark, d).withColumnRenamed("vec_id", "id")
-    pairs = N.cross_split_pairs(rows)
+    """Every vector's sign bits, and a scan of it with none to five bits flipped, so pairs stand at all distances from 0 to 4."""
+    own = A.sign_bits(spark, d).select(F.col("vec_id").alias("id"), "split", "hi", "lo")
+    hi, lo = F.col("hi"), F.col("lo")
+    for j in range(5):
+        place = ((F.col("id") * 7 + 13 * j) % 64).cast("int")
+        flipped = F.lit(j) < F.col("id") % 6
+        hi = hi.bitwiseXOR(F.when(flipped & (place < 32), F.call_function("shiftleft", F.lit(1).cast("bigint"), 31 - place)).otherwise(F.lit(0).cast("bigint")))
+        lo = lo.bitwiseXOR(F.when(flipped & (place >= 32), F.call_function("shiftleft", F.lit(1).cast("bigint"), 63 - place)).otherwise(F.lit(0).cast("bigint")))
+    pairs = N.cross_split_pairs(own.unionByName(own.select("id", F.lit("scan").alias("split"), hi.alias("hi"), lo.alias("lo"))))
     return pairs.select(
         F.col("left_first_id").alias("left_id"), "left_split", "left_rows", F.col("right_first_id").alias("right_id"), "right_split", "right_rows", "distance")
 

@@ -485,13 +485,13 @@ def template_digits(spark: SparkSession, d: str) -> DataFrame:
 near AS (SELECT *, row_number() OVER (PARTITION BY vec_id, label ORDER BY dist, template_id) AS n FROM pair),
 best AS (SELECT vec_id, truth, label, avg(dist) AS d1 FROM near WHERE n <= 4 GROUP BY 1, 2, 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(d1, 12), label) AS k FROM best)
-SELECT a.vec_id, round(a.d1, 8) AS best_distance, round(coalesce(b.d1, 1.0), 8) AS second_distance,
+SELECT a.vec_id, a.label, round(a.d1, 8) AS best_distance, round(coalesce(b.d1, 1.0), 8) AS second_distance,
   round(greatest(0, least(1, 0.70 * (1 - a.d1) + 0.30 * least(1, 2 * greatest(0, coalesce(b.d1, 1.0) - a.d1)))), 8) AS confidence
 FROM r a LEFT JOIN r b ON b.vec_id = a.vec_id AND b.k = 2 WHERE a.k = 1""")
 def template_stations(spark: SparkSession, d: str) -> DataFrame:
     rows = _mask_rows(spark, d)
     out = T.match_stations(rows.drop("label"), _library(spark, d), ["vec_id"], source="source", shape=(2, 32), shifts=_SHIFTS)
-    return out.select("vec_id", *[F.round(c, 8).alias(c) for c in ("best_distance", "second_distance", "confidence")])
+    return out.select("vec_id", "label", *[F.round(c, 8).alias(c) for c in ("best_distance", "second_distance", "confidence")])
 
 
 @query(f"""WITH {_TEMPLATE_SQL.format(dice=_dice_sql(True))},

@@ -86,3 +86,30 @@ def test_crops_by_content(spark):
     good, skipped = D.crop_boxes(D.match_annotations(samples, notes))
     row = good.first()
     assert tuple(row.crop) == (59, 59, 361, 361) and row.label_corrected and skipped.first().path == "4/b.png"
+
+
+@pytest.mark.parametrize(("bands", "bucket_limit"), [(5, 1024), (6, 1024), (7, 1024), (5, 2)])
+def test_pairs_at_every_distance_whatever_the_bands(spark, bands, bucket_limit):
+    rng = random.Random(bands)
+    base = [rng.getrandbits(64) for _ in range(25)]
+    rows, n = [], 0
+    for h in base:
+        for flips in range(7):
+            x = h
+            for bit in rng.sample(range(64), flips):
+                x ^= 1 << bit
+            for split in rng.sample(["train", "val", "test"], 2):
+                rows.append((n, split, x >> 32, x & 0xFFFFFFFF))
+                n += 1
+    got = [((r.left_split, r.left_hi << 32 | r.left_lo), (r.right_split, r.right_hi << 32 | r.right_lo), r.distance)
+           for r in N.cross_split_pairs(spark.createDataFrame(rows, "id int, split string, hi long, lo long"), bands=bands, bucket_limit=bucket_limit).collect()]
+    classes = {(s, hi << 32 | lo) for _, s, hi, lo in rows}
+    want = {(a, b, (a[1] ^ b[1]).bit_count()) for a in classes for b in classes if a[0] < b[0] and (a[1] ^ b[1]).bit_count() <= 4}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {d for _, _, d in want} == {0, 1, 2, 3, 4}
+
+
+def test_bands_follow_the_number_of_hashes():
+    assert [N.bands_for(n, 4) for n in (0, 200_000, 10**7, 10**9, 10**11, 10**13)] == [5, 5, 6, 7, 8, 9]
+    assert all(sum(N.band_widths(m)) == 64 for m in range(1, 13))
+    assert N.bands_for(10**9, 0) == 1

@@ -155,9 +155,10 @@ def words(mask):
     return np.packbits(mask.astype(np.uint8).ravel()).view(">u4").astype(np.int64).tolist()
 
 
-@pytest.mark.parametrize("recount,block", [(True, 512), (False, 2)])
-def test_template_distances_equal_pairwise_dice(spark, recount, block):
+@pytest.mark.parametrize("recount,block,limit", [(True, 512, 1 << 24), (False, 2, 1 << 24), (False, 2, 0), (True, 3, 0)])
+def test_template_distances_equal_pairwise_dice(spark, monkeypatch, recount, block, limit):
     from seamwatch import constants as K
+    monkeypatch.setattr(T, "LIBRARY_BYTES", limit)
     rng = np.random.default_rng(1)
     masks = rng.integers(0, 2, size=(7, 96, 64)).astype(np.uint8)
     shifts = K.DIGIT_SHIFTS if recount else K.STATION_SHIFTS
