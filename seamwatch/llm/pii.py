@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window, and the step from one to the next.
 WINDOW, STEP = 96, 48
+#: Windows that are scored at once.
+BATCH = 512
 #: Rows whose windows are learned from, and windows at most.
 SAMPLE_ROWS, SAMPLE_WINDOWS = 20_000, 1600
 EPOCHS, BATCH, HIDDEN, EMBED = 8, 32, 16, 10
@@ -236,18 +238,37 @@ def _crf(emit: np.ndarray, trans: np.ndarray, tags: np.ndarray):
     return float(whole.sum() - gold), d_emit, d_trans
 
 
+class Viterbi:
+    """The best tags of one stretch whose scores come in parts; what it keeps for a character is one byte a tag."""
+
+    def __init__(self, trans: np.ndarray):
+        self.trans, self.score, self.back = trans, None, []
+
+    def feed(self, emit: np.ndarray) -> None:
+        back = np.zeros(emit.shape, np.uint8)
+        for i, own in enumerate(emit):
+            if self.score is None:
+                self.score = own
+                continue
+            both = self.score[:, None] + self.trans
+            back[i] = both.argmax(0)
+            self.score = both.max(0) + own
+        self.back.append(back)
+
+    def finish(self) -> np.ndarray:
+        back = np.concatenate(self.back)
+        out = np.empty(len(back), np.int64)
+        out[-1] = self.score.argmax()
+        for i in range(len(back) - 1, 0, -1):
+            out[i - 1] = back[i, out[i]]
+        return out
+
+
 def viterbi(emit: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """The best tags of one stretch (time, tag)."""
-    score, back = emit[0], np.zeros(emit.shape, np.int64)
-    for i in range(1, len(emit)):
-        both = score[:, None] + trans
-        back[i] = both.argmax(0)
-        score = both.max(0) + emit[i]
-    out = np.empty(len(emit), np.int64)
-    out[-1] = score.argmax()
-    for i in range(len(emit) - 1, 0, -1):
-        out[i - 1] = back[i, out[i]]
-    return out
+    decoder = Viterbi(trans)
+    decoder.feed(emit)
+    return decoder.finish()
 
 
 def spans_of(tags: np.ndarray, shift: int) -> list[tuple[str, int, int]]:
@@ -262,45 +283,72 @@ def spans_of(tags: np.ndarray, shift: int) -> list[tuple[str, int, int]]:
     return out
 
 
+def _stretches(texts: list[str]):
+    """(text, window starts) of each run of windows that overlap."""
+    for i, text in enumerate(texts):
+        starts = window_starts(text)
+        at = 0
+        for to in range(1, len(starts) + 1):
+            if to == len(starts) or starts[to] - starts[to - 1] >= WINDOW:
+                yield i, starts[at:to]
+                at = to
+
+
 def added_spans(tagger: Tagger, texts: list[str], ruled: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int, int]]]:
-    """Spans that the tagger adds to each text."""
+    """Spans that the tagger adds to each text; every stretch is decoded as a whole, however long it is."""
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    places = [(i, s) for i, t in enumerate(texts) for s in window_starts(t)]
-    for at in range(0, len(places), 512):
-        at_end = min(at + 512, len(places))
-        while at_end < len(places) and places[at_end][0] == places[at_end - 1][0] and places[at_end][1] - places[at_end - 1][1] < WINDOW and at_end - at < 4096:
-            at_end += 1  # a stretch stays together
-        _tag(tagger, texts, ruled, places[at:at_end], out)
+    waiting: list[tuple[int, list[int]]] = []
+    held = 0
+    for i, starts in _stretches(texts):
+        waiting.append((i, starts))
+        held += len(starts)
+        if held >= BATCH:
+            _tag(tagger, texts, ruled, waiting, out)
+            waiting, held = [], 0
+    _tag(tagger, texts, ruled, waiting, out)
     return out
 
 
-def _tag(tagger, texts, ruled, places, out) -> None:
-    codes = np.full((len(places), WINDOW), 4, np.int64)
-    for row, (i, s) in enumerate(places):
-        part = encode(texts[i][s : s + WINDOW])
-        codes[row, : len(part)] = part
-    scores = tagger.scores(codes)
+def _tag(tagger, texts, ruled, stretches, out) -> None:
+    """Score the windows of some stretches ``BATCH`` at once; a stretch's scores are averaged and decoded as they come."""
+    places = [(n, s) for n, (_, starts) in enumerate(stretches) for s in starts]
     trans = tagger.w["trans"]
-    at = 0
-    while at < len(places):
-        to = at + 1
-        while to < len(places) and places[to][0] == places[at][0] and places[to][1] - places[to - 1][1] < WINDOW:
-            to += 1
-        i, begin = places[at]
-        end = min(len(texts[i]), places[to - 1][1] + WINDOW)
-        total, count = np.zeros((end - begin, TAGS)), np.zeros((end - begin, 1))
-        for row in range(at, to):
-            s = places[row][1] - begin
-            size = min(WINDOW, end - begin - s)
-            total[s : s + size] += scores[row, :size]
-            count[s : s + size] += 1
-        for kind, s, e in spans_of(viterbi(total / count, trans), begin):
-            value = texts[i][s:e]
-            shaped = {"email": "@" in value[1:-1], "ip": value.count(".") == 3 and all(p.isdigit() for p in value.split(".")), "card": value[0].isdigit(), "phone": value[0] == "+"}[kind]
-            free = all(k != kind or e <= x or s >= y for k, x, y in ruled[i]) and all(k != kind or e <= x or s >= y for k, x, y in out[i])
-            if shaped and value.isascii() and sound(kind, value) and free:
-                out[i].append((kind, s, e))
-        at = to
+    n, pos = -1, 0
+    decoder = total = count = None
+    for at in range(0, len(places), BATCH):
+        part = places[at : at + BATCH]
+        codes = np.full((len(part), WINDOW), 4, np.int64)
+        for row, (k, s) in enumerate(part):
+            own = encode(texts[stretches[k][0]][s : s + WINDOW])
+            codes[row, : len(own)] = own
+        scores = tagger.scores(codes)
+        for row, (k, s) in enumerate(part):
+            i, starts = stretches[k]
+            end = min(len(texts[i]), starts[-1] + WINDOW)
+            if k != n:
+                n, pos, decoder = k, starts[0], Viterbi(trans)
+                total, count = np.zeros((0, TAGS)), np.zeros((0, 1))
+            size = min(WINDOW, end - s)
+            grow = s + size - pos - len(total)
+            if grow > 0:
+                total, count = np.concatenate([total, np.zeros((grow, TAGS))]), np.concatenate([count, np.zeros((grow, 1))])
+            total[s - pos : s - pos + size] += scores[row, :size]
+            count[s - pos : s - pos + size] += 1
+            following = places[at + row + 1] if at + row + 1 < len(places) else None
+            done = following[1] if following is not None and following[0] == k else end  # no later window reaches what lies before
+            decoder.feed(total[: done - pos] / count[: done - pos])
+            total, count, pos = total[done - pos :], count[done - pos :], done
+            if done == end and (following is None or following[0] != k):
+                _add(texts[i], starts[0], decoder.finish(), ruled[i], out[i])
+
+
+def _add(text: str, begin: int, tags: np.ndarray, ruled: list[tuple[str, int, int]], out: list[tuple[str, int, int]]) -> None:
+    for kind, s, e in spans_of(tags, begin):
+        value = text[s:e]
+        shaped = {"email": "@" in value[1:-1], "ip": value.count(".") == 3 and all(p.isdigit() for p in value.split(".")), "card": value[0].isdigit(), "phone": value[0] == "+"}[kind]
+        free = all(k != kind or e <= x or s >= y for k, x, y in ruled) and all(k != kind or e <= x or s >= y for k, x, y in out)
+        if shaped and value.isascii() and sound(kind, value) and free:
+            out.append((kind, s, e))
 
 
 def training_windows(docs: DataFrame, rows: int = SAMPLE_ROWS, windows: int = SAMPLE_WINDOWS) -> tuple[np.ndarray, np.ndarray]:

@@ -460,6 +460,41 @@ def test_personal_data(spark, docs, tagger):
     assert pii.find_personal_data(empty(spark), None).count() == 0 and pii.train(empty(spark)) is None
 
 
+def test_stretches_of_any_length_are_decoded_whole(tagger, monkeypatch):
+    model = tagger[0]
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("0123456789.@+- abc") for _ in range(n)) for n in (0, 5, 96, 97, 700, 9000)] + ["7" * 30_000, f"{prose(1, 300)} a@b.cc {prose(2, 300)} 1.2.3.4"]
+    texts.append(" ".join([prose(3, 40), "+1 555 123 4567"] * 30))
+    whole = []
+
+    def plain_add(text, begin, tags, ruled, out):
+        whole.append((begin, tags.tolist()))
+
+    monkeypatch.setattr(pii, "_add", plain_add)
+    want = []
+    for text in texts:
+        for _, starts in pii._stretches([text]):
+            end = min(len(text), starts[-1] + pii.WINDOW)
+            total, count = np.zeros((end - starts[0], pii.TAGS)), np.zeros((end - starts[0], 1))
+            codes = np.full((len(starts), pii.WINDOW), 4, np.int64)
+            for row, s in enumerate(starts):
+                own = pii.encode(text[s : s + pii.WINDOW])
+                codes[row, : len(own)] = own
+            for s, scores in zip(starts, model.scores(codes), strict=True):
+                size = min(pii.WINDOW, end - s)
+                total[s - starts[0] : s - starts[0] + size] += scores[:size]
+                count[s - starts[0] : s - starts[0] + size] += 1
+            want.append((starts[0], pii.viterbi(total / count, model.w["trans"]).tolist()))
+    for batch in (3, 64, 512, 10**6):
+        monkeypatch.setattr(pii, "BATCH", batch)
+        whole.clear()
+        pii.added_spans(model, texts, [[] for _ in texts])
+        assert [b for b, _ in whole] == [b for b, _ in want]
+        same = sum(x == y for (_, a), (_, b) in zip(whole, want, strict=True) for x, y in zip(a, b, strict=True))
+        assert same > 0.999 * sum(len(t) for _, t in want), batch
+
+
+
 # --- licenses
 
 def test_alignment():
