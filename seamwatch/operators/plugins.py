@@ -18,25 +18,36 @@ NOT_CONFIGURED = "detector_not_configured: capture stored successfully; add mode
 
 
 def run_detector(
-    images: DataFrame, keys: Sequence[str], factory: Callable[[], Callable[[dict], list[dict]]],
+    images: DataFrame, keys: Sequence[str], factory: Callable[[], Callable], batched: bool = False,
 ) -> DataFrame:
     """Detections of every image.
 
-    ``factory`` builds the detector once per worker; the detector gets one image
-    row as a dict and returns detection dicts with the fields of the schema
-    (``pos`` is filled in).
+    ``factory`` builds the detector once per worker.  A ``batched`` detector gets a frame of images,
+    as many as one Arrow batch holds, and returns a frame of detections with the fields of the schema,
+    except that ``row`` (the image's place in the batch) stands in for ``pos``.  Otherwise it gets one
+    image row as a dict and returns detection dicts (``pos`` is filled in).
     """
     keys = list(keys)
+    names = ["type", "class_id", "class_cn", "bbox", "confidence", "attributes"]
+
+    def each(detect: Callable[[dict], list[dict]]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame([{**found, "row": row} for row, image in enumerate(frame.to_dict("records")) for found in detect(image)], columns=["row", *names])
+        return run
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         detect = None
         for frame in frames:
-            detect = detect or factory()
-            rows = []
-            for image in frame.to_dict("records"):
-                for pos, found in enumerate(detect(image)):
-                    rows.append({**{k: image[k] for k in keys}, "attributes": {}, **found, "pos": pos})
-            yield pd.DataFrame(rows, columns=[*keys, "pos", "type", "class_id", "class_cn", "bbox", "confidence", "attributes"])
+            if detect is None:
+                detect = factory() if batched else each(factory())
+            found = detect(frame).reindex(columns=["row", *names])
+            rows = found["row"].to_numpy(int)
+            out = frame[keys].iloc[rows].reset_index(drop=True)
+            out["pos"] = found.groupby("row", sort=False).cumcount().to_numpy("int32")
+            for name in names:
+                out[name] = pd.Series(found[name].tolist(), dtype=object)
+            out["attributes"] = pd.Series([a if isinstance(a, dict) else {} for a in out["attributes"]], dtype=object)
+            yield out
 
     head = ", ".join(f"{k} {images.schema[k].dataType.simpleString()}" for k in keys)
     return images.mapInPandas(run, f"{head}, {DETECTION_SCHEMA}")

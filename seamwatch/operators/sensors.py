@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from seamwatch import constants as K
 from seamwatch.functions import registers as R
 from seamwatch.functions import thermal as T
-from seamwatch.functions.core import compute_once
+from seamwatch.functions.core import compute_once, let
 from seamwatch.skew import first_per_key, number_rows, previous_value, spread_join
 
 
@@ -174,21 +174,46 @@ def frame_statistics(frames: DataFrame, values: str = "temperatures", pixels: in
     )
 
 
+#: Frames of a reading up to which they meet as arrays.
+_READING_FRAMES = 64
+
+
 def pixel_median(frames: DataFrame, keys: Sequence[str], values: str = "temperatures") -> DataFrame:
     """Per-pixel median over the frames of one reading, one row per pixel.
 
-    Working on (reading, pixel) keys spreads even a reading with very many
-    frames over as many groups as it has pixels.
+    A reading has a few frames as a rule: those travel as one row each and meet as arrays.  Readings
+    with more than ``_READING_FRAMES`` work on (reading, pixel) keys instead, which spreads even very
+    many frames over as many groups as they have pixels.
     """
-    pixels = frames.select(*keys, F.posexplode(values).alias("pixel", "t"))
-    return pixels.groupBy(*keys, "pixel").agg(F.median("t").alias("t"))
+    rows = _medians(frames, keys, values)
+    return rows[0].select(*keys, F.posexplode(values).alias("pixel", "t")).unionByName(rows[1])
+
+
+def _medians(frames: DataFrame, keys: Sequence[str], values: str) -> tuple[DataFrame, DataFrame]:
+    """(readings of few frames as arrays, pixels of the others)."""
+    keys = list(keys)
+    usual = frames.where(F.col(values).isNotNull()).select(*keys, F.col(values).cast("array<double>").alias(values))
+    many = usual.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > _READING_FRAMES).select(*[F.col(k).alias(f"_k_{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    few = usual.join(many, same, "left_anti").groupBy(*keys).agg(F.collect_list(values).alias("_f"))
+    places = F.sequence(F.lit(0), F.array_max(F.transform("_f", F.size)) - 1)
+
+    def middle(i: Column) -> Column:
+        here = F.filter(F.transform("_f", lambda f: F.get(f, i)), lambda t: t.isNotNull())
+        return let(F.sort_array(here), lambda ordered: T.sorted_percentile(ordered, 0.5))
+
+    arrays = few.where(F.array_max(F.transform("_f", F.size)) > 0).select(*keys, F.transform(places, middle).alias(values))
+    pixels = usual.join(many, same, "left_semi").select(*keys, F.posexplode(values).alias("pixel", "t"))
+    return arrays, pixels.groupBy(*keys, "pixel").agg(F.median("t").alias("t"))
 
 
 def median_frames(frames: DataFrame, keys: Sequence[str], values: str = "temperatures") -> DataFrame:
-    """Per-pixel median frames as arrays; the collected group is one frame's pixels."""
-    rows = pixel_median(frames, keys, values)
+    """Per-pixel median frames as arrays; where pixels were split, one frame's pixels meet again."""
+    arrays, pixels = _medians(frames, keys, values)
     ordered = F.array_sort(F.collect_list(F.struct("pixel", "t")))
-    return rows.groupBy(*keys).agg(F.transform(ordered, lambda p: p["t"]).alias(values))
+    return arrays.unionByName(pixels.groupBy(*keys).agg(F.transform(ordered, lambda p: p["t"]).alias(values)))
 
 
 def smooth_frames(frames: DataFrame, width: int, height: int, values: str = "temperatures", out: str = "smoothed") -> DataFrame:

@@ -220,3 +220,41 @@ def test_skew_helpers_match_plain_results(spark):
     assert [r.p for r in lagged[1:]] == [r.id for r in lagged[:-1]] and lagged[0].p is None
     ranked = global_rank(rows.select("id", F.sha2(F.col("id").cast("string"), 256).alias("h")), "h", "pos", "total").orderBy("pos").collect()
     assert [r.pos for r in ranked] == list(range(1, 2001)) and sorted(r.h for r in ranked) == [r.h for r in ranked]
+
+
+@pytest.mark.parametrize("bound", [64, 2, 0])
+def test_pixel_medians_on_arrays_and_on_pixels(spark, monkeypatch, bound):
+    monkeypatch.setattr(S, "_READING_FRAMES", bound)
+    rnd = random.Random(bound)
+    frames = [("a", [rnd.uniform(0, 9) for _ in range(6)]) for _ in range(3)] + [("b", [1.0, None, 3.0]), ("b", [2.0, 5.0]), (None, [4.0]), ("c", None), ("d", [])]
+    df = spark.createDataFrame(frames, "k string, temperatures array<double>").repartition(4)
+    want = {}
+    for k, f in frames:
+        for i, t in enumerate(f or []):
+            want.setdefault((k, i), []).append(t)
+    want = {at: (np.median([t for t in v if t is not None]) if any(t is not None for t in v) else None) for at, v in want.items()}
+    got = {(r.k, r.pixel): r.t for r in S.pixel_median(df, ["k"]).collect()}
+    assert got == pytest.approx(want)
+    arrays = {r.k: r.temperatures for r in S.median_frames(df, ["k"]).collect()}
+    assert arrays == {k: [pytest.approx(want[k, i]) for i in range(sum(x == k for x, _ in want))] for k in ("a", "b", None)}
+
+
+def test_detectors_of_single_images_and_of_batches(spark):
+    from seamwatch.operators import plugins as P
+
+    images = spark.createDataFrame([(i, f"n{i}") for i in range(9)], "id int, name string").repartition(2)
+    box = {"x1": 0.0, "y1": 0.0, "x2": 1.0, "y2": 1.0}
+
+    def single():
+        return lambda image: [{"type": "t", "class_id": f"{image['name']}{n}", "bbox": box, "confidence": 0.5, "attributes": {"a": "b"}} for n in range(image["id"] % 3)]
+
+    def batch():
+        detect = single()
+
+        def run(rows):
+            import pandas as pd
+            return pd.DataFrame([{**d, "row": i} for i, image in enumerate(rows.to_dict("records")) for d in detect(image)])
+        return run
+
+    one = sorted(tuple(map(str, r)) for r in P.run_detector(images, ["id"], single).collect())
+    assert len(one) == 9 and one == sorted(tuple(map(str, r)) for r in P.run_detector(images, ["id"], batch, batched=True).collect())
