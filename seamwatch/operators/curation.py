@@ -221,6 +221,38 @@ def label_texts(rows: DataFrame, images: DataFrame, key: str, order: Sequence[st
     return images.join(texts, key, "left").select(*images.columns, F.coalesce("text", F.lit("")).alias("text"))
 
 
+SPLITS = ("train", "val", "test")
+
+
+def dataset_images(records: DataFrame, there: Column, labelled: Column, split: str = "split", width: str = "width", height: str = "height") -> DataFrame:
+    """Records with their part in a training set, as ``outcome``.
+
+    ``missing`` (the image is not there), ``invalid_split`` (none of train, val, test) and, for a
+    labelled image, ``missing_size`` are violations; ``skipped`` images have no labels; the others are
+    ``converted``.  The first that holds counts, in this order.
+    """
+    def no(flag: Column) -> Column:
+        return ~F.coalesce(flag, F.lit(False))
+
+    outcome = (
+        F.when(no(there), "missing").when(no(F.col(split).isin(*SPLITS)), "invalid_split").when(no(labelled), "skipped")
+        .when(no((F.col(width) > 0) & (F.col(height) > 0)), "missing_size").otherwise("converted")
+    )
+    return records.withColumn("outcome", outcome)
+
+
+def dataset_summary(images: DataFrame, split: str = "split") -> DataFrame:
+    """(part, name, images): images converted and skipped, converted ones by split, violations by kind; splits without images count 0."""
+    def row(part: str, name: str, flag: Column) -> Column:
+        return F.struct(F.lit(part).alias("part"), F.lit(name).alias("name"), F.count_if(flag).alias("images"))
+
+    outcome = F.col("outcome")
+    rows = [row("images", "converted", outcome == "converted"), row("images", "skipped_unlabelled", outcome == "skipped")]
+    rows += [row("split", s, (outcome == "converted") & (F.col(split) == s)) for s in SPLITS]
+    rows += [row("violation", v, outcome == v) for v in ("missing", "invalid_split", "missing_size")]
+    return images.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+
+
 def sample_names(records: DataFrame) -> Column:
     return unique_sample_name(F.col("capture_id"), F.col("path"), F.col("sha256"))
 

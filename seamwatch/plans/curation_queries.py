@@ -240,6 +240,30 @@ def label_texts(spark: SparkSession, d: str) -> DataFrame:
     return out.select("o_orderkey", "text")
 
 
+_DATASET_SQL = """r AS (SELECT o_orderkey, o_custkey % 5 <> 0 AS there, CASE o_custkey % 11 WHEN 0 THEN 'holdout' WHEN 1 THEN NULL WHEN 2 THEN 'val' WHEN 3 THEN 'test' ELSE 'train' END AS split,
+  o_orderkey % 4 <> 0 AS labelled, CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE 64 END AS width FROM orders),
+o AS (SELECT *, CASE WHEN NOT there THEN 'missing' WHEN split IS NULL OR split = 'holdout' THEN 'invalid_split' WHEN NOT labelled THEN 'skipped' WHEN width IS NULL THEN 'missing_size' ELSE 'converted' END AS outcome FROM r)"""
+
+
+def _dataset(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("o_custkey") % 11
+    split = F.when(n == 0, "holdout").when(n == 2, "val").when(n == 3, "test").when(n != 1, "train")
+    rows = A.table(spark, d, "orders").select("o_orderkey", "o_custkey", split.alias("split"), F.when(F.col("o_custkey") % 7 != 0, 64).alias("width"), F.lit(64).alias("height"))
+    return D.dataset_images(rows, F.col("o_custkey") % 5 != 0, F.col("o_orderkey") % 4 != 0)
+
+
+@query(f"WITH {_DATASET_SQL} SELECT o_orderkey, split, outcome FROM o")
+def dataset_images(spark: SparkSession, d: str) -> DataFrame:
+    return _dataset(spark, d).select("o_orderkey", "split", "outcome")
+
+
+@query(f"""WITH {_DATASET_SQL}, c AS (SELECT unnest(['images', 'images', 'split', 'split', 'split', 'violation', 'violation', 'violation']) AS part,
+  unnest(['converted', 'skipped_unlabelled', 'train', 'val', 'test', 'missing', 'invalid_split', 'missing_size']) AS name)
+SELECT part, name, (SELECT count(*) FROM o WHERE CASE part WHEN 'split' THEN outcome = 'converted' AND split = name ELSE outcome = CASE name WHEN 'skipped_unlabelled' THEN 'skipped' ELSE name END END) AS images FROM c""")
+def dataset_summary(spark: SparkSession, d: str) -> DataFrame:
+    return D.dataset_summary(_dataset(spark, d))
+
+
 @query(f"""WITH {_BOX_SQL}, k(class) AS (VALUES ('tool_wrench'), ('coal_pile'), ('digital_meter'))
 SELECT class, count(*) FILTER (outcome = 'kept') AS kept, count(*) FILTER (outcome = 'ignored') AS ignored FROM k LEFT JOIN lined USING (class) GROUP BY 1""")
 def class_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -113,3 +113,15 @@ def test_bands_follow_the_number_of_hashes():
     assert [N.bands_for(n, 4) for n in (0, 200_000, 10**7, 10**9, 10**11, 10**13)] == [5, 5, 6, 7, 8, 9]
     assert all(sum(N.band_widths(m)) == 64 for m in range(1, 13))
     assert N.bands_for(10**9, 0) == 1
+
+
+def test_dataset_images_and_their_summary(spark):
+    rows = [(1, True, "train", True, 9, 9), (2, True, "val", True, 9, 9), (3, True, "train", False, 9, 9), (4, False, "train", True, 9, 9), (5, True, "", True, 9, 9),
+            (6, True, None, False, 9, 9), (7, True, "test", True, 0, 9), (8, True, "test", True, None, 9), (9, None, None, None, None, None), (10, True, "test", None, None, None)]
+    images = D.dataset_images(spark.createDataFrame(rows, "i int, there boolean, split string, labelled boolean, width int, height int"), F.col("there"), F.col("labelled"))
+    assert {r.i: r.outcome for r in images.collect()} == {
+        1: "converted", 2: "converted", 3: "skipped", 4: "missing", 5: "invalid_split", 6: "invalid_split", 7: "missing_size", 8: "missing_size", 9: "missing", 10: "skipped"}
+    assert {(r.part, r.name): r.images for r in D.dataset_summary(images).collect()} == {
+        ("images", "converted"): 2, ("images", "skipped_unlabelled"): 2, ("split", "train"): 1, ("split", "val"): 1, ("split", "test"): 0,
+        ("violation", "missing"): 2, ("violation", "invalid_split"): 2, ("violation", "missing_size"): 2}
+    assert {r.images for r in D.dataset_summary(images.limit(0)).collect()} == {0}
