@@ -245,6 +245,14 @@ def detector_job(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "type", F.col("n_chars").alias("confidence_source"), F.col("class_id").cast("bigint").alias("chars"))
 
 
+@query("""SELECT doc_id, CAST(0.35 AS DOUBLE) AS confidence_threshold, 640 AS image_size, 'noop' AS provider FROM documents""")
+def processing_parameters(spark: SparkSession, d: str) -> DataFrame:
+    """Results carry the parameters of the job that made them."""
+    rows = A.table(spark, d, "documents").select("doc_id")
+    out = P.with_parameters(rows, {"provider": "noop", "image_size": 640, "confidence_threshold": 0.35})
+    return out.select("doc_id", "processing_parameters.*")
+
+
 # --- modules and summary -----------------------------------------------------------------------------------------
 
 _KIND_SQL = "CASE object_type WHEN 'A' THEN 'coal_pile' WHEN 'N' THEN 'tool' ELSE 'analog_meter' END"

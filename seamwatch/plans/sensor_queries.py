@@ -274,7 +274,7 @@ def sample_keys(spark: SparkSession, d: str) -> DataFrame:
     return gas.union(thermal).distinct()
 
 
-@query(f"""WITH {GAS_SQL}, p AS (SELECT device, day,
+_WIDE_SQL = f"""{GAS_SQL}, p AS (SELECT device, day,
   arg_min(value, event_id) FILTER (channel = 'ch4') AS ch4_value, arg_min(status, event_id) FILTER (channel = 'ch4') AS s1,
   arg_min(value, event_id) FILTER (channel = 'o2') AS o2_value, arg_min(status, event_id) FILTER (channel = 'o2') AS s2,
   arg_min(value, event_id) FILTER (channel = 'co') AS co_value, arg_min(status, event_id) FILTER (channel = 'co') AS s3,
@@ -284,13 +284,27 @@ m AS (SELECT *, list_filter([
   CASE WHEN s1 IS NULL THEN 'CH4缺少读数' WHEN s1 <> 'normal' THEN 'CH4状态：' || s1 END,
   CASE WHEN s2 IS NULL THEN 'O2缺少读数' WHEN s2 <> 'normal' THEN 'O2状态：' || s2 END,
   CASE WHEN s3 IS NULL THEN 'CO缺少读数' WHEN s3 <> 'normal' THEN 'CO状态：' || s3 END,
-  CASE WHEN s4 IS NULL THEN 'H2S缺少读数' WHEN s4 <> 'normal' THEN 'H2S状态：' || s4 END], lambda x: x IS NOT NULL) AS msg FROM p)
+  CASE WHEN s4 IS NULL THEN 'H2S缺少读数' WHEN s4 <> 'normal' THEN 'H2S状态：' || s4 END], lambda x: x IS NOT NULL) AS msg FROM p)"""
+
+
+@query(f"""WITH {_WIDE_SQL}
 SELECT device, day, ch4_value, o2_value, co_value, h2s_value, CASE WHEN len(msg) = 0 THEN '正常' ELSE array_to_string(msg, '；') END AS status FROM m""")
 def gas_wide(spark: SparkSession, d: str) -> DataFrame:
     readings = A.gas_long(spark, d).withColumn("error", F.lit(None).cast("string"))
     return S.gas_wide(readings, ["device", "day"], ["event_id"])
 
 
+@query(f"""WITH {_WIDE_SQL}
+SELECT CAST(day AS VARCHAR) AS day, CAST(day AS VARCHAR) || 'T00:00:00' AS c0_time, lpad(CAST(device AS VARCHAR), CAST(greatest(6, length(CAST(device AS VARCHAR))) AS INTEGER), '0') AS c1_number,
+  CAST(ch4_value AS VARCHAR) AS c2_ch4, CAST(o2_value AS VARCHAR) AS c3_o2, CAST(co_value AS VARCHAR) AS c4_co, CAST(h2s_value AS VARCHAR) AS c5_h2s,
+  CASE WHEN len(msg) = 0 THEN '正常' ELSE array_to_string(msg, '；') END AS c6_status FROM m""")
+def gas_day_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of the day files."""
+    wide = gas_wide(spark, d).withColumn("ts", F.col("day").cast("timestamp")).withColumnRenamed("device", "sample_id")
+    names = ("c0_time", "c1_number", "c2_ch4", "c3_o2", "c4_co", "c5_h2s", "c6_status")
+    return sinks.gas_day_rows(wide).withColumnsRenamed(dict(zip(K.GAS_HEADER_ZH, names, strict=True)))
+
+
 @query(f"""WITH {GAS_SQL}, p AS (SELECT device, day,
   arg_min(status, event_id) FILTER (channel = 'ch4') AS s1, arg_min(status, event_id) FILTER (channel = 'o2') AS s2,
   arg_min(status, event_id) FILTER (channel = 'co') AS s3, arg_min(status, event_id) FILTER (channel = 'h2s') AS s4 FROM gas GROUP BY 1, 2)

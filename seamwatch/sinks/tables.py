@@ -14,20 +14,26 @@ from seamwatch.operators import captures as C
 from seamwatch.operators import curation as D
 
 
-def write_gas_days(wide: DataFrame, path: str, ts: str = "ts") -> None:
-    """Wide gas rows as CSV in the seven-column layout, one folder per day.
-
-    Rows whose day, time and sample are there already are left out, so a rerun adds nothing.  A
-    target with other columns (an older layout) is refused.
-    """
+def gas_day_rows(wide: DataFrame, ts: str = "ts") -> DataFrame:
+    """Wide gas rows in the seven-column layout, with the day of their file."""
     zh = K.GAS_HEADER_ZH
-    rows = wide.select(
+    return wide.select(
         F.date_format(ts, "yyyy-MM-dd").alias("day"),
         F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss").alias(zh[0]),
         zero_pad(F.col("sample_id").cast("string")).alias(zh[1]),
         *[F.col(f"{c}_value").cast("string").alias(n) for c, n in zip(K.CHANNELS, zh[2:6])],
         F.col("status").alias(zh[6]),
     )
+
+
+def write_gas_days(wide: DataFrame, path: str, ts: str = "ts") -> None:
+    """Wide gas rows as CSV in the seven-column layout, one folder per day.
+
+    Rows whose day, time and sample are there already are left out, so a rerun adds nothing.  A
+    target with other columns (an older layout) is refused.
+    """
+    zh = K.GAS_HEADER_ZH
+    rows = gas_day_rows(wide, ts)
     spark = wide.sparkSession
     if _folders(spark, path):
         there = spark.read.option("header", True).csv(path)
