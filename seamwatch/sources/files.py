@@ -17,6 +17,7 @@ from seamwatch.functions.core import compute_once
 from seamwatch.functions.quality import image_payload_error
 from seamwatch.operators.sensors import keep_first_sample
 from seamwatch.operators.validate import diagnostics, parse_metadata, path_error
+from seamwatch.skew import spread_join
 
 # --- listings --------------------------------------------------------------------------------------
 
@@ -273,6 +274,12 @@ def _folder_file(path: Column, name: str) -> Column:
     return F.concat(F.regexp_replace(path, r"[^/]*$", ""), F.lit(name))
 
 
+def _of_folder(images: DataFrame, side: DataFrame, folder: str) -> DataFrame:
+    """Images with what stands once for their folder; the images of a folder with very many are spread."""
+    sizes = images.groupBy(folder).agg(F.count(F.lit(1)).alias("_images"))
+    return spread_join(images, side.join(sizes, folder), [folder], "_images").drop("_images")
+
+
 def attach_metadata(images: DataFrame, sidecars: DataFrame, stored: DataFrame | None = None, path: str = "path") -> DataFrame:
     """Metadata JSON of every image: file sidecar, stem sidecar, folder sidecar, stored capture.
 
@@ -284,15 +291,16 @@ def attach_metadata(images: DataFrame, sidecars: DataFrame, stored: DataFrame |
     p = F.col(path)
     out = images.withColumn("_1", F.concat(p, F.lit(".metadata.json"))).withColumn("_2", _swap_suffix(p, ".json")).withColumn(
         "_3", _folder_file(p, "metadata.json"))
-    for i in (1, 2, 3):
+    for i in (1, 2):
         side = usable.select(F.col("_p").alias(f"_{i}"), F.col("_c").alias(f"_c{i}"))
         out = out.join(side, f"_{i}", "left")
+    out = _of_folder(out, usable.select(F.col("_p").alias("_3"), F.col("_c").alias("_c3")), "_3")
     found = F.coalesce("_c1", "_c2", "_c3")
     where = F.coalesce(*[F.when(F.col(f"_c{i}").isNotNull(), F.col(f"_{i}")) for i in (1, 2, 3)])
     out = out.withColumn("metadata_json", found).withColumn("metadata_path", where)
     if stored is not None:
         kept = stored.select(F.col("capture_id").cast("string").alias("_folder"), F.col("metadata_json").alias("_stored"))
-        out = out.withColumn("_folder", X.parent_name(p)).join(kept, "_folder", "left")
+        out = _of_folder(out.withColumn("_folder", X.parent_name(p)), kept, "_folder")
         out = out.withColumn("metadata_path", F.coalesce("metadata_path", F.when(F.col("_stored").isNotNull(), F.lit("captures"))))
         out = out.withColumn("metadata_json", F.coalesce("metadata_json", "_stored")).drop("_folder", "_stored")
     return out.drop("_1", "_2", "_3", "_c1", "_c2", "_c3")
