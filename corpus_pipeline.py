@@ -1,7 +1,10 @@
 """Documents to shards: language, near duplicates, benchmark leaks, mixing weights, shards.
 
 Each stage takes what the one before has kept.  Null or empty texts go in the first stage (they
-have no language); ids, sources and languages may be null; an empty table passes all stages.
+have no language); ids, sources and languages may be null; an empty table passes all stages.  Of rows
+alike in id and text one stays; of near duplicates the smallest id stays, rows without an id always
+do.  Very long texts are read whole by every stage.  Columns of any other names travel along; the last
+stage's results (``virtual_slot``, ``shard``, ``map_version``) take the place of columns of their names.
 """
 
 from __future__ import annotations
