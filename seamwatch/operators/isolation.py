@@ -1,9 +1,10 @@
 """Inspection modules as batch functions, each shielded from the failures of the others.
 
-A module is built once for each worker and takes a batch of rows.  If a batch fails, it is halved
-until the rows that fail stand alone, so k bad rows of n cost about k log2(n) calls and the good rows
-keep their results; a row that fails alone has ``status = failed`` with the exception's text.  A
-module that cannot even be built fails for every row.  The other modules run in either case.
+A module is built once for each worker and takes a batch of rows.  If a batch fails, its first
+failing row is found by halving and the rows after it go on in stretches as long as the failures are
+apart, so k bad rows of n cost about k log2(n / k) calls and the good rows keep their results; a row
+that fails alone has ``status = failed`` with the exception's text.  A module that cannot even be
+built fails for every row.  The other modules run in either case.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,24 +38,37 @@ class Module:
 
 
 def _guarded(run: Batch, rows: pd.DataFrame, names: Sequence[str]) -> Iterator[pd.DataFrame]:
-    """Results of the rows in order; failures are narrowed down by halves."""
-    pending = [rows]
-    while pending:
-        part = pending.pop()
+    """Results of the rows in order; failures are narrowed down one after the other."""
+    def attempt(start: int, stop: int) -> pd.DataFrame | Exception:
         try:
-            out = run(part)
-            if len(out) != len(part):
-                raise ValueError(f"{len(out)} results for {len(part)} rows")
+            out = run(rows.iloc[start:stop])
+            if len(out) != stop - start:
+                raise ValueError(f"{len(out)} results for {stop - start} rows")
             unknown = [c for c in out.columns if c not in names]
             if unknown:
                 raise ValueError(f"unknown result columns: {', '.join(unknown)}")
-            yield out.reset_index(drop=True)
+            return out
         except Exception as problem:  # whatever a module raises is its result
-            if len(part) == 1:
-                yield _failed(1, problem)
-            else:
-                half = len(part) // 2
-                pending += [part.iloc[half:], part.iloc[:half]]
+            return problem
+
+    start, size, failures = 0, len(rows), 0
+    while start < len(rows):
+        stop = min(start + size, len(rows))
+        out = attempt(start, stop)
+        if isinstance(out, Exception):
+            while stop - start > 1:  # the first failing row is before ``stop``
+                half = (start + stop) // 2
+                out = attempt(start, half)
+                if isinstance(out, Exception):
+                    stop = half
+                else:
+                    yield out
+                    start, out = half, None
+            out = attempt(start, stop) if out is None else out
+            failures += 1
+        yield _failed(1, out) if isinstance(out, Exception) else out
+        start = stop
+        size = max(1, start * 7 // (failures * 10)) if failures else size
 
 
 def _failed(n: int, problem: Exception) -> pd.DataFrame:
@@ -85,17 +100,39 @@ def run_isolated(rows: DataFrame, keys: Sequence[str], modules: Sequence[Module]
                             built[module.name] = problem
                     own = built[module.name]
                     parts = [_failed(len(frame), own)] if isinstance(own, Exception) else _guarded(own, frame, result.names)
-                each: dict[str, list[pa.Array]] = {f.name: [] for f in result_fields}
-                for part in parts:
-                    for field in result_fields:
-                        each[field.name].append(_cast(part[field.name], field.type) if field.name in part.columns else _standard(field, len(part)))
+                parts = list(parts)
                 n = batch.num_rows
                 columns = [batch.column(batch.schema.get_field_index(k)) for k in keys]
                 columns += [pa.array([order] * n, pa.int32()), pa.array([module.name] * n, pa.string())]
-                columns += [pa.concat_arrays(arrays) for arrays in each.values()]
+                columns += [_column(parts, field) for field in result_fields]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return rows.mapInArrow(run, schema)
+    # few large row groups or a filter would leave the modules, which cost most, to few tasks
+    spread = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return spread.mapInArrow(run, schema)
+
+
+def _column(parts: Sequence[pd.DataFrame], field: pa.Field) -> pa.Array:
+    """The field's values of the parts in order, turned to Arrow at once where they are of one kind."""
+    has = np.array([field.name in list(part.columns) for part in parts])  # an index would be hashed for each part
+    sizes = [len(part) for part in parts]
+    if not has.any():
+        return _standard(field, sum(sizes))
+    values = _joined([part[field.name] for part, there in zip(parts, has) if there], field.type)
+    if has.all():
+        return values
+    there = np.repeat(has, sizes)
+    found = pa.concat_arrays([values, _standard(field, 1)])
+    return found.take(pa.array(np.where(there, np.cumsum(there) - 1, len(values))))
+
+
+def _joined(values: Sequence[pd.Series], kind: pa.DataType) -> pa.Array:
+    dtypes = {v.dtype for v in values}
+    if len(dtypes) == 1 and isinstance(dtype := dtypes.pop(), np.dtype):
+        whole = np.concatenate([v.to_numpy() for v in values])
+        if dtype != object or {type(v) for v in whole} <= {str, type(None)}:
+            return _cast(pd.Series(whole, dtype=dtype), kind)
+    return pa.concat_arrays([_cast(v, kind) for v in values])
 
 
 def _cast(values: pd.Series, kind: pa.DataType) -> pa.Array:

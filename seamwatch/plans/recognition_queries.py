@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -374,10 +375,11 @@ UNION ALL SELECT o_orderkey, 3, 'analog_meter', 'disabled', NULL, NULL, NULL FRO
 
 def _stations():
     def run(rows):
-        bad = rows["o_custkey"] % 13 == 11
+        station = rows["o_custkey"].to_numpy() % 13
+        bad = station == 11
         if bad.any():
-            raise ValueError(f"no station in gate {rows['o_orderkey'][bad].iloc[0]}")
-        return rows.assign(status="confirmed", number=rows["o_custkey"] % 13)[["status", "number"]]
+            raise ValueError(f"no station in gate {rows['o_orderkey'].to_numpy()[bad][0]}")
+        return pd.DataFrame({"status": "confirmed", "number": station})
     return run
 
 
@@ -387,10 +389,10 @@ def _no_model():
 
 def _scales():
     def run(rows):
-        scale = rows["o_custkey"] % 100
+        scale = rows["o_custkey"].to_numpy() % 100
         if (scale == 0).any():
             raise ZeroDivisionError("no scale")
-        return rows.assign(status="confirmed", value=rows["whole"] // scale)[["status", "value"]]
+        return pd.DataFrame({"status": "confirmed", "value": rows["whole"].to_numpy() // scale})
     return run
 
 

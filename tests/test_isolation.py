@@ -27,6 +27,32 @@ def test_single_bad_rows_fail_alone_and_cheaply():
     assert len(calls) <= 2 * 2 * 11
 
 
+def test_many_bad_rows_need_fewer_calls_than_rows():
+    rows = pd.DataFrame({"v": range(2_000)})
+    for bad, most in ((set(range(5, 2_000, 13)), 1_000), (set(range(2_000)), 2_030)):
+        calls = []
+        out = pd.concat(ISO._guarded(counting(bad, calls)(), rows, ["status", "value"]), ignore_index=True)
+        assert list(out["status"]) == ["failed" if v in bad else "confirmed" for v in range(2_000)]
+        assert list(out["reason"].dropna()) == [f"bad {v}" for v in sorted(bad)]
+        assert len(calls) <= most
+
+
+def test_rows_of_one_file_are_spread_and_results_of_changing_kinds_kept(spark):
+    def changing():
+        def run(rows):
+            if len(rows) > 2 or rows["v"].isin([4]).any():
+                raise ValueError("too much")
+            odd = rows["v"].iloc[0] % 2
+            return pd.DataFrame({"status": ["confirmed"] * len(rows), "number": rows["v"] * (1.0 if odd else 1), "enabled": True} | ({"raw_text": rows["v"].astype(str)} if odd else {}))
+        return run
+
+    out = ISO.run_isolated(spark.range(2_000).coalesce(1).selectExpr("id k", "id v"), ["k"], [ISO.Module("changing", changing)])
+    assert out.select(F.spark_partition_id()).distinct().count() > 1
+    got = {r.k: r for r in out.collect()}
+    assert len(got) == 2_000 and [k for k, r in got.items() if r.status == "failed"] == [4]
+    assert all(r.enabled and r.number == (k if k != 4 else None) and r.raw_text in (None, str(k)) for k, r in got.items())
+
+
 def test_other_modules_run(spark):
     def broken():
         raise RuntimeError("no weights")
