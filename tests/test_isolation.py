@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from seamwatch.operators import isolation as ISO
 from seamwatch.operators import voting as VOTE
+from seamwatch.plans import QUERIES
 
 
 def counting(bad, calls):
@@ -53,6 +54,20 @@ def test_rows_of_one_file_are_spread_and_results_of_changing_kinds_kept(spark):
     assert all(r.enabled and r.number == (k if k != 4 else None) and r.raw_text in (None, str(k)) for k, r in got.items())
 
 
+def test_module_failures_spreads_the_rows_of_one_file(spark, tmp_path):
+    """A station and a scale fail on some orders; null customers are no failure."""
+    orders = [(k, None if k % 50 == 49 else k % 130, 1000.5 + k) for k in range(3_000)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.module_id: (r.rows, r.failed, r.first_reason) for r in QUERIES["module_failures"](spark, str(tmp_path)).collect()}
+    gates = [k for k, c, _ in orders if c is not None and c % 13 == 11]
+    assert got["station_number"] == (3_000, len(gates), min(f"no station in gate {k}" for k in gates))
+    assert got["coal_presence"] == (3_000, 3_000, "no model is there")
+    assert got["digital_meter"] == (3_000, sum(c in (0, 100) for _, c, _ in orders), "no scale")
+    assert got["analog_meter"] == (3_000, 0, None)
+    rows = QUERIES["isolated_modules"](spark, str(tmp_path))
+    assert rows.select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_other_modules_run(spark):
     def broken():
         raise RuntimeError("no weights")
