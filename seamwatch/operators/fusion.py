@@ -2,14 +2,18 @@
 
 The association is greedy and order-dependent: a detection joins the cluster of
 its type and class whose most confident box overlaps best, otherwise it opens a
-cluster.  Boxes that cannot touch, directly or through others, never influence
-each other, so every (capture, type, class) is first cut into islands (hot ones
-into stripes before that); each island is then folded in frame order, holding one box per open cluster.
+cluster.  Every (capture, type, class) is folded in frame order, holding one box per
+open cluster; a grid names the clusters a box may touch where many are open.  Boxes that
+cannot touch, directly or through others, never influence each other, so hot groups
+are first cut into stripes and those into islands, each folded by itself.
 """
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from statistics import median
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +28,10 @@ from seamwatch.operators.voting import angle_medoid, majority_vote, pointer_verd
 from seamwatch.skew import HOT_ROWS
 
 _GROUP = ("type", "class_id")
+#: Buckets that groups are counted in before the groups of heavy buckets are counted apart.
+_BUCKETS = 1 << 16
+#: Open clusters that a box is compared with one by one; a grid serves more. Cells that a box stands in at most.
+_FEW, _CELLS = 32, 64
 
 
 def _islands(df: DataFrame, keys: list[str], low: str, high: str, name: str) -> DataFrame:
@@ -41,43 +49,54 @@ def assign_clusters(
     """Detections with ``cluster``: the position (inside the capture's order) of the cluster's first member.
 
     Input columns: key, order columns (unique per key), type, class_id, bbox,
-    confidence and anything else.  Hot (key, type, class) groups are cut in
-    stripes first; one shuffle on the group and its stripe then serves the
-    island windows and the fold.
+    confidence and anything else.  One shuffle on the group and one sort serve
+    the fold; only hot (key, type, class) groups are cut in stripes and islands.
     """
     group = [key, *_GROUP]
+    hot = F.broadcast(_hot_groups(detections, group, hot_rows))
+    cold = detections.join(hot, _same(group, "_hot_"), "left_anti").repartition(*group)
+    cold = cold.withColumn("_rank", F.row_number().over(W.partitionBy(*group).orderBy(*order))).withColumn("cluster", F.struct(*order))
+    cold = cold.sortWithinPartitions(*group, *order)
     keys = [*group, "_stripe"]
-    shuffled = _stripes(detections, group, hot_rows).repartition(*keys)
-    cut = _islands(shuffled, keys, "x1", "x2", "_ix")
+    crowded = detections.join(hot, _same(group, "_hot_"), "left_semi")
+    cut = _islands(_stripes(crowded, group).repartition(*keys), keys, "x1", "x2", "_ix")
     cut = _islands(cut, [*keys, "_ix"], "y1", "y2", "_iy")
     island = W.partitionBy(*keys, "_ix", "_iy")
-    cut = cut.withColumn("_rank", F.row_number().over(island.orderBy(*order))).withColumn(
-        "_size", F.count(F.lit(1)).over(island)
-    ).withColumn("cluster", F.struct(*order))
-    ordered = cut.sortWithinPartitions(*keys, "_ix", "_iy", *order)
-    return ordered.mapInArrow(_fold(threshold), _closed(ordered.schema)).drop(
-        "_stripe", "_ix", "_iy", "_size", "_rank")
+    cut = cut.withColumn("_rank", F.row_number().over(island.orderBy(*order))).withColumn("cluster", F.struct(*order))
+    cut = cut.sortWithinPartitions(*keys, "_ix", "_iy", *order).drop("_stripe", "_ix", "_iy")
+    return cold.mapInArrow(_fold(threshold), _closed(cold.schema)).unionByName(
+        cut.mapInArrow(_fold(threshold), _closed(cut.schema))).drop("_rank")
 
 
-def _stripes(df: DataFrame, group: list[str], hot_rows: int, cell: float = 64.0) -> DataFrame:
-    """Number independent vertical stripes of hot groups; other groups are one stripe.
+def _same(group: list[str], prefix: str) -> list[Column]:
+    return [F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in group]
+
+
+def _hot_groups(df: DataFrame, group: list[str], hot_rows: int) -> DataFrame:
+    """Groups of ``hot_rows`` rows or more, rows / hot_rows of them at most; only rows of as heavy buckets are shuffled."""
+    bucketed = df.select(*group, F.pmod(F.xxhash64(*group), F.lit(_BUCKETS)).alias("_bucket"))
+    heavy = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= hot_rows).select("_bucket")
+    sizes = bucketed.join(F.broadcast(heavy), "_bucket", "left_semi").groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    return sizes.where(F.col("_n") >= hot_rows).select(*[F.col(c).alias(f"_hot_{c}") for c in group])
+
+
+def _stripes(df: DataFrame, group: list[str], cell: float = 64.0) -> DataFrame:
+    """Number independent vertical stripes of (hot) groups.
 
     A box covers cells of ``cell`` pixels and ties each to the next; cells of a
     group that are not tied start a new stripe.  The cells are aggregated on
     the map side, so a hot group contributes a few rows per image width.
     """
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= hot_rows)
-    hot = sizes.select(*group, F.lit(True).alias("_hot"))
     first, last = (F.floor(F.col(f"bbox.{s}") / cell) for s in ("x1", "x2"))
-    covered = df.join(hot, group, "left_semi").select(*group, F.explode(F.sequence(first, last)).alias("_cell"), last.alias("_last"))
+    covered = df.select(*group, F.explode(F.sequence(first, last)).alias("_cell"), last.alias("_last"))
     tied = covered.groupBy(*group, "_cell").agg(F.max(F.col("_cell") < F.col("_last")).alias("_tie"))
     row = W.partitionBy(*group).orderBy("_cell")
     new = F.when(F.coalesce(F.lag("_tie").over(row), F.lit(False)), 0).otherwise(1)
     numbered = tied.withColumn("_new", new).withColumn(
         "_number", F.sum("_new").over(row.rowsBetween(W.unboundedPreceding, 0))
-    ).select(*group, "_cell", "_number")
-    tagged = df.withColumn("_cell", first).join(numbered, [*group, "_cell"], "left")
-    return tagged.withColumn("_stripe", F.coalesce("_number", F.lit(0))).drop("_cell", "_number")
+    ).select(*[F.col(c).alias(f"_in_{c}") for c in group], F.col("_cell").alias("_in_cell"), "_number")
+    tagged = df.withColumn("_cell", first).join(numbered, [*_same(group, "_in_"), F.col("_cell") == F.col("_in_cell")], "left")
+    return tagged.select(*df.columns, F.coalesce("_number", F.lit(0)).alias("_stripe"))
 
 
 def _closed(schema: T.StructType) -> T.StructType:
@@ -85,10 +104,10 @@ def _closed(schema: T.StructType) -> T.StructType:
 
 
 def _fold(threshold: float):
-    """Fold the sorted islands of a partition; an island may run over several batches."""
+    """Fold the sorted groups or islands of a partition; each begins at rank 1 and may run over several batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        clusters, carried = [], None  # clusters: [x1, y1, x2, y2, confidence, row of the first member]
+        clusters, grid, carried = [], None, None  # clusters: [x1, y1, x2, y2, confidence, row of the first member]
         for batch in batches:
             firsts = batch.column("cluster")
             rows = batch.num_rows
@@ -98,14 +117,16 @@ def _fold(threshold: float):
                     cluster[5] = rows + place
             member = np.arange(rows)
             rank = batch.column("_rank").to_numpy(zero_copy_only=False)
-            shared = np.flatnonzero(batch.column("_size").to_numpy(zero_copy_only=False) > 1)
+            shared = np.flatnonzero((rank > 1) | np.append(rank[1:] > 1, True))  # all but rows that are alone
             sides = [pc.struct_field(batch.column("bbox"), s).to_numpy(zero_copy_only=False) for s in ("x1", "y1", "x2", "y2")]
             scores = batch.column("confidence").to_numpy(zero_copy_only=False)
             values = zip(shared.tolist(), rank[shared].tolist(), *(v[shared].tolist() for v in (*sides, scores)))
             for row, place, *box, confidence in values:
                 if place == 1:
-                    clusters = []
-                member[row] = _join_cluster(clusters, box, confidence, row, threshold)
+                    clusters, grid = [], None
+                if grid is None and len(clusters) > _FEW:
+                    grid = _Grid(clusters)
+                member[row] = _join_cluster(clusters, box, confidence, row, threshold, grid)
             position = batch.schema.get_field_index("cluster")
             yield batch.set_column(position, batch.schema.field(position), firsts.take(pa.array(member)))
             carried = firsts.take(pa.array([c[5] for c in clusters], pa.int64())) if clusters else None
@@ -113,11 +134,49 @@ def _fold(threshold: float):
     return run
 
 
-def _join_cluster(clusters: list[list], box: list[float], confidence: float, row: int, threshold: float) -> int:
+class _Grid:
+    """Cells of the image with the numbers of the clusters whose boxes stand in them."""
+
+    def __init__(self, clusters: list[list]):
+        sides = [max(c[2] - c[0], c[3] - c[1]) for c in clusters]
+        self.size = median([s for s in sides if 0 < s < math.inf] or [1.0])
+        self.clusters, self.cells, self.wide = clusters, defaultdict(set), set()
+        for number, cluster in enumerate(clusters):
+            self.add(number, cluster)
+
+    def _covered(self, box: Sequence[float]) -> list[tuple[int, int]] | None:
+        """Cells of a box; None if they are too many. A box without a finite area touches nothing and has none."""
+        if not all(map(math.isfinite, box[:4])) or box[2] <= box[0] or box[3] <= box[1]:
+            return []
+        x1, y1, x2, y2 = (math.floor(v / self.size) for v in box[:4])
+        if (x2 - x1 + 1) * (y2 - y1 + 1) > _CELLS:
+            return None
+        return [(x, y) for x in range(x1, x2 + 1) for y in range(y1, y2 + 1)]
+
+    def add(self, number: int, box: Sequence[float]) -> None:
+        covered = self._covered(box)
+        for bucket in [self.wide] if covered is None else [self.cells[c] for c in covered]:
+            bucket.add(number)
+
+    def remove(self, number: int, box: Sequence[float]) -> None:
+        covered = self._covered(box)
+        for bucket in [self.wide] if covered is None else [self.cells[c] for c in covered]:
+            bucket.discard(number)
+
+    def near(self, box: Sequence[float]) -> list[int]:
+        """Numbers of the clusters that the box may touch, in the order they were opened."""
+        covered = self._covered(box)
+        if covered is None:
+            return list(range(len(self.clusters)))
+        return sorted(self.wide.union(*[self.cells[c] for c in covered if c in self.cells])) if covered else []
+
+
+def _join_cluster(clusters: list[list], box: list[float], confidence: float, row: int, threshold: float, grid: _Grid | None = None) -> int:
     """Row of the first member of the cluster the box joins or opens."""
     x1, y1, x2, y2 = box
     best, best_iou = None, 0.0
-    for cluster in clusters:
+    for number in range(len(clusters)) if grid is None else grid.near(box):
+        cluster = clusters[number]
         width = min(cluster[2], x2) - max(cluster[0], x1)
         height = min(cluster[3], y2) - max(cluster[1], y1)
         if width <= 0 or height <= 0:
@@ -126,13 +185,18 @@ def _join_cluster(clusters: list[list], box: list[float], confidence: float, row
         own = (cluster[2] - cluster[0]) * (cluster[3] - cluster[1])
         overlap = shared / (own + (x2 - x1) * (y2 - y1) - shared)
         if overlap >= threshold and overlap > best_iou:
-            best, best_iou = cluster, overlap
+            best, best_iou = number, overlap
     if best is None:
         clusters.append([x1, y1, x2, y2, confidence, row])
+        if grid is not None:
+            grid.add(len(clusters) - 1, box)
         return row
-    if confidence > best[4]:
-        best[:5] = [x1, y1, x2, y2, confidence]
-    return best[5]
+    if confidence > clusters[best][4]:
+        if grid is not None:
+            grid.remove(best, clusters[best])
+            grid.add(best, box)
+        clusters[best][:5] = [x1, y1, x2, y2, confidence]
+    return clusters[best][5]
 
 
 def fused_objects(
@@ -142,12 +206,10 @@ def fused_objects(
     keys = [key, *_GROUP, "cluster"]
     keep = [c for c in clustered.columns if c not in (*keys, *order)]
     ranked = F.struct(-F.col("confidence"), *[F.col(o) for o in order])
-    per_frame = clustered.groupBy(*keys, frame).agg(F.min_by(F.struct(*keep, *[o for o in order if o != frame]), ranked).alias("_r"),
-                                                    F.min(ranked).alias("_k"))
-    fused = per_frame.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("observations"), F.min_by(F.struct(F.col("_r"), F.col(frame)), F.col("_k")).alias("_b")
-    )
-    return fused.select(*keys, *[F.col(f"_b._r.{c}").alias(c) for c in keep], "observations")
+    # members of a cluster leave one task of the fold, so one shuffle on the cluster serves both aggregates
+    per_frame = clustered.repartition(*keys).groupBy(*keys, frame).agg(F.min_by(F.struct(*keep), ranked).alias("_r"), F.min(ranked).alias("_k"))
+    fused = per_frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("observations"), F.min_by("_r", "_k").alias("_b"))
+    return fused.select(*keys, *[F.col(f"_b.{c}").alias(c) for c in keep], "observations")
 
 
 def strip_private(attributes: Column) -> Column:

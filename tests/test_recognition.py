@@ -62,6 +62,47 @@ def test_fusion_equals_a_plain_loop(spark, batch, hot_rows):
         assert got == plain_fusion([r for r in rows if r[0] == f"c{c}"])
 
 
+def test_groups_that_are_not_hot_take_two_shuffles_and_one_window(spark):
+    rows = [detection(f"c{i % 40}", i % 3, i, "tool", (i % 7, 0, 30 + i % 7, 30), 0.5) for i in range(400)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fused = U.fused_objects(U.assign_clusters(spark.createDataFrame(rows, DETECTION), hot_rows=400))
+        assert fused.count() and len(fused.collect()) == 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    final = fused._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "isFinalPlan=true" in final
+    assert final.count("REPARTITION_BY_COL") == 2 and final.count("Window [") == 1
+    assert "SortMergeJoin" not in final and "ShuffledHashJoin" not in final
+
+
+@pytest.mark.parametrize("hot_rows", [100_000, 500])
+def test_scattered_boxes_of_all_sizes_equal_a_plain_loop(spark, hot_rows):
+    """Many open clusters in one group, wide and flat boxes, boxes that cannot overlap; a key without a value is a group too."""
+    rnd = random.Random(9)
+    rows = []
+    for c in ("a", None):
+        for p in range(600):
+            x, y, w = rnd.uniform(-500, 2000), rnd.uniform(-500, 500), rnd.choice([12, 25, 25, 30, 900])
+            box = (x, y, x + w, y + rnd.choice([20, 25, 30, 0, -5, 700]))
+            rows.append(detection(c, p % 4, p, "tool", rows[-1][5] if p % 3 == 2 else box, round(rnd.random(), 3)))
+    fused = U.fused_objects(U.assign_clusters(spark.createDataFrame(rows, DETECTION), hot_rows=hot_rows)).collect()
+    for c in ("a", None):
+        assert sorted((tuple(r.bbox), r.observations) for r in fused if r.capture_id == c) == plain_fusion([r for r in rows if r[0] == c])
+
+
+def test_a_grid_keeps_a_fold_with_many_open_clusters_short():
+    boxes = [[i % 300 * 40.0, i // 300 * 40.0, i % 300 * 40.0 + 30, i // 300 * 40.0 + 30] for i in range(30_000)]
+    clusters = [[*b, 0.5, n] for n, b in enumerate(boxes)]
+    grid = U._Grid(clusters)
+    assert all(grid.near(b) == [n] or len(grid.near(b)) <= 9 and n in grid.near(b) for n, b in enumerate(boxes))
+    moved = [b + 1 for b in boxes[70]]
+    assert U._join_cluster(clusters, moved, 0.9, 30_000, 0.45, grid) == 70 and clusters[70][:5] == [*moved, 0.9]
+    assert 70 in grid.near(moved) and grid.near([1e6, 0, 1e6 + 9, 9]) == [] == grid.near([0, 0, float("nan"), 9])
+    assert U._join_cluster(clusters, [1e6, 0, 1e6 + 9, 9], 0.9, 30_001, 0.45, grid) == 30_001 and grid.near([1e6, 0, 1e6 + 5, 5]) == [30_000]
+
+
 def test_meter_clusters(spark):
     box = (0, 0, 10, 10)
     rows = [detection("d", i, 0, "digital_meter", box, 0.9, t) for i, t in enumerate(["600.0", "600.0", "600.8"])]
