@@ -1,16 +1,18 @@
 """Inspection modules as batch functions, each shielded from the failures of the others.
 
-A module is built once for each worker and takes a batch of rows.  If a batch fails, its first
-failing row is found by halving and the rows after it go on in stretches as long as the failures are
-apart, so k bad rows of n cost about k log2(n / k) calls and the good rows keep their results; a row
-that fails alone has ``status = failed`` with the exception's text.  A module that cannot even be
-built fails for every row.  The other modules run in either case.
+A module is built once for each worker and takes either one row or a batch of rows.  One that takes
+rows is called once for each, however many fail.  If a batch fails, its first failing row is found by
+halving and the rows after it go on in stretches as long as the failures are apart, so k bad rows of n
+cost about k log2(n / k) calls and the good rows keep their results; a row that fails alone has
+``status = failed`` with the exception's text.  A module that cannot even be built fails for every
+row.  The other modules run in either case.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -24,17 +26,24 @@ from pyspark.sql.types import StructType
 RESULT = ("enabled boolean, status string, number int, raw_text string, value double, present boolean, labels array<string>, "
           "meters int, confidence double, votes bigint, source string, reason string")
 
+#: What a result column that a module leaves out holds, if not null.
+_DEFAULTS = {"enabled": True}
+
 #: Rows in, one result for each row (a frame with any of the columns of ``RESULT``) out.
 Batch = Callable[[pd.DataFrame], pd.DataFrame]
 
+#: One row in, its result (any of the columns of ``RESULT``) out.
+Single = Callable[[dict[str, Any]], Mapping[str, Any]]
+
 
 @dataclass(frozen=True)
 class Module:
-    """A module: its name, what builds it on a worker, and whether it is switched on."""
+    """A module: its name, what builds it on a worker, whether it is switched on, and whether it takes rows one by one."""
 
     name: str
-    build: Callable[[], Batch]
+    build: Callable[[], Batch | Single]
     enabled: bool = True
+    by_row: bool = False
 
 
 def _guarded(run: Batch, rows: pd.DataFrame, names: Sequence[str]) -> Iterator[pd.DataFrame]:
@@ -75,6 +84,40 @@ def _failed(n: int, problem: Exception) -> pd.DataFrame:
     return pd.DataFrame({"enabled": [True] * n, "status": ["failed"] * n, "reason": [str(problem)] * n})
 
 
+def _each(run: Single, rows: Sequence[dict[str, Any]], fields: Sequence[pa.Field]) -> list[pa.Array]:
+    """The fields of the rows' results; a row that fails, or whose result a field cannot take, has its reason."""
+    names = {field.name for field in fields}
+    results = []
+    for row in rows:
+        try:
+            result = run(row)
+            if not result.keys() <= names:
+                raise ValueError(f"unknown result columns: {', '.join(c for c in result if c not in names)}")
+        except Exception as problem:
+            result = {"status": "failed", "reason": str(problem)}
+        results.append(result)
+    try:
+        return _fields(results, fields)
+    except Exception:  # the results are not all of the fields' kinds
+        return [pa.concat_arrays(values) for values in zip(*(_one(result, fields) for result in results))]
+
+
+def _one(result: Mapping[str, Any], fields: Sequence[pa.Field]) -> list[pa.Array]:
+    try:
+        return _fields([result], fields)
+    except Exception as problem:
+        return _same(fields, 1, status="failed", reason=str(problem))
+
+
+def _fields(results: Sequence[Mapping[str, Any]], fields: Sequence[pa.Field]) -> list[pa.Array]:
+    used = set().union(*results)
+    return [_cast([r.get(f.name, _DEFAULTS.get(f.name)) for r in results], f.type) if f.name in used else _standard(f, len(results)) for f in fields]
+
+
+def _same(fields: Sequence[pa.Field], n: int, **values: Any) -> list[pa.Array]:
+    return [pa.repeat(pa.scalar(values[f.name], f.type), n) if f.name in values else _standard(f, n) for f in fields]
+
+
 def run_isolated(rows: DataFrame, keys: Sequence[str], modules: Sequence[Module]) -> DataFrame:
     """(keys, module_order, module_id, result columns): every module on every row, in the given order of modules."""
     keys = list(keys)
@@ -88,10 +131,10 @@ def run_isolated(rows: DataFrame, keys: Sequence[str], modules: Sequence[Module]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            frame = batch.to_pandas()
+            n = batch.num_rows
             for order, module in enumerate(modules):
                 if not module.enabled:
-                    parts = [pd.DataFrame({"enabled": [False] * len(frame), "status": ["disabled"] * len(frame)})]
+                    results = _same(result_fields, n, enabled=False, status="disabled")
                 else:
                     if module.name not in built:
                         try:
@@ -99,13 +142,16 @@ def run_isolated(rows: DataFrame, keys: Sequence[str], modules: Sequence[Module]
                         except Exception as problem:  # a module that cannot start fails alone
                             built[module.name] = problem
                     own = built[module.name]
-                    parts = [_failed(len(frame), own)] if isinstance(own, Exception) else _guarded(own, frame, result.names)
-                parts = list(parts)
-                n = batch.num_rows
+                    if isinstance(own, Exception):
+                        results = _same(result_fields, n, status="failed", reason=str(own))
+                    elif module.by_row:
+                        results = _each(own, batch.to_pylist(), result_fields)
+                    else:
+                        parts = list(_guarded(own, batch.to_pandas(), result.names))
+                        results = [_column(parts, field) for field in result_fields]
                 columns = [batch.column(batch.schema.get_field_index(k)) for k in keys]
                 columns += [pa.array([order] * n, pa.int32()), pa.array([module.name] * n, pa.string())]
-                columns += [_column(parts, field) for field in result_fields]
-                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+                yield pa.RecordBatch.from_arrays([*columns, *results], schema=arrow)
 
     # few large row groups or a filter would leave the modules, which cost most, to few tasks
     spread = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -135,20 +181,22 @@ def _joined(values: Sequence[pd.Series], kind: pa.DataType) -> pa.Array:
     return pa.concat_arrays([_cast(v, kind) for v in values])
 
 
-def _cast(values: pd.Series, kind: pa.DataType) -> pa.Array:
-    out = pa.array(values.tolist() if values.dtype == object else values, from_pandas=True)
+def _cast(values: pd.Series | list, kind: pa.DataType) -> pa.Array:
+    out = pa.array(values.tolist() if isinstance(values, pd.Series) and values.dtype == object else values, from_pandas=True)
     return (out.combine_chunks() if isinstance(out, pa.ChunkedArray) else out).cast(kind)
 
 
 def _standard(field: pa.Field, n: int) -> pa.Array:
-    return pa.array([True] * n if field.name == "enabled" else [None] * n, field.type)
+    return pa.repeat(pa.scalar(_DEFAULTS[field.name], field.type), n) if field.name in _DEFAULTS else pa.nulls(n, field.type)
 
 
 def module_health(results: DataFrame) -> DataFrame:
     """(module_id, rows, failed, first_reason): how often each module has failed, and the least of its reasons."""
     bad = F.col("status") == "failed"
-    return results.groupBy("module_order", "module_id").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("failed"), F.min(F.when(bad, F.col("reason"))).alias("first_reason")).drop("module_order")
+    found = results.groupBy("module_order", "module_id", bad.alias("bad"), F.when(bad, F.col("reason")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    # the least of strings needs sorted rows, so only the distinct reasons go there
+    return found.groupBy("module_order", "module_id").agg(
+        F.sum("n").alias("rows"), F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("failed"), F.min("reason").alias("first_reason")).drop("module_order")
 
 
 def as_modules(results: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -374,12 +374,13 @@ UNION ALL SELECT o_orderkey, 3, 'analog_meter', 'disabled', NULL, NULL, NULL FRO
 
 
 def _stations():
-    def run(rows):
-        station = rows["o_custkey"].to_numpy() % 13
-        bad = station == 11
-        if bad.any():
-            raise ValueError(f"no station in gate {rows['o_orderkey'].to_numpy()[bad][0]}")
-        return pd.DataFrame({"status": "confirmed", "number": station})
+    def run(row):
+        if row["o_custkey"] is None:
+            return {"status": "confirmed"}
+        station = row["o_custkey"] % 13
+        if station == 11:
+            raise ValueError(f"no station in gate {row['o_orderkey']}")
+        return {"status": "confirmed", "number": station}
     return run
 
 
@@ -388,17 +389,20 @@ def _no_model():
 
 
 def _scales():
-    def run(rows):
-        scale = rows["o_custkey"].to_numpy() % 100
-        if (scale == 0).any():
+    def run(row):
+        if row["o_custkey"] is None:
+            return {"status": "confirmed"}
+        scale = row["o_custkey"] % 100
+        if scale == 0:
             raise ZeroDivisionError("no scale")
-        return pd.DataFrame({"status": "confirmed", "value": rows["whole"].to_numpy() // scale})
+        return {"status": "confirmed", "value": None if row["whole"] is None else row["whole"] // scale}
     return run
 
 
 def _isolated(spark: SparkSession, d: str) -> DataFrame:
     rows = A.table(spark, d, "orders").select("o_orderkey", "o_custkey", F.floor("o_totalprice").cast("bigint").alias("whole"))
-    modules = [ISO.Module("station_number", _stations), ISO.Module("coal_presence", _no_model), ISO.Module("digital_meter", _scales), ISO.Module("analog_meter", _scales, False)]
+    modules = [ISO.Module("station_number", _stations, by_row=True), ISO.Module("coal_presence", _no_model), ISO.Module("digital_meter", _scales, by_row=True),
+               ISO.Module("analog_meter", _scales, False, by_row=True)]
     return ISO.run_isolated(rows, ["o_orderkey"], modules).withColumnRenamed("o_orderkey", "capture_id")
 
 

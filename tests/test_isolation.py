@@ -2,6 +2,8 @@
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from seamwatch.operators import isolation as ISO
 from seamwatch.operators import voting as VOTE
@@ -68,6 +70,59 @@ def test_module_failures_spreads_the_rows_of_one_file(spark, tmp_path):
     assert rows.select(F.spark_partition_id()).distinct().count() > 1
 
 
+def test_row_modules_are_called_once_for_each_row(spark):
+    def odd():
+        def run(row):
+            v = row["v"]
+            if v % 10 == 1:
+                raise ValueError(f"bad {v}")
+            return {2: {"status": "confirmed", "number": v + 0.5}, 3: {"colour": "red"}, 4: None, 5: {"status": None, "enabled": None, "value": float("nan")},
+                    6: {"number": v, "labels": ["a", "b"]}}.get(v % 10, {"status": "confirmed", "number": v, "value": 2 * v})
+        return run
+
+    calls, fields = [], to_arrow_schema(StructType.fromDDL(ISO.RESULT))
+    run = odd()
+    ISO._each(lambda row: calls.append(row["v"]) or run(row), [{"v": v} for v in range(2_000)], list(fields))
+    assert calls == list(range(2_000))
+
+    rows = spark.range(2_000).coalesce(1).selectExpr("id k", "id v")
+    got = {r.k: r for r in ISO.run_isolated(rows, ["k"], [ISO.Module("odd", odd, by_row=True)]).collect()}
+    assert len(got) == 2_000
+    for k, r in got.items():
+        end = k % 10
+        assert r.status == (None if end in (5, 6) else "failed" if end in (1, 2, 3, 4) else "confirmed")
+        assert (r.reason is not None) == (end in (1, 2, 3, 4)) and r.enabled is (None if end == 5 else True)
+        assert r.number == (k if end in (0, 6, 7, 8, 9) else None) and r.value == (2 * k if end in (0, 7, 8, 9) else None)
+        assert r.labels == (["a", "b"] if end == 6 else None)
+    assert got[11].reason == "bad 11" and got[13].reason == "unknown result columns: colour"
+
+
+def test_failing_orders_cost_no_more_calls_than_others(spark, tmp_path, monkeypatch):
+    found, real = {}, ISO.run_isolated
+    monkeypatch.setattr(ISO, "run_isolated", lambda rows, keys, modules: found.update({m.name: m for m in modules}) or real(rows, keys, modules))
+    orders = [(k, 11 if k % 2 else 100, 1000.5) for k in range(100)] + [(100, None, 5.0), (101, 7, None), (102, 100, None)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    got = {(r.capture_id, r.module_id): r for r in QUERIES["isolated_modules"](spark, str(tmp_path)).collect()}
+    fields = list(to_arrow_schema(StructType.fromDDL(ISO.RESULT)))
+    for name in ("station_number", "digital_meter"):
+        calls, own = [], found[name].build()
+        statuses = dict(zip([f.name for f in fields], ISO._each(lambda row: calls.append(row) or own(row), [  # noqa: B023
+            {"o_orderkey": k, "o_custkey": c, "whole": None if p is None else int(p)} for k, c, p in orders], fields)))["status"].to_pylist()
+        assert len(calls) == len(orders) and statuses == [got[k, name].status for k, *_ in orders]
+    assert [got[k, "station_number"].reason for k in (0, 1, 100)] == [None, "no station in gate 1", None]
+    assert [(got[k, "digital_meter"].status, got[k, "digital_meter"].value) for k in (0, 1, 100, 101, 102)] == [
+        ("failed", None), ("confirmed", 90.0), ("confirmed", None), ("confirmed", None), ("failed", None)]
+
+
+def test_only_distinct_reasons_are_sorted(spark):
+    results = spark.range(100).selectExpr("0 module_order", "'a' module_id", "if(id % 10 < 3, 'failed', if(id % 10 = 3, null, 'confirmed')) status", "if(id % 10 = 0, null, concat('bad ', id)) reason")
+    out = ISO.module_health(results)
+    aggregates = [line for line in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "Aggregate(" in line]
+    assert "HashAggregate(" in aggregates[-1]  # the one next to the results
+    assert [tuple(r) for r in out.collect()] == [("a", 100, 30, "bad 1")]
+    assert out.schema.simpleString() == "struct<module_id:string,rows:bigint,failed:bigint,first_reason:string>"
+
+
 def test_other_modules_run(spark):
     def broken():
         raise RuntimeError("no weights")
