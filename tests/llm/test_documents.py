@@ -1,8 +1,10 @@
 """Operators on documents against brute force on small awkward inputs."""
 
 import hashlib
+import os
 import random
 import re
+import uuid
 import zlib
 from collections import Counter, defaultdict
 
@@ -400,6 +402,49 @@ def test_interval_expansion_groups():
     assert all(len(v) == 1 for v in seen.values()) and len({min(v) for v in seen.values()}) == len(seen)
 
 
+def test_groups_of_marked_texts_of_all_sizes():
+    rng = np.random.default_rng(12)
+    for size, letters in ((90_000, 3), (5_000, 60), (700, 1)):  # above and below 2^16 places
+        data = rng.integers(0, letters, size).astype(np.uint8)
+        for a, b, n in rng.integers(0, size - 200, (size // 100, 3)):
+            data[b : b + n % 200] = data[a : a + n % 200]
+        data[rng.integers(0, size, size // 90)] = data[-1] = 255
+        ends = np.flatnonzero(data == 255)
+        left = ends[np.searchsorted(ends, np.arange(size))] - np.arange(size)
+        group, raw, seen = suffix.repeated_groups(data, 50, left), data.tobytes(), defaultdict(set)
+        for i in np.flatnonzero(left >= 50).tolist():
+            seen[raw[i : i + 50]].add(int(group[i]))
+        assert all(len(v) == 1 for v in seen.values()) and len({min(v) for v in seen.values()}) == len(seen)
+
+
+def test_repeats_gather_each_bucket_once(spark, monkeypatch, tmp_path):
+    gather, calls = suffix._gather, str(tmp_path)
+
+    def counted(group, hot):
+        open(f"{calls}/{group['target'][0].as_py()}-{uuid.uuid4().hex}", "w").close()
+        return gather(group, hot)
+
+    monkeypatch.setattr(suffix, "_gather", counted)
+    data = [(i, f"{prose(900 + i % 20, 30)} {prose(950 + i % 7, 30)}") for i in range(60)] + [(None, prose(901, 30)), (5, None)]
+    got = suffix.remove_repeats(spark.createDataFrame(data, "doc_id long, text string"), texts=False)
+    assert plain(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(data)
+    buckets = [name.split("-")[0] for name in os.listdir(calls)]
+    assert buckets and len(buckets) == len(set(buckets))
+
+
+def test_classes_are_told_apart_and_found():
+    rng = np.random.default_rng(4)
+    anchor = rng.integers(0, 1 << 48, 50, dtype=np.uint64)[rng.integers(0, 50, 2000)]
+    context = rng.integers(0, 2, 2000, dtype=np.uint64) << np.uint64(39) | rng.integers(0, 9, 2000, dtype=np.uint64)  # high parts alike
+    order = suffix._class_order(anchor, context)
+    both = list(zip(anchor[order].tolist(), context[order].tolist(), strict=True))
+    assert sorted(order.tolist()) == list(range(2000)) and both == sorted(both)
+    assert (np.diff(suffix._bucket(anchor[order], 7)) >= 0).all()
+    keys = suffix.class_keys(anchor, context)
+    rows, of = suffix._matches(keys, keys[:30])
+    assert sorted(zip(rows.tolist(), of.tolist(), strict=True)) == [(i, j) for i in range(2000) for j in range(30) if keys[i] == keys[j]]
+
+
 # --- personal data
 
 RULES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
